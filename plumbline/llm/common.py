@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of an Arrow batch that a task takes at a time.
+ROWS = 500
+_ARROW = {"long": "int64", "int": "int32", "string": "string", "boolean": "bool", "double": "float64", "binary": "binary"}
+
+
+def map_texts(docs: DataFrame, start: Callable[[], Callable[[list], list]], schema: dict[str, str], columns: tuple[str, ...] = ("doc_id",), text: str = "text", rows: int = ROWS) -> DataFrame:
+    """The given columns of docs, as they are, and those that Python makes of the texts, partition by partition.
+
+    start() is called once in each task and returns what makes the columns of schema from a list of texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = [pa.array(x, kinds[c]) for c, x in zip(schema, make(part.column(text).to_pylist()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *made], names=[*columns, *schema])
+
+    kinds = {c: arrow_type(t) for c, t in schema.items()}
+    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
+    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, ", ".join([*kept, *[f"`{c}` {t}" for c, t in schema.items()]]))
+
+
+def arrow_type(kind: str) -> pa.DataType:
+    if kind.startswith("array<struct<"):
+        return pa.list_(pa.struct([(n, arrow_type(t)) for n, t in (x.split(":") for x in kind[13:-2].split(","))]))
+    return pa.list_(arrow_type(kind[6:-1])) if kind.startswith("array<") else getattr(pa, _ARROW[kind].replace("bool", "bool_"))()

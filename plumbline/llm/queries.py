@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from plumbline.llm import quality, sharding, url_filter
+from plumbline.llm import decontamination, pieces, quality, sharding, simhash, token_counts, url_filter
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op7_sharding": sharding.op7_sharding,
     "op8_url_filters": url_filter.op8_url_filters,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
