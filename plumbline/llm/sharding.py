@@ -93,9 +93,9 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
                     near |= {min(int(np.searchsorted(ends, to)) + k, len(order) - 1) for k in (0, 1)}
         for a, b in zip(_cuts(ends, whole, low, shards, True), _cuts(ends, whole, high, shards, False), strict=True):
             near |= set(range(int(np.searchsorted(ends, min(a, b))), min(int(np.searchsorted(ends, max(a, b))) + 1, len(order))))
-        split = [order[i] for i in sorted(near) if not whole[i]]
-        for bits in {known[u][0] for u in split}:
-            finer, coarse = min(64, bits + MORE_BITS), [u for u in split if known[u][0] == bits]
+        split = {order[i]: known[order[i]][0] for i in sorted(near) if not whole[i]}
+        for bits in set(split.values()):
+            finer, coarse = min(64, bits + MORE_BITS), [u for u, b in split.items() if b == bits]
             for u in coarse:
                 known.pop(u)
             for u, n, b, m in summed(finer, [u >> (64 - bits) for u in coarse], bits):
