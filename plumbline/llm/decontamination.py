@@ -195,9 +195,9 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no benchmark window occurs, columns as they are."""
-    named = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("text"))
-    found = verbatim_matches(named, benchmark, window, columns=tuple(c for c in named.columns if c != "text") + ("text",))
-    return found.where("n_hit = 0").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    names = {c: "text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)}
+    found = verbatim_matches(docs.select(*[F.col(c).alias(n) for c, n in names.items()]), benchmark, window, columns=tuple(names.values()))
+    return found.where("n_hit = 0").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

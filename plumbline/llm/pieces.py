@@ -75,11 +75,11 @@ def encode_texts(texts: Iterable[str], of: ChunkTable) -> Iterator[tuple[int, st
         yield sum(x[0] for x in found), ",".join([x[1] for x in found]), "".join([x[2] for x in found])[1:]
 
 
-def with_pieces(docs: DataFrame, model: str, most: int = TABLE_CHUNKS) -> DataFrame:
-    """doc_id, ids (array<int>) and decoded (what the ids decode to) of each row of docs.
+def with_pieces(docs: DataFrame, model: str, most: int = TABLE_CHUNKS, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in more, ids (array<int>) and decoded (what the ids decode to) of each row of docs.
 
     Null texts count as empty: no ids, empty decoded text. Rows are independent: repeated rows and repeated or null
-    doc_ids come out as they are. Only doc_id and text are read.
+    doc_ids come out as they are. Only the columns named are read.
     """
 
     def start():
@@ -91,7 +91,7 @@ def with_pieces(docs: DataFrame, model: str, most: int = TABLE_CHUNKS) -> DataFr
 
         return make
 
-    return map_texts(id_and_text(docs), start, {"ids": "array<int>", "decoded": "string"})
+    return map_texts(id_and_text(docs, *more), start, {"ids": "array<int>", "decoded": "string"}, ("doc_id", *more))
 
 
 def piece_digests(docs: DataFrame, model: str, most: int = TABLE_CHUNKS) -> DataFrame:

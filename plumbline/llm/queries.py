@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontamination, pieces, quality, sharding, simhash, suffix_array, token_counts, toxicity, url_filter
+from plumbline.llm import decontamination, lm_scoring, pieces, quality, sharding, simhash, suffix_array, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_array": suffix_array.op1_suffix_array,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_sharding": sharding.op7_sharding,
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_token_counts": token_counts.op9_token_counts,
