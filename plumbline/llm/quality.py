@@ -98,7 +98,7 @@ def frequent_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
 
 
 def judged(docs: DataFrame, more: list[str], limit: int = LINE_LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
-    """docs' columns in more as _0, _1 and so on, text (null: empty), the measures, base_failed, kept, and removed_lines (hashes)."""
+    """docs' columns in more as _0, _1 and so on, host, key, the measures, base_failed, kept, and removed_lines (hashes)."""
     often = frequent_lines(docs, limit)
     copies = docs.groupBy(host(), key()).agg(F.count("*").alias("copies"))
     # copies of a text give the same rows; their words count once, but each repetition in the text counts
@@ -107,7 +107,6 @@ def judged(docs: DataFrame, more: list[str], limit: int = LINE_LIMIT, least_shar
     rows = measured(docs, *[F.col(c).alias(f"_{i}") for i, c in enumerate(more)], host(), key())
     return (
         rows.join(lost, ["host", "key"], "left")
-        .drop("host", "key")
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.coalesce("removed", F.lit(0)) >= F.lit(least_share) * F.col("n_words")))
     )
@@ -125,12 +124,14 @@ def quality_rules(docs: DataFrame, limit: int = LINE_LIMIT, least_share: float =
 
 def keep_good(docs: DataFrame, limit: int = LINE_LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
     """The documents that are kept, without the lines that are removed; columns as they are, n_chars counted anew."""
-    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
-    kept = judged(docs, docs.columns, limit, least_share).where("kept")
+    # written, as a filter on the verdict would otherwise be pushed below and evaluate its expressions anew
+    verdicts = written(judged(docs, [], limit, least_share).select("host", "key", "kept", "removed_lines"), "quality-verdicts")
+    kept = verdicts.where("kept").groupBy("host", "key").agg(F.first("removed_lines").alias("removed_lines"))
+    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("text"), host(), key())
     lines = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(f"[^{SPACES}]") | ~F.array_contains("removed_lines", line_hash(x)))
-    kept = kept.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    left = rows.join(kept, ["host", "key"]).withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return kept.select(*[new.get(c, F.col(names[c])).alias(c) for c in docs.columns])
+    return left.select(*[new.get(c, F.col(f"_{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
