@@ -1,44 +1,55 @@
 """Suffix-array dedup: bytes under strings of ``LENGTH`` bytes that start more than once in the corpus.
 
 Suffixes are compared to a depth of LENGTH bytes, so what counts of one that starts at p is the window [p, p + LENGTH).
-A table of all suffixes would be LENGTH times the corpus. It is thinned first, without loss:
+A table of all suffixes would be LENGTH times the corpus. It is thinned first, without loss, in two steps.
 
-* Of equal texts one is taken; where there are several, all of their bytes go.
 * Each window has an anchor, the place of the least hash among the short strings in it (leftmost of the least). The choice
   depends on the window's bytes alone, so equal windows have equal short strings at their anchors. Windows whose
-  anchor's string occurs once are unique.
-* The windows of one anchor are consecutive and lie in its context. Anchors with equal contexts settle each other: all of
-  their windows are repeated. Where all contexts of a short string are equal, nothing is left to compare.
-
-What is left, mostly around the ends of repeated passages, is the suffix table. Its key is the suffix's first 8 bytes and
-a 128-bit fingerprint of the window. Splitters sampled from it cut it into ranges; a key that fills several ranges is
+  anchor's string occurs once are unique. The windows of one anchor are consecutive and lie in its context; anchors
+  with equal contexts settle each other: all of their windows are repeated. Where all contexts of a short string are
+  equal, nothing is left to compare.
+* What is left is looked at in turns of ``TURN`` windows by their distance from the anchor: again all of a turn's windows
+  are unique where the bytes that they share occur once, and repeated where all of their bytes occur again.
+
+What is left now, mostly around the ends of repeated passages, is the suffix table. Its key is the suffix's first 8 bytes
+and a 128-bit fingerprint of the window. Splitters sampled from it cut it into ranges; a key that fills several ranges is
 dealt out over them by turns. Each range is sorted by multikey quicksort: by the leading bytes, then only where these tie
 by the next word, and so on. Neighbours with equal keys are repeated, within a range and, by the first and last key of
 each, across the boundaries.
 
-The distinct texts lie in a table that is bucketed by text key, so that none of the later steps shuffles text again.
+Texts are written once, in blocks of about ``BLOCK_BYTES``, to a table that is bucketed by block; a place is (block and row,
+offset). Later steps bring places to their block, so text is never shuffled. Short strings that a sample shows to be hot
+are dealt out by context and block, and their groups are put together afterwards.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table, text_key, written
+from plumbline.llm.common import table, written
 
 LENGTH = 200
 #: Bytes of the short strings; a window of 200 bytes has 169 of them.
 SHORT = 32
-#: Suffixes of a range that the splitters aim at, and sampled suffixes for each splitter.
-RANGE_ROWS, SAMPLES = 400_000, 50
+#: Windows of a turn.
+TURN = 8
+#: Bytes of texts that a block holds, at least one text.
+BLOCK_BYTES = 8_000_000
+#: A short string is hot if so many of the blocks' sampled texts hold it; at most so many are taken as hot.
+HOT_SHARE, HOT, MOST_HOT = 1 / 64, 100, 10_000
+#: Suffixes of a range that the splitters aim at, and the share of blocks that they are sampled from.
+RANGE_ROWS, SAMPLE_SHARE = 400_000, 1 / 32
 #: Bytes of texts that are hashed together.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 18
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -112,72 +123,160 @@ def _runs(batch: pa.RecordBatch, column: str = "body") -> Iterator[tuple[int, in
         row = end
 
 
-def _packed(first: np.ndarray, anchor: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return (first << 32) | ((anchor - first) << 16) | (last - first)
-
-
-def distinct_texts(docs: DataFrame, length: int) -> DataFrame:
-    """key, body (bytes), copies of each distinct text of at least length bytes; bucketed by key."""
+def blocked(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with block, id (block and row) and body (the text's bytes); a table bucketed by block."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("binary").alias("body"), text_key(F.col("text")).alias("key")).where(F.octet_length("body") >= length)
+    docs = docs.withColumn("body", F.coalesce(text, F.lit("")).cast("binary"))
+
+    @F.pandas_udf("block long, id long")
+    def place(sizes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        block, size, row = TaskContext.get().partitionId() << 20, 0, 0
+        for some in sizes:
+            blocks, ids = [], []
+            for n in some.tolist():
+                if row and (size + n > block_bytes or row == 1 << 20):
+                    block, size, row = block + 1, 0, 0
+                blocks.append(block), ids.append((block << 20) + row)
+                size, row = size + n, row + 1
+            yield pd.DataFrame({"block": blocks, "id": ids}, dtype="int64")
+
+    # only the sizes go to Python
+    placed = docs.withColumn("at", place(F.octet_length("body"))).select("at.block", "at.id", *docs.columns)
     name = f"plumbline_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = texts.groupBy("key").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
-    one.write.bucketBy(buckets, "key").option("compression", "zstd").saveAsTable(name)
+    placed.write.bucketBy(buckets, "block").option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
-def _short_counts(texts: DataFrame, length: int, short: int) -> DataFrame:
+def _with_places(texts: DataFrame, places: DataFrame, columns: list[str], run: Callable, schema: str) -> DataFrame:
+    """run(texts of a block, its places) over all blocks of texts. places: id and others."""
+    keyed = places.withColumn("block", F.shiftright("id", 20))
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return run(left.combine_chunks(), right.combine_chunks())
+
+    return texts.select("block", "id", *columns).groupBy("block").cogroup(keyed.groupBy("block")).applyInArrow(both, schema)
+
+
+def _hot_shorts(texts: DataFrame, length: int, short: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, starts, ends in _runs(batch):
                 found, n = np.unique(anchor_runs(data, starts, ends, length, short)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["short", "n"])
 
-    return texts.select("body").mapInArrow(run, "short long, n long").groupBy("short").agg(F.sum("n").alias("n"))
+    counted = texts.select("body").sample(HOT_SHARE, seed=1).mapInArrow(run, "short long, n long").groupBy("short").agg(F.sum("n").alias("n"))
+    top = counted.where(F.col("n") >= HOT).orderBy(F.col("n").desc(), "short").limit(MOST_HOT).collect()
+    return np.sort(np.array([r["short"] for r in top], np.int64))
 
 
 def _anchors(texts: DataFrame, length: int, short: int) -> DataFrame:
-    """short (hash), context (hash), key, spot (first window, anchor, last window) of each anchor."""
+    """part (short hash), whole (context hash), id, first, windows, offset, hot of each anchor."""
+    hot = texts.sparkSession.sparkContext.broadcast(_hot_shorts(texts, length, short))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, starts, ends in _runs(batch):
+            ids = batch.column("id").to_numpy()
+            for row, _, data, starts, ends in _runs(batch):
                 found, at, first, last = anchor_runs(data, starts, ends, length, short)
-                context = sum(Prefixes(data, b).of(first, last + length) * _U(k) for b, k in zip(_BASES, (1, 3), strict=True)) if len(at) else found
-                context = _mixed(context + ((at - first) * 65536 + last - first).astype(_U) * _U(_BASES[1]))
+                whole = sum(Prefixes(data, b).of(first, last + length) * _U(k) for b, k in zip(_BASES, (1, 3), strict=True)) if len(at) else found
+                whole = _mixed(whole + ((at - first) * 65536 + last - first).astype(_U) * _U(_BASES[1])).view(np.int64)
                 doc = np.searchsorted(ends, first, side="right")
-                key = batch.column("key").slice(row, end - row).take(pa.array(doc))
-                spot = _packed(first - starts[doc], at - starts[doc], last - starts[doc])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(context.view(np.int64)), key, pa.array(spot)], names=["short", "context", "key", "spot"])
+                part = found.view(np.int64)
+                made = [part, whole, ids[row + doc], (first - starts[doc]).astype(np.int32), (last - first + 1).astype(np.int32), (at - first).astype(np.int32), np.isin(part, hot.value)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, made)), names=["part", "whole", "id", "first", "windows", "offset", "hot"])
+
+    return texts.select("id", "body").mapInArrow(run, "part long, whole long, id long, first int, windows int, offset int, hot boolean").withColumn("asked", F.lit(True))
+
+
+def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose windows are all repeated, rows to look at more closely).
 
-    return texts.select("key", "body").mapInArrow(run, "short long, context long, key binary, spot long")
+    rows: part, whole, id, first, windows, offset, hot, asked. Rows of equal whole settle each other; rows that are alone
+    with their part are unique. Of equal rows one stays, as a partner for others of its part, asked if it is alone.
+    """
+    spread = F.when(F.col("hot"), F.xxhash64("whole", F.pmod(F.shiftright("id", 20), F.lit(64)))).otherwise(F.lit(0).cast("long"))
+    group = Window.partitionBy("part", "spread")
+    alike = Window.partitionBy("part", "spread", "whole")
+    seen = (
+        rows.withColumn("spread", spread)
+        .withColumn("n", F.count("*").over(alike))
+        .withColumn("place", F.row_number().over(alike.orderBy("id", "first")))
+        .withColumn("others", F.min("whole").over(group) != F.max("whole").over(group))
+    )
+    seen = written(seen.where("n > 1 or others or hot").drop("spread"), "anchors")
+    columns = ["id", "first", "windows", "offset"]
+    row = F.struct(*columns, "asked")
+    cold, hot = seen.where("not hot"), seen.where("hot")
+    heads = hot.where("place = 1").groupBy("part", "whole").agg(F.sum("n").alias("total"), F.min(row).alias("one"))
+    late = hot.where("n = 1").join(heads.where("total > 1").select("part", "whole"), ["part", "whole"], "left_semi")
+    settled = seen.where("n > 1 and asked").select(columns).unionByName(late.where("asked").select(columns))
+    left = cold.where("others and place = 1").select(*columns, (F.col("asked") & (F.col("n") == 1)).alias("asked"))
+    left = left.unionByName(heads.select("one.*", "total").select(*columns, (F.col("asked") & (F.col("total") == 1)).alias("asked")))
+    return settled, left
+
+
+def _gathered(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts that right has places in, and of each place: its text's start and end there, its row in right."""
+    ids, wanted = left.column("id").to_numpy(), right.column("id").to_numpy()
+    order = np.argsort(ids)
+    doc = order[np.searchsorted(ids, wanted, sorter=order)]
+    used, back = np.unique(doc, return_inverse=True)
+    bodies = [x.as_buffer() for x in left.column("body").take(pa.array(used))]
+    size = np.array([b.size for b in bodies], np.int64)
+    data = np.concatenate([np.frombuffer(b, np.uint8) for b in bodies]) if bodies else np.zeros(0, np.uint8)
+    end = np.cumsum(size)
+    return data, (end - size)[back], end[back], np.arange(len(wanted))
+
+
+def _turns(texts: DataFrame, left: DataFrame, length: int) -> DataFrame:
+    """Of each anchor in left its turns, as rows that _settle takes."""
+
+    def run(some: pa.Table, places: pa.Table) -> pa.Table:
+        data, start, end, _ = _gathered(some, places)
+        first, windows, offset = (places.column(c).to_numpy().astype(np.int64) for c in ("first", "windows", "offset"))
+        at = first + offset + start
+        # distances from the anchor: offset down to offset - windows + 1
+        low, high = (offset - windows + 1) // TURN, offset // TURN
+        n = high - low + 1
+        of = np.repeat(np.arange(len(n)), n)
+        turn = low[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        near, far = TURN * turn, TURN * turn + TURN - 1
+        a, begin, stop = at[of], start[of], end[of]
+        made = {}
+        hashes = [Prefixes(data, b) for b in _BASES]
+        both = lambda x, y: hashes[0].of(x, y) + hashes[1].of(x, y) * _U(3)
+        made["part"] = _mixed(both(a - near, a - far + length) + turn.astype(_U) * _U(_BASES[1])).view(np.int64)
+        x, y = np.maximum(a - far, begin), np.minimum(a - near + length, stop)
+        made["whole"] = _mixed(both(x, y) + ((a - x) * 65536 + y - a).astype(_U) * _U(_BASES[1])).view(np.int64)
+        made["id"] = places.column("id").to_numpy()[of]
+        top, bottom = np.minimum(far, offset[of]), np.maximum(near, (offset - windows + 1)[of])
+        made["first"] = (a - begin - top).astype(np.int32)
+        made["windows"] = (top - bottom + 1).astype(np.int32)
+        made["offset"] = top.astype(np.int32)
+        made["asked"] = places.column("asked").to_numpy()[of]
+        return pa.table({k: pa.array(v) for k, v in made.items()})
+
+    return _with_places(texts, left, ["body"], run, "part long, whole long, id long, first int, windows int, offset int, asked boolean")
 
 
 def _suffixes(texts: DataFrame, left: DataFrame, length: int) -> DataFrame:
-    """lead, f1, f2 (the sort key), key, start, asked for each window of the anchors in left (key, spots)."""
+    """lead, f1, f2 (the sort key), id, start, asked of each window in left."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spots = batch.column("spots")
-            for row, end, data, starts, _ in _runs(batch):
-                mine = spots.slice(row, end - row)
-                spot, asked = mine.flatten().field("spot").to_numpy(), mine.flatten().field("asked").to_numpy(zero_copy_only=False)
-                n_of = np.diff(mine.offsets.to_numpy())
-                doc = np.repeat(np.arange(end - row), n_of)
-                n = (spot & 0xFFFF) + 1
-                which = np.repeat(np.arange(len(n)), n)
-                start = (spot >> 32)[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = start + starts[doc[which]]
-                lead = np.zeros(len(at), _U)
-                for i in range(8):
-                    lead = (lead << _U(8)) | data[at + i].astype(_U)
-                made = [(lead ^ _U(2**63)).view(np.int64), *[Prefixes(data, b).of(at, at + length).view(np.int64) for b in _BASES]]
-                key = batch.column("key").slice(row, end - row).take(pa.array(doc[which]))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, made), key, pa.array(start), pa.array(asked[which])], names=["lead", "f1", "f2", "key", "start", "asked"])
-
-    joined = texts.select("key", "body").join(left, "key")
-    return joined.mapInArrow(run, "lead long, f1 long, f2 long, key binary, start long, asked boolean")
+    def run(some: pa.Table, places: pa.Table) -> pa.Table:
+        data, start, _, _ = _gathered(some, places)
+        n = places.column("windows").to_numpy().astype(np.int64)
+        of = np.repeat(np.arange(len(n)), n)
+        window = places.column("first").to_numpy().astype(np.int64)[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = window + start[of]
+        lead = np.zeros(len(at), _U)
+        for i in range(8):
+            lead = (lead << _U(8)) | data[at + i].astype(_U)
+        made = [(lead ^ _U(2**63)).view(np.int64), *[Prefixes(data, b).of(at, at + length).view(np.int64) for b in _BASES]]
+        made += [places.column("id").to_numpy()[of], window.astype(np.int32), places.column("asked").to_numpy()[of]]
+        return pa.table(dict(zip(("lead", "f1", "f2", "id", "start", "asked"), map(pa.array, made), strict=True)))
+
+    return _with_places(texts, left, ["body"], run, "lead long, f1 long, f2 long, id long, start int, asked boolean")
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -205,13 +304,13 @@ def _sort_bytes(lead: np.ndarray, f1: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(both).view("S16").ravel()
 
 
-def repeated_suffixes(suffixes: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """key, start of the asked rows of suffixes whose sort key another row has too. suffixes: a written table."""
-    n = suffixes.count()
+def repeated_suffixes(suffixes: DataFrame, sample: DataFrame, n: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """id, start of the asked rows of the n suffixes whose sort key another row has too. sample: some of them."""
     ranges = max(1, -(-n // range_rows))
-    drawn = suffixes.select("lead", "f1").sample(min(1.0, SAMPLES * ranges / max(n, 1)), seed=1).toPandas()
-    sample = np.sort(_sort_bytes(drawn["lead"].to_numpy(np.int64), drawn["f1"].to_numpy(np.int64)))
-    splitters = sample[len(sample) * np.arange(1, ranges) // ranges] if len(sample) else sample
+    drawn = sample.select("lead", "f1").toArrow() if ranges > 1 else None
+    drawn = np.sort(_sort_bytes(drawn.column("lead").to_numpy(), drawn.column("f1").to_numpy())) if drawn else np.zeros(0, "S16")
+    splitters = drawn[len(drawn) * np.arange(1, ranges) // ranges] if len(drawn) else drawn
+    kind = "id long, start int, asked boolean"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,32 +332,28 @@ def repeated_suffixes(suffixes: DataFrame, range_rows: int = RANGE_ROWS) -> Data
         repeated[order[:-1]] |= even
         edge = np.zeros(len(order), bool)
         edge[order[[0, -1]]] = True
-        rows = np.flatnonzero((repeated & part.column("asked").to_numpy(zero_copy_only=False)) | edge)
-        out = part.take(pa.array(rows)).append_column("repeated", pa.array(repeated[rows])).append_column("edge", pa.array(edge[rows]))
-        return out.select(["range", "lead", "f1", "f2", "key", "start", "asked", "repeated", "edge"])
+        rows = np.flatnonzero((repeated & part.column("asked").to_numpy()) | edge)
+        return part.take(pa.array(rows)).append_column("repeated", pa.array(repeated[rows])).append_column("edge", pa.array(edge[rows]))
 
-    dealt = suffixes.mapInArrow(deal, "range int, lead long, f1 long, f2 long, key binary, start long, asked boolean")
-    found = written(dealt.groupBy("range").applyInArrow(search, "range int, lead long, f1 long, f2 long, key binary, start long, asked boolean, repeated boolean, edge boolean"), "repeated")
+    dealt = suffixes.mapInArrow(deal, f"range int, lead long, f1 long, f2 long, {kind}")
+    found = written(dealt.groupBy("range").applyInArrow(search, f"range int, lead long, f1 long, f2 long, {kind}, repeated boolean, edge boolean"), "repeated")
     # at most two rows of each range
     edges = found.where("edge")
     across = edges.groupBy("lead", "f1", "f2").agg(F.count_distinct("range").alias("ranges")).where("ranges > 1").drop("ranges")
-    return found.where("asked and repeated").select("key", "start").unionByName(edges.where("asked and not repeated").join(across, ["lead", "f1", "f2"], "left_semi").select("key", "start"))
+    return found.where("asked and repeated").select("id", "start").unionByName(edges.where("asked and not repeated").join(across, ["lead", "f1", "f2"], "left_semi").select("id", "start"))
 
 
 def repeated_stretches(texts: DataFrame, length: int = LENGTH, short: int = SHORT, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """key, start, end of stretches that cover just the repeated bytes of the distinct texts; they may overlap."""
-    often = _short_counts(texts, length, short).where("n > 1").select("short")
-    anchors = written(_anchors(texts, length, short).join(often, "short"), "anchors")
-    contexts = written(anchors.groupBy("short", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "spot")).alias("one")), "contexts")
-    several = contexts.groupBy("short").agg(F.count("*").alias("contexts")).where("contexts > 1").select("short")
-    left = contexts.join(several, "short", "left_semi").select("one.key", F.struct("one.spot", (F.col("n") == 1).alias("asked")).alias("spot"))
-    left = left.groupBy("key").agg(F.collect_list("spot").alias("spots"))
-    settled = anchors.join(contexts.where("n > 1").select("short", "context"), ["short", "context"], "left_semi")
-    first = F.shiftright("spot", 32)
-    settled = settled.select("key", first.alias("start"), (first + F.col("spot").bitwiseAND(F.lit(0xFFFF)) + length).alias("end"))
-    found = repeated_suffixes(written(_suffixes(texts, left, length), "suffixes"), range_rows).select("key", "start", (F.col("start") + length).alias("end"))
-    whole = texts.where("copies > 1").select("key", F.lit(0).cast("long").alias("start"), F.octet_length("body").cast("long").alias("end"))
-    return settled.unionByName(found).unionByName(whole)
+    """id, start, end of stretches that cover just the repeated bytes of the blocked texts; they may overlap."""
+    settled, left = _settle(_anchors(texts, length, short))
+    turns = _turns(texts, left, length).withColumn("hot", F.lit(False))
+    also, left = _settle(turns)
+    left = written(left, "turns")
+    n = left.agg(F.sum("windows")).first()[0] or 0
+    some = F.pmod(F.shiftright("id", 20), F.lit(round(1 / SAMPLE_SHARE))) == 0
+    found = repeated_suffixes(_suffixes(texts, left, length), _suffixes(texts.where(some), left.where(some), length), n, range_rows)
+    runs = settled.unionByName(also).select("id", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + length).alias("end"))
+    return runs.unionByName(found.select("id", "start", (F.col("start") + length).alias("end")))
 
 
 def cut(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes, bytes]:
@@ -275,31 +370,30 @@ def cut(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, by
     return int(gone.sum()), runs, data[~gone].tobytes(), data[~(gone | broken)].tobytes()
 
 
-def cut_texts(docs: DataFrame, length: int = LENGTH, short: int = SHORT, range_rows: int = RANGE_ROWS, with_text: bool = False) -> DataFrame:
-    """key (text_key), n_removed, n_spans, kept_sha256 of the distinct texts that lose bytes; with_text: kept_text too.
+def cut_texts(docs: DataFrame, columns: list[str], text: str, length: int = LENGTH, short: int = SHORT, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """columns of docs, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each row.
 
-    docs: doc_id and text, which is not null. kept_text leaves out a character of which a byte is removed.
+    kept_text leaves out a character of which a byte is removed. No column may be named as one of the new ones.
     """
-    texts = distinct_texts(docs, length)
-    stretches = repeated_stretches(texts, length, short, range_rows).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                made = []
-                for body, parts in zip(some.column("body"), some.column("parts"), strict=True):
-                    n, runs, left, whole = cut(body.as_py(), parts.values.field("start").to_numpy(), parts.values.field("end").to_numpy())
-                    made.append((n, runs, hashlib.sha256(left).hexdigest(), whole.decode(errors="ignore")))
-                n, runs, sha, whole = map(list, zip(*made, strict=True)) if made else ([], [], [], [])
-                more = [pa.array(whole, pa.string())] if with_text else []
-                yield pa.RecordBatch.from_arrays([some.column("key"), pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), *more], names=["key", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
-
-    return texts.select("key", "body").join(stretches, "key").mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
-
-
-def _text() -> Column:
-    return F.coalesce("text", F.lit(""))
+    texts = blocked(docs.select(*dict.fromkeys([*columns, text])), text)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def run(some: pa.Table, parts: pa.Table) -> pa.Table:
+        order = np.argsort(parts.column("id").to_numpy(), kind="stable")
+        ids, starts, ends = (parts.column(c).to_numpy()[order] for c in ("id", "start", "end"))
+        low, high = (np.searchsorted(ids, some.column("id").to_numpy(), side=x) for x in ("left", "right"))
+        made = []
+        for body, a, z in zip(some.column("body"), low.tolist(), high.tolist(), strict=True):
+            body = body.as_py()
+            n, runs, left, whole = cut(body, starts[a:z], ends[a:z]) if z > a else (0, 0, body, body)
+            made.append((len(body), n, runs, hashlib.sha256(left).hexdigest(), whole.decode(errors="ignore")))
+        new = zip(*made, strict=True) if made else [()] * 5
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.Table.from_arrays([*[some.column(c) for c in columns], *[pa.array(x, t) for x, t in zip(new, types, strict=True)]], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+
+    stretches = repeated_stretches(texts, length, short, range_rows)
+    carried = "".join(f"`{c}` {kinds[c]}, " for c in columns)
+    return _with_places(texts, stretches, ["body", *columns], run, carried + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH, short: int = SHORT, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -308,10 +402,7 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, short: int = SHORT, ran
     Null texts count as empty. Texts below length bytes lose nothing. A row repeated as it is counts as another
     document: its text, if long enough, goes wholly from both. Only doc_id and text are read.
     """
-    plain = docs.select("doc_id", _text().alias("text"))
-    found = cut_texts(plain, length, short, range_rows)
-    rows = plain.select("doc_id", text_key(F.col("text")).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    return rows.join(found, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return cut_texts(docs.select("doc_id", "text"), ["doc_id"], "text", length, short, range_rows).drop("kept_text")
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -319,12 +410,12 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, rang
 
     Columns stay as they are, n_chars is counted anew. Rows that lose nothing stay, empty ones included.
     """
-    plain = docs.select("doc_id", _text().alias("text"))
-    found = cut_texts(plain, length, short, range_rows, with_text=True).select("key", "kept_text")
-    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)], text_key(_text()).alias("key"), F.col("text").alias("text"))
-    left = rows.join(found, "key", "left").where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.coalesce("kept_text", "text"))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return left.select(*[new.get(c, F.col(f"_{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    found = cut_texts(docs.select(*[F.col(c).alias(n) for c, n in names.items()]), list(names.values()), names["text"], length, short, range_rows)
+    left = found.where(r"n_removed = 0 or kept_text rlike '[^\\x20\\x09-\\x0D]'")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(names["text"]))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return left.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
