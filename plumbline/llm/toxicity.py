@@ -13,13 +13,14 @@ smallest hashes, so it is the same however the tables are stored. Documents are
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import id_and_text, map_texts, table
+from plumbline.llm.common import id_and_text, map_texts, table, written
 from plumbline.llm.decontamination import words
 
 SAMPLE_ROWS = 12_000
@@ -44,14 +45,12 @@ def features(text: str | None) -> set[str]:
     return ws
 
 
-def telling(sets: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """The features whose texts are toxic more or less often than the others beyond chance, in order."""
-    bad, good = Counter(), Counter()
-    for s, t in zip(sets, toxic, strict=True):
-        (bad if t else good).update(s)
-    names = sorted(f for f in bad.keys() | good.keys() if bad[f] + good[f] >= LEAST_TEXTS)
-    n = np.array([[max(1, toxic.sum())], [max(1, (~toxic).sum())]], float)
-    k = np.array([[bad[f] for f in names], [good[f] for f in names]], float).reshape(2, -1)
+def telling(names: list[str], counts: np.ndarray, n: np.ndarray) -> list[str]:
+    """The features whose texts are toxic more or less often than the others beyond chance.
+
+    counts: toxic and other texts that hold each feature; n: toxic and other texts.
+    """
+    k, n = counts.astype(float), np.maximum(n, 1).astype(float)[:, None]
     p = k.sum(axis=0) / n.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * (np.where(k > 0, k * np.log(k / (n * p)), 0) + np.where(k < n, (n - k) * np.log((n - k) / (n * (1 - p))), 0)).sum(axis=0)
@@ -71,36 +70,32 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(s[:, None] - np.array(self.thresholds)[None, :], -500, 500)))
 
 
-def graded(sets: list[set[str]], toxic: np.ndarray) -> np.ndarray:
+def graded(rows: list[list[int]], toxic: np.ndarray, evident: np.ndarray) -> np.ndarray:
     """0 for texts that are not toxic, else 1 to GRADES by thirds of the number of evident features."""
-    bad, good = Counter(), Counter()
-    for s, t in zip(sets, toxic, strict=True):
-        (bad if t else good).update(s)
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    odds = {w: np.log((c + 0.5) / (n_bad + 1)) - np.log((good[w] + 0.5) / (n_good + 1)) for w, c in bad.items() if c >= LEAST_TEXTS}
-    evident = {w for w, o in odds.items() if o > EVIDENT} & set(telling(sets, toxic))
-    found = np.array([len(s & evident) for s in sets], float)
-    grades = np.zeros(len(sets), int)
+    found = np.array([evident[r].sum() for r in rows], float)
+    grades = np.zeros(len(rows), int)
     if toxic.any():
         edges = np.quantile(found[toxic], [k / GRADES for k in range(1, GRADES)])
         grades[toxic] = 1 + np.searchsorted(edges, found[toxic], side="right")
     return grades
 
 
-def fit(texts: list, toxic: np.ndarray) -> OrdinalModel:
-    """Full-batch gradient steps with a rate for each weight; without texts every severity is improbable."""
-    sets = [features(t) for t in texts]
-    names = telling(sets, toxic)
-    number = {f: i for i, f in enumerate(names)}
-    y = graded(sets, toxic)
-    rows = [sorted(number[f] for f in s if f in number) for s in sets]
+def fit(names: list[str], rows: list[list[int]], toxic: np.ndarray) -> OrdinalModel:
+    """Full-batch gradient steps with a rate for each weight; without texts every severity is improbable.
+
+    rows: of each text the numbers of the names that it holds.
+    """
     flat = np.array([i for r in rows for i in r], np.int64)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    bad = np.bincount(flat[toxic[doc]], minlength=len(names))
+    good = np.bincount(flat[~toxic[doc]], minlength=len(names))
+    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
+    y = graded(rows, toxic, odds > EVIDENT)
     w, gw = np.zeros(len(names)), np.full(len(names), 1e-8)
     # thresholds: the first, then steps of exp(d) upwards
     d, gd = np.concatenate([[2.0], np.zeros(GRADES - 1)]), np.full(GRADES, 1e-8)
-    n = max(1, len(texts))
-    for _ in range(STEPS if len(texts) else 0):
+    n = max(1, len(rows))
+    for _ in range(STEPS if len(rows) else 0):
         t = np.cumsum(np.concatenate([d[:1], np.exp(d[1:])]))
         s = np.bincount(doc, weights=w[flat], minlength=n)
         edge = np.concatenate([[-np.inf], t, [np.inf]])
@@ -121,11 +116,37 @@ def fit(texts: list, toxic: np.ndarray) -> OrdinalModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """text, toxic of at most that many documents with a label, those of the smallest hashes. A doc_id counts once."""
+    """text, toxic of the documents among the labelled doc_ids with the smallest hashes, at most so many.
+
+    A doc_id counts once: toxic if any of its labels says so, with the least of its texts.
+    """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    spot = F.xxhash64("doc_id", F.lit("sample"))
-    chosen = id_and_text(docs).join(one, "doc_id").select("doc_id", "toxic", "text", spot.alias("spot"))
-    return chosen.orderBy("spot", "doc_id", "text").limit(most).select("text", "toxic")
+    chosen = one.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(most)
+    # broadcast: at most so many pairs of an id and a flag
+    return id_and_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+
+
+def fitted(sample: DataFrame) -> OrdinalModel:
+    """sample: toxic, features. The driver gets the features that tell, and of each text those among them."""
+    size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bad, good = F.count_if("toxic"), F.count_if(~F.col("toxic"))
+    counted = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(bad.alias("bad"), good.alias("good")).where(F.col("bad") + F.col("good") >= LEAST_TEXTS)
+    # what could reach LEAST_RATIO: a share of toxic texts that is half or double that of the sample
+    rate = size.get(True, 0) / max(1, sum(size.values()))
+    share = F.col("bad") / (F.col("bad") + F.col("good"))
+    seen = counted.where((share > 2 * rate) | (share < rate / 2)).orderBy("feature").toArrow()
+    counts = np.stack([seen.column(c).to_numpy() for c in ("bad", "good")]) if seen.num_rows else np.zeros((2, 0), np.int64)
+    names = telling(seen.column("feature").to_pylist(), counts, np.array([size.get(True, 0), size.get(False, 0)]))
+    number = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = number.value
+        for batch in batches:
+            held = [[of[f] for f in fs if f in of] for fs in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(held, pa.list_(pa.int32()))], names=["toxic", "held"])
+
+    rows = sample.mapInArrow(pick, "toxic boolean, held array<int>").toArrow()
+    return fit(names, rows.column("held").to_pylist(), np.array(rows.column("toxic").to_pylist(), bool))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
@@ -134,8 +155,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Dat
     Null texts and texts without known features get what the thresholds alone give. Without labels nothing is toxic.
     Repeated rows are scored alike. Of docs only doc_id and text are read, of labels doc_id and toxic.
     """
-    sample = labelled_sample(docs, labels, most).toPandas()
-    model = docs.sparkSession.sparkContext.broadcast(fit(list(sample["text"]), sample["toxic"].to_numpy(bool)))
+    sample = written(map_texts(labelled_sample(docs, labels, most), lambda: lambda texts: [[sorted(features(t)) for t in texts]], {"features": "array<string>"}, ("toxic",)), "toxicity-sample")
+    model = docs.sparkSession.sparkContext.broadcast(fitted(sample))
 
     def start():
         of = model.value
