@@ -1,6 +1,237 @@
-"""Registered queries of the document-compliance operators, and the SQL they are held against."""
+"""Registered queries of the document-compliance operators over the driver's tables, and DuckDB SQL for each.
+
+The tables hold no Russian texts, so markers and rules are parameters here; the operators' defaults are tested on inline
+rows. Parts stand for drawing elements, a customer's events or a conversation's turns for the pages of an album.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plumbline.functions import classify, text
+from plumbline.operators import chunk, extract, replies, reports, rules, search, segment
+from plumbline.plans.oracle import ORACLE_SQL  # noqa: F401
+
+PART_RULES = {
+    "dimensions": [
+        {"field": "bolt_size", "allowed_values": ["M8", "M10"], "standard": "S1", "tz_reference": "1"},
+        {"field": "wall", "min": 4.0, "max": 46.0, "unit": "mm", "standard": "S2", "tz_reference": "2"},
+        {"field": "gap", "min": 1.0, "max": 40.0, "unit": "mm", "standard": "S3"},
+    ],
+    "materials": {"allowed": ["STANDARD", "MEDIUM", "LARGE", "SMALL"], "forbidden": ["PROMO"], "standard": "S4", "tz_reference": "4"},
+    "designations": {"pattern": "^Brand#[0-9]{2}$", "examples": ["Brand#10"], "tz_reference": "5"},
+    "coatings": {"allowed_codes": ["bolt", "ring"], "standard": "S6", "tz_reference": "6"},
+}
+#: ASCII markers for texts of the documents table; word ends are avoided, as SQL engines differ on them.
+ASCII = classify.Markers(
+    drawing_strong=(r"ertion\s+the", r"stand", r"tion,\s+the"),
+    drawing_weak=("nder", "keit"),
+    explication_strong=("mentre", r"the\s+thnt"),
+    explication_weak=("eaux", "ción"),
+    annotation=("ing,", "heit", r"of\s+the\s+", "eren", "ement", r"\.\n?\s*th"),
+    project=(r"here\s+", "ungen"),
+    dimensions=r"\d{2,4}\s*[x]\s*\d{2,4}|\d+\s*[=]\s*\d+",
+    ad_phrases=("licensed", "http://", "https://"),
+    ad_author="COPYRIGHT",
+    ad_soft=("thing", "ouan"),
+    project_sheet=r"the\s*an",
+    project_sheet_with=("tion", "keit"),
+    project_notes=("thouin", "ondre"),
+)
+_EVENT_FLAGS = {"is_drawing": "click", "is_explication": "explication", "is_annotation": "view", "is_project_info": "info", "is_irrelevant_photo_or_ad": "error"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("M"), F.col("p_size"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(" mm")))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", F.col("p_partkey").cast("string").alias("drawing_id"), F.lit(0).alias("pos"), F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("name"),
+        size.alias("size"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_type")).alias("material"), F.when(F.col("p_partkey") % 13 != 0, F.col("p_brand")).alias("designation"), F.col("p_name").alias("note"),
+    )
+
+
+def element_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.element_findings(_parts(spark, sf_dir), PART_RULES)
+    return found.select("p_partkey", F.size("missing").alias("n_missing"), F.posexplode_outer("issues").alias("ord", "i")).select("p_partkey", "n_missing", "ord", F.col("i.field").alias("field"), F.col("i.actual_value").alias("actual_value"), F.col("i.expected").alias("expected"), F.col("i.message").alias("message"), F.col("i.tz_reference").alias("tz_reference"))
+
+
+def _validated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _parts(spark, sf_dir)
+    prior = F.when(F.col("p_partkey") % 3 == 0, True).when(F.col("p_partkey") % 3 == 1, False)
+    blank = parts.select(
+        "p_brand", "drawing_id", (F.col("p_partkey") % 2 == 0).alias("heuristic"), prior.alias("is_compliant"), F.array().cast(f"array<{rules.ISSUE}>").alias("issues"), F.array().cast("array<string>").alias("missing_info"), F.lit("high").alias("overall_confidence")
+    )
+    return rules.validated(blank, parts.where("p_partkey % 17 <> 0"), PART_RULES)
+
+
+def report_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _validated_parts(spark, sf_dir)
+    return r.select("drawing_id", "n_elements", F.size("issues").alias("n_issues"), F.array_join("missing_info", " | ").alias("missing_info"), "is_compliant", "overall_confidence", reports.status_label(F.col("is_compliant")).alias("label"))
+
+
+def verdict_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _validated_parts(spark, sf_dir).withColumn("place", F.col("drawing_id").cast("long"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return reports.verdict_buckets(r, "p_brand", "place").select("p_brand", "total_drawings", *[joined(c) for c in ("compliant", "non_compliant", "undetermined")])
+
+
+def first_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("id"), F.col("l_quantity").alias("value"))
+    ranges = spark.sql("select * from values (1, 'a', 10.0d, 50.0d), (2, 'b', 1.0d, 30.0d), (3, 'c', 5.0d, 45.0d) as r(ord, field, low, high)")
+    return rules.first_violations(lines, ranges).groupBy("field", "ord").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def allowed_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = spark.sql("select * from values ('STANDARD'), ('SMALL') as a(p_type)")
+    parts = table(spark, sf_dir, "part")
+    of = lambda kind, name: parts.join(allowed, "p_type", kind).groupBy("p_type").agg(F.count("*").alias("n")).withColumn("kind", F.lit(name))
+    return of("left_semi", "allowed").unionByName(of("left_anti", "other"))
+
+
+def _documents_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pdf_text"))
+    return classify.features(docs).withColumns({"image_count": (F.col("char_count") % 4).cast("int"), "image_area_ratio": (F.col("char_count") % 10) / 10.0})
+
+
+def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents_as_pages(spark, sf_dir)
+    return docs.select("doc_id", "char_count", F.md5(F.col("text").cast("binary")).alias("text_md5"), text.is_garbled(F.col("pdf_text")).alias("garbled"), text.meaningful_chars(F.col("pdf_text")).alias("meaningful"), text.count_of(F.col("pdf_text"), text.LATIN).alias("latin"), text.confidence_band(text.meaningful_chars(F.col("pdf_text"))).alias("band"))
+
+
+def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = classify.scores(*(F.col(c) for c in ("text", "text_upper", "char_count", "image_area_ratio", "image_count")), ASCII)
+    return _documents_as_pages(spark, sf_dir).select("doc_id", *[F.round(v, 6).alias(k) for k, v in s.items()])
+
+
+def page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify.classified(_documents_as_pages(spark, sf_dir), ASCII)
+    return found.select("doc_id", *classify.FLAGS, classify.begins_new_project(F.col("text"), ASCII).alias("begins_new_project"))
+
+
+def _events_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = table(spark, sf_dir, "events")
+    kinds = {k: F.col("event_type") == v for k, v in _EVENT_FLAGS.items()}
+    return e.select(F.col("user_id").alias("doc_id"), number.cast("int").alias("page_number"), (F.col("event_type") == "signup").alias("begins_new_project"), *[c.alias(k) for k, c in kinds.items()], F.concat(F.lit("v"), F.floor("value").cast("string")).alias("label"), "event_type")
+
+
+def drawing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segment.drawing_runs(_events_as_pages(spark, sf_dir))
+    return found.groupBy("doc_id", "segment", "zone", "run").agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), F.count_if("is_drawing").alias("drawings"))
+
+
+def drawing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segment.drawing_files(_events_as_pages(spark, sf_dir), most_pages=5)
+    return found.select("doc_id", "seq", "segment", "run_first", "first_page", "last_page", "n_pages", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "stem")
+
+
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _events_as_pages(spark, sf_dir)
+    return pages.withColumn("signature", F.when(~F.col("event_type").isin("error", "view"), F.col("event_type")))
+
+
+def project_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.with_stems(segment.project_boundaries(_signed(spark, sf_dir)).withColumn("slug", F.col("signature")), "slug")
+
+
+def project_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _signed(spark, sf_dir)
+    stems = segment.with_stems(segment.project_boundaries(pages).withColumn("slug", F.col("signature")), "slug")
+    return segment.pages_of_projects(pages, stems).groupBy("doc_id", "stem").agg(F.count("*").alias("n"), F.min("page_number").alias("first_page"))
+
+
+def _split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _events_as_pages(spark, sf_dir)
+    file = F.concat(F.lit("drawing_"), F.col("doc_id").cast("string"), F.lit("_"), F.floor((F.col("page_number") - 1) / 3).cast("string"), F.lit(".pdf"))
+    return segment.checked_files(pages.withColumns({"file": file, "support_text": F.col("event_type") == "purchase"}))
+
+
+def split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split_files(spark, sf_dir)
+
+
+def split_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.split_advice(_split_files(spark, sf_dir))
+
+
+def fused_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    of = lambda role: F.when(F.col("role") == role, F.col("text"))
+    pages = c.select(F.col("conv_id"), F.col("turn").alias("page_number"), of("system").alias("pdf_text"), of("user").alias("ocr_text"), F.lit("tesseract").alias("ocr_engine"), of("assistant").alias("caption"))
+    made = reports.fused(pages, "conv_id")
+    return made.select("conv_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.md5(reports.query_text(F.col("text")).cast("binary")).alias("query_md5"))
+
+
+def ocr_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, (F.col("doc_id") % 90).cast("int")).alias("tess_text"), F.expr("substring(text, 20, cast(doc_id % 70 as int))").alias("easy_text"))
+    return reports.best_ocr(d).select("doc_id", "engine", "confidence", "char_count", "text")
+
+
+def first_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", text.first_number(F.concat(F.col("event_type"), F.lit(" "), F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")), F.lit(" мм"))).alias("number"))
+
+
+def file_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.file_stem(F.col("url")).alias("stem"), text.file_stem(F.substring("html", 1, 90)).alias("html_stem"))
+
+
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), F.lit("tion"), 20).alias("snippet"))
+
+
+def image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    images = lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), F.col("l_suppkey").alias("xref"), (F.col("l_quantity") - 5).alias("width"), F.col("l_discount").alias("height"), F.lit(10.0).alias("page_area"))
+    return classify.image_metrics(images).select("doc_id", F.round("image_area_ratio", 6).alias("image_area_ratio"), "image_count")
+
+
+def top_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    queries = e.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return search.search(e, queries, leave_self=True).withColumn("score", F.round("score", 6))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return chunk.chunked(d, "doc_id")
+
+
+def heuristic_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = {"dimensions": [{"field": "bolt_size", "allowed_values": ["ertion", "thnd"]}], "materials": {"allowed": ["stand", "keit", "x"], "forbidden": ["mentre"]}, "designations": {"pattern": "oning[a-z]{1,3}"}}
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("drawing_id"), "text")
+    return extract.extracted(d, given).select(F.col("drawing_id").alias("doc_id"), "pos", "item_id", "size", "material", "designation")
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    size = F.when(k % 5 == 0, k.cast("string")).otherwise(F.concat(F.lit('"'), k.cast("string"), F.lit('"')))
+    say = F.when(k % 4 == 0, "true").when(k % 4 == 1, '"False"').when(k % 4 == 2, '"maybe"').otherwise("null")
+    raw = F.format_string('Answer: {"elements": [{"size": %s, "confidence": "%s", "source": "%s"}, {"name": "b"}], "compliance": {"is_compliant": %s, "missing_info": [{"field": "%s"}, "x"], "citations": "c"}} end', size, F.when(k % 3 == 0, "low").otherwise("odd"), F.col("event_type"), say, F.col("event_type"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("drawing_id"), F.when(k % 7 == 0, "no json").when(k % 11 == 0, "{broken").otherwise(raw).alias("raw"))
+
+
+def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = replies.parsed(_replies(spark, sf_dir))
+    first = F.try_element_at("elements", F.lit(1))
+    return p.select(F.col("drawing_id").alias("event_id"), F.size("elements").alias("n_elements"), first["size"].alias("size"), first["confidence"].alias("confidence"), first["source"].alias("source"), "is_compliant", F.array_join("missing_info", ",").alias("missing"), F.array_join("citations", ",").alias("citations"), "overall_confidence")
+
+
+def labelled_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("is_compliant"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id", "left").withColumn("drawing_id", F.col("doc_id"))
+    b = reports.verdict_buckets(d, "source", "doc_id")
+    return b.select("source", "total_drawings", *[F.size(c).alias(f"n_{c}") for c in ("compliant", "non_compliant", "undetermined")], F.array_join(reports.shortened(F.col("compliant").cast("array<string>"), 8), ",").alias("first_compliant"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        report_verdicts, element_issues, verdict_buckets, first_violations, allowed_materials, page_features, page_scores, page_classes, drawing_runs, drawing_files, project_boundaries, project_pages,
+        split_check, split_advice, fused_texts, ocr_choice, first_numbers, file_stems, snippets, image_metrics, top_chunks, chunks, heuristic_elements, parsed_replies, labelled_buckets,
+    )
+}
