@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import project_slug
 
-PAGE = Window.partitionBy("doc_id").orderBy("page_number")
+
+def by_page() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("page_number")
 
 
 def segments(pages: DataFrame, respect_projects: bool = True) -> DataFrame:
     """Adds at (place in the album, from 1) and segment (from 1): a page that begins a project begins a segment."""
-    first = F.row_number().over(PAGE)
+    first = F.row_number().over(by_page())
     breaks = F.when(F.col("begins_new_project") & (F.col("at") > 1), 1).otherwise(0)
     placed = pages.withColumn("at", first)
-    return placed.withColumn("segment", F.sum(breaks).over(PAGE) + 1 if respect_projects else F.lit(1))
+    return placed.withColumn("segment", F.sum(breaks).over(by_page()) + 1 if respect_projects else F.lit(1))
 
 
 def drawing_runs(pages: DataFrame, inner_gap: int = 3, edge: int = 2, respect_projects: bool = True) -> DataFrame:
@@ -73,9 +75,9 @@ def project_boundaries(pages: DataFrame) -> DataFrame:
     was seen begins one. Pages before the first signature belong to none."""
     total = Window.partitionBy("doc_id")
     signed = pages.withColumn("page_count", F.max("page_number").over(total)).where("signature is not null")
-    before = F.lag("signature").over(PAGE)
+    before = F.lag("signature").over(by_page())
     starts = signed.withColumn("before", before).where("before is null or before <> signature")
-    end = F.coalesce(F.lead("page_number").over(PAGE) - 1, F.col("page_count"))
+    end = F.coalesce(F.lead("page_number").over(by_page()) - 1, F.col("page_count"))
     return starts.select("doc_id", F.col("page_number").alias("start_page"), end.alias("end_page"), "signature")
 
 

@@ -184,9 +184,9 @@ from named""",
 select total, suspicious, case when total = 0 then 'empty' when suspicious = 0 then 'none' when suspicious <= greatest(1, total // 5) then 'few' when suspicious >= greatest(2, floor(total * 0.4)) then 'many' else 'some' end as advice from n""",
     "fused_texts": """with parts as (
   select conv_id, turn, case role when 'system' then 0 when 'user' then 1 else 2 end as kind,
-    case role when 'system' then '[PDF стр.' || turn || ']' when 'user' then '[OCR стр.' || turn || ' (tesseract)]' else '[LLaVA стр.' || turn || ']' end || chr(10) || text as part, trim(text) <> '' as full
+    case role when 'system' then '[PDF стр.' || turn || ']' when 'user' then '[OCR стр.' || turn || ' (tesseract)]' else '[LLaVA стр.' || turn || ']' end || chr(10) || text as part, trim(text) <> '' as filled
   from conversations
-), fused as (select conv_id, coalesce(string_agg(case when full then part end, chr(10) || chr(10) order by kind, turn), '') as text from parts group by 1)
+), fused as (select conv_id, coalesce(string_agg(case when filled then part end, chr(10) || chr(10) order by kind, turn), '') as text from parts group by 1)
 select conv_id, length(text) as n, md5(text) as text_md5, md5(case when trim(text) <> '' then left(text, 800) else 'Требования к материалам, размерам и обозначениям' end) as query_md5 from fused""",
     "ocr_choice": """with d as (
   select doc_id, substr(text, 1, (doc_id % 90)::int) as a, substr(text, 20, (doc_id % 70)::int) as b from documents
@@ -202,8 +202,8 @@ select doc_id, case when swap then 'easyocr' when n1 > 0 then 'tesseract' else '
   select page_id, regexp_replace(trim(regexp_replace(a, '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '\s+', '_', 'g') as a, regexp_replace(trim(regexp_replace(b, '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '\s+', '_', 'g') as b from s
 )
 select page_id, coalesce(nullif(rtrim(left(coalesce(nullif(trim(a, '._'), ''), 'drawing'), 72), '._'), ''), 'drawing') as stem, coalesce(nullif(rtrim(left(coalesce(nullif(trim(b, '._'), ''), 'drawing'), 72), '._'), ''), 'drawing') as html_stem from c""",
-    "snippets": r"""with s as (select doc_id, text, strpos(text, 'tion') as at from documents)
-select doc_id, case when at = 0 then 'tion' else trim(replace(substr(text, greatest(at - 20, 1), at + 24 - greatest(at - 20, 1)), chr(10), ' ')) end as snippet from s""",
+    "snippets": r"""with s as (select doc_id, text, strpos(text, 'tion') as place from documents)
+select doc_id, case when place = 0 then 'tion' else trim(replace(substr(text, greatest(place - 20, 1), place + 24 - greatest(place - 20, 1)), chr(10), ' ')) end as snippet from s""",
     "image_metrics": "select l_orderkey as doc_id, round(least(1.0, sum(greatest(l_quantity - 5, 0) * greatest(l_discount, 0)) / 10.0), 6) as image_area_ratio, count(distinct l_suppkey) as image_count from lineitem group by 1",
     "top_chunks": """with s as (
   select q.vec_id as query_id, e.vec_id as id, list_inner_product(q.embedding::double[], e.embedding::double[]) as score from embeddings q, embeddings e where q.vec_id % 20 = 0 and q.vec_id <> e.vec_id
