@@ -43,7 +43,7 @@ SHORT = 32
 #: Windows of a turn.
 TURN = 8
 #: Bytes of texts that a block holds, at least one text.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 #: A short string is hot if so many of the blocks' sampled texts hold it; at most so many are taken as hot.
 HOT_SHARE, HOT, MOST_HOT = 1 / 64, 100, 10_000
 #: Suffixes of a range that the splitters aim at, and the share of blocks that they are sampled from.
