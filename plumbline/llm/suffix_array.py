@@ -18,8 +18,8 @@ by the next word, and so on. Neighbours with equal keys are repeated, within a r
 each, across the boundaries.
 
 Texts are written once, in blocks of about ``BLOCK_BYTES``, to a table that is bucketed by block; a place is (block and row,
-offset). Later steps bring places to their block, so text is never shuffled. Short strings that a sample shows to be hot
-are dealt out by context and block, and their groups are put together afterwards.
+offset). Later steps bring places to their block, so text is never shuffled. Short strings
+and turns that a sample shows to be hot are dealt out by context and block, and their groups are put together afterwards.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ SHORT = 32
 TURN = 8
 #: Bytes of texts that a block holds, at least one text.
 BLOCK_BYTES = 2_000_000
-#: A short string is hot if so many of the blocks' sampled texts hold it; at most so many are taken as hot.
+#: A short string, or the bytes that a turn's windows share, is hot if it stands so often in a sample of that share; at most
+#: so many are taken as hot.
 HOT_SHARE, HOT, MOST_HOT = 1 / 64, 100, 10_000
 #: Suffixes of a range that the splitters aim at, and the share of blocks that they are sampled from.
 RANGE_ROWS, SAMPLE_SHARE = 400_000, 1 / 32
@@ -229,6 +230,11 @@ def _gathered(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray,
     return data, (end - size)[back], end[back], np.arange(len(wanted))
 
 
+def _hot_parts(turns: DataFrame) -> list[int]:
+    counted = turns.sample(HOT_SHARE, seed=1).groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    return [r["part"] for r in counted.orderBy(F.col("n").desc(), "part").limit(MOST_HOT).collect()]
+
+
 def _turns(texts: DataFrame, left: DataFrame, length: int) -> DataFrame:
     """Of each anchor in left its turns, as rows that _settle takes."""
 
@@ -346,9 +352,9 @@ def repeated_suffixes(suffixes: DataFrame, sample: DataFrame, n: int, range_rows
 def repeated_stretches(texts: DataFrame, length: int = LENGTH, short: int = SHORT, range_rows: int = RANGE_ROWS) -> DataFrame:
     """id, start, end of stretches that cover just the repeated bytes of the blocked texts; they may overlap."""
     settled, left = _settle(_anchors(texts, length, short))
-    turns = _turns(texts, left, length).withColumn("hot", F.lit(False))
-    also, left = _settle(turns)
-    left = written(left, "turns")
+    turns = written(_turns(texts, left, length), "turns")
+    also, left = _settle(turns.withColumn("hot", F.col("part").isin(_hot_parts(turns))))
+    left = written(left, "left")
     n = left.agg(F.sum("windows")).first()[0] or 0
     some = F.pmod(F.shiftright("id", 20), F.lit(round(1 / SAMPLE_SHARE))) == 0
     found = repeated_suffixes(_suffixes(texts, left, length), _suffixes(texts.where(some), left.where(some), length), n, range_rows)
