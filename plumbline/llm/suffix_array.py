@@ -43,7 +43,7 @@ SHORT = 32
 #: Windows of a turn.
 TURN = 8
 #: Bytes of texts that a block holds, at least one text.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: A short string, or the bytes that a turn's windows share, is hot if it stands so often in a sample of that share; at most
 #: so many are taken as hot.
 HOT_SHARE, HOT, MOST_HOT = 1 / 64, 100, 10_000
@@ -266,8 +266,8 @@ def _turns(texts: DataFrame, left: DataFrame, length: int) -> DataFrame:
     return _with_places(texts, left, ["body"], run, "part long, whole long, id long, first int, windows int, offset int, asked boolean")
 
 
-def _suffixes(texts: DataFrame, left: DataFrame, length: int) -> DataFrame:
-    """lead, f1, f2 (the sort key), id, start, asked of each window in left."""
+def _suffixes(texts: DataFrame, left: DataFrame, length: int, splitters: np.ndarray) -> DataFrame:
+    """range, lead, f1, f2 (the sort key), id, start, asked of each window in left."""
 
     def run(some: pa.Table, places: pa.Table) -> pa.Table:
         data, start, _, _ = _gathered(some, places)
@@ -278,11 +278,31 @@ def _suffixes(texts: DataFrame, left: DataFrame, length: int) -> DataFrame:
         lead = np.zeros(len(at), _U)
         for i in range(8):
             lead = (lead << _U(8)) | data[at + i].astype(_U)
-        made = [(lead ^ _U(2**63)).view(np.int64), *[Prefixes(data, b).of(at, at + length).view(np.int64) for b in _BASES]]
-        made += [places.column("id").to_numpy()[of], window.astype(np.int32), places.column("asked").to_numpy()[of]]
-        return pa.table(dict(zip(("lead", "f1", "f2", "id", "start", "asked"), map(pa.array, made), strict=True)))
+        lead = (lead ^ _U(2**63)).view(np.int64)
+        f1, f2 = (Prefixes(data, b).of(at, at + length).view(np.int64) for b in _BASES)
+        made = [_ranges(lead, f1, splitters), lead, f1, f2, places.column("id").to_numpy()[of], window.astype(np.int32), places.column("asked").to_numpy()[of]]
+        return pa.table(dict(zip(("range", "lead", "f1", "f2", "id", "start", "asked"), map(pa.array, made), strict=True)))
 
-    return _with_places(texts, left, ["body"], run, "lead long, f1 long, f2 long, id long, start int, asked boolean")
+    return _with_places(texts, left, ["body"], run, "range int, lead long, f1 long, f2 long, id long, start int, asked boolean")
+
+
+def _sort_bytes(lead: np.ndarray, f1: np.ndarray) -> np.ndarray:
+    both = np.stack([lead.view(_U) ^ _U(2**63), f1.view(_U) ^ _U(2**63)], axis=1).astype(">u8")
+    return np.ascontiguousarray(both).view("S16").ravel()
+
+
+def _ranges(lead: np.ndarray, f1: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    x = _sort_bytes(lead, f1)
+    low, high = np.searchsorted(splitters, x, side="left"), np.searchsorted(splitters, x, side="right")
+    # a key that is a splitter may stand in each of the ranges that meet there
+    return (low + np.arange(len(x)) % (high - low + 1)).astype(np.int32)
+
+
+def _splitters(sample: DataFrame, ranges: int) -> np.ndarray:
+    """Splitters that cut a sample of suffixes into so many even ranges."""
+    drawn = sample.select("lead", "f1").toArrow()
+    drawn = np.sort(_sort_bytes(drawn.column("lead").to_numpy(), drawn.column("f1").to_numpy()))
+    return drawn[len(drawn) * np.arange(1, ranges) // ranges] if len(drawn) else drawn
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -305,27 +325,10 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _sort_bytes(lead: np.ndarray, f1: np.ndarray) -> np.ndarray:
-    both = np.stack([lead.view(_U) ^ _U(2**63), f1.view(_U) ^ _U(2**63)], axis=1).astype(">u8")
-    return np.ascontiguousarray(both).view("S16").ravel()
-
-
-def repeated_suffixes(suffixes: DataFrame, sample: DataFrame, n: int, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """id, start of the asked rows of the n suffixes whose sort key another row has too. sample: some of them."""
-    ranges = max(1, -(-n // range_rows))
-    drawn = sample.select("lead", "f1").toArrow() if ranges > 1 else None
-    drawn = np.sort(_sort_bytes(drawn.column("lead").to_numpy(), drawn.column("f1").to_numpy())) if drawn else np.zeros(0, "S16")
-    splitters = drawn[len(drawn) * np.arange(1, ranges) // ranges] if len(drawn) else drawn
+def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
+    """id, start of the asked rows whose sort key another row has too."""
     kind = "id long, start int, asked boolean"
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _sort_bytes(batch.column("lead").to_numpy(), batch.column("f1").to_numpy())
-            low, high = np.searchsorted(splitters, x, side="left"), np.searchsorted(splitters, x, side="right")
-            # a key that is a splitter may stand in each of the ranges that meet there
-            spread = low + np.arange(len(x)) % (high - low + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(spread.astype(np.int32)), *batch.columns], names=["range", *batch.schema.names])
-
     def search(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         columns = [part.column(c).to_numpy() for c in ("lead", "f1", "f2")]
@@ -341,8 +344,7 @@ def repeated_suffixes(suffixes: DataFrame, sample: DataFrame, n: int, range_rows
         rows = np.flatnonzero((repeated & part.column("asked").to_numpy()) | edge)
         return part.take(pa.array(rows)).append_column("repeated", pa.array(repeated[rows])).append_column("edge", pa.array(edge[rows]))
 
-    dealt = suffixes.mapInArrow(deal, f"range int, lead long, f1 long, f2 long, {kind}")
-    found = written(dealt.groupBy("range").applyInArrow(search, f"range int, lead long, f1 long, f2 long, {kind}, repeated boolean, edge boolean"), "repeated")
+    found = written(suffixes.groupBy("range").applyInArrow(search, f"range int, lead long, f1 long, f2 long, {kind}, repeated boolean, edge boolean"), "repeated")
     # at most two rows of each range
     edges = found.where("edge")
     across = edges.groupBy("lead", "f1", "f2").agg(F.count_distinct("range").alias("ranges")).where("ranges > 1").drop("ranges")
@@ -357,7 +359,10 @@ def repeated_stretches(texts: DataFrame, length: int = LENGTH, short: int = SHOR
     left = written(left, "left")
     n = left.agg(F.sum("windows")).first()[0] or 0
     some = F.pmod(F.shiftright("id", 20), F.lit(round(1 / SAMPLE_SHARE))) == 0
-    found = repeated_suffixes(_suffixes(texts, left, length), _suffixes(texts.where(some), left.where(some), length), n, range_rows)
+    none = np.zeros(0, "S16")
+    ranges = max(1, -(-n // range_rows))
+    splitters = _splitters(_suffixes(texts.where(some), left.where(some), length, none), ranges) if ranges > 1 else none
+    found = repeated_suffixes(_suffixes(texts, left, length, splitters))
     runs = settled.unionByName(also).select("id", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + length).alias("end"))
     return runs.unionByName(found.select("id", "start", (F.col("start") + length).alias("end")))
 
