@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import id_and_text, map_texts, table
 
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 200_000
 MARKER = "▁"
 #: A run of markers or spaces (the library takes them for the same) with what follows up to the next run.
 CHUNK = re.compile(f"[ {MARKER}]+[^ {MARKER}]*")
