@@ -7,9 +7,13 @@ it is does not depend on the state. Parameters start at the unigram model: biase
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
-HIDDEN, CLASSES = 24, 32
+HIDDEN = 24
+#: Classes of a small vocabulary; a larger one has as many as its square root.
+CLASSES = 32
 #: Steps of a window: gradients stop at its start, the state goes on into the next.
 WINDOW = 16
 LANES = 128
@@ -32,8 +36,9 @@ class Layout:
 
     def __init__(self, counts: np.ndarray, rare: float) -> None:
         self.n = len(counts)
+        most = max(CLASSES, math.isqrt(self.n))
         root = np.cumsum(np.sqrt(counts)) if self.n else np.zeros(0)
-        part = np.minimum((root / root[-1] * CLASSES).astype(np.int64), CLASSES - 1) if self.n else np.zeros(0, np.int64)
+        part = np.minimum((root / root[-1] * most).astype(np.int64), most - 1) if self.n else np.zeros(0, np.int64)
         names, part = np.unique(part, return_inverse=True) if self.n else (part, part)
         self.classes = len(names) + 1  # the last is the rare one
         self.of = np.concatenate([part, [self.classes - 1]]).astype(np.int64)

@@ -9,16 +9,16 @@ with their counts in its training documents, and each document as positions amon
 are shuffled, by token: a running sum over a token's blocks gives its count in the corpus, which goes back to the block.
 So what is gathered grows with the corpus, but a frequent word costs one row for each block.
 
-The recurrent weights are fitted by tasks side by side, each going through its own share of the training documents by
-truncated backpropagation; the parameters are averaged by words seen, and a second round starts from there. The share
-is ``FIT_SHARE`` of the training documents for each round, by hash of doc_id, and more where that would be below ``FIT_TOKENS``
-tokens. A word outside the vocabulary has the rare class's probability times (c + 0.5) / (n + 0.5 (v + 1)): c its
+The recurrent weights are fitted by tasks side by side, each going through the training documents of its own blocks by
+truncated backpropagation, all of them once at every size; the parameters are averaged by words seen. The vocabulary has
+the most frequent words, as many as the square root of the training tokens (``VOCABULARY`` at least), and the classes of
+the output grow with its own square root. A word outside the vocabulary has the rare class's probability times (c + 0.5) / (n + 0.5 (v + 1)): c its
 count, n and v the counts and kinds of all words outside; the last half count is for words never seen.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 from plumbline.llm import gated_model
 from plumbline.llm.common import id_and_text, table, written
 
+#: Words of the smallest vocabulary.
 VOCABULARY = 1500
 BLOCK_BYTES = 16_000_000
-FIT_SHARE, FIT_TOKENS, ROUNDS = 1 / 16, 1_500_000, 2
+#: Parameters in one row when those of all tasks are averaged.
+STRETCH = 1 << 16
 FOLDS, HELD_FOLD = 5, 1
 END = b""
 
@@ -110,38 +112,44 @@ def _named(tokens: pa.Array, words: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.index_in(tokens, value_set=words), len(words)).to_numpy()
 
 
-def fitted(blocks: DataFrame, words: list[bytes], layout: gated_model.Layout, share: float, rounds: int) -> dict[str, np.ndarray]:
+def vocabulary_size(tokens: int, least: int = VOCABULARY) -> int:
+    return max(least, math.isqrt(tokens))
+
+
+def fitted(blocks: DataFrame, words: list[bytes], layout: gated_model.Layout) -> tuple[dict[str, np.ndarray], int]:
+    """Parameters after one pass over all training documents, and the words seen in it."""
     context, params = blocks.sparkSession.sparkContext, layout.start()
-    vocabulary = pa.array(words, pa.binary())
-    step = min(share, 1.0)
-    for k in range(rounds):
-        low = (k * step) % 1.0 if step < 1 else 0.0
-        now = context.broadcast(params)
-
-        def run(batches: Iterator[pa.RecordBatch], now=now, low=low) -> Iterator[pa.RecordBatch]:
-            p, seen = now.value, 0
-            for batch in batches:
-                for i, of in enumerate(_rows(batch)):
-                    size = of("sizes").to_numpy().astype(np.int64)
-                    line, end = _line(batch.column("ids"), i, int(size.sum())), np.cumsum(size)
-                    named = _named(of("tokens"), vocabulary)
-                    chosen = [k for k, (d, h) in enumerate(zip(of("docs").to_pylist(), of("held").to_pylist(), strict=True)) if not h and low <= zlib.crc32(b"fit %r" % str(d).encode()) / 2**32 < low + step]
-                    p, words_seen = gated_model.train(p, layout, [named[line[end[k] - size[k] : end[k]]] for k in chosen])
-                    seen += words_seen
-            if seen:
-                x = gated_model.flat(p).astype(float)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x * seen), pa.array(np.full(len(x), float(seen)))], names=["i", "x", "n"])
-
-        means = blocks.select("docs", "held", "sizes", "ids", "tokens").mapInArrow(run, "i long, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
-        got = means.toArrow()
-        if got.num_rows:
-            x = np.zeros(got.num_rows)
-            x[got.column("i").to_numpy()] = got.column("x").to_numpy()
-            params = gated_model.shaped(x, params)
-    return params
-
-
-def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, block_bytes: int = BLOCK_BYTES, fit_share: float = FIT_SHARE, fit_tokens: int = FIT_TOKENS, rounds: int = ROUNDS) -> DataFrame:
+    vocabulary, now = pa.array(words, pa.binary()), context.broadcast(params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, seen = now.value, 0
+        for batch in batches:
+            for i, of in enumerate(_rows(batch)):
+                size = of("sizes").to_numpy().astype(np.int64)
+                line, end = _line(batch.column("ids"), i, int(size.sum())), np.cumsum(size)
+                named = _named(of("tokens"), vocabulary)
+                train = np.flatnonzero(~of("held").to_numpy(zero_copy_only=False))
+                p, words_seen = gated_model.train(p, layout, [named[line[end[k] - size[k] : end[k]]] for k in train])
+                seen += words_seen
+        if seen:
+            x = gated_model.flat(p)
+            for k, at in enumerate(range(0, len(x), STRETCH)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x[at : at + STRETCH].tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["k", "x", "n"])
+
+    def mean(rows: pa.Table) -> pa.Table:
+        n = rows.column("n").to_numpy()
+        x = sum(np.frombuffer(v.as_py(), np.float32) * float(w) for v, w in zip(rows.column("x"), n, strict=True)) / n.sum()
+        return pa.table({"k": rows.column("k")[:1].combine_chunks(), "x": pa.array([x.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n.sum()], pa.int64())})
+
+    kinds = "k int, x binary, n long"
+    got = blocks.select("held", "sizes", "ids", "tokens").mapInArrow(run, kinds).groupBy("k").applyInArrow(mean, kinds).orderBy("k").toArrow()
+    if not got.num_rows:
+        return params, 0
+    x = np.concatenate([np.frombuffer(v.as_py(), np.float32) for v in got.column("x")])
+    return gated_model.shaped(x, params), got.column("n")[0].as_py()
+
+
+def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each row of docs.
 
     Null texts count as empty and have the end token only; a null doc_id is not held out. Repeated rows each count and
@@ -153,13 +161,12 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, block_bytes:
     kinds = counts.where("token is not null and c > 0")
     total = kinds.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    top = kinds.orderBy(F.col("c").desc(), "token").limit(vocabulary).select("token", "c").collect()
+    top = kinds.orderBy(F.col("c").desc(), "token").limit(vocabulary_size(n, vocabulary)).select("token", "c").collect()
     words, c_top = [bytes(r["token"]) for r in top], np.array([r["c"] for r in top], float)
     rare, rare_kinds = n - c_top.sum(), v - len(words)
     layout = gated_model.Layout(c_top, float(rare))
-    share = max(fit_share, min(1.0, fit_tokens / max(n, 1)))
     context = blocks.sparkSession.sparkContext
-    model = context.broadcast(fitted(blocks, words, layout, share, rounds))
+    model = context.broadcast(fitted(blocks, words, layout)[0])
     known = pa.array(words, pa.binary())
     kind = plain.schema["doc_id"].dataType.simpleString()
 

@@ -9,6 +9,7 @@ from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
+LARGEST = "/root/testdata/sf0.1"
 
 
 def test_base_scores_and_held_out_gain(spark):
@@ -28,6 +29,17 @@ def test_base_scores_and_held_out_gain(spark):
     assert sum(got[d]["score"] - got[d]["base_score"] for d in away) / words > 0.05
 
 
+def test_every_training_document_is_fitted(spark):
+    """On more tokens than the smallest vocabulary is for; both the vocabulary and the words seen follow the table."""
+    docs = lm_scoring.id_and_text(spark.read.parquet(f"{LARGEST}/documents.parquet"))
+    blocks = lm_scoring.written(lm_scoring.packed(docs.withColumn("held", lm_scoring.held_out(docs["doc_id"])), 500_000), "test-blocks")
+    n = blocks.selectExpr("aggregate(train, 0L, (a, x) -> a + x) as n").agg({"n": "sum"}).first()[0]
+    assert n > 1_500_000
+    _, seen = lm_scoring.fitted(blocks, [b"the"], gated_model.Layout(np.array([9.0]), 1.0))
+    assert seen == n
+    assert lm_scoring.vocabulary_size(n) == max(1500, math.isqrt(n)) and lm_scoring.vocabulary_size(10**8) == 10**4
+
+
 def test_probabilities_sum_to_one():
     draw = np.random.default_rng(2)
     layout = gated_model.Layout(np.sort(draw.integers(1, 500, 60))[::-1].astype(float), 40.0)
