@@ -7,7 +7,7 @@ ordered. x has a 1 for each word of the text that is among the features, and for
 The labels say only whether a text is toxic. The grades 1 to 3 of toxic texts are thirds of their evidence: the number of
 their features whose smoothed log-odds of standing in toxic texts are clearly positive.
 
-The model is fitted to a sample of labelled documents that is bounded by ``SAMPLE_ROWS``, those whose doc_ids have the
+The model is fitted to a sample of labelled documents of the table that is bounded by ``SAMPLE_ROWS``, those whose doc_ids have the
 smallest hashes, so it is the same however the tables are stored. Documents are scored where they are read.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import id_and_text, map_texts, table, written
@@ -45,16 +45,15 @@ def features(text: str | None) -> set[str]:
     return ws
 
 
-def telling(names: list[str], counts: np.ndarray, n: np.ndarray) -> list[str]:
-    """The features whose texts are toxic more or less often than the others beyond chance.
+def likelihood_ratio(bad: Column, good: Column, toxic: int, other: int) -> Column:
+    """Twice the logarithm of the ratio by which a feature in so many toxic and other texts speaks for different shares.
 
-    counts: toxic and other texts that hold each feature; n: toxic and other texts.
+    toxic, other: texts of either kind. Counts without texts add nothing.
     """
-    k, n = counts.astype(float), np.maximum(n, 1).astype(float)[:, None]
-    p = k.sum(axis=0) / n.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(k > 0, k * np.log(k / (n * p)), 0) + np.where(k < n, (n - k) * np.log((n - k) / (n * (1 - p))), 0)).sum(axis=0)
-    return [f for f, r in zip(names, ratio, strict=True) if r >= LEAST_RATIO]
+    p = (bad + good) / F.lit(float(max(1, toxic) + max(1, other)))
+    term = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
+    one = lambda k, n: term(k, n * p) + term(n - k, n * (1 - p))
+    return 2 * (one(bad, F.lit(float(max(1, toxic)))) + one(good, F.lit(float(max(1, other)))))
 
 
 class OrdinalModel:
@@ -116,12 +115,12 @@ def fit(names: list[str], rows: list[list[int]], toxic: np.ndarray) -> OrdinalMo
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """text, toxic of the documents among the labelled doc_ids with the smallest hashes, at most so many.
+    """text, toxic of the documents with the smallest hashes among the labelled doc_ids that docs has, at most so many.
 
     A doc_id counts once: toxic if any of its labels says so, with the least of its texts.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    chosen = one.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(most)
+    chosen = one.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(most)
     # broadcast: at most so many pairs of an id and a flag
     return id_and_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
@@ -131,12 +130,9 @@ def fitted(sample: DataFrame) -> OrdinalModel:
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = F.count_if("toxic"), F.count_if(~F.col("toxic"))
     counted = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(bad.alias("bad"), good.alias("good")).where(F.col("bad") + F.col("good") >= LEAST_TEXTS)
-    # what could reach LEAST_RATIO: a share of toxic texts that is half or double that of the sample
-    rate = size.get(True, 0) / max(1, sum(size.values()))
-    share = F.col("bad") / (F.col("bad") + F.col("good"))
-    seen = counted.where((share > 2 * rate) | (share < rate / 2)).orderBy("feature").toArrow()
-    counts = np.stack([seen.column(c).to_numpy() for c in ("bad", "good")]) if seen.num_rows else np.zeros((2, 0), np.int64)
-    names = telling(seen.column("feature").to_pylist(), counts, np.array([size.get(True, 0), size.get(False, 0)]))
+    # the driver gets only the names that tell
+    ratio = likelihood_ratio(F.col("bad"), F.col("good"), size.get(True, 0), size.get(False, 0))
+    names = counted.where(ratio >= LEAST_RATIO).select("feature").orderBy("feature").toArrow().column("feature").to_pylist()
     number = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,8 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import gated_model, lm_scoring, toxicity
 from tests.llm import brute
@@ -87,3 +89,32 @@ def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([(None, 1, 1), (1, 1, None), (9, 0, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == 4 and not any(r["toxic"] for r in got)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_telling_words_at_any_share_of_toxic_labels(spark, share):
+    """A word of half of the toxic texts and one of half of the others; most labels are of texts that docs lacks."""
+    draw = np.random.default_rng(4)
+    rows, marks = [], []
+    for i in range(600):
+        bad = i < 600 * share
+        own = ["vile"] * bool(bad and i % 2) + ["kind"] * bool(not bad and i % 2)
+        rows.append((i, " ".join([*(f"w{j}" for j in draw.integers(0, 30, 12)), *own])))
+        marks.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks + [(i, 0) for i in range(10_000, 12_000)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, 600)
+    assert sample.count() == 600
+    held = toxicity.map_texts(sample, lambda: lambda texts: [[sorted(toxicity.features(t)) for t in texts]], {"features": "array<string>"}, ("toxic",))
+    weights = toxicity.fitted(held).weights
+    assert weights["vile"] > 0 > weights["kind"]
+
+
+def test_a_common_word_with_a_small_lift_tells(spark):
+    """2000 of 12,000 texts, of which 20% are toxic where 11% of all are."""
+    found = spark.range(1).select(toxicity.likelihood_ratio(F.lit(400), F.lit(1600), 1320, 10_680).alias("r"), toxicity.likelihood_ratio(F.lit(220), F.lit(1780), 1320, 10_680).alias("even"), toxicity.likelihood_ratio(F.lit(9), F.lit(0), 9, 0).alias("one")).first()
+    k, n = np.array([400.0, 1600.0]), np.array([1320.0, 10_680.0])
+    p = k.sum() / n.sum()
+    assert math.isclose(found["r"], 2 * (k * np.log(k / n / p) + (n - k) * np.log((n - k) / n / (1 - p))).sum())
+    assert found["r"] > 100 > toxicity.LEAST_RATIO > abs(found["even"])
+    assert math.isfinite(found["one"])
