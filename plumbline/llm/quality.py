@@ -3,8 +3,9 @@ r"""Quality rules: cross-document line frequency, over measures of each text.
 Words are ``[^\x20\x09-\x0D]+``. A line is normalised (A-Z lower-cased, runs of white space made one space, trimmed) and
 hashed. For each host (the ``source`` column) the documents that hold a line are counted. Copies of a document count
 once: documents are told apart by the smallest hash among their *other* lines, so exact and near copies, which agree on
-it, add little to a count however many they are, while a boilerplate line set among different texts is counted with each
-of them. Lines counted more often than the limit are removed; a document that then has too few of its words is rejected.
+it, add little to a count however many they are, while a lone boilerplate line set among different texts is counted with
+each of them. Documents that share several lines mostly agree on it too, so templates of several lines are counted less
+often than they stand; the README has figures. Lines counted more often than the limit are removed; a document that then has too few of its words is rejected.
 
 All of it is DataFrame expressions. Sums of lines shuffle as (host, hash, identity) after map-side partial
 aggregation, so that a line that a third of all documents share becomes one row per task.
