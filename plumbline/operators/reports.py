@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import confidence_band, meaningful_chars, strip
@@ -70,9 +70,24 @@ def verdict_buckets(reports: DataFrame, by: str, order: str) -> DataFrame:
     return reports.groupBy(by).agg(F.count("*").alias("total_drawings"), ids(c).alias("compliant"), ids(~c).alias("non_compliant"), ids(c.isNull()).alias("undetermined"))
 
 
-def shortened(values: Column, n: int) -> Column:
-    """The first n values, and a line on how many more there are."""
-    return F.when(F.size(values) > n, F.array_append(F.slice(values, 1, n), F.concat(F.lit("… ещё "), (F.size(values) - n).cast("string")))).otherwise(values)
+def bucket_sizes(reports: DataFrame, by: str, order: str, first: int) -> DataFrame:
+    """by, total_drawings, the numbers of compliant, non_compliant and undetermined ones, and the first compliant ids.
+
+    Of a group no more than the first ids are gathered; a window group limit keeps as many in every partition.
+    """
+    c = F.col("is_compliant")
+    sizes = reports.groupBy(by).agg(F.count("*").alias("total_drawings"), F.count_if(c).alias("n_compliant"), F.count_if(~c).alias("n_non_compliant"), F.count_if(c.isNull()).alias("n_undetermined"))
+    yes = reports.where(c).select(F.col(by).alias("_by"), F.struct(F.col(order).alias("at"), F.col("drawing_id").alias("id")).alias("_at"))
+    rank = F.row_number().over(Window.partitionBy("_by").orderBy("_at"))
+    few = yes.withColumn("_rank", rank).where(F.col("_rank") <= first).groupBy("_by").agg(F.transform(F.sort_array(F.collect_list("_at")), lambda x: x["id"]).alias("first_compliant"))
+    empty = F.array().cast(few.schema["first_compliant"].dataType)
+    return sizes.join(few, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by").withColumn("first_compliant", F.coalesce("first_compliant", empty))
+
+
+def shortened(values: Column, n: int, size: Column | None = None) -> Column:
+    """The first n values, and a line on how many more there are; size: of all, where values has the first alone."""
+    size = F.size(values) if size is None else size
+    return F.when(size > n, F.array_append(F.slice(values, 1, n), F.concat(F.lit("… ещё "), (size - n).cast("string")))).otherwise(values)
 
 
 def finished(replies: DataFrame, texts: DataFrame, rule_set: dict) -> DataFrame:

@@ -224,8 +224,8 @@ def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("is_compliant"))
     d = table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id", "left").withColumn("drawing_id", F.col("doc_id"))
-    b = reports.verdict_buckets(d, "source", "doc_id")
-    return b.select("source", "total_drawings", *[F.size(c).alias(f"n_{c}") for c in ("compliant", "non_compliant", "undetermined")], F.array_join(reports.shortened(F.col("compliant").cast("array<string>"), 8), ",").alias("first_compliant"))
+    b = reports.bucket_sizes(d, "source", "doc_id", 8)
+    return b.select("source", "total_drawings", "n_compliant", "n_non_compliant", "n_undetermined", F.array_join(reports.shortened(F.col("first_compliant").cast("array<string>"), 8, F.col("n_compliant")), ",").alias("first_compliant"))
 
 
 QUERIES = {

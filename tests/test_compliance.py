@@ -181,3 +181,10 @@ def test_search_keeps_all_where_there_are_few(spark):
     chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id int, embedding array<float>")
     queries = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, embedding array<float>")
     assert [r["id"] for r in search.search(chunks, queries, 5).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_bucket_sizes_gather_the_first_ids_alone(spark):
+    rows = [("a", i, True) for i in range(30)] + [("a", 99, False), ("b", 5, None), (None, 7, True), (None, 3, True)]
+    d = spark.createDataFrame(rows, "source string, drawing_id long, is_compliant boolean")
+    got = {r["source"]: tuple(r)[1:] for r in reports.bucket_sizes(d, "source", "drawing_id", 8).collect()}
+    assert got == {"a": (31, 30, 1, 0, list(range(8))), "b": (1, 0, 0, 1, []), None: (2, 2, 0, 0, [3, 7])}
