@@ -1,14 +1,12 @@
 r"""Quality rules: cross-document line frequency, over measures of each text.
 
 Words are ``[^\x20\x09-\x0D]+``. A line is normalised (A-Z lower-cased, runs of white space made one space, trimmed) and
-hashed. For each host (the ``source`` column) the documents that hold a line are counted. Copies of a document count
-once: documents are told apart by the smallest hash among their *other* lines, so exact and near copies, which agree on
-it, add little to a count however many they are, while a lone boilerplate line set among different texts is counted with
-each of them. Documents that share several lines mostly agree on it too, so templates of several lines are counted less
-often than they stand; the README has figures. Lines counted more often than the limit are removed; a document that then has too few of its words is rejected.
-
-All of it is DataFrame expressions. Sums of lines shuffle as (host, hash, identity) after map-side partial
-aggregation, so that a line that a third of all documents share becomes one row per task.
+hashed. For each host (the ``source`` column) the distinct documents that hold a line are counted: equal texts are one
+document, all others count each, near copies too. Lines counted more often than the limit are removed; a document that
+then has too few of its words is rejected.
+
+All of it is DataFrame expressions. Lines shuffle as (host, line, text), 40 bytes each, dealt out by all three, and are
+counted by host and line after partial aggregation, so that a line that a third of all documents share is one row per task.
 """
 
 from __future__ import annotations
@@ -89,11 +87,9 @@ def base_failed() -> Column:
 def frequent_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """host, key (hash of a whole text), line (hash), words: the lines of each text that its host has too often."""
     lines = F.filter(F.split(text_or_empty(), "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
-    held = docs.select(host(), key(), F.transform(lines, lambda x: F.struct(line_hash(x).alias("line"), F.size(words(x)).cast("long").alias("words"))).alias("lines"))
-    least = held.withColumn("two", F.slice(F.sort_array(F.array_distinct("lines.line")), 1, 2)).select("host", "key", "two", F.explode("lines").alias("one"))
-    beside = F.when(F.col("one.line") == F.col("two")[0], F.get("two", F.lit(1))).otherwise(F.col("two")[0])
-    rows = written(least.select("host", "key", "one.line", "one.words", beside.alias("beside")), "quality-lines")
-    seen = rows.select("host", "line", "beside").distinct()
+    held = docs.select(host(), key(), F.explode(F.transform(lines, lambda x: F.struct(line_hash(x).alias("line"), F.size(words(x)).cast("long").alias("words")))).alias("one"))
+    rows = written(held.select("host", "key", "one.*"), "quality-lines")
+    seen = rows.select("host", "line", "key").distinct()
     often = seen.groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > limit)
     return rows.select("host", "key", "line", "words").join(often.select("host", "line"), ["host", "line"], "left_semi")
 
@@ -105,7 +101,8 @@ def judged(docs: DataFrame, more: list[str], limit: int = LINE_LIMIT, least_shar
     # copies of a text give the same rows; their words count once, but each repetition in the text counts
     lost = often.groupBy("host", "key").agg(F.sum("words").alias("words"), F.collect_set("line").alias("removed_lines"))
     lost = lost.join(copies, ["host", "key"]).select("host", "key", F.expr("words div copies").alias("removed"), "removed_lines")
-    rows = measured(docs, *[F.col(c).alias(f"_{i}") for i, c in enumerate(more)], host(), key())
+    # written, as a filter on the verdict would otherwise be pushed below and evaluate the nested expressions anew
+    rows = written(measured(docs, *[F.col(c).alias(f"_{i}") for i, c in enumerate(more)], host(), key()).drop("text"), "quality-measures")
     return (
         rows.join(lost, ["host", "key"], "left")
         .withColumn("base_failed", base_failed())
@@ -117,16 +114,15 @@ def quality_rules(docs: DataFrame, limit: int = LINE_LIMIT, least_share: float =
     """The measures and the verdict of each row of docs (doc_id, text, source).
 
     Null texts have no words and fail the base rules. A null source counts as the empty host. Repeated rows are judged
-    alike; rows without a line but with the same host count as copies of one document. Columns other than the three are
-    not read.
+    alike and count as one document of their host. Texts are read whole, whatever their length; those of over 16 million
+    windows are sorted as pairs. An empty table gives an empty result. Columns other than the three are not read.
     """
     return judged(docs, ["doc_id"], limit, least_share).select(F.col("_0").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, limit: int = LINE_LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
     """The documents that are kept, without the lines that are removed; columns as they are, n_chars counted anew."""
-    # written, as a filter on the verdict would otherwise be pushed below and evaluate its expressions anew
-    verdicts = written(judged(docs, [], limit, least_share).select("host", "key", "kept", "removed_lines"), "quality-verdicts")
+    verdicts = judged(docs, [], limit, least_share).select("host", "key", "kept", "removed_lines")
     kept = verdicts.where("kept").groupBy("host", "key").agg(F.first("removed_lines").alias("removed_lines"))
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("text"), host(), key())
     lines = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(f"[^{SPACES}]") | ~F.array_contains("removed_lines", line_hash(x)))
@@ -160,10 +156,8 @@ with d as (
   select n, host, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{SPACES}]+', ' ', 'g')) as y,
     substr(md5(y), 1, 16) as line, len(list_filter(regexp_split_to_array(x, '[{SPACES}]+'), lambda w: w <> '')) as words
   from (select n, host, unnest(lines) as x from m)
-), two as (
-  select n, list_sort(list(distinct line))[1] as a, list_sort(list(distinct line))[2] as b from l group by n
 ), often as (
-  select host, line from (select distinct host, line, case when line = a then b else a end as beside from l join two using (n))
+  select host, line from (select distinct l.host, line, text from l join d using (n))
   group by all having count(*) > {LINE_LIMIT}
 ), lost as (
   select n, sum(words) as removed from l semi join often on l.host = often.host and l.line = often.line group by n

@@ -79,9 +79,9 @@ def quality(rows, limit, share):
     lines = [[x for x in (t or "").split("\n") if WORD.search(x)] for t, _ in rows]
     hashed = [[hashlib.md5(fold_line(x).encode()).hexdigest()[:16] for x in ls] for ls in lines]
     holders = defaultdict(set)
-    for (_, host), hs in zip(rows, hashed, strict=True):
+    for (text, host), hs in zip(rows, hashed, strict=True):
         for h in hs:
-            holders[host or "", h].add(min(set(hs) - {h}, default=None))
+            holders[host or "", h].add(text)
     out = []
     for (text, host), ls, hs in zip(rows, lines, hashed, strict=True):
         ws = WORD.findall(text or "")

@@ -48,6 +48,17 @@ def test_quality_of_odd_texts(spark):
     assert quality.keep_good(docs, limit=3).columns == docs.columns
 
 
+def test_lines_of_a_template_are_counted_in_each_document(spark):
+    """Eight lines on 30 pages with two own lines, near the limit; copies of a page are one document."""
+    template = "\n".join(" ".join(f"t{k}w{j}" for j in range(7)) for k in range(8))
+    page = lambda i: f"{template}\nown line {i} one\nown line {i} two"
+    rows = [(i, page(i), "a") for i in range(30)] + [(100 + i, page(0), "b") for i in range(30)] + [(200 + i, page(i), "c") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = quality.frequent_lines(docs, 20).groupBy("host").agg({"line": "count"}).collect()
+    assert [tuple(r) for r in found] == [("a", 8 * 30)]
+    assert {r["doc_id"] for r in quality.quality_rules(docs, 20).where("kept").collect()} == {r[0] for r in rows if r[2] != "a"}
+
+
 def test_decontamination_of_the_whole_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
