@@ -48,6 +48,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: list[str] = []
+
+
+def kept_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df, written as a table of the warehouse that is bucketed by key, and read back."""
+    full = f"plumbline_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").saveAsTable(full)
+    _kept.append(full)
+    return df.sparkSession.table(full)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Drops what written() and kept_table() left in this session; results not read yet can't be read afterwards."""
+    while _kept:
+        spark.sql(f"drop table if exists {_kept.pop()}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

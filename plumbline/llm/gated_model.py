@@ -1,25 +1,31 @@
 """A gated recurrent language model in numpy, with a class-factored output.
 
-p(word | state) = p(class | state) p(word | class, state). Classes are stretches of the vocabulary by frequency, each
-with about the same sum of square roots of counts. One more class holds all words outside the vocabulary; which of them
-it is does not depend on the state. Parameters start at the unigram model: biases are log counts, output weights zero.
+p(word | state) = p(class | state) p(word | class, state). The most frequent words, the head, have classes that are
+stretches by frequency, each with about the same sum of square roots of counts, and a softmax in each. All other words
+are in bands by their counts; each band is one more class, whose words share it in fixed proportions that are not
+part of the model. Parameters start at the unigram model: biases are log counts, output weights zero.
 """
 
 from __future__ import annotations
 
-import math
+import heapq
 
 import numpy as np
 
-HIDDEN = 24
-#: Classes of a small vocabulary; a larger one has as many as its square root.
-CLASSES = 32
+HIDDEN = 16
+#: Classes of the head.
+CLASSES = 72
 #: Steps of a window: gradients stop at its start, the state goes on into the next.
 WINDOW = 16
-LANES = 128
+#: Texts read side by side in training, at most, and tokens of one of them, at least.
+LANES, LANE_TOKENS = 384, 2000
 RATE = 0.15
-#: Documents scored together, and steps between their outputs.
-SCORED, STEPS = 256, 32
+#: Texts scored side by side.
+SCORED = 256
+#: Tokens whose outputs are computed together when texts are scored.
+TOGETHER = 12_000
+#: Logits are kept below this, far from where exp() overflows.
+MOST_LOGIT = np.float32(80)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -32,26 +38,33 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Layout:
-    """Classes of a vocabulary of which counts (descending) are given; rare: count of all that is outside it."""
+    """Numbers and classes. counts: of the head's words, descending; rare: of all words of each band.
 
-    def __init__(self, counts: np.ndarray, rare: float) -> None:
-        self.n = len(counts)
-        most = max(CLASSES, math.isqrt(self.n))
+    Words of the head have the numbers from 0, bands follow, then the start of a text, which is only read.
+    """
+
+    def __init__(self, counts: np.ndarray, rare: float | np.ndarray) -> None:
+        rare = np.atleast_1d(np.asarray(rare, float))
+        self.n, self.start_number = len(counts), len(counts) + len(rare)
         root = np.cumsum(np.sqrt(counts)) if self.n else np.zeros(0)
-        part = np.minimum((root / root[-1] * most).astype(np.int64), most - 1) if self.n else np.zeros(0, np.int64)
+        part = np.minimum((root / root[-1] * CLASSES).astype(np.int64), CLASSES - 1) if self.n else np.zeros(0, np.int64)
         names, part = np.unique(part, return_inverse=True) if self.n else (part, part)
-        self.classes = len(names) + 1  # the last is the rare one
-        self.of = np.concatenate([part, [self.classes - 1]]).astype(np.int64)
-        self.edge = np.concatenate([np.searchsorted(part, np.arange(self.classes - 1)), [self.n]]).astype(np.int64)
-        mass = np.concatenate([np.bincount(part, weights=counts, minlength=self.classes - 1), [rare]]) + 0.5
+        self.heads = len(names)
+        self.classes = self.heads + len(rare)
+        self.of = np.concatenate([part, self.heads + np.arange(len(rare))]).astype(np.int64)
+        self.edge = np.concatenate([np.searchsorted(part, np.arange(self.heads)), [self.n]]).astype(np.int64)
+        mass = np.concatenate([np.bincount(part, weights=counts, minlength=self.heads)[: self.heads], rare]) + 0.5
         self.class_bias = np.log(mass / mass.sum())
         self.word_bias = np.log(counts / mass[part]) if self.n else np.zeros(0)
 
     def start(self) -> dict[str, np.ndarray]:
-        """First parameters; rows of the input table: vocabulary, rare, start of text."""
+        """First parameters."""
         g = np.random.default_rng(7)
         draw = lambda *s: g.normal(0, 0.1, s).astype(np.float32)
-        return {"table": draw(self.n + 2, 3 * HIDDEN), "turn": draw(HIDDEN, 3 * HIDDEN), "turn_bias": np.zeros(3 * HIDDEN, np.float32), "to_class": np.zeros((HIDDEN, self.classes), np.float32), "class_bias": self.class_bias.astype(np.float32), "to_word": np.zeros((HIDDEN, self.n), np.float32), "word_bias": self.word_bias.astype(np.float32)}
+        return {
+            "table": draw(self.start_number + 1, 3 * HIDDEN), "turn": draw(HIDDEN, 3 * HIDDEN), "turn_bias": np.zeros(3 * HIDDEN, np.float32), "to_class": np.zeros((HIDDEN, self.classes), np.float32),
+            "class_bias": self.class_bias.astype(np.float32), "to_word": np.zeros((self.n, HIDDEN), np.float32), "word_bias": self.word_bias.astype(np.float32),
+        }
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -66,7 +79,8 @@ def shaped(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def _cell(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+def cell(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(new state, update gates, reset gates, candidates, what the reset gates multiply) from table rows x and state h."""
     n = HIDDEN
     u = h @ p["turn"]
     u += p["turn_bias"]
@@ -74,26 +88,31 @@ def _cell(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nd
     z, r = gates[:, :n], gates[:, n:]
     c = r * u[:, 2 * n :]
     c += x[:, 2 * n :]
-    np.tanh(c, out=c)
+    c *= 2  # tanh(c) = 2 sigmoid(2 c) - 1
+    sigmoid(c)
+    c *= 2
+    c -= 1
     new = h - c
     new *= z
     new += c
     return new, z, r, c, u[:, 2 * n :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exp(x: np.ndarray) -> np.ndarray:
+    np.minimum(x, MOST_LOGIT, out=x)
+    return np.exp(x, out=x)
 
 
 def train(p: dict[str, np.ndarray], layout: Layout, texts: list[np.ndarray]) -> tuple[dict[str, np.ndarray], int]:
-    """Parameters after one pass over the texts (numbers in the vocabulary, layout.n for rare), and the words seen."""
+    """Parameters after one pass over the texts (numbers), and the tokens seen."""
     if not texts:
         return p, 0
-    start = layout.n + 1
+    start = layout.start_number
     line = np.concatenate(texts)
-    before = np.concatenate([np.concatenate([[start], t[:-1]]) for t in texts])
-    lanes = int(min(LANES, max(4, len(line) // 2000)))
+    size = np.array([len(t) for t in texts])
+    before = np.concatenate([[start], line[:-1]])
+    before[np.cumsum(size) - size] = start
+    lanes = int(min(LANES, max(4, len(line) // LANE_TOKENS)))
     steps = -(-len(line) // lanes)
     pad = lanes * steps - len(line)
     goal = np.concatenate([line, np.full(pad, -1)]).reshape(lanes, steps)
@@ -102,101 +121,159 @@ def train(p: dict[str, np.ndarray], layout: Layout, texts: list[np.ndarray]) ->
     seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
     h = np.zeros((lanes, HIDDEN), np.float32)
     for at in range(0, steps, WINDOW):
-        x, y = given[:, at : at + WINDOW].T, goal[:, at : at + WINDOW].T
-        kept = []
-        for t in range(len(x)):
-            h = h * (x[t] != start)[:, None]
-            new, *parts = _cell(p, p["table"][x[t]], h)
-            kept.append((h, *parts))
-            h = new
-        # state before each step is in kept; after it in the next, the last in h
-        after = np.stack([k[0] for k in kept[1:]] + [h])
-        for t in range(len(x) - 1):  # undo the reset: outputs use the state as the step left it
-            fresh = x[t + 1] == start
-            if fresh.any():
-                prev, z, r, c, _ = kept[t]
-                after[t, fresh] = (c + z * (prev - c))[fresh]
-        g, d_after = _output_gradients(p, layout, after, y)
-        _backward(p, g, kept, x, d_after, start)
-        for k, d in g.items():
-            if isinstance(d, tuple):
-                rows, d = d
-                seen[k][rows] += d * d
-                p[k][rows] -= RATE * d / np.sqrt(seen[k][rows])
-            else:
-                seen[k] += d * d
-                p[k] -= RATE * d / np.sqrt(seen[k])
+        h = _window(p, seen, layout, np.ascontiguousarray(given[:, at : at + WINDOW].T), np.ascontiguousarray(goal[:, at : at + WINDOW].T), h)
     return p, len(line)
 
 
-def _output_gradients(p: dict[str, np.ndarray], layout: Layout, after: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
+def gradients(p: dict[str, np.ndarray], layout: Layout, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, list, np.ndarray]:
+    """Of -log p of a window, summed over its steps (rows of x: read, and y: to predict, -1 for nothing) and averaged over lanes.
+
+    Gives gradients of the parameters (of the table: rows and theirs), of the words those by classes (first word, end,
+    of weights, of biases), and the state after the window. h is the state before it.
+    """
+    fresh = x == layout.start_number
+    rows = p["table"][x]
+    held, after, kept = np.empty((*x.shape, HIDDEN), np.float32), np.empty((*x.shape, HIDDEN), np.float32), []
+    for t in range(len(x)):
+        held[t] = h
+        held[t, fresh[t]] = 0
+        h, *parts = cell(p, rows[t], held[t])
+        after[t] = h
+        kept.append(parts)
+    g, words, d_after = _output_gradients(p, layout, after, y)
+    g |= _recurrent_gradients(p, held, kept, x, d_after, fresh)
+    return g, words, h
+
+
+def _window(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], layout: Layout, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
+    g, words, h = gradients(p, layout, x, y, h)
+    for a, b, weights, biases in words:
+        _step(p["to_word"][a:b], seen["to_word"][a:b], weights)
+        _step(p["word_bias"][a:b], seen["word_bias"][a:b], biases)
+    rows, d = g.pop("table")
+    seen["table"][rows] += d * d
+    p["table"][rows] -= RATE * d / np.sqrt(seen["table"][rows])
+    for k, d in g.items():
+        _step(p[k], seen[k], d)
+    return h
+
+
+def _step(p: np.ndarray, seen: np.ndarray, d: np.ndarray) -> None:
+    seen += d * d
+    d *= RATE
+    d /= np.sqrt(seen)
+    p -= d
+
+
+def _by_class(layout: Layout, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Order of cls, and (first word, end, first place in that order, end) of each class of the head with several words."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    cut = np.searchsorted(cls[order], np.arange(layout.heads + 1)).tolist()
+    edge = layout.edge.tolist()
+    return order, [(edge[c], edge[c + 1], cut[c], cut[c + 1]) for c in range(layout.heads) if cut[c] < cut[c + 1] and edge[c + 1] - edge[c] > 1]
+
+
+def _output_gradients(p: dict[str, np.ndarray], layout: Layout, after: np.ndarray, y: np.ndarray) -> tuple[dict, list, np.ndarray]:
     s, w = after.reshape(-1, HIDDEN), y.ravel()
     real = np.flatnonzero(w >= 0)
-    s, w, n = s[real], w[real], max(1, y.shape[1])
-    cls = layout.of[w]
-    d = np.exp(_log_softmax(s @ p["to_class"] + p["class_bias"]))
-    d[np.arange(len(w)), cls] -= 1
-    d /= n
+    if len(real) < len(w):
+        s, w = s[real], w[real]
+    n, cls = np.float32(max(1, y.shape[1])), layout.of[w]
+    d = s @ p["to_class"]
+    d += p["class_bias"]
+    _exp(d)
+    d /= d.sum(axis=1, keepdims=True) * n
+    d[np.arange(len(w)), cls] -= 1 / n
     ds = d @ p["to_class"].T
-    g = {"to_class": s.T @ d, "class_bias": d.sum(axis=0), "to_word": np.zeros_like(p["to_word"]), "word_bias": np.zeros_like(p["word_bias"])}
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(layout.classes))
-    for c in range(layout.classes - 1):
-        rows = order[cut[c] : cut[c + 1]]
-        if len(rows):
-            a, b = layout.edge[c], layout.edge[c + 1]
-            e = np.exp(_log_softmax(s[rows] @ p["to_word"][:, a:b] + p["word_bias"][a:b]))
-            e[np.arange(len(rows)), w[rows] - a] -= 1
-            e /= n
-            g["to_word"][:, a:b] = s[rows].T @ e
-            g["word_bias"][a:b] = e.sum(axis=0)
-            ds[rows] += e @ p["to_word"][:, a:b].T
+    g, words = {"to_class": s.T @ d, "class_bias": d.sum(axis=0)}, []
+    order, parts = _by_class(layout, cls)
+    sorted_s, sorted_w, count, back = s[order], w[order], np.arange(len(w)), np.zeros_like(s)
+    for a, b, i, j in parts:
+        own, weights = sorted_s[i:j], p["to_word"][a:b]
+        e = own @ weights.T
+        e += p["word_bias"][a:b]
+        _exp(e)
+        e /= e.sum(axis=1, keepdims=True) * n
+        e[count[: j - i], sorted_w[i:j] - a] -= 1 / n
+        np.matmul(e, weights, out=back[i:j])
+        words.append((a, b, e.T @ own, e.sum(axis=0)))
+    ds[order] += back
+    if len(real) == y.size:
+        return g, words, ds.reshape(after.shape)
     out = np.zeros((y.size, HIDDEN), np.float32)
     out[real] = ds
-    return g, out.reshape(after.shape)
+    return g, words, out.reshape(after.shape)
 
 
-def _backward(p: dict[str, np.ndarray], g: dict, kept: list, x: np.ndarray, d_after: np.ndarray, start: int) -> None:
+def _recurrent_gradients(p: dict[str, np.ndarray], held: np.ndarray, kept: list, x: np.ndarray, d_after: np.ndarray, fresh: np.ndarray) -> dict:
     n = HIDDEN
-    turn, bias = np.zeros_like(p["turn"]), np.zeros_like(p["turn_bias"])
-    dx = np.zeros((*x.shape, 3 * n), np.float32)
-    dh = np.zeros_like(d_after[0])
+    dx = np.empty((*x.shape, 3 * n), np.float32)
+    du = np.empty_like(dx)
+    dh, back = np.zeros_like(d_after[0]), np.ascontiguousarray(p["turn"].T)
     for t in range(len(kept) - 1, -1, -1):
-        h, z, r, c, u = kept[t]
+        z, r, c, u = kept[t]
         dh = dh + d_after[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (h - c) * z * (1 - z)
-        dr = dc * u * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dc], axis=1)
-        du = np.concatenate([dz, dr, dc * r], axis=1)
-        turn += h.T @ du
-        bias += du.sum(axis=0)
-        dh = (dh * z + du @ p["turn"].T) * (x[t] != start)[:, None]
-    rows, back = np.unique(x.ravel(), return_inverse=True)
-    table = np.zeros((len(rows), 3 * n), np.float32)
-    np.add.at(table, back, dx.reshape(-1, 3 * n))
-    norm = max(1.0, float(np.sqrt((turn * turn).sum())) / 5)
-    g |= {"turn": turn / norm, "turn_bias": bias / norm, "table": (rows, table / norm)}
+        own = dx[t]
+        dc = dh * (1 - z)
+        dc *= 1 - c * c
+        own[:, 2 * n :] = dc
+        own[:, :n] = dh * (held[t] - c) * z * (1 - z)
+        own[:, n : 2 * n] = dc * u * r * (1 - r)
+        du[t] = own
+        du[t, :, 2 * n :] *= r
+        dh *= z
+        dh += du[t] @ back
+        dh[fresh[t]] = 0
+    turn = held.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+    # table rows: sums over the places of each number
+    flat_x = x.ravel()
+    order = np.argsort(flat_x, kind="stable")
+    rows, first = np.unique(flat_x[order], return_index=True)
+    table = np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0)
+    norm = np.float32(max(1.0, float(np.sqrt((turn * turn).sum())) / 5))
+    return {"turn": turn / norm, "turn_bias": du.sum(axis=(0, 1)) / norm, "table": (rows, table / norm)}
+
+
+def _dealt(sizes: list[int], lanes: int) -> list[list[int]]:
+    """Places of texts by lane: each text, the longest first, to the lane with the least so far. Longest lanes first."""
+    load = [(0, k) for k in range(min(lanes, len(sizes)))]
+    held: list[list[int]] = [[] for _ in load]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        n, k = heapq.heappop(load)
+        held[k].append(i)
+        heapq.heappush(load, (n + sizes[i], k))
+    return [held[k] for _, k in sorted(load, reverse=True)]
 
 
 def log_likelihoods(p: dict[str, np.ndarray], layout: Layout, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log-probability of each text: of its words, and of the class alone where a word is rare."""
+    """Natural log-probability of each text: of its words, and of the class alone where a word is in a band."""
     found = np.zeros(len(texts))
-    order = np.argsort([-len(t) for t in texts], kind="stable")
-    for first in range(0, len(order), SCORED):
-        some = order[first : first + SCORED]
-        size = np.array([len(texts[i]) for i in some])
-        line, begin = np.concatenate([texts[i] for i in some]), np.cumsum(size) - size
-        h, last = np.zeros((len(some), HIDDEN), np.float32), np.full(len(some), layout.n + 1)
-        for at in range(0, int(size.max(initial=0)), STEPS):
-            states, lanes, words = [], [], []
-            for t in range(at, min(at + STEPS, int(size[0]))):
-                live = int(np.searchsorted(-size, -t, side="left"))  # longest first
-                h = _cell(p, p["table"][last[:live]], h[:live])[0]
-                last = line[begin[:live] + t]
-                states.append(h), lanes.append(np.arange(live)), words.append(last)
-            s, lane, w = map(np.concatenate, (states, lanes, words))
-            found[some] += np.bincount(lane, weights=_log_p(p, layout, s, w), minlength=len(some))
+    if not texts:
+        return found
+    lanes = _dealt([len(t) for t in texts], SCORED)
+    load = np.array([sum(len(texts[i]) for i in lane) for lane in lanes])
+    goal, text = np.zeros((load[0], len(lanes)), np.int64), np.zeros((load[0], len(lanes)), np.int64)
+    given = np.full((load[0], len(lanes)), layout.start_number)
+    for k, lane in enumerate(lanes):
+        at = 0
+        for i in lane:
+            n = len(texts[i])
+            goal[at : at + n, k], text[at : at + n, k] = texts[i], i
+            given[at + 1 : at + n, k] = texts[i][:-1]
+            at += n
+    live = np.searchsorted(-load, -np.arange(load[0]), side="left").tolist()  # longest lanes first
+    h = np.zeros((len(lanes), HIDDEN), np.float32)
+    rows, states, at, waiting = p["table"], [], 0, 0
+    for t, n in enumerate(live):
+        h = h[:n]
+        h[given[t, :n] == layout.start_number] = 0
+        h = cell(p, rows[given[t, :n]], h)[0]
+        states.append(h)
+        waiting += n
+        if t + 1 == len(live) or waiting > TOGETHER:
+            w, of = (np.concatenate([a[i, : live[i]] for i in range(at, t + 1)]) for a in (goal, text))
+            found += np.bincount(of, weights=_log_p(p, layout, np.concatenate(states), w), minlength=len(texts))
+            states, at, waiting = [], t + 1, 0
     return found
 
 
@@ -204,19 +281,15 @@ def _log_p(p: dict[str, np.ndarray], layout: Layout, s: np.ndarray, w: np.ndarra
     cls = layout.of[w]
     x = s @ p["to_class"]
     x += p["class_bias"]
-    x -= x.max(axis=1, keepdims=True)
-    out = x[np.arange(len(w)), cls].astype(float)
-    out -= np.log(np.exp(x, out=x).sum(axis=1))
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(layout.classes))
-    for c in range(layout.classes - 1):
-        rows = order[cut[c] : cut[c + 1]]
-        if len(rows):
-            a, b = layout.edge[c], layout.edge[c + 1]
-            if b - a > 1:
-                x = s[rows] @ p["to_word"][:, a:b]
-                x += p["word_bias"][a:b]
-                x -= x.max(axis=1, keepdims=True)
-                at = x[np.arange(len(rows)), w[rows] - a]
-                out[rows] += at - np.log(np.exp(x, out=x).sum(axis=1))
-    return out
+    _exp(x)
+    out = x[np.arange(len(w)), cls] / x.sum(axis=1)
+    order, parts = _by_class(layout, cls)
+    sorted_s, sorted_w, count, inside = s[order], w[order], np.arange(len(w)), np.ones(len(w), np.float32)
+    for a, b, i, j in parts:
+        x = sorted_s[i:j] @ p["to_word"][a:b].T
+        x += p["word_bias"][a:b]
+        _exp(x)
+        np.divide(x[count[: j - i], sorted_w[i:j] - a], x.sum(axis=1), out=inside[i:j])
+    out = np.log(np.maximum(out, 1e-30))
+    out[order] += np.log(np.maximum(inside, 1e-30))
+    return out.astype(float)
