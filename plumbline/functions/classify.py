@@ -40,6 +40,7 @@ class Markers:
         r"главный\s+инженер\s+проекта",
         r"технико-экономическ(?:ие|их)\s+показател",
     )
+    project_weak: tuple[str, ...] = (r"проектная\s+документаци", r"пояснительн\w*\s+записк", r"разрешени[ея]\s+на\s+строительство")
     dimensions: str = r"\d{2,4}\s*[xх×]\s*\d{2,4}|\d+\s*[=≈]\s*\d+"
     ad_phrases: tuple[str, ...] = ("реклама", "фото здания", "фотография здания", "сайт:", "www.", "http://", "https://")
     ad_author: str = r"\bАВТОР\b"
@@ -87,6 +88,10 @@ def scores(text: Column, upper: Column, chars: Column, ratio: Column, images: Co
     }
 
 
+def project_score(text: Column, m: Markers = RUSSIAN) -> Column:
+    return two_tiers(text, m.project, m.project_weak, 0.82, 0.44)
+
+
 def classified(pages: DataFrame, m: Markers = RUSSIAN) -> DataFrame:
     """Adds the five flags to pages with text, text_upper, char_count, image_area_ratio and image_count.
 

@@ -159,3 +159,8 @@ def project_slug(signature: Column) -> Column:
 def has_support_text(text: Column) -> Column:
     flat = normalised(text)
     return flat.rlike(pattern(SUPPORT_PATTERN, True)) | contains_any(flat, SUPPORT_WORDS)
+
+
+def base64_line(content: Column) -> Column:
+    """Bytes as one line of base64; Spark's own may break lines."""
+    return F.regexp_replace(F.base64(content), "[\r\n]", "")

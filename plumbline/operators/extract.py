@@ -36,8 +36,11 @@ def first_of_each(values: Column, key=lambda x: x) -> Column:
 
 def elements_of(text: Column, rules: dict) -> Column:
     """Array of elements: listed threads, other threads as they come, materials, designations."""
-    threads = [str(v) for d in rules.get("dimensions", [])[:] if d.get("field") == "bolt_size" for v in d.get("allowed_values", [])]
-    threads = list({v.lower(): v for v in reversed(threads)}.values())[::-1]
+    bolts = [d for d in rules.get("dimensions", []) if d.get("field") == "bolt_size"][:1]
+    threads: dict[str, str] = {}
+    for v in map(str, [v for d in bolts for v in d.get("allowed_values", [])]):
+        threads.setdefault(v.lower(), v)
+    threads = list(threads.values())
     listed = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(text.rlike(pattern(re.escape(v).replace("x", "[x×X]"), True)), v) for v in threads]))
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern(THREAD, True)), 0), lambda m: F.replace(m, F.lit("×"), F.lit("x")))
     low = F.transform(listed, F.lower)

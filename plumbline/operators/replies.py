@@ -20,11 +20,12 @@ def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def _texts_only(v: Column, names: tuple[str, ...]) -> Column:
-    """Whether v is an object whose named fields are strings, null or absent."""
+def _texts_only(v: Column, names: tuple[str, ...], never_null: tuple[str, ...] = ()) -> Column:
+    """Whether v is an object whose named fields are strings, absent or, but for those never null, null."""
     fine = _kind(v).startswith("OBJECT")
     for n in names:
-        fine = fine & _kind(_get(v, n, "variant")).isin("STRING", "VOID")
+        kind = F.schema_of_variant(_get(v, n, "variant"))  # null where absent
+        fine = fine & (kind.isNull() | kind.isin("STRING", *["VOID"] * (n not in never_null)))
     return fine
 
 
@@ -38,17 +39,25 @@ def tri_state(v: Column) -> Column:
     return F.when(kind.isin("BOOLEAN", "STRING") & (said == "true"), True).when(kind.isin("BOOLEAN", "STRING") & (said == "false"), False)
 
 
+def _number(x: Column) -> Column:
+    """A JSON number as text: whole numbers that were written with a fraction keep one zero of it."""
+    plain = F.try_variant_get(x, "$", "string")
+    # whole numbers are BIGINT, or decimals of more digits than that has
+    return F.when(_kind(x).rlike(r"^DECIMAL\((\d|1[0-8]),") & ~plain.contains("."), F.concat(plain, F.lit(".0"))).otherwise(plain)
+
+
 def text_list(v: Column, keys: tuple[str, ...]) -> Column:
-    """A list of texts from a list, a scalar or nothing. Of an object the first of keys that has something, else its JSON."""
+    """A list of texts from a list, one other value or nothing. Of a list's objects the first of keys that has something,
+    else their JSON; an object that stands alone is one text, its JSON."""
 
     def said(x: Column) -> Column:
         own = F.coalesce(*[F.nullif(_get(x, k), F.lit("")) for k in keys])
         plain = F.try_variant_get(x, "$", "string")
-        word = F.when(_kind(x) == "BOOLEAN", F.initcap(plain)).when(_kind(x) == "VOID", "None").otherwise(plain)
+        word = F.when(_kind(x) == "BOOLEAN", F.initcap(plain)).when(_kind(x) == "VOID", "None").when(_kind(x) == "STRING", plain).otherwise(_number(x))
         return F.when(_kind(x).startswith("OBJECT"), F.coalesce(own, F.to_json(x))).when(_kind(x).startswith("ARRAY"), F.to_json(x)).otherwise(word)
 
     several = F.transform(F.try_variant_get(v, "$", "array<variant>"), said)
-    return F.when(_kind(v) == "VOID", F.array().cast("array<string>")).when(_kind(v).startswith("ARRAY"), several).otherwise(F.array(said(v)))
+    return F.when(_kind(v) == "VOID", F.array().cast("array<string>")).when(_kind(v).startswith("ARRAY"), several).when(_kind(v).startswith("OBJECT"), F.array(F.to_json(v))).otherwise(F.array(said(v)))
 
 
 def reply_confidence(n: Column, low: Column, compliant: Column) -> Column:
@@ -59,7 +68,8 @@ def parsed(replies: DataFrame) -> DataFrame:
     """drawing_id, elements, standard, is_compliant, issues, missing_info, citations, overall_confidence of each reply (raw).
 
     The JSON is what stands from the first brace to the last. Elements with a field that should be text but isn't are
-    dropped; unknown sources and levels become the defaults. A null list or object counts as absent.
+    dropped, and issues whose field or message is null too; unknown sources and levels become the defaults. A null list or
+    object counts as absent.
     """
     found = F.regexp_extract(F.coalesce("raw", F.lit("")), r"\{[\s\S]+\}", 0)
     read = replies.select("drawing_id", found.alias("found")).withColumn("v", F.try_parse_json(F.nullif("found", F.lit(""))))
@@ -80,7 +90,7 @@ def parsed(replies: DataFrame) -> DataFrame:
         F.transform(F.filter(listed(v, "elements"), lambda e: _texts_only(e, TEXTS)), element).alias("elements"),
         _get(about, "standard").alias("standard"),
         tri_state(_get(about, "is_compliant", "variant")).alias("is_compliant"),
-        F.transform(F.filter(listed(about, "issues"), lambda i: _texts_only(i, ISSUE_TEXTS)), issue).alias("issues"),
+        F.transform(F.filter(listed(about, "issues"), lambda i: _texts_only(i, ISSUE_TEXTS, ("field", "message"))), issue).alias("issues"),
         F.when(F.col("found") == "", F.array(F.lit(NO_JSON))).when(v.isNull(), F.array(F.lit(BAD_JSON))).otherwise(text_list(_get(about, "missing_info", "variant"), ("field", "text"))).alias("missing_info"),
         text_list(_get(about, "citations", "variant"), ("text", "field")).alias("citations"),
     )

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import confidence_band, meaningful_chars, strip
 from plumbline.operators import extract, rules
 
-#: What parts of a fused text are marked with, errors among captions, and the query for a blank text.
+#: What errors among captions begin with, the queries for a blank text, and a prompt without hits.
 CAPTION_ERROR = "[ОШИБКА"
+SHEET_QUERY = "техническое задание требования материалы"
 BLANK_QUERY = "Требования к материалам, размерам и обозначениям"
+NO_CHUNKS = "[Релевантные разделы ТЗ не найдены. Проверка по ТЗ невозможна.]"
 LABELS = {True: "✓ СООТВЕТСТВУЕТ", False: "✗ НЕ СООТВЕТСТВУЕТ", None: "? НЕ ОПРЕДЕЛЕНО"}
 
 
@@ -22,15 +24,18 @@ def page_parts(pages: DataFrame) -> DataFrame:
     """Adds parts (array of kind and text) to pages: page_number, pdf_text, ocr_text, ocr_engine, caption."""
     at = F.concat(F.lit(" стр."), F.col("page_number").cast("string"))
     caption = F.when(~F.col("caption").startswith(CAPTION_ERROR), F.col("caption"))
-    made = [marked(F.col("pdf_text"), F.concat(F.lit("[PDF"), at, F.lit("]"))), marked(F.col("ocr_text"), F.concat(F.lit("[OCR"), at, F.lit(" ("), "ocr_engine", F.lit(")]"))), marked(caption, F.concat(F.lit("[LLaVA"), at, F.lit("]")))]
+    made = [marked(F.col("pdf_text"), F.concat(F.lit("[PDF"), at, F.lit("]"))), marked(F.col("ocr_text"), F.concat(F.lit("[OCR"), at, F.lit(" ("), F.coalesce("ocr_engine", F.lit("tesseract")), F.lit(")]"))), marked(caption, F.concat(F.lit("[LLaVA"), at, F.lit("]")))]
     parts = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("page_number"), t.alias("text")) for k, t in enumerate(made)])
     return pages.withColumn("parts", F.filter(parts, lambda p: p["text"].isNotNull()))
 
 
-def fused(pages: DataFrame, by: str) -> DataFrame:
-    """by, text: all PDF texts, then what OCR read, then captions, each by page."""
-    ordered = F.sort_array(F.flatten(F.collect_list("parts")))
-    return page_parts(pages).groupBy(by).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("text"))
+def fused(pages: DataFrame, *by: str) -> DataFrame:
+    """by, text: all PDF texts, then what OCR read, then captions, each by page; raw_ocr_text and llava_caption: of the
+    latter two alone, null where there is none."""
+    said = lambda parts: F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n")
+    kind = lambda k: F.nullif(said(F.filter("_parts", lambda p: p["kind"] == k)), F.lit(""))
+    ordered = page_parts(pages).groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list("parts"))).alias("_parts"))
+    return ordered.select(*by, said(F.col("_parts")).alias("text"), kind(1).alias("raw_ocr_text"), kind(2).alias("llava_caption"))
 
 
 def query_text(text: Column, blank: str = BLANK_QUERY, most: int = 800) -> Column:
@@ -39,7 +44,7 @@ def query_text(text: Column, blank: str = BLANK_QUERY, most: int = 800) -> Colum
 
 def prompt_chunks(hits: DataFrame, by: str = "query_id") -> DataFrame:
     """by, prompt: numbered blocks of a query's hits (rank, source, text, score), at most 2000 characters of text."""
-    block = F.format_string("[%d] %s (%.2f)\n%s", F.col("rank"), F.col("source"), F.col("score"), F.col("text"))
+    block = F.format_string("[%d] Источник: %s (релевантность: %.2f)\n%s", F.col("rank"), F.col("source"), F.col("score"), F.col("text"))
     ordered = F.sort_array(F.collect_list(F.struct("rank", block.alias("block"))))
     return hits.groupBy(by).agg(F.substring(F.array_join(F.transform(ordered, lambda b: b["block"]), "\n\n---\n\n"), 1, 2000).alias("prompt"))
 
@@ -90,16 +95,23 @@ def shortened(values: Column, n: int, size: Column | None = None) -> Column:
     return F.when(size > n, F.array_append(F.slice(values, 1, n), F.concat(F.lit("… ещё "), (size - n).cast("string")))).otherwise(values)
 
 
-def finished(replies: DataFrame, texts: DataFrame, rule_set: dict) -> DataFrame:
-    """Validated reports of parsed replies (with llm_used). Where a reply gave no element, the text's mentions are used.
+#: Columns of a report's elements, in their order.
+ELEMENT = ("item_id", "name", "element_type", "size", "material", "designation", "note", "source", "confidence", "raw_text_fragment")
 
-    texts: drawing_id, text. Blank texts give no mentions.
-    """
-    said = replies.select("drawing_id", F.posexplode("elements").alias("pos", "e")).select("drawing_id", "pos", *[f"e.{c}" for c in ("item_id", "name", "size", "material", "designation", "note")])
+
+def final_elements(replies: DataFrame, texts: DataFrame, rule_set: dict) -> DataFrame:
+    """drawing_id, pos, the columns of an element, found (by heuristics). Where a reply gave no element, the text's
+    mentions are used. texts: drawing_id, text. Blank texts give no mentions."""
+    said = replies.select("drawing_id", F.posexplode("elements").alias("pos", "e")).select("drawing_id", "pos", *[f"e.{c}" for c in ELEMENT], F.lit(False).alias("found"))
     none = replies.where(F.size("elements") == 0).select("drawing_id")
-    found = extract.extracted(texts.where(strip(F.col("text")) != "").join(none, "drawing_id", "left_semi"), rule_set).select(said.columns)
-    elements = said.unionByName(found)
-    fallback = found.select("drawing_id").distinct().withColumn("_found", F.lit(True))
+    found = extract.extracted(texts.where(strip(F.col("text")) != "").join(none, "drawing_id", "left_semi"), rule_set)
+    return said.unionByName(found.withColumns({"found": F.lit(True), "element_type": F.lit(None).cast("string")}))
+
+
+def finished(replies: DataFrame, texts: DataFrame, rule_set: dict, elements: DataFrame | None = None) -> DataFrame:
+    """Validated reports of parsed replies (with llm_used), on the elements that final_elements gives."""
+    elements = final_elements(replies, texts, rule_set) if elements is None else elements
+    fallback = elements.where("found").select("drawing_id").distinct().withColumn("_found", F.lit(True))
     heuristic = ~F.col("llm_used") | F.coalesce("_found", F.lit(False))
     reports = replies.join(fallback, "drawing_id", "left").withColumn("heuristic", heuristic).drop("_found", "elements")
     return rules.validated(reports, elements, rule_set)

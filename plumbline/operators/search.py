@@ -1,11 +1,23 @@
-"""Exact top-k by inner product."""
+"""Exact top-k by inner product, in blocks of queries.
+
+A block of queries is a matrix of at most ``BLOCK_VALUES`` numbers that goes to all tasks. Each task multiplies its
+chunks with it batch by batch and keeps the k best chunks of each query, so what is shuffled is k rows of each query for
+each task, whatever the number of chunks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP = 5
+#: Numbers of a block of queries (8 bytes each), and scores that a task holds at a time.
+BLOCK_VALUES, SCORES = 4_000_000, 2_000_000
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -17,15 +29,72 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = TOP, leave_self: bool = False) -> DataFrame:
+def _blocks(queries: DataFrame, values: int) -> Iterator[tuple[list, np.ndarray]]:
+    ids, rows, held = [], [], 0
+    for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
+        if rows and held + len(r["embedding"]) > values:
+            yield ids, np.array(rows, float)
+            ids, rows, held = [], [], 0
+        ids.append(r["query_id"]), rows.append(r["embedding"])
+        held += len(r["embedding"])
+    if rows:
+        yield ids, np.array(rows, float)
+
+
+def _best(ids: pa.Array, scores: np.ndarray, k: int) -> np.ndarray:
+    """Of each row of scores the places of the k greatest; between equal ones, those of the least ids. ids ascending."""
+    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int = TOP, leave_self: bool = False, block_values: int = BLOCK_VALUES) -> DataFrame:
     """query_id, rank, id, score of the k chunks nearest to each query; ties by id.
 
-    chunks: id, embedding; queries: query_id, embedding, a stated set against all chunks. Every chunk is scored; a
-    window group limit keeps k of each query in every partition, so no more than that is shuffled.
+    chunks: id (a number or text), embedding; queries: query_id, embedding, a stated set against all chunks. Rows
+    without an embedding are left out. Vectors have one length. Every chunk is scored against every query.
     """
-    held = queries.select("query_id", F.col("embedding").alias("_query"))
-    scored = chunks.crossJoin(held).select("query_id", "id", inner_product(F.col("embedding"), F.col("_query")).alias("score"))
-    if leave_self:
-        scored = scored.where("id <> query_id")
+    context = chunks.sparkSession.sparkContext
+    id_kind, query_kind = (d.schema[c].dataType.simpleString() for d, c in ((chunks, "id"), (queries, "query_id")))
+    held = chunks.where("embedding is not null").select("id", "embedding")
+
+    def scored(block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, matrix = block.value
+            n, own = len(query_ids), {q: i for i, q in enumerate(query_ids)}
+            best_ids, best = None, np.empty((n, 0))
+            step = max(1, SCORES // n)
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    part = part.take(pc.sort_indices(part.column("id")))
+                    vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    scores = matrix @ vectors.astype(float).T
+                    if leave_self:
+                        same = [(own[x], j) for j, x in enumerate(part.column("id").to_pylist()) if x in own]
+                        for i, j in same:
+                            scores[i, j] = -np.inf
+                    place = _best(part.column("id"), scores, k)
+                    ids = part.column("id").take(pa.array(place.ravel()))
+                    new = np.take_along_axis(scores, place, axis=1)
+                    if best_ids is None:
+                        best_ids, best = ids, new
+                    else:  # the better of what was held and what is new, query by query
+                        both, old, wide = np.concatenate([best, new], axis=1), best.shape[1], best.shape[1] + new.shape[1]
+                        every = pa.concat_arrays([best_ids, ids])
+                        rank = pc.rank(every, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+                        rank = np.concatenate([rank[: n * old].reshape(n, old), rank[n * old :].reshape(n, -1)], axis=1)
+                        order = np.lexsort((rank, -both), axis=1)[:, :k]
+                        row = np.arange(n)[:, None]
+                        source = np.where(order < old, row * old + order, n * old + row * (wide - old) + order - old)
+                        best_ids, best = every.take(pa.array(source.ravel())), np.take_along_axis(both, order, axis=1)
+            if best_ids is not None:
+                rows = pa.table({"query_id": pa.array(np.repeat(np.array(query_ids, object), best.shape[1]).tolist(), query_type), "id": best_ids, "score": best.ravel()})
+                yield from rows.filter(pc.is_finite(rows.column("score"))).combine_chunks().to_batches()
+
+        return held.mapInArrow(run, f"query_id {query_kind}, id {id_kind}, score double")
+
+    query_type = pa.string() if query_kind == "string" else {"bigint": pa.int64(), "int": pa.int32()}[query_kind]
+    found = chunks.sparkSession.createDataFrame([], f"query_id {query_kind}, id {id_kind}, score double")
+    for block in _blocks(queries, block_values):
+        found = found.unionByName(scored(context.broadcast(block)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

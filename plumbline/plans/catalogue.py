@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import classify, text
-from plumbline.operators import chunk, extract, replies, reports, rules, search, segment
+from plumbline.operators import chunk, extract, replies, reports, rules, search, segment, sheets
 from plumbline.plans.oracle import ORACLE_SQL  # noqa: F401
 
 PART_RULES = {
@@ -39,6 +39,8 @@ ASCII = classify.Markers(
     project_sheet_with=("tion", "keit"),
     project_notes=("thouin", "ondre"),
 )
+#: Enough Russian for a text layer that needs no OCR.
+TITLE = "Двухэтажный жилой дом из кирпича с гаражом и мансардой, вариант первый, стены и план этажа. " * 3
 _EVENT_FLAGS = {"is_drawing": "click", "is_explication": "explication", "is_annotation": "view", "is_project_info": "info", "is_irrelevant_photo_or_ad": "error"}
 
 
@@ -65,7 +67,7 @@ def _validated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = parts.select(
         "p_brand", "drawing_id", (F.col("p_partkey") % 2 == 0).alias("heuristic"), prior.alias("is_compliant"), F.array().cast(f"array<{rules.ISSUE}>").alias("issues"), F.array().cast("array<string>").alias("missing_info"), F.lit("high").alias("overall_confidence")
     )
-    return rules.validated(blank, parts.where("p_partkey % 17 <> 0"), PART_RULES)
+    return rules.validated(blank, parts, PART_RULES)
 
 
 def report_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,8 +169,9 @@ def fused_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, (F.col("doc_id") % 90).cast("int")).alias("tess_text"), F.expr("substring(text, 20, cast(doc_id % 70 as int))").alias("easy_text"))
-    return reports.best_ocr(d).select("doc_id", "engine", "confidence", "char_count", "text")
+    """Pages of a poor scan: the first engine reads digits alone, the second all."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^0-9]+", " ").alias("tess_text"), F.col("text").alias("easy_text"))
+    return reports.best_ocr(d).select("doc_id", "engine", "confidence", "char_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def first_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +180,7 @@ def first_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.file_stem(F.col("url")).alias("stem"), text.file_stem(F.substring("html", 1, 90)).alias("html_stem"))
+    return table(spark, sf_dir, "pages").select("page_id", text.file_stem(F.col("url")).alias("stem"), text.file_stem(F.col("html")).alias("html_stem"))
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,10 +231,149 @@ def labelled_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("source", "total_drawings", "n_compliant", "n_non_compliant", "n_undetermined", F.array_join(reports.shortened(F.col("first_compliant").cast("array<string>"), 8, F.col("n_compliant")), ",").alias("first_compliant"))
 
 
+def match_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    matched = text.for_match(F.col("text"))
+    return d.select("doc_id", F.length(matched).alias("n"), F.md5(matched.cast("binary")).alias("text_md5"))
+
+
+def support_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.has_support_text(F.col("text")).alias("supported"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text layers, English ones under a Russian title."""
+    d = table(spark, sf_dir, "documents")
+    raw = F.when(F.col("lang") == "en", F.concat(F.lit(TITLE), F.col("text"))).otherwise(F.col("text"))
+    made = d.select("doc_id", raw.alias("raw"), F.upper("lang").alias("ocr"))
+    return made.select("doc_id", text.needs_ocr(F.col("raw")).alias("needed"), F.md5(text.page_text(F.col("raw"), F.col("ocr")).cast("binary")).alias("text_md5"))
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A title page for each part: its size as sides, its type as a material in brackets."""
+    material = F.when(F.col("p_size") % 3 == 0, "кирпич").when(F.col("p_size") % 3 == 1, "Арболит и брус").otherwise("стены: монолит")
+    title = F.concat(F.lit("ЖИЛОЙ  ДОМ ("), F.col("p_size").cast("string"), F.lit(",5 х 12.0) ("), material, F.lit(")"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Лист 1\n"), title, F.lit("\nстр. "), F.col("p_partkey").cast("string")).alias("text"))
+
+
+def project_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signature = text.project_signature(F.col("text"))
+    return _titles(spark, sf_dir).select("p_partkey", signature.alias("signature"), text.project_slug(signature).alias("slug"))
+
+
+def sheet_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    said = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Чертёж № "), k, F.lit(" / "), F.col("p_name"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit("см. план этажа "), k)).when(F.col("p_size") % 4 == 2, F.concat(F.lit("узел "), F.col("p_size").cast("string"), F.lit(" - AB7 "), F.col("p_name"))).otherwise(F.concat(F.lit(" \n"), F.col("p_name"), F.lit(": "), k))
+    return table(spark, sf_dir, "part").select("p_partkey", text.sheet_label(said).alias("label"))
+
+
+def rules_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules in the index: the heading alone, then heading and sentences."""
+    empty = spark.createDataFrame([], "source string, text string")
+    return sheets.index_chunks(empty, PART_RULES).select("id", "chunk_id", F.length("text").alias("n"), "text")
+
+
+def album_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings of albums from their texts: each source is an album, its documents by id are the pages."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("album"), F.col("doc_id").alias("page_number"), F.col("text").alias("pdf_text"))
+    made = classify.features(d).withColumns({"image_count": (F.col("char_count") % 4).cast("int"), "image_area_ratio": (F.col("char_count") % 10) / 10.0})
+    flagged = classify.classified(made, ASCII).withColumns({"begins_new_project": classify.begins_new_project(F.col("text"), ASCII), "label": text.sheet_label(F.col("pdf_text")), "doc_id": F.col("album")})
+    found = segment.drawing_files(flagged.select("doc_id", "page_number", "begins_new_project", "label", *classify.FLAGS))
+    return found.select("doc_id", "seq", "segment", "run_first", "first_page", "last_page", "n_pages", "stem")
+
+
+def joined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as PDFs: turns that the assistant says have Markdown, users' turns OCR, each third a caption."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), "role", F.col("text").alias("pdf_text"))
+    key = ["doc_id", "page_number"]
+    markdown = c.where("role = 'assistant'").select(*key, F.upper("pdf_text").alias("text"))
+    ocr = c.where("role = 'user'").select(*key, F.lower("pdf_text").alias("text"), F.lit("easyocr").alias("engine"))
+    captions = c.where("page_number in (0, 3)").select(*key, F.when(F.col("page_number") == 0, F.concat(F.lit(reports.CAPTION_ERROR), F.lit("] x"))).otherwise(F.lit("a drawing")).alias("caption"))
+    pages = sheets.page_inputs(sheets.with_markdown(c, markdown), ocr, captions)
+    parts = reports.page_parts(pages)
+    image = text.base64_line(F.col("pdf_text").cast("binary"))
+    return parts.select(*key, F.size("parts").alias("n_parts"), F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "|").cast("binary")).alias("parts_md5"), F.md5(image.cast("binary")).alias("image_md5"), sheets.sheet_id(F.col("doc_id").cast("string"), F.col("page_number")).alias("sheet_id"))
+
+
+#: Rules of the queries over conversations, and letters whose counts stand for an embedding.
+TALK_RULES = {"dimensions": [{"field": "bolt_size", "allowed_values": ["tion", "ment"]}, {"field": "bolt_size", "allowed_values": ["the"]}], "materials": {"allowed": ["keit"], "forbidden": ["stand"], "tz_reference": "7"}}
+LETTERS = "aeioudlnrst"
+
+
+def _embedded(rows: DataFrame, of: Column) -> DataFrame:
+    low = F.lower(of)
+    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
+    return rows.withColumn("embedding", search.normalised(counts))
+
+
+def _sheets(spark: SparkSession, sf_dir: str, by_page: bool) -> tuple[DataFrame, DataFrame]:
+    """Sheets of conversations, each turn or each conversation one, and their hits in the benchmark's items as a
+    specification."""
+    c = table(spark, sf_dir, "conversations").withColumn("base", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    c = c.withColumn("drawing_id", sheets.sheet_id(F.col("base"), F.col("turn")) if by_page else F.col("base"))
+    of = lambda role: F.when(F.col("role") == role, F.col("text"))
+    pages = c.select("base", "drawing_id", F.col("turn").alias("page_number"), of("system").alias("pdf_text"), of("user").alias("ocr_text"), F.lit(None).cast("string").alias("ocr_engine"), of("assistant").alias("caption"))
+    about = pages.groupBy("drawing_id", "base").agg(F.min("page_number").alias("first"), F.count("*").alias("total_pages"))
+    texts = reports.fused(pages, "drawing_id").join(about, "drawing_id")
+    made = texts.withColumns({"pdf_path": F.concat("base", F.lit(".pdf")), "page_number": F.col("first") if by_page else F.lit(None).cast("int")})
+    spec = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("source"), "text")
+    index = sheets.index_chunks(spec, TALK_RULES, size=1_000_000)
+    asked = _embedded(made.select(F.col("drawing_id").alias("query_id"), reports.query_text(F.col("text"), reports.SHEET_QUERY).alias("q")), F.col("q"))
+    hits = search.search(_embedded(index, F.col("text")), asked.select("query_id", "embedding"), 3)
+    return made, sheets.hits_with_texts(hits, index)
+
+
+def _answers(made: DataFrame) -> DataFrame:
+    """Replies: an element, none, no JSON, or no answer."""
+    k = F.length("text") % 4
+    some = '{"elements": [{"name": "b", "material": "keit"}], "compliance": {"is_compliant": null}}'
+    return made.select("drawing_id", F.when(k == 1, some).when(k == 2, '{"elements": [], "compliance": {"is_compliant": true}}').when(k == 3, "sorry").alias("raw"))
+
+
+def _numbers(r: DataFrame) -> list[Column]:
+    return [F.size("elements").alias("n_elements"), F.size("compliance.issues").alias("n_issues"), F.size("compliance.missing_info").alias("n_missing"), F.col("compliance.is_compliant").alias("is_compliant"), "overall_confidence", "llm_used", F.md5(F.array_join("tz_chunks_used", "|").cast("binary")).alias("chunks_md5")]
+
+
+def drawing_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as one drawing, from pages to its report."""
+    made, hits = _sheets(spark, sf_dir, by_page=False)
+    r = sheets.sheet_reports(made, hits, _answers(made), TALK_RULES)
+    return r.join(sheets.summary(r), "drawing_id").select("drawing_id", *_numbers(r), "summary")
+
+
+def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a drawing, without a model, and one report for all of a conversation."""
+    made, hits = _sheets(spark, sf_dir, by_page=True)
+    r = sheets.sheet_reports(made, hits, None, TALK_RULES).join(made.select("drawing_id", "base"), "drawing_id")
+    b = sheets.batch_reports(r, "base")
+    ids = [F.array_join(c, ",").alias(c) for c in ("compliant", "non_compliant", "undetermined")]
+    elements = F.aggregate(F.transform("drawings", lambda d: F.size(d["elements"])), F.lit(0), lambda a, x: a + x)
+    return b.select("base_drawing_id", "pdf_path", "total_drawings", elements.alias("n_elements"), *ids)
+
+
+def album_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of which those with an even id have a file, in albums of their first turn's role."""
+    made, hits = _sheets(spark, sf_dir, by_page=False)
+    c = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("role").alias("doc_id"), "conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("stem"))
+    bounds = c.select("doc_id", (F.col("conv_id") * 8 + 1).alias("start_page"), (F.col("conv_id") * 8 + 8).alias("end_page"), "stem")
+    files = c.where("conv_id % 2 = 0").select(F.concat(F.lit("/projects/"), "stem", F.lit(".pdf")).alias("path"))
+    a = sheets.album_reports(bounds, files, sheets.sheet_reports(made, hits, _answers(made), TALK_RULES), "/projects")
+    sizes = [F.size(x).alias(f"n_{x}") for x in ("split_boundaries", "compliant", "non_compliant", "undetermined", "projects")]
+    first = F.col("projects")[0]
+    return a.select("source_album", *sizes, first["drawing_id"].alias("first_project"), first["album_pages"]["end"].alias("first_end"), "pipeline_report_path")
+
+
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, hits = _sheets(spark, sf_dir, by_page=False)
+    p = sheets.prompts(made, hits.withColumn("score", F.lit(0.25)), "{drawing_id}\n{text}\n{chunks}")
+    return p.select("drawing_id", F.length("prompt").alias("n"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         report_verdicts, element_issues, verdict_buckets, first_violations, allowed_materials, page_features, page_scores, page_classes, drawing_runs, drawing_files, project_boundaries, project_pages,
         split_check, split_advice, fused_texts, ocr_choice, first_numbers, file_stems, snippets, image_metrics, top_chunks, chunks, heuristic_elements, parsed_replies, labelled_buckets,
+        match_texts, support_texts, page_texts, project_names, sheet_labels, rules_sentences, album_drawings, joined_pages, drawing_reports, page_batches, album_projects, prompt_texts,
     )
 }

@@ -97,10 +97,10 @@ pages as (
 _VALIDATED = (
     _PARTS
     + """, seen as (
-  select p_brand, p_partkey::varchar as drawing_id, p_partkey, p_partkey % 2 = 0 as heuristic, case p_partkey % 3 when 0 then true when 1 then false end as prior, (p_partkey % 17 <> 0)::int as n_elements,
-    case when p_partkey % 17 = 0 then 0 else (f_size is not null)::int + (f_material is not null)::int + coalesce(f_designation, false)::int end as n_issues,
-    case when p_partkey % 17 = 0 then '' else concat_ws(' | ', case when material is null then p_partkey || ': Марка материала не указана на чертеже (требование: 4)' end,
-      case when designation is null then p_partkey || ': Конструкторское обозначение не указано на чертеже (требование: 5)' end) end as missing
+  select p_brand, p_partkey::varchar as drawing_id, p_partkey, p_partkey % 2 = 0 as heuristic, case p_partkey % 3 when 0 then true when 1 then false end as prior, 1 as n_elements,
+    (f_size is not null)::int + (f_material is not null)::int + coalesce(f_designation, false)::int as n_issues,
+    concat_ws(' | ', case when material is null then p_partkey || ': Марка материала не указана на чертеже (требование: 4)' end,
+      case when designation is null then p_partkey || ': Конструкторское обозначение не указано на чертеже (требование: 5)' end) as missing
   from found
 ), judged as (
   select *, case when n_issues > 0 then false when n_elements = 0 then null when heuristic and prior is not null then prior else true end as is_compliant,
@@ -112,6 +112,46 @@ _VALIDATED = (
 )"""
 )
 
+#: Conversations as sheets; {sheet} is what names one, {blank} what stands for a page number.
+_TALKS = r"""
+turns as (
+  select *, 'c' || conv_id as base, {sheet} as drawing_id, case role when 'system' then 0 when 'user' then 1 else 2 end as kind,
+    case role when 'system' then '[PDF стр.' || turn || ']' when 'user' then '[OCR стр.' || turn || ' (tesseract)]' else '[LLaVA стр.' || turn || ']' end || chr(10) || text as part, trim(text) <> '' as filled
+  from conversations
+), sheets as (
+  select drawing_id, base, coalesce(string_agg(case when filled then part end, chr(10) || chr(10) order by kind, turn), '') as text from turns group by 1, 2
+), chunks as (
+  select item_id::varchar || '#000000' as id, trim(text) as text from benchmark where trim(text) <> ''
+  union all select 'rules.json#000000', '=== Машиночитаемые правила ТЗ ===' || chr(10) || chr(10) || {rules}
+), letters as (select unnest(['a', 'e', 'i', 'o', 'u', 'd', 'l', 'n', 'r', 's', 't']) as x, generate_subscripts(['a', 'e', 'i', 'o', 'u', 'd', 'l', 'n', 'r', 's', 't'], 1) as place
+), chunk_counts as (
+  select id, list((length(text) - length(replace(lower(text), x, '')))::double order by place) as v from chunks, letters group by 1
+), sheet_counts as (
+  select drawing_id, list((length(q) - length(replace(lower(q), x, '')))::double order by place) as v
+  from (select drawing_id, case when trim(text) <> '' then left(text, 800) else 'техническое задание требования материалы' end as q from sheets), letters group by 1
+), scored as (
+  select s.drawing_id, c.id, list_inner_product(s.v, c.v) / nullif(sqrt(list_inner_product(s.v, s.v)), 0) / nullif(sqrt(list_inner_product(c.v, c.v)), 0) as score from sheet_counts s, chunk_counts c
+), hits as (
+  select * from (select *, row_number() over (partition by drawing_id order by round(coalesce(score, 0), 12) desc, id) as rank from scored) where rank <= 3
+), used as (
+  select drawing_id, string_agg(text, '|' order by rank) as used, string_agg('[' || rank || '] Источник: ' || split_part(id, '#', 1) || ' (релевантность: 0.25)' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as blocks
+  from hits join chunks using (id) group by 1
+), replied as (
+  select *, {reply} as k from sheets
+), mentions as (
+  select *, contains(lower(text), 'tion')::int + contains(lower(text), 'ment')::int as sizes, contains(text, 'keit')::int as good, contains(text, 'stand')::int as bad from replied
+), counted as (
+  select *, k in (1, 2) as llm_used, case when k = 1 then 1 else sizes + good + bad end as n_elements, case when k = 1 then 0 else bad end as n_issues,
+    case when k = 1 then 0 else sizes end + case when k in (1, 2) then 0 else 1 end as lines, k <> 1 and (k not in (2, 3) or sizes + good + bad > 0) as heuristic from mentions
+), remarked as (
+  select *, case when n_issues > 0 then false when n_elements = 0 then null when heuristic and k = 2 then true else true end as is_compliant, lines + (case when n_issues > 0 then 0 when n_elements = 0 then 1 when heuristic then 1 when k = 1 then 1 else 0 end) as n_missing from counted
+), reported as (
+  select r.*, k in (1, 2, 3) as asked, case when n_issues > 0 or n_missing > 0 then 'medium' when k = 1 then 'high' else 'low' end as overall_confidence, md5(used) as chunks_md5, blocks from remarked r join used using (drawing_id)
+)"""
+_TALK_SENTENCES = "'Поле ''bolt_size'' (): допустимые значения: tion, ment. Единица: . Стандарт: . Ссылка: .' || chr(10) || 'Поле ''bolt_size'' (): допустимые значения: the. Единица: . Стандарт: . Ссылка: .' || chr(10) || 'Материалы: допустимые: keit. Запрещённые: stand. Стандарт: . Ссылка: 7.'"
+_BY_TALK = _TALKS.replace("{sheet}", "'c' || conv_id").replace("{rules}", _TALK_SENTENCES).replace("{reply}", "length(text) % 4")
+_BY_TURN = _TALKS.replace("{sheet}", "'c' || conv_id || '-стр.' || turn").replace("{rules}", _TALK_SENTENCES).replace("{reply}", "0")
+
 ORACLE_SQL = {
     "report_verdicts": f"""with {_VALIDATED}
 select drawing_id, n_elements, n_issues, concat_ws(' | ', nullif(missing, ''), remark) as missing_info, is_compliant,
@@ -189,15 +229,15 @@ select total, suspicious, case when total = 0 then 'empty' when suspicious = 0 t
 ), fused as (select conv_id, coalesce(string_agg(case when filled then part end, chr(10) || chr(10) order by kind, turn), '') as text from parts group by 1)
 select conv_id, length(text) as n, md5(text) as text_md5, md5(case when trim(text) <> '' then left(text, 800) else 'Требования к материалам, размерам и обозначениям' end) as query_md5 from fused""",
     "ocr_choice": """with d as (
-  select doc_id, substr(text, 1, (doc_id % 90)::int) as a, substr(text, 20, (doc_id % 70)::int) as b from documents
+  select doc_id, regexp_replace(text, '[^0-9]+', ' ', 'g') as a, text as b from documents
 ), c as (
   select *, len(regexp_extract_all(a, '[а-яёА-ЯЁa-zA-Z0-9]')) as n1, len(regexp_extract_all(b, '[а-яёА-ЯЁa-zA-Z0-9]')) as n2 from d
 ), e as (select *, n1 < 50 and n2 > n1 as swap from c), f as (select *, case when swap then n2 else n1 end as n from e)
 select doc_id, case when swap then 'easyocr' when n1 > 0 then 'tesseract' else 'none' end as engine, case when n >= 200 then 'high' when n >= 50 then 'medium' else 'low' end as confidence, n as char_count,
-  case when swap then b when n1 > 0 then a else '' end as text from f""",
+  md5(case when swap then b when n1 > 0 then a else '' end) as text_md5 from f""",
     "first_numbers": r"select event_id, try_cast(regexp_extract(value::varchar, '[-+]?\d+(\.\d+)?') as double) as number from events",
     "file_stems": r"""with s as (
-  select page_id, url as a, left(html, 90) as b from pages
+  select page_id, url as a, html as b from pages
 ), c as (
   select page_id, regexp_replace(trim(regexp_replace(a, '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '\s+', '_', 'g') as a, regexp_replace(trim(regexp_replace(b, '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '\s+', '_', 'g') as b from s
 )
@@ -255,4 +295,87 @@ select event_id, n as n_elements, case when n = 2 then k::varchar end as size, c
 )
 select source, total_drawings, coalesce(len(yes), 0) as n_compliant, n_no as n_non_compliant, n_open as n_undetermined,
   coalesce(array_to_string(list_transform(yes[1:8], lambda x: x::varchar), ','), '') || case when len(yes) > 8 then ',… ещё ' || (len(yes) - 8) else '' end as first_compliant from a""",
+    "match_texts": r"""with m as (select doc_id, regexp_replace(translate(text, chr(160) || '×xX', ' ххх'), '[\s\x{A0}\x{3000}]+', ' ', 'g') as t from documents)
+select doc_id, length(t) as n, md5(t) as text_md5 from m""",
+    "support_texts": r"""with f as (select doc_id, trim(regexp_replace(lower(text), '[\s\x{A0}\x{3000}]+', ' ', 'g')) as t from documents)
+select doc_id, regexp_matches(t, '\d{2,4}\s*[xх×]\s*\d{2,4}|\d+\s*[=≈]\s*\d+|масштаб\s*1\s*[:]') or contains(t, 'примечани') or contains(t, 'условн') or contains(t, 'размер') or contains(t, 'экспликац') or contains(t, 'легенда') as supported from f""",
+    "page_texts": r"""with r as (
+  select doc_id, upper(lang) as ocr, case when lang = 'en' then repeat('Двухэтажный жилой дом из кирпича с гаражом и мансардой, вариант первый, стены и план этажа. ', 3) else '' end || text as raw from documents
+), s as (select *, regexp_replace(raw, '^[\s\x{A0}\x{3000}]+|[\s\x{A0}\x{3000}]+$', '', 'g') as t from r
+), c as (
+  select *, len(regexp_extract_all(t, '[\x{0400}-\x{04FF}]')) as cyrillic, len(regexp_extract_all(t, '[A-Za-z]')) as latin, len(regexp_extract_all(raw, '[\p{L}\p{M}\p{N}_]')) as letters,
+    regexp_matches(lower(t), 'жилой|дом|мансард|этажн|гараж|арболит|брус|кирпич|одноэтаж|двухэтаж|вариант|стен') as hinted from s
+), n as (
+  select *, length(t) < 100 or contains(raw, chr(65533)) or (letters > 20 and cyrillic < 0.15 * letters) or (cyrillic < 5 and latin >= 25) or (not hinted and cyrillic < case when length(t) >= 120 then 20 else 12 end) as needed from c
+)
+select doc_id, needed, md5(case when needed and ocr <> '' then raw || chr(10) || ocr else raw end) as text_md5 from n""",
+    "project_names": """with t as (
+  select p_partkey, p_size, case p_size % 3 when 0 then 'кирпич' when 1 then 'Арболит и брус' else 'стены: монолит' end as material, case p_size % 3 when 0 then 'kirpich' when 1 then 'arbolit' else 'стены_монолит' end as word from part
+)
+select p_partkey, 'ЖИЛОЙ ДОМ (' || p_size || ',5 х 12.0) (' || material || ')' as signature, 'project_zhdom_' || p_size || '_5x12_0_' || word as slug from t""",
+    "sheet_labels": """select p_partkey, case p_size % 4 when 0 then p_partkey || '_' || '_' || '_' || replace(p_name, ' ', '_') when 1 then 'план_этажа_' || p_partkey when 2 then p_size || '-AB7' else replace(p_name, ' ', '_') || '__' || p_partkey end as label from part""",
+    "rules_sentences": """with h as (select '=== Машиночитаемые правила ТЗ ===' as head, 'Поле ''bolt_size'' (): допустимые значения: M8, M10. Единица: . Стандарт: S1. Ссылка: 1.' || chr(10) || 'Поле ''wall'' (): диапазон 4.0–46.0 mm. Стандарт: S2. Ссылка: 2.' || chr(10) || 'Поле ''gap'' (): диапазон 1.0–40.0 mm. Стандарт: S3. Ссылка: .' || chr(10)
+  || 'Материалы: допустимые: STANDARD, MEDIUM, LARGE, SMALL. Запрещённые: PROMO. Стандарт: S4. Ссылка: 4.' || chr(10) || 'Обозначения: паттерн ''^Brand#[0-9]{2}$''. Примеры: Brand#10. Ссылка: 5.' || chr(10) || 'Покрытия: допустимые коды: bolt, ring. Стандарт: S6. Ссылка: 6.' as body
+), c as (select head || chr(10) || chr(10) || body as text, 0 as chunk_id from h where length(head) + length(body) <= 500 union all select unnest([head, head || chr(10) || chr(10) || body]), unnest([0, 1]) from h where length(head) + length(body) > 500)
+select 'rules.json#00000' || chunk_id as id, chunk_id, length(text) as n, text from c""",
+    "album_drawings": rf"""with {_PAGES}, ranked as (
+  select *, list_reverse_sort([drawing, explication, annotation, ad]) as s from scored
+), best as (
+  select *, case when s[1] >= 0.52 and s[1] - s[2] >= 0.12 then s[1] end as b, trim(regexp_replace(raw, '[\s\x{{A0}}\x{{3000}}]+', ' ', 'g')) as flat from ranked
+), named as (
+  select *, coalesce(nullif(replace(regexp_extract(flat, '\b(\d{{1,4}}\s*[-–—]\s*[А-ЯA-ZЁё0-9]{{1,8}})\b', 1), ' ', ''), ''), left(flat, 64)) as name from best
+), stemmed as (
+  select *, regexp_replace(trim(regexp_replace(name, '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '\s+', '_', 'g') as clean from named
+), flags as (
+  select doc_id as page, not ads and coalesce(drawing = b, false) as is_drawing, not ads and (coalesce(explication = b, false) or coalesce(annotation = b, false) or (proj and (b is null or annotation = b))) as content, ads or coalesce(ad = b, false) as is_ad,
+    (regexp_matches(left(t, 1800), 'the\s*an') and (contains(left(t, 1800), 'tion') or contains(left(t, 1800), 'keit'))) or contains(left(t, 1800), 'thouin') or contains(left(t, 1800), 'ondre') as starts,
+    case when flat = '' then 'drawing' else coalesce(nullif(rtrim(left(coalesce(nullif(trim(clean, '._'), ''), 'drawing'), 72), '._'), ''), 'drawing') end as label from stemmed
+), album as (
+  select source as doc_id, f.*, row_number() over (partition by source order by page) as place from flags f join documents d on d.doc_id = f.page
+), segmented as (
+  select *, 1 + sum((starts and place > 1)::int) over (partition by doc_id order by page) as segment from album
+), zoned as (
+  select *, sum(is_ad::int) over (partition by doc_id, segment order by page) as zone from segmented
+), bounds as (
+  select *, min(place) over z as zone_first, max(place) over z as zone_last from zoned where not is_ad window z as (partition by doc_id, segment, zone)
+), steps as (
+  select *, coalesce(place - lag(place) over (partition by doc_id, segment, zone order by place) - 1 > 3, true) as new from bounds where is_drawing or content
+), islands as (
+  select *, sum(new::int) over (partition by doc_id, segment, zone order by place) as run from steps
+), runs as (
+  select doc_id, segment, zone, run, zone_first, zone_last, min(place) as lo, max(place) as hi, bool_or(is_drawing) as drawn from islands group by all
+), glued as (
+  select doc_id, segment, zone, run, drawn, case when run = 1 and lo - zone_first <= 2 then zone_first else lo end as low,
+    case when run = max(run) over (partition by doc_id, segment, zone) and zone_last - hi <= 2 then zone_last else hi end as high from runs
+), paged as (
+  select g.doc_id, g.segment, g.zone, run, place, page, is_drawing, label, floor((row_number() over (partition by g.doc_id, g.segment, g.zone, run order by place) - 1) / 48)::int as part
+  from glued g join zoned z on g.doc_id = z.doc_id and g.segment = z.segment and g.zone = z.zone and place between low and high and not is_ad where drawn
+), files as (
+  select doc_id, segment, zone, run, part, min(page) as first_page, max(page) as last_page, count(*) as n_pages, coalesce(arg_min(label, place) filter (where is_drawing), arg_min(label, place)) as label from paged group by all
+), numbered as (
+  select *, min(first_page) over w as run_first, row_number() over (partition by doc_id order by first_page) as seq, count(*) over w > 1 as cut from files window w as (partition by doc_id, segment, zone, run)
+), based as (
+  select *, printf('drawing_p%02d_', segment::int) || label || case when cut then printf('_p%03d', seq::int) else '' end as base from numbered
+)
+select doc_id, seq, segment, run_first, first_page, last_page, n_pages,
+  base || case when row_number() over (partition by doc_id, base order by seq) > 1 then '_' || (row_number() over (partition by doc_id, base order by seq) - 1) else '' end as stem from based""",
+    "joined_pages": """with p as (
+  select conv_id as doc_id, turn as page_number, case when role = 'assistant' then upper(text) else text end as pdf, case when role = 'user' then lower(text) end as ocr, case when turn = 3 then 'a drawing' end as caption from conversations
+), q as (
+  select *, case when trim(pdf) <> '' then '[PDF стр.' || page_number || ']' || chr(10) || pdf end as a, case when trim(ocr) <> '' then '[OCR стр.' || page_number || ' (easyocr)]' || chr(10) || ocr end as b, case when caption is not null then '[LLaVA стр.' || page_number || ']' || chr(10) || caption end as c from p
+)
+select doc_id, page_number, (a is not null)::int + (b is not null)::int + (c is not null)::int as n_parts, md5(concat_ws('|', a, b, c)) as parts_md5, md5(to_base64(encode(pdf))) as image_md5, doc_id || '-стр.' || page_number as sheet_id from q""",
+    "drawing_reports": f"""with {_BY_TALK}
+select drawing_id, n_elements, n_issues, n_missing, is_compliant, overall_confidence, asked as llm_used, chunks_md5,
+  'Чертёж ' || drawing_id || ': ' || case when is_compliant then 'СООТВЕТСТВУЕТ' when not is_compliant then 'НЕ СООТВЕТСТВУЕТ' else 'НЕЛЬЗЯ ОПРЕДЕЛИТЬ' end || ' | Элементов: ' || n_elements || ' | Расхождений: ' || n_issues || ' | Не определено: ' || n_missing as summary from reported""",
+    "page_batches": f"""with {_BY_TURN}, placed as (select r.*, t.turn from reported r join turns t using (drawing_id))
+select base as base_drawing_id, base || '.pdf' as pdf_path, count(*) as total_drawings, sum(n_elements) as n_elements, coalesce(string_agg(case when is_compliant then drawing_id end, ',' order by turn), '') as compliant,
+  coalesce(string_agg(case when not is_compliant then drawing_id end, ',' order by turn), '') as non_compliant, coalesce(string_agg(case when is_compliant is null then drawing_id end, ',' order by turn), '') as undetermined from placed group by base""",
+    "album_projects": f"""with {_BY_TALK}, c as (
+  select role, conv_id, r.drawing_id, r.is_compliant, conv_id % 2 = 0 as held from conversations join reported r on r.drawing_id = 'c' || conv_id where turn = 0
+)
+select role as source_album, count(*) as n_split_boundaries, count(*) filter (where held and is_compliant) as n_compliant, count(*) filter (where held and not is_compliant) as n_non_compliant, count(*) filter (where held and is_compliant is null) as n_undetermined, count(*) filter (where held) as n_projects,
+  arg_min(drawing_id, conv_id) filter (where held) as first_project, min(conv_id) filter (where held) * 8 + 8 as first_end, '/projects/' || role || '_pipeline_report.json' as pipeline_report_path from c group by 1""",
+    "prompt_texts": f"""with {_BY_TALK}, p as (select drawing_id, drawing_id || chr(10) || left(text, 3000) || chr(10) || left(blocks, 2000) as prompt from reported)
+select drawing_id, length(prompt) as n, md5(prompt) as prompt_md5 from p""",
 }

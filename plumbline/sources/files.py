@@ -14,6 +14,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import meaningful_chars
+
 PAGE = "doc_id string, page_number int, pdf_text string, image bytes, has_drawings boolean".replace("bytes", "binary")
 REPORT = (
     "drawing_id string, pdf_path string, page_number int, total_pages int, llm_used boolean, "
@@ -41,11 +43,24 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPORT).json(path, multiLine=True)
 
 
+def _status(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def pdf_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """path and content of the files whose names match, by path."""
+    """path and content of the files whose names match. Spark raises an error for a missing path."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
+def drawing_files(spark: SparkSession, folder: str, glob: str = "drawing_*.pdf") -> DataFrame:
+    """path and content of a folder's drawings, ordered by path."""
+    store, where = _status(spark, folder)
+    if not store.exists(where) or not store.getFileStatus(where).isDirectory():
+        raise NotADirectoryError(folder)
+    return pdf_files(spark, folder, glob).orderBy("path")
+
+
 def pages(files: DataFrame, reader: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
     """One row for each page that the plug-in reader finds in a file (page_number, pdf_text, image, has_drawings)."""
 
@@ -80,6 +95,81 @@ def asked(rows: DataFrame, ask: Callable[[], Callable[[str], str]], column: str,
     return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` string")
 
 
+def read(rows: DataFrame, engine: Callable[[], Callable[[bytes], str]], into: str, image: str = "image") -> DataFrame:
+    """rows with a struct of text and ok that an OCR engine reads from an image; a failure is an empty text, not ok."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ocr = engine()
+
+        def one(content: bytes | None) -> dict:
+            try:
+                return {"text": ocr(content), "ok": True} if content is not None else {"text": "", "ok": False}
+            except Exception:  # whatever the plug-in raises
+                return {"text": "", "ok": False}
+
+        for pdf in frames:
+            yield pdf.assign(**{into: [one(x) for x in pdf[image]]})
+
+    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` struct<text:string,ok:boolean>")
+
+
+def read_by_two(rows: DataFrame, first: Callable, second: Callable, forced: bool = False, least: int = 50) -> DataFrame:
+    """rows with tess_text and easy_text: what the first engine reads, and the second where the first has too little."""
+    once = read(rows, first, "_first").withColumn("tess_text", F.col("_first.text")).drop("_first")
+    weak = F.lit(forced) | (meaningful_chars(F.col("tess_text")) < least)
+    again = read(once.where(weak), second, "_second").withColumn("easy_text", F.col("_second.text")).drop("_second")
+    return again.unionByName(once.where(~weak).withColumn("easy_text", F.lit(None).cast("string")))
+
+
+def page_images(pages: DataFrame, base: str, render_all: bool = True) -> DataFrame:
+    """name and content of the pages' images: all, or those with drawings or hardly any text."""
+    wanted = F.lit(render_all) | F.col("has_drawings") | (F.length("pdf_text") < 30)
+    return pages.where(wanted & F.col("image").isNotNull()).select(F.concat(F.col(base).cast("string"), F.format_string("_page_%03d.png", "page_number")).alias("name"), F.col("image").alias("content"))
+
+
+def cut_files(albums: DataFrame, files: DataFrame, cutter: Callable[[bytes, list[int]], bytes]) -> DataFrame:
+    """name and content of each output file. albums: doc_id, content; files: doc_id, stem, pages; cutter makes the bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = [cutter(c, list(p)) for c, p in zip(pdf["content"], pdf["pages"], strict=True)]
+            yield pd.DataFrame({"name": pdf["stem"] + ".pdf", "content": made})
+
+    return files.select("doc_id", "stem", "pages").join(albums, "doc_id").mapInPandas(run, "name string, content binary")
+
+
+def write_files(files: DataFrame, folder: str, overwrite: bool = True) -> None:
+    """Writes each content under its name. Without overwrite a name that is there already gets _1, _2 and so on."""
+    store, where = _status(files.sparkSession, folder)
+    there: set[str] = set()
+    if not overwrite and store.exists(where):
+        there = {s.getPath().getName() for s in store.listStatus(where)}
+    store.mkdirs(where)
+    target = str(store.makeQualified(where).toUri())
+    target = target.replace("file:/", "file:///", 1) if target.startswith("file:/") and not target.startswith("file://") else target
+
+    def save(rows: Iterator) -> None:
+        from pyarrow import fs
+
+        remote, base = fs.FileSystem.from_uri(target)
+        for r in rows:
+            stem, _, ending = r["name"].rpartition(".")
+            name, k = r["name"], 0
+            while name in there:
+                k += 1
+                name = f"{stem}_{k}.{ending}"
+            with remote.open_output_stream(f"{base}/{name}") as out:
+                out.write(bytes(r["content"]))
+
+    files.select("name", "content").foreachPartition(save)
+
+
+def chunk_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The chunks of an index; none, where it is not there."""
+    store, where = _status(spark, path)
+    return spark.read.schema(schema).parquet(path) if store.exists(where) else spark.createDataFrame([], schema)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
