@@ -1,41 +1,43 @@
 """Suffix-array dedup: bytes under strings of ``LENGTH`` bytes that start more than once in the corpus.
 
 Suffixes are compared to a depth of LENGTH bytes, so what counts of one that starts at p is the window [p, p + LENGTH).
-A table of all suffixes would be LENGTH times the corpus. It is thinned first, without loss, in two steps.
+A table of all suffixes would be LENGTH times the corpus. It is thinned, without loss, and what is left is decided by
+sorted suffixes whose bytes are compared.
 
 * Each window has an anchor, the place of the least hash among the short strings in it (leftmost of the least). The choice
   depends on the window's bytes alone, so equal windows have equal short strings at their anchors. Windows whose
-  anchor's string occurs once are unique. The windows of one anchor are consecutive and lie in its context; anchors
-  with equal contexts settle each other: all of their windows are repeated. Where all contexts of a short string are
-  equal, nothing is left to compare.
-* What is left is looked at in turns of ``TURN`` windows by their distance from the anchor: again all of a turn's windows
-  are unique where the bytes that they share occur once, and repeated where all of their bytes occur again.
-
-What is left now, mostly around the ends of repeated passages, is the suffix table. Its key is the suffix's first 8 bytes
-and a 128-bit fingerprint of the window. Splitters sampled from it cut it into ranges; a key that fills several ranges is
-dealt out over them by turns. Each range is sorted by multikey quicksort: by the leading bytes, then only where these tie
-by the next word, and so on. Neighbours with equal keys are repeated, within a range and, by the first and last key of
-each, across the boundaries.
+  anchor's string occurs once are unique and need no suffix.
+* The windows of one anchor are consecutive. One suffix stands for all of them: it starts at the first and is compared to
+  the depth where the last ends. Suffixes that are equal to that depth have only repeated windows.
+* Of anchors with a suffix that no other equals, and of one suffix of each kind as a partner, turns of ``TURN`` windows
+  are looked at in the same way: those whose common bytes occur once are unique, for others there is a suffix each.
+* What is left, mostly around the ends of repeated passages, has a suffix for each window.
+
+A suffix table is cut into ranges by splitters that are sampled from it, and each range is sorted by multikey quicksort:
+by two words of leading bytes, then, where these tie, by a fingerprint of all bytes, then, where that ties, by the bytes
+themselves. The fingerprint only splits suffixes with a common beginning over ranges; suffixes count as equal where their
+bytes are. A key that fills several ranges is dealt out over them by turns, and the first and last kind of each range are
+compared across the boundaries.
 
 Texts are written once, in blocks of about ``BLOCK_BYTES``, to a table that is bucketed by block; a place is (block and row,
-offset). Later steps bring places to their block, so text is never shuffled. Short strings
-and turns that a sample shows to be hot are dealt out by context and block, and their groups are put together afterwards.
+offset). Later steps bring places to their block, so text is never shuffled but for the bytes of suffixes. Short strings
+and turns that a sample shows to be hot occur again for certain; they are not brought together to be counted.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table, written
+from plumbline.llm.common import kept_table, table, written
 
 LENGTH = 200
 #: Bytes of the short strings; a window of 200 bytes has 169 of them.
@@ -47,8 +49,8 @@ BLOCK_BYTES = 1_000_000
 #: A short string, or the bytes that a turn's windows share, is hot if it stands so often in a sample of that share; at most
 #: so many are taken as hot.
 HOT_SHARE, HOT, MOST_HOT = 1 / 64, 100, 10_000
-#: Suffixes of a range that the splitters aim at, and the share of blocks that they are sampled from.
-RANGE_ROWS, SAMPLE_SHARE = 400_000, 1 / 32
+#: Suffixes of a range that the splitters aim at, and sampled suffixes for each range.
+RANGE_ROWS, SAMPLES = 120_000, 100
 #: Bytes of texts that are hashed together.
 TOGETHER = 1 << 18
 
@@ -143,10 +145,7 @@ def blocked(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataF
 
     # only the sizes go to Python
     placed = docs.withColumn("at", place(F.octet_length("body"))).select("at.block", "at.id", *docs.columns)
-    name = f"plumbline_texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed.write.bucketBy(buckets, "block").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return kept_table(placed, "texts", "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _with_places(texts: DataFrame, places: DataFrame, columns: list[str], run: Callable, schema: str) -> DataFrame:
@@ -172,7 +171,7 @@ def _hot_shorts(texts: DataFrame, length: int, short: int) -> np.ndarray:
 
 
 def _anchors(texts: DataFrame, length: int, short: int) -> DataFrame:
-    """part (short hash), whole (context hash), id, first, windows, offset, hot of each anchor."""
+    """part (short hash), id, first, windows, offset, hot, asked of each anchor."""
     hot = texts.sparkSession.sparkContext.broadcast(_hot_shorts(texts, length, short))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,41 +179,24 @@ def _anchors(texts: DataFrame, length: int, short: int) -> DataFrame:
             ids = batch.column("id").to_numpy()
             for row, _, data, starts, ends in _runs(batch):
                 found, at, first, last = anchor_runs(data, starts, ends, length, short)
-                whole = sum(Prefixes(data, b).of(first, last + length) * _U(k) for b, k in zip(_BASES, (1, 3), strict=True)) if len(at) else found
-                whole = _mixed(whole + ((at - first) * 65536 + last - first).astype(_U) * _U(_BASES[1])).view(np.int64)
-                doc = np.searchsorted(ends, first, side="right")
-                part = found.view(np.int64)
-                made = [part, whole, ids[row + doc], (first - starts[doc]).astype(np.int32), (last - first + 1).astype(np.int32), (at - first).astype(np.int32), np.isin(part, hot.value)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, made)), names=["part", "whole", "id", "first", "windows", "offset", "hot"])
+                doc, part = np.searchsorted(ends, first, side="right"), found.view(np.int64)
+                made = [part, ids[row + doc], (first - starts[doc]).astype(np.int32), (last - first + 1).astype(np.int32), (at - first).astype(np.int32), np.isin(part, hot.value)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, made)), names=["part", "id", "first", "windows", "offset", "hot"])
 
-    return texts.select("id", "body").mapInArrow(run, "part long, whole long, id long, first int, windows int, offset int, hot boolean").withColumn("asked", F.lit(True))
+    return texts.select("id", "body").mapInArrow(run, "part long, id long, first int, windows int, offset int, hot boolean").withColumn("asked", F.lit(True))
 
 
-def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose windows are all repeated, rows to look at more closely).
-
-    rows: part, whole, id, first, windows, offset, hot, asked. Rows of equal whole settle each other; rows that are alone
-    with their part are unique. Of equal rows one stays, as a partner for others of its part, asked if it is alone.
-    """
-    spread = F.when(F.col("hot"), F.xxhash64("whole", F.pmod(F.shiftright("id", 20), F.lit(64)))).otherwise(F.lit(0).cast("long"))
+def _together(rows: DataFrame) -> DataFrame:
+    """The rows whose part another row has too, where one of them is asked; hot ones without being counted."""
+    spread = F.when(F.col("hot"), F.xxhash64("id", "first")).otherwise(F.lit(0).cast("long"))
     group = Window.partitionBy("part", "spread")
-    alike = Window.partitionBy("part", "spread", "whole")
-    seen = (
-        rows.withColumn("spread", spread)
-        .withColumn("n", F.count("*").over(alike))
-        .withColumn("place", F.row_number().over(alike.orderBy("id", "first")))
-        .withColumn("others", F.min("whole").over(group) != F.max("whole").over(group))
-    )
-    seen = written(seen.where("n > 1 or others or hot").drop("spread"), "anchors")
-    columns = ["id", "first", "windows", "offset"]
-    row = F.struct(*columns, "asked")
-    cold, hot = seen.where("not hot"), seen.where("hot")
-    heads = hot.where("place = 1").groupBy("part", "whole").agg(F.sum("n").alias("total"), F.min(row).alias("one"))
-    late = hot.where("n = 1").join(heads.where("total > 1").select("part", "whole"), ["part", "whole"], "left_semi")
-    settled = seen.where("n > 1 and asked").select(columns).unionByName(late.where("asked").select(columns))
-    left = cold.where("others and place = 1").select(*columns, (F.col("asked") & (F.col("n") == 1)).alias("asked"))
-    left = left.unionByName(heads.select("one.*", "total").select(*columns, (F.col("asked") & (F.col("total") == 1)).alias("asked")))
-    return settled, left
+    seen = rows.withColumn("spread", spread).withColumn("n", F.count("*").over(group)).withColumn("any", F.max("asked").over(group))
+    return written(seen.where("hot or (n > 1 and any)").select(*PLACE), "together")
+
+
+#: Columns of a row of windows: the first and how many, and the anchor's distance from the first.
+PLACE = ("part", "id", "first", "windows", "offset", "hot", "asked")
+_PLACE_KINDS = "part long, id long, first int, windows int, offset int, hot boolean, asked boolean"
 
 
 def _gathered(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -236,10 +218,10 @@ def _hot_parts(turns: DataFrame) -> list[int]:
 
 
 def _turns(texts: DataFrame, left: DataFrame, length: int) -> DataFrame:
-    """Of each anchor in left its turns, as rows that _settle takes."""
+    """Of each anchor in left its turns, by distance from the anchor; part is a hash of the bytes that the turn's windows share."""
 
     def run(some: pa.Table, places: pa.Table) -> pa.Table:
-        data, start, end, _ = _gathered(some, places)
+        data, start, _, _ = _gathered(some, places)
         first, windows, offset = (places.column(c).to_numpy().astype(np.int64) for c in ("first", "windows", "offset"))
         at = first + offset + start
         # distances from the anchor: offset down to offset - windows + 1
@@ -248,61 +230,66 @@ def _turns(texts: DataFrame, left: DataFrame, length: int) -> DataFrame:
         of = np.repeat(np.arange(len(n)), n)
         turn = low[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         near, far = TURN * turn, TURN * turn + TURN - 1
-        a, begin, stop = at[of], start[of], end[of]
-        made = {}
-        hashes = [Prefixes(data, b) for b in _BASES]
-        both = lambda x, y: hashes[0].of(x, y) + hashes[1].of(x, y) * _U(3)
-        made["part"] = _mixed(both(a - near, a - far + length) + turn.astype(_U) * _U(_BASES[1])).view(np.int64)
-        x, y = np.maximum(a - far, begin), np.minimum(a - near + length, stop)
-        made["whole"] = _mixed(both(x, y) + ((a - x) * 65536 + y - a).astype(_U) * _U(_BASES[1])).view(np.int64)
-        made["id"] = places.column("id").to_numpy()[of]
         top, bottom = np.minimum(far, offset[of]), np.maximum(near, (offset - windows + 1)[of])
-        made["first"] = (a - begin - top).astype(np.int32)
-        made["windows"] = (top - bottom + 1).astype(np.int32)
-        made["offset"] = top.astype(np.int32)
-        made["asked"] = places.column("asked").to_numpy()[of]
-        return pa.table({k: pa.array(v) for k, v in made.items()})
+        hashes = [Prefixes(data, b).of(at[of] - near, at[of] - far + length) for b in _BASES]
+        made = {
+            "part": _mixed(hashes[0] + hashes[1] * _U(3) + turn.astype(_U) * _U(_BASES[1])).view(np.int64), "id": places.column("id").to_numpy()[of], "first": (at[of] - start[of] - top).astype(np.int32),
+            "windows": (top - bottom + 1).astype(np.int32), "offset": top.astype(np.int32), "hot": np.zeros(len(of), bool), "asked": places.column("asked").to_numpy()[of],
+        }
+        return pa.table({k: pa.array(made[k]) for k in PLACE})
 
-    return _with_places(texts, left, ["body"], run, "part long, whole long, id long, first int, windows int, offset int, asked boolean")
+    return _with_places(texts, left, ["body"], run, _PLACE_KINDS)
 
 
-def _suffixes(texts: DataFrame, left: DataFrame, length: int, splitters: np.ndarray) -> DataFrame:
-    """range, lead, f1, f2 (the sort key), id, start, asked of each window in left."""
+def _suffixes(texts: DataFrame, places: DataFrame, length: int, splitters: np.ndarray) -> DataFrame:
+    """range, p1 and p2 (leading bytes as ordered longs), fp, body, and the columns of places: the suffix of each row."""
 
     def run(some: pa.Table, places: pa.Table) -> pa.Table:
         data, start, _, _ = _gathered(some, places)
-        n = places.column("windows").to_numpy().astype(np.int64)
-        of = np.repeat(np.arange(len(n)), n)
-        window = places.column("first").to_numpy().astype(np.int64)[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = window + start[of]
-        lead = np.zeros(len(at), _U)
-        for i in range(8):
-            lead = (lead << _U(8)) | data[at + i].astype(_U)
-        lead = (lead ^ _U(2**63)).view(np.int64)
-        f1, f2 = (Prefixes(data, b).of(at, at + length).view(np.int64) for b in _BASES)
-        made = [_ranges(lead, f1, splitters), lead, f1, f2, places.column("id").to_numpy()[of], window.astype(np.int32), places.column("asked").to_numpy()[of]]
-        return pa.table(dict(zip(("range", "lead", "f1", "f2", "id", "start", "asked"), map(pa.array, made), strict=True)))
+        at = places.column("first").to_numpy().astype(np.int64) + start
+        size = places.column("windows").to_numpy().astype(np.int64) - 1 + length
+        p1, p2 = (_word(data, at + k) for k in (0, 8))
+        fp = Prefixes(data, _BASES[0]).of(at, at + size).view(np.int64)
+        end = np.cumsum(size)
+        body = data[np.repeat(at - end + size, size) + np.arange(size.sum())]
+        offsets = np.concatenate([[0], end]).astype(np.int32)
+        own = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+        return pa.table({"range": pa.array(_ranges(p1, p2, fp, splitters)), "p1": pa.array(p1), "p2": pa.array(p2), "fp": pa.array(fp), "body": own, **{c: places.column(c) for c in PLACE}})
+
+    return _with_places(texts, places, ["body"], run, f"range int, p1 long, p2 long, fp long, body binary, {_PLACE_KINDS}")
 
-    return _with_places(texts, left, ["body"], run, "range int, lead long, f1 long, f2 long, id long, start int, asked boolean")
 
+def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place, as longs in the order of the bytes. A short depth reads zeros behind the end."""
+    word, padded = np.zeros(len(at), _U), np.concatenate([data, np.zeros(16, np.uint8)])
+    for i in range(8):
+        word = (word << _U(8)) | padded[at + i].astype(_U)
+    return (word ^ _U(2**63)).view(np.int64)
 
-def _sort_bytes(lead: np.ndarray, f1: np.ndarray) -> np.ndarray:
-    both = np.stack([lead.view(_U) ^ _U(2**63), f1.view(_U) ^ _U(2**63)], axis=1).astype(">u8")
-    return np.ascontiguousarray(both).view("S16").ravel()
 
+def _sort_bytes(p1: np.ndarray, p2: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    words = np.stack([x.view(_U) ^ _U(2**63) for x in (p1, p2, fp)], axis=1).astype(">u8")
+    # a last byte, as numpy drops zeros at the end of bytes
+    return np.ascontiguousarray(np.concatenate([words.view(np.uint8), np.ones((len(words), 1), np.uint8)], axis=1)).view("S25").ravel()
 
-def _ranges(lead: np.ndarray, f1: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    x = _sort_bytes(lead, f1)
+
+def _ranges(p1: np.ndarray, p2: np.ndarray, fp: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    x = _sort_bytes(p1, p2, fp)
     low, high = np.searchsorted(splitters, x, side="left"), np.searchsorted(splitters, x, side="right")
     # a key that is a splitter may stand in each of the ranges that meet there
     return (low + np.arange(len(x)) % (high - low + 1)).astype(np.int32)
 
 
-def _splitters(sample: DataFrame, ranges: int) -> np.ndarray:
-    """Splitters that cut a sample of suffixes into so many even ranges."""
-    drawn = sample.select("lead", "f1").toArrow()
-    drawn = np.sort(_sort_bytes(drawn.column("lead").to_numpy(), drawn.column("f1").to_numpy()))
-    return drawn[len(drawn) * np.arange(1, ranges) // ranges] if len(drawn) else drawn
+def _splitters(texts: DataFrame, places: DataFrame, length: int, range_rows: int) -> np.ndarray:
+    """Splitters that cut the suffixes of places into even ranges, from about SAMPLES suffixes for each, chosen by hash."""
+    n, none = places.count(), np.zeros(0, "S25")
+    ranges = max(1, -(-n // range_rows))
+    if ranges == 1:
+        return none
+    some = F.pmod(F.xxhash64("id", "first", F.lit("sample")), F.lit(max(1, n // (SAMPLES * ranges)))) == 0
+    drawn = _suffixes(texts, places.where(some), length, none).select("p1", "p2", "fp").toArrow()
+    keys = np.sort(_sort_bytes(*(drawn.column(c).to_numpy() for c in ("p1", "p2", "fp"))))
+    return keys[len(keys) * np.arange(1, ranges) // ranges] if len(keys) else none
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -325,46 +312,92 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
-    """id, start of the asked rows whose sort key another row has too."""
-    kind = "id long, start int, asked boolean"
+def _alike(data: np.ndarray, start: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether the strings one and two (rows of start and size) have the same bytes."""
+    even = size[one] == size[two]
+    pairs = np.flatnonzero(even)
+    for at in range(0, len(pairs), 4096):
+        some = pairs[at : at + 4096]
+        n = size[one[some]]
+        begin = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(begin, n)
+        same = data[np.repeat(start[one[some]], n) + step] == data[np.repeat(start[two[some]], n) + step]
+        even[some] = np.minimum.reduceat(same, begin)
+    return even
+
+
+def sorted_kinds(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(order of a range's suffixes, whether each is another kind than the one before): kinds are strings of equal bytes."""
+    body = part.column("body").combine_chunks()
+    body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
+    offset = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
+    data, start, size = np.frombuffer(body.buffers()[2], np.uint8), offset[:-1], np.diff(offset)
+    keys = [part.column(c).to_numpy() for c in ("p1", "p2", "fp")]
+    order = multikey_order(keys)
+    tied = np.ones(max(len(order) - 1, 0), bool)
+    for k in keys:
+        tied &= k[order][1:] == k[order][:-1]
+    new = np.ones(len(order), bool)
+    at = np.flatnonzero(tied)
+    new[at + 1] = ~_alike(data, start, size, order[at], order[at + 1])
+    for i in np.flatnonzero(new[1:] & tied) + 1:  # different bytes under one key: sort the key's rows by their bytes
+        low = i - 1
+        while low and tied[low - 1]:
+            low -= 1
+        high = i
+        while high < len(tied) and tied[high]:
+            high += 1
+        rows = sorted(order[low : high + 1].tolist(), key=lambda r: body[r].as_py())
+        order[low : high + 1] = rows
+        new[low + 1 : high + 1] = [body[x].as_py() != body[y].as_py() for x, y in zip(rows, rows[1:], strict=False)]
+    return order, new
+
+
+def decided(texts: DataFrame, places: DataFrame, length: int, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(asked rows of places whose suffix another row has too, one row of each kind of suffix).
+
+    The second, in the columns of PLACE, is asked where it was and no other row has its suffix.
+    """
+    splitters = _splitters(texts, places, length, range_rows)
 
     def search(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
-        columns = [part.column(c).to_numpy() for c in ("lead", "f1", "f2")]
-        order = multikey_order(columns)
-        even = np.ones(max(len(order) - 1, 0), bool)
-        for c in columns:
-            even &= c[order][1:] == c[order][:-1]
-        repeated = np.zeros(len(order), bool)
-        repeated[order[1:]] |= even
-        repeated[order[:-1]] |= even
+        order, new = sorted_kinds(part)
+        head = np.flatnonzero(new)
+        n = np.diff(np.concatenate([head, [len(order)]]))
+        several = np.repeat(n > 1, n)
         edge = np.zeros(len(order), bool)
-        edge[order[[0, -1]]] = True
-        rows = np.flatnonzero((repeated & part.column("asked").to_numpy()) | edge)
-        return part.take(pa.array(rows)).append_column("repeated", pa.array(repeated[rows])).append_column("edge", pa.array(edge[rows]))
-
-    found = written(suffixes.groupBy("range").applyInArrow(search, f"range int, lead long, f1 long, f2 long, {kind}, repeated boolean, edge boolean"), "repeated")
-    # at most two rows of each range
+        edge[[0, head[-1]]] = True
+        asked = part.column("asked").to_numpy()[order]
+        rows = np.flatnonzero(new | (several & asked))
+        out = part.take(pa.array(order[rows]))
+        body = pa.array(np.where(edge[rows], 0, None), pa.int64())
+        kept = pc.if_else(body.is_valid(), out.column("body").combine_chunks(), pa.scalar(None, pa.binary()))
+        made = {"range": out.column("range"), "body": kept, **{c: out.column(c) for c in PLACE}, "several": pa.array(several[rows]), "head": pa.array(new[rows]), "edge": pa.array(edge[rows])}
+        return pa.table(made)
+
+    kinds = f"range int, body binary, {_PLACE_KINDS}, several boolean, head boolean, edge boolean"
+    found = written(_suffixes(texts, places, length, splitters).groupBy("range").applyInArrow(search, kinds), "decided")
+    # at most two kinds of each range, by their bytes
     edges = found.where("edge")
-    across = edges.groupBy("lead", "f1", "f2").agg(F.count_distinct("range").alias("ranges")).where("ranges > 1").drop("ranges")
-    return found.where("asked and repeated").select("id", "start").unionByName(edges.where("asked and not repeated").join(across, ["lead", "f1", "f2"], "left_semi").select("id", "start"))
+    across = edges.groupBy("body").agg(F.count_distinct("range").alias("ranges"), F.min(F.struct("id", "first")).alias("one")).where("ranges > 1").select("body", "one")
+    edges = edges.join(across, "body", "left")
+    both = found.where("asked and several").select(*PLACE).unionByName(edges.where("asked and not several and one is not null").select(*PLACE))
+    inner = found.where("head and not edge").withColumn("asked", F.col("asked") & ~F.col("several"))
+    outer = edges.where((F.col("one").isNull()) | (F.col("one") == F.struct("id", "first"))).withColumn("asked", F.col("asked") & ~F.col("several") & F.col("one").isNull())
+    return both, inner.select(*PLACE).unionByName(outer.select(*PLACE))
 
 
 def repeated_stretches(texts: DataFrame, length: int = LENGTH, short: int = SHORT, range_rows: int = RANGE_ROWS) -> DataFrame:
     """id, start, end of stretches that cover just the repeated bytes of the blocked texts; they may overlap."""
-    settled, left = _settle(_anchors(texts, length, short))
-    turns = written(_turns(texts, left, length), "turns")
-    also, left = _settle(turns.withColumn("hot", F.col("part").isin(_hot_parts(turns))))
-    left = written(left, "left")
-    n = left.agg(F.sum("windows")).first()[0] or 0
-    some = F.pmod(F.shiftright("id", 20), F.lit(round(1 / SAMPLE_SHARE))) == 0
-    none = np.zeros(0, "S16")
-    ranges = max(1, -(-n // range_rows))
-    splitters = _splitters(_suffixes(texts.where(some), left.where(some), length, none), ranges) if ranges > 1 else none
-    found = repeated_suffixes(_suffixes(texts, left, length, splitters))
-    runs = settled.unionByName(also).select("id", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + length).alias("end"))
-    return runs.unionByName(found.select("id", "start", (F.col("start") + length).alias("end")))
+    by_anchor, left = decided(texts, _together(_anchors(texts, length, short)), length, range_rows)
+    turns = written(_turns(texts, _together(left), length), "turns")
+    turns = turns.withColumn("hot", F.col("part").isin(_hot_parts(turns)))
+    by_turn, left = decided(texts, _together(turns), length, range_rows)
+    single = _together(left).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("windows") - 1))).withColumns({"first": F.col("first") + F.col("k"), "windows": F.lit(1)}).select(*PLACE)
+    by_window, _ = decided(texts, single, length, range_rows)
+    runs = by_anchor.unionByName(by_turn).unionByName(by_window)
+    return runs.select("id", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + length).alias("end"))
 
 
 def cut(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes, bytes]:
@@ -410,7 +443,8 @@ def cut_texts(docs: DataFrame, columns: list[str], text: str, length: int = LENG
 def repeat_report(docs: DataFrame, length: int = LENGTH, short: int = SHORT, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs.
 
-    Null texts count as empty. Texts below length bytes lose nothing. A row repeated as it is counts as another
+    Null texts count as empty. Texts below length bytes lose nothing; long ones are taken whole. An empty table gives an
+    empty result. A row repeated as it is counts as another
     document: its text, if long enough, goes wholly from both. Only doc_id and text are read.
     """
     return cut_texts(docs.select("doc_id", "text"), ["doc_id"], "text", length, short, range_rows).drop("kept_text")

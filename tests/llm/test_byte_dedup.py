@@ -9,12 +9,12 @@ from tests.llm import brute
 SMALL = "/root/testdata/sf0.001"
 
 
-def frame(spark, texts):
-    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+def frame(spark, texts, parts=3):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
 
 
-def hold(spark, texts, length, **more):
-    got = {r["doc_id"]: r for r in suffix_array.repeat_report(frame(spark, texts), length, **more).collect()}
+def hold(spark, texts, length, parts=3, **more):
+    got = {r["doc_id"]: r for r in suffix_array.repeat_report(frame(spark, texts, parts), length, **more).collect()}
     bodies, masks = brute.repeats(texts, length)
     assert len(got) == len(texts)
     for i, (b, m) in enumerate(zip(bodies, masks, strict=True)):
@@ -36,6 +36,26 @@ def test_small_alphabet(spark, seed, monkeypatch):
     hold(spark, [*texts, None, "", texts[0], passages[0], "short"], 24, short=8, range_rows=300)
 
 
+def test_many_blocks_and_a_hot_text(spark, monkeypatch):
+    """A block in each of 40 partitions; half of the texts are one, the others begin or end with it; a range has few rows."""
+    monkeypatch.setattr(suffix_array, "HOT", 3)
+    monkeypatch.setattr(suffix_array, "HOT_SHARE", 0.5)
+    draw = random.Random(9)
+    word = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    one = word(150)
+    texts = [one] * 60 + [word(draw.randint(0, 50)) + one[draw.randint(0, 60) : draw.randint(70, 150)] + word(draw.randint(0, 50)) for _ in range(60)]
+    hold(spark, texts, 40, parts=40, short=12, range_rows=50)
+
+
+def test_kinds_are_told_apart_by_bytes():
+    """Strings under equal leading bytes and fingerprints count as equal only where their bytes are."""
+    bodies = [b"aab", b"aaa", b"aab", b"b", b"aaa", b"aac"]
+    part = suffix_array.pa.table({"p1": [0, 0, 0, 1, 0, 0], "p2": [0] * 6, "fp": [7, 7, 7, 7, 7, 8], "body": bodies})
+    order, new = suffix_array.sorted_kinds(part)
+    assert [bodies[i] for i in order] == [b"aaa", b"aaa", b"aab", b"aab", b"aac", b"b"]
+    assert new.tolist() == [True, False, True, False, True, True]
+
+
 def test_whole_table(spark):
     texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
     hold(spark, texts, 200)
