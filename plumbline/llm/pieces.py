@@ -5,21 +5,27 @@ the next: a text is cut before each run of markers, each distinct chunk is segme
 by position. The model puts one marker before a text; a chunk, which begins with a marker, is therefore handed to the
 library without its first.
 
-Spark deals out the documents; within a task the table serves all documents of the partition. It is emptied when it has
-``TABLE_CHUNKS`` entries, after which chunks are segmented again, so memory is bounded and no result depends on it.
+Each run of documents becomes a block: its distinct chunks, and each document as positions among them. All distinct
+chunks of the corpus make one table, in which each is segmented once; its ids come back to the blocks by position. Texts
+are not shuffled, blocks (in numbers) and distinct chunks are.
+
+That a model is of this kind is checked at the start: one with pieces that cross markers, or that treats white space in
+another way, is refused.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.common import id_and_text, map_texts, table
+from plumbline.llm.blocks import BLOCK_BYTES, as_rows, grown, joined_back, numbering, shrunk, table_of
+from plumbline.llm.common import id_and_text, table
 
-TABLE_CHUNKS = 200_000
 MARKER = "▁"
 #: A run of markers or spaces (the library takes them for the same) with what follows up to the next run.
 CHUNK = re.compile(f"[ {MARKER}]+[^ {MARKER}]*")
@@ -46,67 +52,114 @@ def chunks(text: str) -> list[str]:
     return CHUNK.findall(" " + text) if text else []
 
 
-class ChunkTable:
-    """chunk -> (number of ids, ids as text, decoded text with its first space)."""
+def segmented(of: list[str], model) -> tuple[list[list[int]], list[str]]:
+    """Ids of each chunk, and what they decode to with the chunk's first space."""
+    # one marker alone: the library adds none to an empty text
+    alone = [model.piece_to_id(MARKER)]
+    ids = iter(model.encode([c[1:] for c in of if len(c) > 1], num_threads=1))
+    ids = [next(ids) if len(c) > 1 else alone for c in of]
+    said = model.decode(ids, num_threads=1) if ids else []
+    return ids, [" " + (x if len(c) > 1 else "") for c, x in zip(of, said, strict=True)]
 
-    def __init__(self, path: str, most: int = TABLE_CHUNKS) -> None:
-        self.model, self.most, self.known = _model(path), most, {}
 
-    def look_up(self, lists: list[list[str]]) -> dict[str, tuple[int, str, str]]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list({c for cs in lists for c in cs}.difference(self.known))
-        ids = self.model.encode([c[1:] for c in new if len(c) > 1], num_threads=1)
-        ids = iter(zip(ids, self.model.decode(ids, num_threads=1), strict=True))
-        # one marker alone: the library adds none to an empty text
-        alone = self.model.piece_to_id(MARKER)
-        for c in new:
-            i, said = next(ids) if len(c) > 1 else ([alone], "")
-            self.known[c] = (len(i), ",".join(map(str, i)), " " + said)
-        return self.known
+def check_model(path: str) -> None:
+    """Raises ValueError for a model whose texts can't be segmented chunk by chunk."""
+    model = _model(path)
+    if any(MARKER in model.id_to_piece(i).lstrip(MARKER) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))):
+        raise ValueError(f"{path}: pieces cross white-space markers")
+    for text in ("a", " a", "a  b ", "\ta\nb", "▁a▁▁b", "A ﬁ é e\u0301", " ", "x   "):
+        ids, said = segmented(chunks(text), model)
+        if [i for x in ids for i in x] != model.encode(text) or "".join(said)[1:] != model.decode(model.encode(text)):
+            raise ValueError(f"{path}: {text!r} is not what its chunks are")
 
 
-def encode_texts(texts: Iterable[str], of: ChunkTable) -> Iterator[tuple[int, str, str]]:
-    """Of each text: the number of ids, the ids as decimal text joined by commas, and what they decode to."""
-    lists = [chunks(t) for t in texts]
-    known = of.look_up(lists)
-    for cs in lists:
-        found = [known[c] for c in cs]
-        yield sum(x[0] for x in found), ",".join([x[1] for x in found]), "".join([x[2] for x in found])[1:]
+class _Chunks:
+    """A block's documents as positions among its distinct chunks."""
 
+    kinds = {"chunks": "array<string>", "sizes": "binary", "line": "binary", "n": "long"}
 
-def with_pieces(docs: DataFrame, model: str, most: int = TABLE_CHUNKS, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in more, ids (array<int>) and decoded (what the ids decode to) of each row of docs.
+    def __init__(self) -> None:
+        self.number, self.sizes, self.line = numbering(), [], []
 
-    Null texts count as empty: no ids, empty decoded text. Rows are independent: repeated rows and repeated or null
-    doc_ids come out as they are. Only the columns named are read.
-    """
+    def add(self, text: str) -> None:
+        found = chunks(text)
+        self.sizes.append(len(found))
+        self.line.append(np.fromiter(map(self.number.__getitem__, found), np.int32, len(found)))
 
-    def start():
-        of = ChunkTable(model, most)
+    def row(self) -> dict[str, pa.Array]:
+        line = np.concatenate(self.line)
+        return {"chunks": pa.array([list(self.number)], pa.list_(pa.string())), "sizes": pa.array([shrunk(np.array(self.sizes))], pa.binary()), "line": pa.array([shrunk(line)], pa.binary()), "n": pa.array([len(line)], pa.int64())}
 
-        def make(texts: list[str]) -> list[list]:
-            got = list(encode_texts(texts, of))
-            return [[[int(i) for i in s.split(",")] if s else [] for _, s, _ in got], [d for _, _, d in got]]
 
-        return make
+def chunk_table(blocks: DataFrame, model: str) -> DataFrame:
+    """string, ids, said of each distinct chunk of the corpus."""
 
-    return map_texts(id_and_text(docs, *more), start, {"ids": "array<int>", "decoded": "string"}, ("doc_id", *more))
+    def make():
+        of = _model(model)
 
+        def rows(strings: list[str]) -> list[pa.Array]:
+            ids, said = segmented(strings, of)
+            return [pa.array(ids, pa.list_(pa.int32())), pa.array(said, pa.string())]
+
+        return rows
+
+    return table_of(blocks, "chunks", make, {"ids": "array<int>", "said": "string"})
+
+
+def _documents(row: dict, columns: tuple[str, ...]) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """(the columns of a block's documents, chunks of each, positions of the chunks)."""
+    kept = [row[c][0].values for c in columns]
+    return kept, grown(row["sizes"][0].as_py(), len(kept[0])).astype(np.int64), grown(row["line"][0].as_py(), row["n"][0].as_py()).astype(np.int64)
 
-def piece_digests(docs: DataFrame, model: str, most: int = TABLE_CHUNKS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs; cases as with_pieces has them."""
 
-    def start():
-        of = ChunkTable(model, most)
+def _prepared(docs: DataFrame, model: str, columns: tuple[str, ...], block_bytes: int) -> tuple[DataFrame, DataFrame, str]:
+    check_model(model)
+    own = id_and_text(docs, *columns[1:])
+    blocks = as_rows(own, columns, _Chunks, _Chunks.kinds, block_bytes)
+    return blocks, chunk_table(blocks, model), "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in columns)
 
-        def make(texts: list[str]) -> list[list]:
-            got = list(encode_texts(texts, of))
-            return [[n for n, _, _ in got], [sha256(s) for _, s, _ in got], [sha256(d) for _, _, d in got]]
 
-        return make
+def with_pieces(docs: DataFrame, model: str, block_bytes: int = BLOCK_BYTES, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in more, ids (array<int>) and decoded (what the ids decode to) of each row of docs.
+
+    Null texts count as empty: no ids, empty decoded text. Rows are independent: repeated rows and repeated or null
+    doc_ids come out as they are. Texts are taken whole, however long; a block has one text at least. An empty table gives an
+    empty result. Only the columns named are read.
+    """
+    columns = ("doc_id", *more)
+
+    def run(row: dict, found: pa.Table) -> pa.Table:
+        kept, sizes, line = _documents(row, columns)
+        end = np.cumsum(sizes)
+        every = found.column("ids").combine_chunks()
+        every = every.chunk(0) if isinstance(every, pa.ChunkedArray) else every
+        flat = every.take(pa.array(line)).flatten()
+        length = pc.list_value_length(every).to_numpy(zero_copy_only=False)[line] if len(line) else np.zeros(0, np.int64)
+        offset = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], end])].astype(np.int32)
+        said = np.array(found.column("said").to_pylist(), object)[line] if len(line) else np.zeros(0, object)
+        texts = ["".join(said[a:z])[1:] for a, z in zip((end - sizes).tolist(), end.tolist(), strict=True)]
+        return pa.Table.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offset), flat), pa.array(texts, pa.string())], names=[*columns, "ids", "decoded"])
+
+    blocks, table_, carried = _prepared(docs, model, columns, block_bytes)
+    return joined_back(blocks, "chunks", table_, run, carried + "ids array<int>, decoded string")
+
+
+def piece_digests(docs: DataFrame, model: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs; cases as with_pieces has them."""
 
-    return map_texts(id_and_text(docs), start, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
+    def run(row: dict, found: pa.Table) -> pa.Table:
+        kept, sizes, line = _documents(row, ("doc_id",))
+        ids, said = (found.column(c).to_pylist() for c in ("ids", "said"))
+        n = np.array([len(x) for x in ids], np.int64)[line] if ids else np.zeros(0, np.int64)
+        digits, said = np.array([",".join(map(str, x)) for x in ids], object), np.array(said, object)
+        end, out = np.cumsum(sizes), []
+        for a, z in zip((end - sizes).tolist(), end.tolist(), strict=True):
+            part = line[a:z]
+            out.append((int(n[a:z].sum()), sha256(",".join(digits[part])), sha256("".join(said[part])[1:])))
+        return pa.Table.from_arrays([*kept, *[pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    blocks, table_, carried = _prepared(docs, model, ("doc_id",), block_bytes)
+    return joined_back(blocks, "chunks", table_, run, carried + "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def sha256(text: str) -> str:

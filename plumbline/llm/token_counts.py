@@ -1,11 +1,12 @@
 """Token counts from pre-token frequencies, without ids.
 
-The tokenizer drops white space and merges nothing across it, so a text's count is the sum over its pre-tokens between
-white space. Each distinct pre-token is counted once by the library, which itself sees to what special strings inside it
-mean; per document the frequencies of its pre-tokens are joined with those counts and summed.
+A text is cut at white space, which the tokenizer drops, and its words are cut into pre-tokens by the tokenizer's own
+normaliser and pre-tokeniser, once for each distinct word of a block of documents; a special string inside a word is one
+token, as the library has it. All distinct pre-tokens of the corpus make one table, in which the tokenizer's model counts
+the pieces of each once. The counts come back to the blocks, where each document's frequencies of words, and through them of
+pre-tokens, are multiplied with them and summed.
 
-Spark deals out the documents; the table of counts serves a task's whole partition and is emptied when it has
-``TABLE_PRETOKENS`` entries, after which pre-tokens are counted again.
+That a tokenizer is of this kind is checked at the start: others are refused.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from __future__ import annotations
 import os
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import id_and_text, map_texts, table
+from plumbline.llm.blocks import BLOCK_BYTES, as_rows, grown, joined_back, numbering, shrunk, table_of
+from plumbline.llm.common import id_and_text, table
 from plumbline.llm.pieces import public_path
 
-TABLE_PRETOKENS = 400_000
 LIMIT = 2048
 #: White space as the tokenizer's own patterns take it.
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -28,46 +31,110 @@ SPACE = regex.compile(r"\p{White_Space}+")
 ODD = "\x1c\x1d\x1e\x1f"
 
 
-class CountTable:
-    """Pre-token -> number of tokens, for a tokenizer that drops white space."""
+class PreTokens:
+    """A tokenizer's special strings, pre-tokens and pieces."""
 
-    def __init__(self, path: str, most: int = TABLE_PRETOKENS) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.model.no_truncation()
-        self.model.no_padding()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.added = list(self.tokenizer.get_added_tokens_decoder().values())
+        special = sorted((t.content for t in self.added), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
 
-    def look_up(self, lists: list) -> dict[str, int]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list(set().union(*lists).difference(self.known))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.known.update(zip(part, map(len, self.model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return self.known
+    def of(self, word: str) -> tuple[int, list[str]]:
+        """(special strings in a word, its pre-tokens)."""
+        parts = self.special.split(word)
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        return len(parts) - 1, [p for part in parts if part for p, _ in cut.pre_tokenize_str(normal.normalize_str(part) if normal else part)]
 
+    def pieces(self, pretoken: str) -> int:
+        return len(self.tokenizer.model.tokenize(pretoken))
 
-def count_texts(texts: list[str], of: CountTable) -> list[int]:
-    lists = [Counter(SPACE.split(t) if any(c in t for c in ODD) else t.split()) for t in texts]
-    known = of.look_up(lists)
-    return [sum([known[w] * n for w, n in freq.items()]) for freq in lists]
+    def count(self, text: str) -> int:
+        found = [self.of(w) for w in words(text)]
+        return sum(n + sum(map(self.pieces, ps)) for n, ps in found)
 
+    def check(self) -> None:
+        """Raises ValueError where texts can't be counted pre-token by pre-token."""
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in self.added) or not self.tokenizer.pre_tokenizer:
+            raise ValueError("the tokenizer's special strings reach beyond themselves, or it has no pre-tokens")
+        inside = "".join(t.content for t in self.added[:2])
+        for text in ("a", " a  b\tc\n\n", "it's I'LL x's", "Don't 12ab, (x)...", "é e\u0301 日本 ½", f"a{inside}b {inside}", "\u00a0x\u3000y"):
+            if self.count(text) != len(self.tokenizer.encode(text, add_special_tokens=False).ids):
+                raise ValueError(f"{text!r} has other tokens than its pre-tokens")
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, most: int = TABLE_PRETOKENS) -> DataFrame:
+
+def words(text: str) -> list[str]:
+    return [w for w in SPACE.split(text) if w] if any(c in text for c in ODD) else text.split()
+
+
+_loaded: dict[str, PreTokens] = {}
+
+
+def _pretokens(path: str) -> PreTokens:
+    if path not in _loaded:
+        _loaded[path] = PreTokens(path)
+    return _loaded[path]
+
+
+class _Frequencies:
+    """A block's documents as frequencies of its distinct words, and the words as positions among its distinct pre-tokens."""
+
+    kinds = {"pretokens": "array<string>", "sizes": "binary", "held": "binary", "times": "binary", "special": "binary", "lengths": "binary", "line": "binary", "n": "array<int>"}
+
+    def __init__(self, path: str) -> None:
+        self.of, self.number, self.sizes, self.held, self.times = _pretokens(path), numbering(), [], [], []
+
+    def add(self, text: str) -> None:
+        found = Counter(words(text))
+        self.sizes.append(len(found))
+        self.held.append(np.fromiter(map(self.number.__getitem__, found), np.int32, len(found)))
+        self.times.append(np.fromiter(found.values(), np.int32, len(found)))
+
+    def row(self) -> dict[str, pa.Array]:
+        number, special, lengths, line = numbering(), [], [], []
+        for word in self.number:
+            n, own = self.of.of(word)
+            special.append(n), lengths.append(len(own))
+            line += [number[p] for p in own]
+        held = np.concatenate(self.held)
+        packed = {"sizes": self.sizes, "held": held, "times": np.concatenate(self.times), "special": special, "lengths": lengths, "line": line}
+        made = {k: pa.array([shrunk(np.array(v, np.int32))], pa.binary()) for k, v in packed.items()}
+        return {"pretokens": pa.array([list(number)], pa.list_(pa.string())), **made, "n": pa.array([[len(held), len(special), len(line)]], pa.list_(pa.int32()))}
+
+
+def pretoken_table(blocks: DataFrame, tokenizer: str) -> DataFrame:
+    """string, pieces of each distinct pre-token of the corpus."""
+    return table_of(blocks, "pretokens", lambda: lambda strings: [pa.array([_pretokens(tokenizer).pieces(x) for x in strings], pa.int32())], {"pieces": "int"})
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row of docs.
 
     Null texts count as empty: 0 bytes, 0 tokens. Rows are independent: repeated rows and repeated or null doc_ids come
-    out as they are. Only doc_id and text are read.
+    out as they are. Texts are taken whole, however long. An empty table gives an empty result. Only doc_id and text are
+    read.
     """
-
-    def start():
-        of = CountTable(tokenizer, most)
-        return lambda texts: [count_texts(texts, of)]
-
-    docs = id_and_text(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return map_texts(docs, start, {"n_tokens": "long"}, ("doc_id", "n_bytes")).withColumn("over_limit", F.col("n_tokens") > limit)
+    _pretokens(tokenizer).check()
+    own = id_and_text(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    blocks = as_rows(own, ("doc_id", "n_bytes"), lambda: _Frequencies(tokenizer), _Frequencies.kinds, block_bytes)
+
+    def run(row: dict, found: pa.Table) -> pa.Table:
+        ids, n_bytes = (row[c][0].values for c in ("doc_id", "n_bytes"))
+        n_held, n_words, n_line = row["n"][0].as_py()
+        part = lambda c, n: grown(row[c][0].as_py(), n).astype(np.int64)
+        sums = lambda x, sizes: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(sizes)])])
+        pieces = found.column("pieces").to_numpy().astype(np.int64)
+        of_word = part("special", n_words) + sums(pieces[part("line", n_line)], part("lengths", n_words))
+        tokens = sums(of_word[part("held", n_held)] * part("times", n_held), part("sizes", len(ids)))
+        return pa.Table.from_arrays([ids, n_bytes, pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    kind = own.schema["doc_id"].dataType.simpleString()
+    return joined_back(blocks, "pretokens", pretoken_table(blocks, tokenizer), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

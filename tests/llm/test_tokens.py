@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from plumbline.llm import pieces, token_counts
 from tests.llm import brute
 
@@ -20,7 +22,7 @@ def test_pieces_are_the_librarys(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     given = [*texts(spark), None]
     docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pieces.piece_digests(docs, path, most=300).collect()}
+    got = {r["doc_id"]: r for r in pieces.piece_digests(docs, path, block_bytes=20_000).collect()}
     whole = {r["doc_id"]: r for r in pieces.with_pieces(docs, path).collect()}
     for i, t in enumerate(given):
         ids = model.encode(t or "")
@@ -37,7 +39,36 @@ def test_counts_are_the_librarys(spark):
     model.no_padding()
     given = [*texts(spark), None]
     docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in token_counts.token_counts(docs, path, most=300).collect()}
+    got = {r["doc_id"]: r for r in token_counts.token_counts(docs, path, block_bytes=20_000).collect()}
     for i, t in enumerate(given):
         n = len(model.encode(t or "", add_special_tokens=False).ids)
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 2048), repr(t)
+
+
+def test_each_distinct_string_is_looked_up_once(spark):
+    docs = spark.createDataFrame(list(enumerate(["the cat's the cat", "the dog the", "cat"] * 40)), "doc_id long, text string").repartition(5)
+    own = pieces.id_and_text(docs)
+    blocks = pieces.as_rows(own, ("doc_id",), pieces._Chunks, pieces._Chunks.kinds, 100)
+    assert blocks.count() > 10
+    made = [r["string"] for r in pieces.chunk_table(blocks, pieces.public_path("piece_bpe_32k.model")).collect()]
+    assert sorted(made) == [" cat", " cat's", " dog", " the"]
+    path = token_counts.public_path("word_bpe_49k.json")
+    blocks = pieces.as_rows(own, ("doc_id",), lambda: token_counts._Frequencies(path), token_counts._Frequencies.kinds, 100)
+    made = [r["string"] for r in token_counts.pretoken_table(blocks, path).collect()]
+    assert sorted(made) == ["'s", "cat", "dog", "the"]
+
+
+def test_other_models_are_refused():
+    for name in ("byte_bpe_50k.json",):
+        with pytest.raises(ValueError):
+            token_counts.PreTokens(token_counts.public_path(name)).check()
+    pieces.check_model(pieces.public_path("piece_bpe_32k.model"))
+
+
+def test_tables_without_a_word(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (None, " \n")], "doc_id long, text string")
+    path = pieces.public_path("piece_bpe_32k.model")
+    assert {(r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(docs, token_counts.public_path("word_bpe_49k.json")).collect()} == {(1, 0), (2, 0), (None, 0)}
+    some = docs.where("doc_id is not null")
+    assert {(r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in pieces.with_pieces(some, path).collect()} == {(1, (), ""), (2, (), "")}
+    assert {r["n_tokens"] for r in pieces.piece_digests(some, path).collect()} == {0}
