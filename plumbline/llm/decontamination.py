@@ -6,8 +6,8 @@ window, is searched by bisection. The places found mark the document's words; pl
 document and item are joined to the longest verbatim matches. Nothing is shuffled and a hot item costs what its places
 cost.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, one broadcast each; a task holds one at a
-time. Suffixes that could not hold the shortest window, as one of its words is in no item, are left out of the array.
+The benchmark goes to the tasks in blocks of about ``BLOCK_WORDS`` words, one broadcast each, and at most ``MOST_BLOCKS``;
+a task keeps the indexes of the first ``KEPT``. Suffixes that could not hold the shortest window, as one of its words is in no item, are left out of the array.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_texts, table
+from plumbline.llm.common import LOWER, UPPER, map_texts, table
 
 WINDOW = 10
-#: Words of the benchmark that the driver and a task hold at a time.
-BLOCK_WORDS = 1_000_000
+#: Words of the benchmark in a block, about.
+BLOCK_WORDS = 250_000
 #: Documents that make a shard.
 SHARD_ROWS = 2000
 #: Bytes: A-Z to a-z; words are 0-9, a-z and all of a character outside ASCII; the rest to spaces.
@@ -153,16 +153,27 @@ def _search(lists: list[list[bytes]], index: TestIndex) -> tuple[list[np.ndarray
 
 
 def _blocks(benchmark: DataFrame, window: int, most: int) -> list:
-    """Broadcasts of (item_id as text, text) lists; each block has at most that many words, or one item."""
-    context, blocks, block, n = benchmark.sparkSession.sparkContext, [], [], 0
-    for item in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        size = len(words(item[1]))
-        if block and n + size > most:
-            blocks.append(context.broadcast(block))
-            block, n = [], 0
-        block.append((item[0], item[1]))
-        n += size
-    return [*blocks, context.broadcast(block)]
+    """Broadcasts of (item_id as text, text) lists; each block has at most that many words, or one item.
+
+    Spark deals items to blocks by hash and writes a block as one row, so the driver holds one at a time. Blocks are
+    fewer than the words of the benchmark by the factor ``most``; a benchmark is a small table by nature, and one of more
+    than ``MOST_BLOCKS`` blocks is refused, as its broadcasts would not fit.
+    """
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    # a word has a byte and a separator at least
+    total = items.agg(F.sum(F.floor(F.octet_length("text") / 2) + 1)).first()[0] or 0
+    blocks = max(1, -(-int(total) // most))
+    if blocks > MOST_BLOCKS:
+        raise ValueError(f"a benchmark of {blocks} blocks is too large to go to every task")
+    dealt = items.groupBy(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_set(F.struct("item", "text"))).alias("items"))
+    return [context.broadcast([tuple(x) for x in row["items"]]) for row in dealt.orderBy("block").toLocalIterator()] or [context.broadcast([])]
+
+
+#: Indexes that a task keeps for its next documents.
+KEPT = 4
+#: Blocks of a benchmark at most.
+MOST_BLOCKS = 64
 
 
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, columns: tuple[str, ...] = ("doc_id",), shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -171,18 +182,26 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     A match is a longest verbatim run: item_id, start (word of the document), words, item_start. Null texts and texts
     without words have none. Items without words match nothing; repeated items count once in item lists; an item whose
     item_id is null marks words but stands in no list. Rows of docs are independent, so repeated ones are treated alike.
-    Empty tables give no rows, or rows without hits. Other columns are not read.
+    Empty tables give no rows, or rows without hits. Texts are taken whole, however long. Other columns are not read.
     """
     blocks = _blocks(benchmark, window, block_words)
 
     def start():
-        kept = [TestIndex(blocks[0].value, window)] if len(blocks) == 1 else []
+        kept: dict[int, TestIndex] = {}
+
+        def index(k: int) -> TestIndex:
+            if k in kept:
+                return kept[k]
+            made = TestIndex(blocks[k].value, window)
+            if len(kept) < KEPT:
+                kept[k] = made
+            return made
 
         def make(texts: list) -> list[list]:
             lists = [words(t) for t in texts]
             masks, runs = [np.zeros(len(ws), bool) for ws in lists], [[] for _ in lists]
-            for b in kept or blocks:
-                for k, (mask, run) in enumerate(zip(*_search(lists, b if kept else TestIndex(b.value, window)), strict=True)):
+            for b in range(len(blocks)):
+                for k, (mask, run) in enumerate(zip(*_search(lists, index(b)), strict=True)):
                     masks[k] |= mask
                     runs[k] += run
             as_rows = [[dict(zip(("item_id", "start", "words", "item_start"), r, strict=True)) for r in run] for run in runs]
@@ -212,3 +231,25 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int =
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = rf"""
+with d as (
+  select row_number() over () as n, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), b as (
+  select row_number() over () as k, item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark
+), windows as (
+  select distinct item, least(len(ws), {WINDOW}) as size, array_to_string(ws[i : i + least(len(ws), {WINDOW}) - 1], ' ') as w
+  from b, unnest(range(1, greatest(len(ws) - {WINDOW} + 1, 1) + 1)) as r(i) where len(ws) > 0
+), places as (
+  select n, i, s.size, array_to_string(ws[i : i + s.size - 1], ' ') as w from d, (select distinct size from windows) as s, unnest(range(1, len(ws) - s.size + 2)) as r(i) where len(ws) >= s.size
+), found as (
+  select n, i, places.size, item from places join windows on places.size = windows.size and places.w = windows.w
+), hit as (
+  select n, count(distinct i + j) as n_hit from found, range(0, {WINDOW}) as r(j) where j < size group by n
+), named as (
+  select n, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from found group by n
+)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (n) left join named using (n)
+"""

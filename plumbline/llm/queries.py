@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_decontamination": decontamination.OP4_SQL,
     "op8_url_filters": url_filter.OP8_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
