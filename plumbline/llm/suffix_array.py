@@ -50,7 +50,7 @@ BLOCK_BYTES = 1_000_000
 #: so many are taken as hot.
 HOT_SHARE, HOT, MOST_HOT = 1 / 64, 100, 10_000
 #: Suffixes of a range that the splitters aim at, and sampled suffixes for each range.
-RANGE_ROWS, SAMPLES = 120_000, 100
+RANGE_ROWS, SAMPLES = 60_000, 100
 #: Bytes of texts that are hashed together.
 TOGETHER = 1 << 18
 
