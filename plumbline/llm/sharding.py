@@ -21,8 +21,8 @@ from plumbline.llm.common import id_and_text, table, written
 SHARDS = 24
 #: Ranges that the driver asks for at first, and into how many it has each unsettled range divided: powers of two.
 FIRST_BITS, MORE_BITS = 12, 5
-#: Shares of a shard that get their slots apart.
-SLOT_SHARES = 64
+#: Shares of a shard that get their slots apart: so many at least, and one for so many rows of the table.
+SLOT_SHARES, SHARE_ROWS = 64, 1_000_000
 
 
 def _cuts(ends: np.ndarray, whole: np.ndarray, capacity: int, shards: int, loose: bool) -> list[int] | None:
@@ -106,13 +106,14 @@ def shard_of(spot: Column, cuts: list[int]) -> Column:
     return sum(((spot > F.lit(c)).cast("int") for c in cuts), F.lit(0)).cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, shares: int = SLOT_SHARES) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, shares: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row: law ``bytes``, sizes near equal.
 
     Rows with equal texts are one group and stay together; so do texts with the same 64-bit hash. Null texts count as
     empty. slot numbers the rows of a shard from 0 without gaps, by share (a hash of doc_id and text), then doc_id;
     repeated rows each get one. Null doc_ids are rows like others. More shards than groups leave shards empty.
     """
+    shares = shares or max(SLOT_SHARES, docs.count() // SHARE_ROWS)
     rows = written(
         id_and_text(docs).select(
             "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.xxhash64("text").alias("spot"), F.pmod(F.xxhash64("text", "doc_id"), F.lit(shares)).cast("int").alias("share")
@@ -121,7 +122,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, shares: int = SLOT_SH
     )
     groups = written(rows.groupBy("spot").agg(F.sum("size").alias("bytes")), "shard-groups")
     placed = rows.withColumn("shard", shard_of(F.col("spot"), minimax_cuts(groups, shards)))
-    # at most shards * shares rows
+    # at most shards * shares rows of 24 bytes
     before = placed.groupBy("shard", "share").count().withColumn("first", F.sum("count").over(Window.partitionBy("shard").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)))
     starts = before.select("shard", "share", F.coalesce("first", F.lit(0)).alias("first"))
     slot = F.row_number().over(Window.partitionBy("shard", "share").orderBy("doc_id", "spot"))

@@ -38,8 +38,9 @@ SEED = 42
 FAN = 16
 #: Table entries of a shard that the splitters aim at, and sampled entries for each splitter.
 SHARD_ENTRIES, SAMPLES = 100_000, 30
-#: Searches that go down the index together.
-TOGETHER = 20_000
+#: Searches that go down the index together, and pairs of a search and a node that they may have; beyond that they are
+#: divided.
+TOGETHER, FRONTIER = 20_000, 4_000_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -101,25 +102,30 @@ class GrayIndex:
 
     def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, entry in the order given) of all pairs within the limit that agree on the leading bits."""
-        found_q, found_e = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for at in range(0, len(queries), TOGETHER):
             part = queries[at : at + TOGETHER]
             n = len(self.levels[0][0])
-            q, node, diff = np.repeat(np.arange(len(part)), n), np.tile(np.arange(n), len(part)), np.zeros(len(part) * n, np.uint8)
-            for k, (mask, pattern) in enumerate(self.levels):
-                if k:
-                    size = len(mask)
-                    q, diff = np.repeat(q, FAN), np.repeat(diff, FAN)
-                    node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                    inside = node < size
-                    q, node, diff = q[inside], node[inside], diff[inside]
-                x = (part[q] ^ pattern[node]) & mask[node]
-                diff = diff + np.bitwise_count(x)
-                stays = (diff <= self.limit) & (x & self.lead == 0)
-                q, node, diff = q[stays], node[stays], diff[stays]
-            found_q.append(q + at)
-            found_e.append(self.order[node])
-        return np.concatenate(found_q), np.concatenate(found_e)
+            start = np.repeat(np.arange(len(part)), n), np.tile(np.arange(n), len(part)), np.zeros(len(part) * n, np.uint8)
+            found += [(q + at, self.order[node]) for q, node in self._down(part, 0, *start)]
+        q, e = (np.concatenate(x) for x in zip(*found, strict=True))
+        return q, e
+
+    def _down(self, queries: np.ndarray, level: int, q: np.ndarray, node: np.ndarray, diff: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, place) of what is found under pairs of a query and a node of a level; diff: differences met above."""
+        mask, pattern = self.levels[level]
+        x = (queries[q] ^ pattern[node]) & mask[node]
+        diff = diff + np.bitwise_count(x)
+        stays = (diff <= self.limit) & (x & self.lead == 0)
+        q, node, diff = q[stays], node[stays], diff[stays]
+        if level + 1 == len(self.levels):
+            yield q, node
+            return
+        for at in range(0, len(q), FRONTIER // FAN):
+            some = slice(at, at + FRONTIER // FAN)
+            below = (node[some, None] * FAN + np.arange(FAN)).ravel()
+            inside = below < len(self.levels[level + 1][0])
+            yield from self._down(queries, level + 1, np.repeat(q[some], FAN)[inside], below[inside], np.repeat(diff[some], FAN)[inside])
 
 
 def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,7 +210,8 @@ def near_duplicates(docs: DataFrame, limit: int = BITS, shingle: int = SHINGLE,
 
     component_id is the smallest doc_id that links reach, its own included; null doc_ids count only where there is no
     other. Null texts count as empty; all texts without words have fingerprint zero, which links like any other.
-    Repeated rows are each returned. Only doc_id and text are read.
+    Repeated rows are each returned, long texts hashed whole. An empty table gives an empty result. Only doc_id and text
+    are read.
     """
     own = id_and_text(docs).withColumn("key", text_key(F.col("text"))) if with_key else id_and_text(docs)
     fps = written(fingerprints(own, *["key"] * with_key, shingle=shingle), "fingerprints")

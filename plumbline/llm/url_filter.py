@@ -19,7 +19,8 @@ from plumbline.llm.common import ascii_lower, table
 
 #: The rules of the registered query: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-SALTS = 64
+#: Shares of a label's urls: so many at least, and one for so many rows of the table.
+SALTS, SHARE_ROWS = 64, 1_000_000
 
 
 def url_host(url: Column) -> Column:
@@ -56,7 +57,7 @@ def interval_bounds(rules: DataFrame) -> DataFrame:
     ).select("bound.*")
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int = SALTS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int | None = None) -> DataFrame:
     """page_id, host, path, rule (host and path; null if none fits) and verdict of each row of pages.
 
     Of the rules that fit a url the one with the longest text wins; between equally long ones the longer host, then
@@ -64,6 +65,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salt
     rule fits. Rows stay as they are: repeated rows are judged alike, an empty table gives an empty result, and of
     other columns than page_id and url nothing is read. Rules without a host or path fit nothing.
     """
+    salts = salts or max(SALTS, pages.count() // SHARE_ROWS)
     share = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")
     urls = pages.select("page_id", "url").select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), share.alias("share"))
     bounds = interval_bounds(rules)

@@ -15,7 +15,7 @@ def test_whole_table(spark):
     assert got == wanted
 
 
-def test_links_over_many_shards(spark):
+def test_links_over_many_shards(spark, monkeypatch):
     """Random fingerprints, many with equal leading bits, and neighbours at 1 to 4 bits."""
     draw = random.Random(5)
     fps = set()
@@ -28,6 +28,7 @@ def test_links_over_many_shards(spark):
     fps = sorted(fps)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     distinct = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(4)
+    monkeypatch.setattr(simhash, "FRONTIER", 320)
     for limit in (1, 2, 3):
         got = {r["node"]: r["root"] for r in components(simhash.links(distinct, limit, shard_entries=60)).collect()}
         assert [got.get(f, f) for f in signed] == brute.components(signed, fps, limit)

@@ -117,3 +117,35 @@ def test_shards_are_minimax(spark, shards, copies):
     most = max(Counter({s: sum(r["size"] for r in got if r["shard"] == s) for s in range(shards)}).values())
     assert needed(most) <= shards
     assert most == max(order) or needed(most - 1) > shards
+
+
+def test_shards_of_the_whole_table(spark):
+    """The registered query against greedy filling of all groups in order, at the least capacity that suffices."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id", "octet_length(coalesce(text, '')) + 8L as size", "crc32(coalesce(text, '')) as crc", "xxhash64(coalesce(text, '')) as h").collect()
+    bytes_ = Counter()
+    for d in docs:
+        bytes_[d["h"]] += d["size"]
+    order = sorted(bytes_)
+
+    def cuts(capacity):
+        at, free, shards = {}, 0, 0
+        for h in order:
+            if bytes_[h] > free:
+                shards, free = shards + 1, capacity
+            free -= bytes_[h]
+            at[h] = shards - 1
+        return shards, at
+
+    low, high = max(bytes_.values()), sum(bytes_.values())
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if cuts(mid)[0] <= sharding.SHARDS else (mid + 1, high)
+    wanted = cuts(low)[1]
+    got = {r["doc_id"]: r for r in sharding.op7_sharding(spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    slots = defaultdict(list)
+    for d in docs:
+        r = got[d["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) == (d["size"], d["crc"], "bytes", wanted[d["h"]], None)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
