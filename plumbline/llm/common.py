@@ -41,20 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{app}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: a lineage cut that outlives lost executors."""
+def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """df, written to the shared folder and read back: a lineage cut that outlives lost executors. parts: columns of folders."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _kept: list[str] = []
 
 
-def kept_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """df, written as a table of the warehouse that is bucketed by key, and read back."""
+def kept_table(df: DataFrame, name: str, key: str, buckets: int, *parts: str) -> DataFrame:
+    """df, written as a table of the warehouse that is bucketed by key, and read back. parts: columns of folders."""
     full = f"plumbline_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("compression", "zstd").saveAsTable(full)
+    df.write.partitionBy(*parts).bucketBy(buckets, key).option("compression", "zstd").saveAsTable(full)
     _kept.append(full)
     return df.sparkSession.table(full)
 

@@ -21,7 +21,7 @@ WINDOW = 16
 LANES, LANE_TOKENS = 384, 2000
 RATE = 0.15
 #: Texts scored side by side.
-SCORED = 256
+SCORED = 512
 #: Tokens whose outputs are computed together when texts are scored.
 TOGETHER = 12_000
 #: Logits are kept below this, far from where exp() overflows.
@@ -29,10 +29,10 @@ MOST_LOGIT = np.float32(80)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    """Of a scratch array, in place; exp() may overflow to infinity, whose inverse is right."""
+    """Of a scratch array, in place."""
     np.negative(x, out=x)
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
+    np.minimum(x, MOST_LOGIT, out=x)
+    np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -103,6 +103,10 @@ def _exp(x: np.ndarray) -> np.ndarray:
     return np.exp(x, out=x)
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 def train(p: dict[str, np.ndarray], layout: Layout, texts: list[np.ndarray]) -> tuple[dict[str, np.ndarray], int]:
     """Parameters after one pass over the texts (numbers), and the tokens seen."""
     if not texts:
@@ -182,21 +186,21 @@ def _output_gradients(p: dict[str, np.ndarray], layout: Layout, after: np.ndarra
     d = s @ p["to_class"]
     d += p["class_bias"]
     _exp(d)
-    d /= d.sum(axis=1, keepdims=True) * n
+    d *= (1 / n / _row_sums(d))[:, None]
     d[np.arange(len(w)), cls] -= 1 / n
     ds = d @ p["to_class"].T
     g, words = {"to_class": s.T @ d, "class_bias": d.sum(axis=0)}, []
     order, parts = _by_class(layout, cls)
-    sorted_s, sorted_w, count, back = s[order], w[order], np.arange(len(w)), np.zeros_like(s)
+    sorted_s, sorted_w, count, back, ones = s[order], w[order], np.arange(len(w)), np.zeros_like(s), np.ones(len(w), np.float32)
     for a, b, i, j in parts:
         own, weights = sorted_s[i:j], p["to_word"][a:b]
         e = own @ weights.T
         e += p["word_bias"][a:b]
         _exp(e)
-        e /= e.sum(axis=1, keepdims=True) * n
+        e *= (1 / n / _row_sums(e))[:, None]
         e[count[: j - i], sorted_w[i:j] - a] -= 1 / n
         np.matmul(e, weights, out=back[i:j])
-        words.append((a, b, e.T @ own, e.sum(axis=0)))
+        words.append((a, b, e.T @ own, ones[: j - i] @ e))
     ds[order] += back
     if len(real) == y.size:
         return g, words, ds.reshape(after.shape)
@@ -207,23 +211,28 @@ def _output_gradients(p: dict[str, np.ndarray], layout: Layout, after: np.ndarra
 
 def _recurrent_gradients(p: dict[str, np.ndarray], held: np.ndarray, kept: list, x: np.ndarray, d_after: np.ndarray, fresh: np.ndarray) -> dict:
     n = HIDDEN
-    dx = np.empty((*x.shape, 3 * n), np.float32)
-    du = np.empty_like(dx)
-    dh, back = np.zeros_like(d_after[0]), np.ascontiguousarray(p["turn"].T)
+    z, r, c, u = (np.stack([k[i] for k in kept]) for i in range(4))
+    # what the gradients of update gates, candidates and reset gates are of that of the state
+    to_z, to_c, to_r = (held - c) * z, 1 - c * c, u * r
+    to_z *= 1 - z
+    to_c *= 1 - z
+    to_r *= 1 - r
+    z[fresh], back = 0, np.ascontiguousarray(p["turn"].T)
+    du, dc = np.empty((*x.shape, 3 * n), np.float32), np.empty_like(held)
+    dh = np.zeros_like(d_after[0])
     for t in range(len(kept) - 1, -1, -1):
-        z, r, c, u = kept[t]
-        dh = dh + d_after[t]
-        own = dx[t]
-        dc = dh * (1 - z)
-        dc *= 1 - c * c
-        own[:, 2 * n :] = dc
-        own[:, :n] = dh * (held[t] - c) * z * (1 - z)
-        own[:, n : 2 * n] = dc * u * r * (1 - r)
-        du[t] = own
-        du[t, :, 2 * n :] *= r
-        dh *= z
-        dh += du[t] @ back
-        dh[fresh[t]] = 0
+        dh += d_after[t]
+        np.multiply(dh, to_c[t], out=dc[t])
+        own = du[t]
+        np.multiply(dh, to_z[t], out=own[:, :n])
+        np.multiply(dc[t], to_r[t], out=own[:, n : 2 * n])
+        np.multiply(dc[t], r[t], out=own[:, 2 * n :])
+        dh *= z[t]
+        more = own @ back
+        more[fresh[t]] = 0
+        dh += more
+    dx = du.copy()
+    dx[:, :, 2 * n :] = dc
     turn = held.reshape(-1, n).T @ du.reshape(-1, 3 * n)
     # table rows: sums over the places of each number
     flat_x = x.ravel()
@@ -282,14 +291,14 @@ def _log_p(p: dict[str, np.ndarray], layout: Layout, s: np.ndarray, w: np.ndarra
     x = s @ p["to_class"]
     x += p["class_bias"]
     _exp(x)
-    out = x[np.arange(len(w)), cls] / x.sum(axis=1)
+    out = x[np.arange(len(w)), cls] / _row_sums(x)
     order, parts = _by_class(layout, cls)
     sorted_s, sorted_w, count, inside = s[order], w[order], np.arange(len(w)), np.ones(len(w), np.float32)
     for a, b, i, j in parts:
         x = sorted_s[i:j] @ p["to_word"][a:b].T
         x += p["word_bias"][a:b]
         _exp(x)
-        np.divide(x[count[: j - i], sorted_w[i:j] - a], x.sum(axis=1), out=inside[i:j])
+        np.divide(x[count[: j - i], sorted_w[i:j] - a], _row_sums(x), out=inside[i:j])
     out = np.log(np.maximum(out, 1e-30))
     out[order] += np.log(np.maximum(inside, 1e-30))
     return out.astype(float)

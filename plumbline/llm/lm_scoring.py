@@ -77,6 +77,10 @@ class _Block:
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def fit_round() -> Column:
+    return F.pmod("block", F.lit(ROUNDS)).cast("int")
+
+
 def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each block: its documents, their tokens as positions among tokens, and training counts.
 
@@ -103,7 +107,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     dealt = docs.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("deal", F.pmod("h", F.lit(blocks)))
     ordered = dealt.repartition(buckets, "deal").sortWithinPartitions("deal", "h", "doc_id").select("deal", "doc_id", "held", "text")
     made = ordered.mapInArrow(run, f"block long, docs array<{kind}>, held array<boolean>, sizes array<int>, ids binary, tokens array<binary>, train array<long>")
-    return kept_table(made, "blocks", "block", buckets)
+    return kept_table(made.withColumn("round", fit_round()), "blocks", "block", buckets, "round")
 
 
 def token_counts(blocks: DataFrame) -> DataFrame:
@@ -151,7 +155,7 @@ def tail_counts(blocks: DataFrame, counts: DataFrame, words: list[bytes]) -> Dat
     """block, place, c of the distinct tokens of each block that are outside the head and in training documents."""
     head = F.broadcast(blocks.sparkSession.createDataFrame([(bytearray(w),) for w in words], "token binary"))
     rows = blocks.select("block", F.posexplode("tokens").alias("place", "token")).join(head, "token", "left_anti")
-    return rows.join(counts.join(head, "token", "left_anti"), "token").select("block", "place", "c")
+    return rows.join(counts.join(head, "token", "left_anti"), "token").select("block", "place", "c", fit_round().alias("round"))
 
 
 def _with_tail(blocks: DataFrame, columns: list[str], tail: DataFrame, run, schema: str) -> DataFrame:
@@ -164,7 +168,7 @@ def _with_tail(blocks: DataFrame, columns: list[str], tail: DataFrame, run, sche
         return run(left.combine_chunks().to_batches()[0], right.column("place").to_numpy(), right.column("c").to_numpy())
 
     empty = pa.Table.from_batches([], pa.schema([]))
-    return blocks.select("block", *columns).groupBy("block").cogroup(tail.groupBy("block")).applyInArrow(both, schema)
+    return blocks.select("block", *columns).groupBy("block").cogroup(tail.select("block", "place", "c").groupBy("block")).applyInArrow(both, schema)
 
 
 def _line(batch: pa.RecordBatch, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,12 +198,12 @@ def _row(k: int, x: np.ndarray, n: int, units: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed_x], pa.binary()), pa.array([n], pa.int64()), pa.array([units], pa.int64())], names=["k", "x", "n", "units"])
 
 
-def fitted(blocks: DataFrame, tail: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], int]:
+def fitted(blocks: DataFrame, tail: DataFrame, words: Vocabulary) -> tuple[dict[str, np.ndarray], int]:
     """Parameters after one pass over all training documents, and the tokens seen in it."""
     context, layout = blocks.sparkSession.sparkContext, words.layout
     p, seen, kinds = layout.start(), 0, "k int, x binary, n long, units long"
     vocabulary_ = context.broadcast(words)
-    for r in range(rounds):
+    for r in range(ROUNDS):
         now = context.broadcast(p)
 
         def run(batch: pa.RecordBatch, place: np.ndarray, c: np.ndarray, now=now) -> pa.Table:
@@ -210,7 +214,7 @@ def fitted(blocks: DataFrame, tail: DataFrame, words: Vocabulary, rounds: int =
             change = np.concatenate([change, np.zeros(-len(change) % STRETCH, np.int64)])
             return pa.Table.from_batches([_row(k, change[at : at + STRETCH], n, 1) for k, at in enumerate(range(0, len(change) if n else 0, STRETCH))], _row(0, change[:0], 0, 0).schema)
 
-        some = F.pmod(F.col("block"), F.lit(rounds)) == r
+        some = F.col("round") == r
         changes = _with_tail(blocks.where(some), ["held", "sizes", "ids", "tokens"], tail.where(some), run, kinds).mapInArrow(_added, kinds)
         shares = changes.repartition("k", F.spark_partition_id() % SHARES).mapInArrow(_added, kinds)
         got = shares.repartition("k").mapInArrow(_added, kinds).orderBy("k").toArrow()
@@ -235,7 +239,7 @@ def score_documents(docs: DataFrame, head: int = HEAD, block_bytes: int = BLOCK_
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     words = vocabulary(counts, head)
-    tail = written(tail_counts(blocks, counts, words.words.to_pylist()), "lm-tail")
+    tail = written(tail_counts(blocks, counts, words.words.to_pylist()), "lm-tail", "round")
     context = blocks.sparkSession.sparkContext
     model, vocabulary_ = context.broadcast(fitted(blocks, tail, words)[0]), context.broadcast(words)
     kind = plain.schema["doc_id"].dataType.simpleString()
