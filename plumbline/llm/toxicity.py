@@ -5,7 +5,10 @@ ordered. x has a 1 for each word of the text that is among the features, and for
 (``STEMS`` letters) that is. Features are those whose texts are toxic more or less often than chance allows. The expected severity is the sum of the three probabilities; a document is toxic when the first is a half.
 
 The labels say only whether a text is toxic. The grades 1 to 3 of toxic texts are thirds of their evidence: the number of
-their features whose smoothed log-odds of standing in toxic texts are clearly positive.
+their distinct features whose smoothed log-odds of standing in toxic texts are clearly positive. Repetition adds nothing,
+so a text written twice keeps its grade; a longer text with more kinds of evidence is graded higher. (Grades by the
+share of evident words were tried: they contradict a sum of weights, and accuracy on held-back labels fell from over 0.97
+to 0.93.)
 
 The model is fitted to a sample of labelled documents of the table that is bounded by ``SAMPLE_ROWS``, those whose doc_ids have the
 smallest hashes, so it is the same however the tables are stored. Documents are scored where they are read.
@@ -149,7 +152,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Dat
     """doc_id, severity (expected), grade (most probable, 0 to 3), p_toxic and toxic of each row of docs.
 
     Null texts and texts without known features get what the thresholds alone give. Without labels nothing is toxic.
-    Repeated rows are scored alike. Of docs only doc_id and text are read, of labels doc_id and toxic.
+    Repeated rows are scored alike, long texts whole. An empty table gives an empty result. Of docs only doc_id and text are read, of labels doc_id and toxic.
     """
     sample = written(map_texts(labelled_sample(docs, labels, most), lambda: lambda texts: [[sorted(features(t)) for t in texts]], {"features": "array<string>"}, ("toxic",)), "toxicity-sample")
     model = docs.sparkSession.sparkContext.broadcast(fitted(sample))

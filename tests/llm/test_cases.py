@@ -27,6 +27,7 @@ OPERATORS = {
     "simhash": lambda d: simhash.near_duplicates(d),
     "keep_one": lambda d: simhash.keep_one(d).select(SCHEMA_COLUMNS),
     "pieces": lambda d: pieces.piece_digests(d, pieces.public_path("piece_bpe_32k.model")),
+    "with_pieces": lambda d: pieces.with_pieces(d, pieces.public_path("piece_bpe_32k.model"), more=("lang", "source")).selectExpr("doc_id", "lang", "source", "size(ids) as n", "md5(decoded) as m"),
     "decontamination": lambda d: decontamination.decontamination_report(d, bench(d.sparkSession)),
     "drop_contaminated": lambda d: decontamination.drop_contaminated(d, bench(d.sparkSession)).select(SCHEMA_COLUMNS),
     "toxicity": lambda d: toxicity.toxicity(d, labels(d.sparkSession)),
@@ -85,3 +86,39 @@ def test_stages_return_the_columns_of_documents(spark, stage):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     made = stage[1](spark, docs, SMALL)
     assert made.schema.simpleString() == docs.schema.simpleString()
+
+
+def test_values_of_odd_rows(spark):
+    """Not only the same in clashing tables: what null, empty, repeated and very long texts give."""
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    long = ROWS[4][1]
+    of = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    bodies, masks = brute.repeats([r[1] for r in ROWS], 200)
+    wanted = [(r[0], len(b), sum(m), sum(bool(x) and not (k and m[k - 1]) for k, x in enumerate(m)), brute.sha(bytes(x for x, g in zip(b, m, strict=True) if not g))) for r, b, m in zip(ROWS, bodies, masks, strict=True)]
+    assert of(suffix_array.repeat_report(docs)) == sorted(wanted, key=repr)
+    fps = [brute.fingerprint(r[1]) for r in ROWS]
+    assert sorted(r["fp"] for r in simhash.near_duplicates(docs).collect()) == sorted(f - 2**64 if f >= 2**63 else f for f in fps)
+    assert sorted((r["n_words"], r["kept"]) for r in quality.quality_rules(docs).collect()) == sorted((len((r[1] or "").split()), r[1] in (long, ROWS[5][1]) and bool(quality_kept(r[1]))) for r in ROWS)
+    assert sorted(r["size"] for r in sharding.shard_documents(docs).collect()) == sorted(len((r[1] or "").encode()) + 8 for r in ROWS)
+    assert sorted(r["n_words"] for r in decontamination.decontamination_report(docs, bench(spark)).collect()) == sorted(len((r[1] or "").split()) for r in ROWS)
+    assert len({r["severity"] for r in toxicity.toxicity(docs, labels(spark)).collect()}) == 1  # no feature stands in four texts
+    assert sorted(r["n_tokens"] for r in lm_scoring.score_documents(docs).collect()) == sorted(len((r[1] or "").split()) + 1 for r in ROWS)
+
+
+def quality_kept(text):
+    return brute.quality([(text, "b")], quality.LINE_LIMIT, quality.LEAST_SHARE)[0][6]
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    body = " ".join(f"own{i} said{i * 7}" for i in range(80))
+    rows = [(1, body, "en", "a", 5), (2, body, "en", "a", 5), (3, None, None, None, None), (4, "", "en", "a", 0), (None, body.replace("own", "other").replace("said", "told"), None, "b", 7), (5, LONG, "de", "b", 1)]
+    for name, given in (("odd", rows), ("empty", [])):
+        base = str(tmp_path / name)
+        spark.createDataFrame(given, SCHEMA).write.parquet(f"{base}/documents.parquet")
+        bench(spark).limit(0).write.parquet(f"{base}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, base).collect()
+        if not given:
+            assert got == []
+            continue
+        assert {r["doc_id"] for r in got} == {1, None}
+        assert next(r["text"] for r in got if r["doc_id"] == 1).startswith("own0 said0")

@@ -41,7 +41,7 @@ def test_every_training_document_is_fitted(spark, block_bytes):
     words = lm_scoring.vocabulary(counts, 3000)
     assert words.counts.sum() + words.n.sum() == n and len(words.words) == 3000
     assert words.share.sum() == words.n.sum() + 0.5 * (v - 3000 + 1)
-    tail = lm_scoring.written(lm_scoring.tail_counts(blocks, counts, words.words.to_pylist()), "test-tail")
+    tail = lm_scoring.written(lm_scoring.tail_counts(blocks, counts, words.words.to_pylist()), "test-tail", "round")
     assert lm_scoring.fitted(blocks, tail, words)[1] == n
 
 
@@ -168,6 +168,43 @@ def test_telling_words_at_any_share_of_toxic_labels(spark, share):
     assert weights["vile"] > 0 > weights["kind"]
 
 
+def test_a_doubled_text_keeps_its_grade():
+    model = toxicity.OrdinalModel({"vile": 2.0, "vilest": 1.5, " vile": 0.5, "calm": -1.0}, [1.0, 2.5, 4.0])
+    texts = ["vile vilest and calm", "calm", "vile"]
+    np.testing.assert_array_equal(model.at_least(texts), model.at_least([f"{t} {t}" for t in texts]))
+    evident = np.array([True, True, False])
+    assert toxicity.graded([[0, 1], [0], [2], [0, 2]], np.array([True, True, True, False]), evident).tolist() == [3, 2, 1, 0]
+
+
+def test_fit_lowers_the_plain_loss_and_scores_are_plain_sums():
+    """The likelihood, written out text by text, is better than that of any small step away; scores are sums of weights."""
+    draw = np.random.default_rng(8)
+    names = [f"f{i}" for i in range(6)]
+    rows = [sorted(set(draw.integers(0, 6, 3).tolist())) for _ in range(300)]
+    toxic = np.array([draw.random() < (0.7 if 0 in r else 0.15) for r in rows])
+    model = toxicity.fit(names, rows, toxic)
+    bad, good = (np.array([sum(i in r for r, t in zip(rows, toxic, strict=True) if t == side) for i in range(6)]) for side in (True, False))
+    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
+    y = toxicity.graded(rows, toxic, odds > toxicity.EVIDENT)
+
+    def loss(w, t):
+        total = 0.0
+        for r, g in zip(rows, y, strict=True):
+            s = sum(w[i] for i in r)
+            at = [1.0, *(1 / (1 + math.exp(x - s)) for x in t), 0.0]
+            total -= math.log(at[g] - at[g + 1])
+        return total / 300 + toxicity.L2 / 2 * sum(x * x for x in w)
+
+    w, t = [model.weights.get(n, 0.0) for n in names], model.thresholds
+    assert t == sorted(t)
+    for i in range(6):
+        for step in (-0.3, 0.3):
+            assert loss([x + step * (i == j) for j, x in enumerate(w)], t) > loss(w, t) - 5e-4
+    texts = ["f0 f1 f1", "", None, "f5 other"]
+    plain = [sum(model.weights.get(f, 0.0) for f in set((x or "").split())) for x in texts]
+    np.testing.assert_allclose(model.at_least(texts), [[1 / (1 + math.exp(x - s)) for x in t] for s in plain])
+
+
 def test_a_common_word_with_a_small_lift_tells(spark):
     """2000 of 12,000 texts, of which 20% are toxic where 11% of all are."""
     found = spark.range(1).select(toxicity.likelihood_ratio(F.lit(400), F.lit(1600), 1320, 10_680).alias("r"), toxicity.likelihood_ratio(F.lit(220), F.lit(1780), 1320, 10_680).alias("even"), toxicity.likelihood_ratio(F.lit(9), F.lit(0), 9, 0).alias("one")).first()
