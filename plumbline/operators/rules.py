@@ -182,6 +182,12 @@ def first_violations(values: DataFrame, ranges: DataFrame) -> DataFrame:
     return met.select("id", "value", F.col("first.field").alias("field"), F.col("first.ord").alias("ord"))
 
 
+def by_allowance(elements: DataFrame, allowed: DataFrame, on: str) -> DataFrame:
+    """elements with kind: allowed where their value of on stands in allowed, else other; a null is other."""
+    of = lambda join, kind: elements.join(allowed.select(on), on, join).withColumn("kind", F.lit(kind))
+    return of("left_semi", "allowed").unionByName(of("left_anti", "other"))
+
+
 def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Of the rows of each key the first."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")

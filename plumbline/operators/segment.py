@@ -70,6 +70,11 @@ def drawing_files(pages: DataFrame, most_pages: int | None = 48, inner_gap: int
     return named.select("doc_id", "seq", "segment", "run_first", "first_page", "last_page", "n_pages", "pages", F.concat("stem", F.when(F.col("again") > 0, F.concat(F.lit("_"), F.col("again").cast("string"))).otherwise("")).alias("stem"))
 
 
+def drawing_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, total_pages and pages_with_drawings (has_drawings) of each document."""
+    return pages.groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.count_if("has_drawings").alias("pages_with_drawings"))
+
+
 def project_boundaries(pages: DataFrame) -> DataFrame:
     """doc_id, start_page, end_page, signature of each project: a page with another signature than the last one that
     was seen begins one. Pages before the first signature belong to none."""

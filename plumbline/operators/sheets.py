@@ -53,6 +53,15 @@ def index_chunks(spec: DataFrame, rule_set: dict, rules_source: str = "rules.jso
     return made.select(F.concat("source", F.format_string("#%06d", "chunk_id")).alias("id"), "source", "chunk_id", "text")
 
 
+def drawing_chunks(sheets: DataFrame) -> DataFrame:
+    """drawing_id, page_number (1 where it is null), chunk_id, text: what a drawing adds to its index; blank texts add nothing.
+
+    Embedded and written with append, each drawing is one more append, and nothing is read again.
+    """
+    some = sheets.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")) != "")
+    return some.select("drawing_id", F.coalesce("page_number", F.lit(1)).alias("page_number"), F.posexplode(chunk.chunks_of(F.col("text"))).alias("chunk_id", "text"))
+
+
 def hits_with_texts(hits: DataFrame, index: DataFrame) -> DataFrame:
     """hits (query_id, rank, id, score) with source and text of the chunk."""
     return hits.join(index.select("id", "source", "text"), "id").select("query_id", "rank", "id", "source", "text", "score")

@@ -89,9 +89,7 @@ def first_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def allowed_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = spark.sql("select * from values ('STANDARD'), ('SMALL') as a(p_type)")
-    parts = table(spark, sf_dir, "part")
-    of = lambda kind, name: parts.join(allowed, "p_type", kind).groupBy("p_type").agg(F.count("*").alias("n")).withColumn("kind", F.lit(name))
-    return of("left_semi", "allowed").unionByName(of("left_anti", "other"))
+    return rules.by_allowance(table(spark, sf_dir, "part").select("p_partkey", "p_type"), allowed, "p_type").groupBy("p_type", "kind").agg(F.count("*").alias("n"))
 
 
 def _documents_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +229,10 @@ def labelled_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("source", "total_drawings", "n_compliant", "n_non_compliant", "n_undetermined", F.array_join(reports.shortened(F.col("first_compliant").cast("array<string>"), 8, F.col("n_compliant")), ",").alias("first_compliant"))
 
 
+def drawing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.drawing_pages(_events_as_pages(spark, sf_dir).withColumn("has_drawings", F.col("is_drawing")))
+
+
 def match_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     matched = text.for_match(F.col("text"))
@@ -286,7 +288,7 @@ def joined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as PDFs: turns that the assistant says have Markdown, users' turns OCR, each third a caption."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), "role", F.col("text").alias("pdf_text"))
     key = ["doc_id", "page_number"]
-    markdown = c.where("role = 'assistant'").select(*key, F.upper("pdf_text").alias("text"))
+    markdown = c.where("role = 'assistant'").select(*key, F.concat(F.lit("# "), "pdf_text").alias("text"))
     ocr = c.where("role = 'user'").select(*key, F.lower("pdf_text").alias("text"), F.lit("easyocr").alias("engine"))
     captions = c.where("page_number in (0, 3)").select(*key, F.when(F.col("page_number") == 0, F.concat(F.lit(reports.CAPTION_ERROR), F.lit("] x"))).otherwise(F.lit("a drawing")).alias("caption"))
     pages = sheets.page_inputs(sheets.with_markdown(c, markdown), ocr, captions)
@@ -374,6 +376,6 @@ QUERIES = {
     for f in (
         report_verdicts, element_issues, verdict_buckets, first_violations, allowed_materials, page_features, page_scores, page_classes, drawing_runs, drawing_files, project_boundaries, project_pages,
         split_check, split_advice, fused_texts, ocr_choice, first_numbers, file_stems, snippets, image_metrics, top_chunks, chunks, heuristic_elements, parsed_replies, labelled_buckets,
-        match_texts, support_texts, page_texts, project_names, sheet_labels, rules_sentences, album_drawings, joined_pages, drawing_reports, page_batches, album_projects, prompt_texts,
+        drawing_pages, match_texts, support_texts, page_texts, project_names, sheet_labels, rules_sentences, album_drawings, joined_pages, drawing_reports, page_batches, album_projects, prompt_texts,
     )
 }

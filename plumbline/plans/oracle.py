@@ -295,6 +295,7 @@ select event_id, n as n_elements, case when n = 2 then k::varchar end as size, c
 )
 select source, total_drawings, coalesce(len(yes), 0) as n_compliant, n_no as n_non_compliant, n_open as n_undetermined,
   coalesce(array_to_string(list_transform(yes[1:8], lambda x: x::varchar), ','), '') || case when len(yes) > 8 then ',… ещё ' || (len(yes) - 8) else '' end as first_compliant from a""",
+    "drawing_pages": "select user_id as doc_id, count(*) as total_pages, count(*) filter (where event_type = 'click') as pages_with_drawings from events group by 1",
     "match_texts": r"""with m as (select doc_id, regexp_replace(translate(text, chr(160) || '×xX', ' ххх'), '[\s\x{A0}\x{3000}]+', ' ', 'g') as t from documents)
 select doc_id, length(t) as n, md5(t) as text_md5 from m""",
     "support_texts": r"""with f as (select doc_id, trim(regexp_replace(lower(text), '[\s\x{A0}\x{3000}]+', ' ', 'g')) as t from documents)
@@ -360,7 +361,7 @@ select 'rules.json#00000' || chunk_id as id, chunk_id, length(text) as n, text f
 select doc_id, seq, segment, run_first, first_page, last_page, n_pages,
   base || case when row_number() over (partition by doc_id, base order by seq) > 1 then '_' || (row_number() over (partition by doc_id, base order by seq) - 1) else '' end as stem from based""",
     "joined_pages": """with p as (
-  select conv_id as doc_id, turn as page_number, case when role = 'assistant' then upper(text) else text end as pdf, case when role = 'user' then lower(text) end as ocr, case when turn = 3 then 'a drawing' end as caption from conversations
+  select conv_id as doc_id, turn as page_number, case when role = 'assistant' then '# ' || text else text end as pdf, case when role = 'user' then lower(text) end as ocr, case when turn = 3 then 'a drawing' end as caption from conversations
 ), q as (
   select *, case when trim(pdf) <> '' then '[PDF стр.' || page_number || ']' || chr(10) || pdf end as a, case when trim(ocr) <> '' then '[OCR стр.' || page_number || ' (easyocr)]' || chr(10) || ocr end as b, case when caption is not null then '[LLaVA стр.' || page_number || ']' || chr(10) || caption end as c from p
 )

@@ -176,6 +176,12 @@ def test_a_missing_index_has_no_chunks(spark, tmp_path):
     assert files.chunk_index(spark, str(tmp_path / "i"), schema).count() == 2
 
 
+def test_what_a_drawing_adds_to_its_index(spark):
+    rows = spark.createDataFrame([("a", "Первое.\n\n" + "Второе. " * 90, None), ("b", " \n", 3), ("c", "x", 3)], "drawing_id string, text string, page_number int")
+    got = [tuple(r)[:3] for r in sheets.drawing_chunks(rows).orderBy("drawing_id", "chunk_id").collect()]
+    assert got == [("a", 1, 0), ("a", 1, 1), ("c", 3, 0)]
+
+
 def test_small_columns(spark):
     row = spark.createDataFrame([("Заказчик: x", "пояснительная записка", [(100.0, 100.0)], 6)], "a string, b string, rects array<struct<width:double,height:double>>, paths int").select(
         classify.project_score(F.lower("a")), classify.project_score(F.lower("b")), classify.project_score(F.lit("x")), classify.has_graphics(F.col("rects"), F.lit(0)), classify.has_graphics(F.array().cast("array<struct<width:double,height:double>>"), F.col("paths")), text.base64_line(F.lit(b"x" * 100))
