@@ -69,6 +69,7 @@ def is_advertising(text: Column, upper: Column, m: Markers = RUSSIAN) -> Column:
     return contains_any(text, m.ad_phrases) | upper.rlike(pattern(m.ad_author))
 
 
+#: The weights and limits below are fixed values.
 def scores(text: Column, upper: Column, chars: Column, ratio: Column, images: Column, m: Markers = RUSSIAN) -> dict[str, Column]:
     drawing = two_tiers(text, m.drawing_strong, m.drawing_weak, 0.88, 0.42)
     hits = sum((any_match(text, (p,)).cast("int") for p in m.annotation), F.lit(0))

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 CYRILLIC, LATIN = r"[\x{0400}-\x{04FF}]", "[A-Za-z]"
 #: Fixed value: words that hint at a title page.
 TITLE_HINTS = ("жилой", "дом", "мансард", "этажн", "гараж", "арболит", "брус", "кирпич", "одноэтаж", "двухэтаж", "вариант", "стен")
-#: A project's title line.
-_DIM_PARENS = r"\(\s*[\d\.,]+\s*[хx×]\s*[\d\.,]+\s*\)"
-_DIM_FREE = r"[\d\.,]+\s*[хx×]\s*[\d\.,]+(?:\s*м\b)?"
-PROJECT_TITLE = rf"(?:ЖИЛОЙ\s+ДОМ(?:\s*{_DIM_PARENS})[^\n]{{0,400}}|ЖИЛОЙ\s+ДОМ[^\n]{{0,120}}?{_DIM_FREE}[^\n]{{0,280}}|(?:ДВУХЭТАЖНЫЙ|ОДНОЭТАЖНЫЙ|МАНСАРДНЫЙ)\s+жилой\s+дом[^\n]{{0,400}}?(?:{_DIM_PARENS}|{_DIM_FREE})[^\n]{{0,320}}(?:\([^)]{{1,200}}\))?)"
+#: Fixed value: a project's title line.
+PROJECT_TITLE = (
+    r"(?:ЖИЛОЙ\s+ДОМ(?:\s*\(\s*[\d\.,]+\s*[хx×]\s*[\d\.,]+\s*\))[^\n]{0,400}"
+    r"|ЖИЛОЙ\s+ДОМ[^\n]{0,120}?[\d\.,]+\s*[хx×]\s*[\d\.,]+(?:\s*м\b)?[^\n]{0,280}"
+    r"|(?:ДВУХЭТАЖНЫЙ|ОДНОЭТАЖНЫЙ|МАНСАРДНЫЙ|Двухэтажный|Одноэтажный|Мансардный)\s+жилой\s+дом[^\n]{0,400}?(?:\(\s*[\d\.,]+\s*[хx×]\s*[\d\.,]+\s*\)|[\d\.,]+\s*[хx×]\s*[\d\.,]+(?:\s*м\b)?)[^\n]{0,320}(?:\([^)]{1,200}\))?)"
+)
 #: Where a sheet's name is looked for.
 LABEL_PATTERNS = (r"черт[её]ж\s*(?:№|#)?\s*([^\n]{1,80})", r"(план\s+(?:этажа|осей|фасада|кровли|помещен)[^\n]{0,60})")
 LABEL_SHEET = r"\b(\d{1,4}\s*[-–—]\s*[А-ЯA-ZЁё0-9]{1,8})\b"

@@ -182,6 +182,22 @@ def test_what_a_drawing_adds_to_its_index(spark):
     assert got == [("a", 1, 0), ("a", 1, 1), ("c", 3, 0)]
 
 
+@pytest.mark.parametrize(
+    ("page", "signature", "slug"),
+    [
+        ("Альбом\nЖИЛОЙ ДОМ (9,5 х 12.0) кирпич\nлист 1", "ЖИЛОЙ ДОМ (9,5 х 12.0) кирпич", "project_zhdom_9_5x12_0_kirpich"),
+        ("Жилой  дом из бруса 8x10 м", "Жилой дом из бруса 8x10 м", "project_zhdom_8x10_brus"),
+        ("Двухэтажный жилой дом с гаражом 10 × 12 (стены: арболит)", "Двухэтажный жилой дом с гаражом 10 × 12 (стены: арболит)", "project_2etaj_10x12_arbolit"),
+        ("мансардный жилой дом без размеров", None, None),
+        ("план этажа", None, None),
+    ],
+)
+def test_project_titles(spark, page, signature, slug):
+    said = text.project_signature(F.col("t"))
+    got = spark.createDataFrame([(page,)], "t string").select(said.alias("s"), F.when(said.isNotNull(), text.project_slug(said)).alias("n")).first()
+    assert tuple(got) == (signature, slug)
+
+
 def test_small_columns(spark):
     row = spark.createDataFrame([("Заказчик: x", "пояснительная записка", [(100.0, 100.0)], 6)], "a string, b string, rects array<struct<width:double,height:double>>, paths int").select(
         classify.project_score(F.lower("a")), classify.project_score(F.lower("b")), classify.project_score(F.lit("x")), classify.has_graphics(F.col("rects"), F.lit(0)), classify.has_graphics(F.array().cast("array<struct<width:double,height:double>>"), F.col("paths")), text.base64_line(F.lit(b"x" * 100))
