@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import any_match, collapse, contains_any, normalised, pattern
+from plumbline.functions.text import collapse, contains_any, matches_normalised, normalised, pattern
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def features(pages: DataFrame, text: str = "pdf_text") -> DataFrame:
 
 
 def two_tiers(text: Column, strong: tuple, weak: tuple, high: float, low: float) -> Column:
-    return F.when(any_match(text, strong), high).when(any_match(text, weak), low).otherwise(0.0)
+    return F.when(matches_normalised(text, strong), high).when(matches_normalised(text, weak), low).otherwise(0.0)
 
 
 def is_advertising(text: Column, upper: Column, m: Markers = RUSSIAN) -> Column:
@@ -72,8 +72,8 @@ def is_advertising(text: Column, upper: Column, m: Markers = RUSSIAN) -> Column:
 #: The weights and limits below are fixed values.
 def scores(text: Column, upper: Column, chars: Column, ratio: Column, images: Column, m: Markers = RUSSIAN) -> dict[str, Column]:
     drawing = two_tiers(text, m.drawing_strong, m.drawing_weak, 0.88, 0.42)
-    hits = sum((any_match(text, (p,)).cast("int") for p in m.annotation), F.lit(0))
-    noted = F.greatest(F.when(hits > 0, 0.35 + F.least(F.lit(0.45), 0.12 * hits)).otherwise(0.0), F.when(text.rlike(pattern(m.dimensions, True)), 0.4).otherwise(0.0))
+    hits = sum((matches_normalised(text, (p,)).cast("int") for p in m.annotation), F.lit(0))
+    noted = F.greatest(F.when(hits > 0, 0.35 + F.least(F.lit(0.45), 0.12 * hits)).otherwise(0.0), F.when(matches_normalised(text, (m.dimensions,)), 0.4).otherwise(0.0))
     few = chars < 220
     photo = [
         F.when(contains_any(text, m.ad_soft), 0.35),
@@ -100,7 +100,7 @@ def classified(pages: DataFrame, m: Markers = RUSSIAN) -> DataFrame:
     advertising and nothing else. A page of no other kind, or one of annotations, can be project information.
     """
     s = scores(*(F.col(c) for c in ("text", "text_upper", "char_count", "image_area_ratio", "image_count")), m)
-    scored = pages.withColumns({f"_{k}": v for k, v in s.items()} | {"_ads": is_advertising(F.col("text"), F.col("text_upper"), m), "_project": any_match(F.col("text"), m.project)})
+    scored = pages.withColumns({f"_{k}": v for k, v in s.items()} | {"_ads": is_advertising(F.col("text"), F.col("text_upper"), m), "_project": matches_normalised(F.col("text"), m.project)})
     ranked = F.sort_array(F.array(*[F.col(f"_{k}") for k in s]), asc=False)
     scored = scored.withColumn("_best", F.when((ranked[0] >= CONFIDENT) & (ranked[0] - ranked[1] >= MARGIN), ranked[0]))
     wins = lambda k: ~F.col("_ads") & F.coalesce(F.col(f"_{k}") == F.col("_best"), F.lit(False))
@@ -117,7 +117,7 @@ def classified(pages: DataFrame, m: Markers = RUSSIAN) -> DataFrame:
 def begins_new_project(text: Column, m: Markers = RUSSIAN) -> Column:
     """Whether a page (normalised text) starts another project's part of an album."""
     head = F.substring(text, 1, 1800)
-    return (head.rlike(pattern(m.project_sheet, True)) & contains_any(head, m.project_sheet_with)) | contains_any(head, m.project_notes)
+    return (matches_normalised(head, (m.project_sheet,)) & contains_any(head, m.project_sheet_with)) | contains_any(head, m.project_notes)
 
 
 def image_metrics(images: DataFrame, page_area: str = "page_area") -> DataFrame:

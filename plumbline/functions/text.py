@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -40,6 +41,25 @@ def any_match(col: Column, patterns: Iterable[str]) -> Column:
     return col.rlike(pattern(either(patterns), True)) if patterns else F.lit(False)
 
 
+#: Lower-case letters that are another letter's where case is ignored.
+FOLDED = r"[\x{017F}\x{1C80}-\x{1C88}]"
+
+
+def matches_normalised(col: Column, patterns: Iterable[str]) -> Column:
+    """any_match for texts in lower case. Patterns without upper-case letters then need no case folding, which is slow;
+    plain words need no pattern."""
+    patterns = tuple(patterns)
+    said = re.sub(r"\\.", "", "".join(patterns))
+    if not patterns or said != said.lower():
+        return any_match(col, patterns)
+    words = [p for p in patterns if not re.search(r"[\\.^$*+?{}\[\]|()]", p)]
+    others = [p for p in patterns if p not in words]
+    found = contains_any(col, words)
+    if others:
+        found = found | col.rlike(pattern(either(others)))
+    return F.when(col.rlike(FOLDED), any_match(col, patterns)).otherwise(found)
+
+
 def contains_any(col: Column, words: Iterable[str]) -> Column:
     found = F.lit(False)
     for w in words:
