@@ -1,8 +1,9 @@
-"""Documents as blocks over distinct strings, and a table that is made once for each distinct string of the corpus.
+"""Documents as blocks over distinct strings, and what is made once for each distinct string of the corpus.
 
 A block is one row for about ``BLOCK_BYTES`` of texts: columns of its documents, its distinct strings (chunks, pre-tokens),
-and documents in terms of positions among them. Distinct strings alone are shuffled: to the table, where each stands once
-whatever the number of documents and blocks that have it, and back to their block and position.
+and documents in terms of positions among them; blocks are written once, bucketed, and are not shuffled. Their distinct
+strings are, twice: by string, so that each stands in one task as one run, however many blocks have it, and is looked up
+once for all; and back, packed by block.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import kept_table
 
 BLOCK_BYTES = 16_000_000
+#: Rows that a task packs by block at a time.
+PACKED_ROWS = 400_000
+_FOUND = "to long, n int, values int, places binary, lengths binary, flat binary, other array<int>, texts array<string>"
 
 
 def shrunk(x: np.ndarray) -> bytes:
@@ -30,6 +34,12 @@ def grown(x: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(x, 4 * n, "zstd", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
 
 
+def gathered(flat: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The stretches of flat (of the given lengths) in the order of rows."""
+    begin, n = np.cumsum(lengths) - lengths, lengths[rows]
+    return flat[np.repeat(begin[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 def numbering() -> dict:
     """Numbers strings as they come, from 0."""
     return defaultdict(count().__next__)
@@ -66,29 +76,64 @@ def as_rows(docs: DataFrame, columns: tuple[str, ...], start: Callable[[], objec
             yield record()
 
     schema = ", ".join(["block long", *[f"`{c}` array<{t}>" for c, t in own.items()], *[f"`{c}` {t}" for c, t in kinds.items()]])
-    return written(docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema), "blocks")
-
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept_table(docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema), "blocks", "block", buckets)
 
-def table_of(blocks: DataFrame, strings: str, make: Callable[[], Callable[[list[str]], list]], kinds: dict[str, str]) -> DataFrame:
-    """string and the columns of kinds, one row for each distinct string of all blocks, written. make() is called once in
-    each task and gives what makes the columns (Arrow arrays) from a list of strings."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = make()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *of(batch.column(0).to_pylist())], names=["string", *kinds])
+def looked_up(blocks: DataFrame, strings: str, make: Callable[[], Callable[[list[str]], tuple[list[list[int]], list[str | None]]]]) -> DataFrame:
+    """What make() gives of the distinct strings, packed for their blocks (to).
 
-    distinct = blocks.select(F.explode(strings).alias("string")).distinct()
-    return written(distinct.mapInArrow(run, "string string, " + ", ".join(f"{c} {t}" for c, t in kinds.items())), "strings")
+    make() is called once in each task and gives a function of a list of strings: numbers of each, and a text or none.
+    """
 
+    def packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        to, place, lengths = (np.concatenate([r[i] for r in rows]) for i in range(3))
+        flat, texts = np.concatenate([r[3] for r in rows]), [t for r in rows for t in r[4]]
+        order = np.argsort(to, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0]))
+        for some in np.split(order, cut[1:]):
+            own = gathered(flat, lengths, some)
+            said = [(int(place[i]), texts[i]) for i in some.tolist() if texts[i] is not None]
+            made = {"to": [int(to[some[0]])], "n": [len(some)], "values": [len(own)], "places": [shrunk(place[some])], "lengths": [shrunk(lengths[some])], "flat": [shrunk(own)], "other": [[p for p, _ in said]], "texts": [[t for _, t in said]]}
+            yield pa.RecordBatch.from_pydict(made, schema=_ARROW)
 
-def joined_back(blocks: DataFrame, strings: str, table: DataFrame, run: Callable[[dict, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """run(a block's values by column, the table's rows in the order of the block's strings) over all blocks."""
-    others = [c for c in blocks.columns if c != strings]
-    places = blocks.select(F.col("block").alias("to"), F.posexplode(strings).alias("place", "string")).join(table, "string").drop("string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last, rows, n = make(), None, [], 0
+        for batch in batches:
+            said = batch.column("string").to_pylist()
+            fresh = [s for a, s in zip([last[0] if last else None, *said], said, strict=False) if s != a]
+            numbers, texts = of(fresh) if fresh else ([], [])
+            if last:
+                numbers, texts = [last[1], *numbers], [last[2], *texts]
+            # the run that each row belongs to; the first may go on from the batch before
+            new = np.array([s != a for a, s in zip([last[0] if last else None, *said], said, strict=False)], bool)
+            at = np.cumsum(new) - (0 if last else 1)
+            lengths = np.array([len(x) for x in numbers], np.int64)
+            flat = np.array([i for x in numbers for i in x], np.int64)
+            rows.append((batch.column("block").to_numpy(), batch.column("place").to_numpy(), lengths[at], gathered(flat, lengths, at), [texts[i] for i in at.tolist()]))
+            last, n = (said[-1], numbers[-1], texts[-1]), n + len(said)
+            if n >= PACKED_ROWS:
+                yield from packed(rows)
+                rows, n = [], 0
+        if rows:
+            yield from packed(rows)
+
+    places = blocks.select("block", F.posexplode(strings).alias("place", "string")).repartition("string").sortWithinPartitions("string")
+    return places.select("block", "place", "string").mapInArrow(run, _FOUND)
+
+
+_ARROW = pa.schema([("to", pa.int64()), ("n", pa.int32()), ("values", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("flat", pa.binary()), ("other", pa.list_(pa.int32())), ("texts", pa.list_(pa.string()))])
+
+
+def joined_back(blocks: DataFrame, columns: list[str], found: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """run(a block's values by column, lengths and numbers of its strings in their order, texts by position) over all blocks."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.combine_chunks()
-        return run({c: row.column(c).chunk(0) for c in others}, right.combine_chunks().sort_by("place"))
-
-    return blocks.select(*others).groupBy("block").cogroup(places.groupBy("to")).applyInArrow(both, schema)
+        row, rows = left.combine_chunks(), right.to_pylist()
+        lists = [[grown(r[c], r[k]) for r in rows] for c, k in (("places", "n"), ("lengths", "n"), ("flat", "values"))]
+        place, lengths, flat = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in lists)
+        order = np.argsort(place)
+        texts = {p: t for r in rows for p, t in zip(r["other"], r["texts"], strict=True)}
+        return run({c: row.column(c).chunk(0) for c in columns}, lengths[order], gathered(flat, lengths, order), texts)
+
+    return blocks.select("block", *columns).groupBy("block").cogroup(found.groupBy("to")).applyInArrow(both, schema)

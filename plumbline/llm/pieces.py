@@ -5,9 +5,9 @@ the next: a text is cut before each run of markers, each distinct chunk is segme
 by position. The model puts one marker before a text; a chunk, which begins with a marker, is therefore handed to the
 library without its first.
 
-Each run of documents becomes a block: its distinct chunks, and each document as positions among them. All distinct
-chunks of the corpus make one table, in which each is segmented once; its ids come back to the blocks by position. Texts
-are not shuffled, blocks (in numbers) and distinct chunks are.
+Each run of documents becomes a block: its distinct chunks, and each document as positions among them. The distinct chunks
+of all blocks come together by chunk, each is segmented once for the corpus, and its ids come back to the blocks by
+position. Texts and blocks are not shuffled, distinct chunks are.
 
 That a model is of this kind is checked at the start: one with pieces that cross markers, or that treats white space in
 another way, is refused.
@@ -20,10 +20,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.blocks import BLOCK_BYTES, as_rows, grown, joined_back, numbering, shrunk, table_of
+from plumbline.llm.blocks import BLOCK_BYTES, as_rows, gathered, grown, joined_back, looked_up, numbering, shrunk
 from plumbline.llm.common import id_and_text, table
 
 MARKER = "▁"
@@ -91,19 +90,24 @@ class _Chunks:
         return {"chunks": pa.array([list(self.number)], pa.list_(pa.string())), "sizes": pa.array([shrunk(np.array(self.sizes))], pa.binary()), "line": pa.array([shrunk(line)], pa.binary()), "n": pa.array([len(line)], pa.int64())}
 
 
-def chunk_table(blocks: DataFrame, model: str) -> DataFrame:
-    """string, ids, said of each distinct chunk of the corpus."""
+def plain(chunk: str) -> str:
+    """What most chunks decode to."""
+    return chunk.replace(MARKER, " ")
+
+
+def segment_once(blocks: DataFrame, model: str) -> DataFrame:
+    """Ids of the distinct chunks, and what they decode to where that is not plain, packed for their blocks."""
 
     def make():
         of = _model(model)
 
-        def rows(strings: list[str]) -> list[pa.Array]:
+        def rows(strings: list[str]) -> tuple[list[list[int]], list[str | None]]:
             ids, said = segmented(strings, of)
-            return [pa.array(ids, pa.list_(pa.int32())), pa.array(said, pa.string())]
+            return ids, [None if t == plain(c) else t for c, t in zip(strings, said, strict=True)]
 
         return rows
 
-    return table_of(blocks, "chunks", make, {"ids": "array<int>", "said": "string"})
+    return looked_up(blocks, "chunks", make)
 
 
 def _documents(row: dict, columns: tuple[str, ...]) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
@@ -116,7 +120,7 @@ def _prepared(docs: DataFrame, model: str, columns: tuple[str, ...], block_bytes
     check_model(model)
     own = id_and_text(docs, *columns[1:])
     blocks = as_rows(own, columns, _Chunks, _Chunks.kinds, block_bytes)
-    return blocks, chunk_table(blocks, model), "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in columns)
+    return blocks, segment_once(blocks, model), "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in columns)
 
 
 def with_pieces(docs: DataFrame, model: str, block_bytes: int = BLOCK_BYTES, more: tuple[str, ...] = ()) -> DataFrame:
@@ -128,38 +132,44 @@ def with_pieces(docs: DataFrame, model: str, block_bytes: int = BLOCK_BYTES, mor
     """
     columns = ("doc_id", *more)
 
-    def run(row: dict, found: pa.Table) -> pa.Table:
+    def run(row: dict, lengths: np.ndarray, ids: np.ndarray, other: dict) -> pa.Table:
         kept, sizes, line = _documents(row, columns)
         end = np.cumsum(sizes)
-        every = found.column("ids").combine_chunks()
-        every = every.chunk(0) if isinstance(every, pa.ChunkedArray) else every
-        flat = every.take(pa.array(line)).flatten()
-        length = pc.list_value_length(every).to_numpy(zero_copy_only=False)[line] if len(line) else np.zeros(0, np.int64)
-        offset = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], end])].astype(np.int32)
-        said = np.array(found.column("said").to_pylist(), object)[line] if len(line) else np.zeros(0, object)
+        offset = np.concatenate([[0], np.cumsum(lengths[line])])[np.concatenate([[0], end])].astype(np.int32)
+        said = _said(row, other)[line]
         texts = ["".join(said[a:z])[1:] for a, z in zip((end - sizes).tolist(), end.tolist(), strict=True)]
+        flat = pa.array(gathered(ids, lengths, line).astype(np.int32))
         return pa.Table.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offset), flat), pa.array(texts, pa.string())], names=[*columns, "ids", "decoded"])
 
-    blocks, table_, carried = _prepared(docs, model, columns, block_bytes)
-    return joined_back(blocks, "chunks", table_, run, carried + "ids array<int>, decoded string")
+    blocks, found, carried = _prepared(docs, model, columns, block_bytes)
+    return joined_back(blocks, [*columns, *_Chunks.kinds], found, run, carried + "ids array<int>, decoded string")
 
 
 def piece_digests(docs: DataFrame, model: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs; cases as with_pieces has them."""
 
-    def run(row: dict, found: pa.Table) -> pa.Table:
+    def run(row: dict, lengths: np.ndarray, ids: np.ndarray, other: dict) -> pa.Table:
         kept, sizes, line = _documents(row, ("doc_id",))
-        ids, said = (found.column(c).to_pylist() for c in ("ids", "said"))
-        n = np.array([len(x) for x in ids], np.int64)[line] if ids else np.zeros(0, np.int64)
-        digits, said = np.array([",".join(map(str, x)) for x in ids], object), np.array(said, object)
-        end, out = np.cumsum(sizes), []
+        said, flat, at, digits = _said(row, other), ids.tolist(), 0, []
+        for n in lengths.tolist():
+            digits.append(",".join(map(str, flat[at : at + n])))
+            at += n
+        digits, end, out = np.array(digits, object), np.cumsum(sizes), []
         for a, z in zip((end - sizes).tolist(), end.tolist(), strict=True):
             part = line[a:z]
-            out.append((int(n[a:z].sum()), sha256(",".join(digits[part])), sha256("".join(said[part])[1:])))
+            out.append((int(lengths[part].sum()), sha256(",".join(digits[part])), sha256("".join(said[part])[1:])))
         return pa.Table.from_arrays([*kept, *[pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    blocks, table_, carried = _prepared(docs, model, ("doc_id",), block_bytes)
-    return joined_back(blocks, "chunks", table_, run, carried + "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    blocks, found, carried = _prepared(docs, model, ("doc_id",), block_bytes)
+    return joined_back(blocks, ["doc_id", *_Chunks.kinds], found, run, carried + "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _said(row: dict, other: dict) -> np.ndarray:
+    """What each distinct chunk of a block decodes to."""
+    said = np.array([plain(c) for c in row["chunks"][0].as_py()], object)
+    for place, text in other.items():
+        said[place] = text
+    return said
 
 
 def sha256(text: str) -> str:

@@ -2,8 +2,8 @@
 
 A text is cut at white space, which the tokenizer drops, and its words are cut into pre-tokens by the tokenizer's own
 normaliser and pre-tokeniser, once for each distinct word of a block of documents; a special string inside a word is one
-token, as the library has it. All distinct pre-tokens of the corpus make one table, in which the tokenizer's model counts
-the pieces of each once. The counts come back to the blocks, where each document's frequencies of words, and through them of
+token, as the library has it. The distinct pre-tokens of all blocks come together by pre-token, and the tokenizer's model
+counts the pieces of each once for the corpus. The counts come back to the blocks, where each document's frequencies of words, and through them of
 pre-tokens, are multiplied with them and summed.
 
 That a tokenizer is of this kind is checked at the start: others are refused.
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.blocks import BLOCK_BYTES, as_rows, grown, joined_back, numbering, shrunk, table_of
+from plumbline.llm.blocks import BLOCK_BYTES, as_rows, grown, joined_back, looked_up, numbering, shrunk
 from plumbline.llm.common import id_and_text, table
 from plumbline.llm.pieces import public_path
 
@@ -107,9 +107,9 @@ class _Frequencies:
         return {"pretokens": pa.array([list(number)], pa.list_(pa.string())), **made, "n": pa.array([[len(held), len(special), len(line)]], pa.list_(pa.int32()))}
 
 
-def pretoken_table(blocks: DataFrame, tokenizer: str) -> DataFrame:
-    """string, pieces of each distinct pre-token of the corpus."""
-    return table_of(blocks, "pretokens", lambda: lambda strings: [pa.array([_pretokens(tokenizer).pieces(x) for x in strings], pa.int32())], {"pieces": "int"})
+def count_once(blocks: DataFrame, tokenizer: str) -> DataFrame:
+    """Pieces of the distinct pre-tokens, packed for their blocks."""
+    return looked_up(blocks, "pretokens", lambda: lambda strings: ([[_pretokens(tokenizer).pieces(x)] for x in strings], [None] * len(strings)))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -123,18 +123,18 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, block_byte
     own = id_and_text(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
     blocks = as_rows(own, ("doc_id", "n_bytes"), lambda: _Frequencies(tokenizer), _Frequencies.kinds, block_bytes)
 
-    def run(row: dict, found: pa.Table) -> pa.Table:
+    def run(row: dict, lengths: np.ndarray, pieces: np.ndarray, other: dict) -> pa.Table:
         ids, n_bytes = (row[c][0].values for c in ("doc_id", "n_bytes"))
         n_held, n_words, n_line = row["n"][0].as_py()
         part = lambda c, n: grown(row[c][0].as_py(), n).astype(np.int64)
         sums = lambda x, sizes: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(sizes)])])
-        pieces = found.column("pieces").to_numpy().astype(np.int64)
         of_word = part("special", n_words) + sums(pieces[part("line", n_line)], part("lengths", n_words))
         tokens = sums(of_word[part("held", n_held)] * part("times", n_held), part("sizes", len(ids)))
         return pa.Table.from_arrays([ids, n_bytes, pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    return joined_back(blocks, "pretokens", pretoken_table(blocks, tokenizer), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    columns = ["doc_id", "n_bytes", *[c for c in _Frequencies.kinds if c != "pretokens"]]
+    return joined_back(blocks, columns, count_once(blocks, tokenizer), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from plumbline.llm import pieces, token_counts
+from plumbline.llm import blocks, pieces, token_counts
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
@@ -45,17 +45,34 @@ def test_counts_are_the_librarys(spark):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 2048), repr(t)
 
 
-def test_each_distinct_string_is_looked_up_once(spark):
+@pytest.mark.parametrize("rows", [3, 1000])
+def test_each_distinct_string_is_looked_up_once(spark, rows, monkeypatch):
+    """Whatever the blocks, batches and stretches that a task packs; each block gets what its strings are."""
+    monkeypatch.setattr(blocks, "PACKED_ROWS", rows)
     docs = spark.createDataFrame(list(enumerate(["the cat's the cat", "the dog the", "cat"] * 40)), "doc_id long, text string").repartition(5)
-    own = pieces.id_and_text(docs)
-    blocks = pieces.as_rows(own, ("doc_id",), pieces._Chunks, pieces._Chunks.kinds, 100)
-    assert blocks.count() > 10
-    made = [r["string"] for r in pieces.chunk_table(blocks, pieces.public_path("piece_bpe_32k.model")).collect()]
-    assert sorted(made) == [" cat", " cat's", " dog", " the"]
-    path = token_counts.public_path("word_bpe_49k.json")
-    blocks = pieces.as_rows(own, ("doc_id",), lambda: token_counts._Frequencies(path), token_counts._Frequencies.kinds, 100)
-    made = [r["string"] for r in token_counts.pretoken_table(blocks, path).collect()]
-    assert sorted(made) == ["'s", "cat", "dog", "the"]
+    made = blocks.as_rows(pieces.id_and_text(docs), ("doc_id",), pieces._Chunks, pieces._Chunks.kinds, 100)
+    assert made.count() > 10
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        def of(strings):
+            seen.add(len(strings))
+            return [[len(x), 7] for x in strings], [x if "dog" in x else None for x in strings]
+
+        return of
+
+    def run(row, lengths, numbers, texts):
+        said = row["chunks"][0].as_py()
+        fine = lengths.tolist() == [2] * len(said) and numbers.tolist() == [n for x in said for n in (len(x), 7)] and texts == {i: x for i, x in enumerate(said) if "dog" in x}
+        return blocks.pa.table({"fine": [fine]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = blocks.looked_up(made, "chunks", make)
+        assert {r["fine"] for r in blocks.joined_back(made, ["chunks"], found, run, "fine boolean").collect()} == {True}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen.value == 4  # the, cat, cat's, dog
 
 
 def test_other_models_are_refused():
