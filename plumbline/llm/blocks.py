@@ -2,12 +2,13 @@
 
 A block is one row for about ``BLOCK_BYTES`` of texts: columns of its documents, its distinct strings (chunks, pre-tokens),
 and documents in terms of positions among them; blocks are written once, bucketed, and are not shuffled. Their distinct
-strings are, twice: by string, so that each stands in one task as one run, however many blocks have it, and is looked up
-once for all; and back, packed by block.
+strings are, twice and packed: by a hash, so that each is looked up in one task once for all, however many blocks have it;
+and back to their block.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import kept_table
 
 BLOCK_BYTES = 16_000_000
-#: Rows that a task packs by block at a time.
-PACKED_ROWS = 400_000
+#: Strings of all blocks that a share is to have.
+SHARE_STRINGS = 500_000
 _FOUND = "to long, n int, values int, places binary, lengths binary, flat binary, other array<int>, texts array<string>"
 
 
@@ -80,48 +81,67 @@ def as_rows(docs: DataFrame, columns: tuple[str, ...], start: Callable[[], objec
     return kept_table(docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema), "blocks", "block", buckets)
 
 
-def looked_up(blocks: DataFrame, strings: str, make: Callable[[], Callable[[list[str]], tuple[list[list[int]], list[str | None]]]]) -> DataFrame:
-    """What make() gives of the distinct strings, packed for their blocks (to).
+def _bytes(strings: list[str]) -> tuple[bytes, np.ndarray]:
+    """The strings' bytes in one, compressed, and their sizes."""
+    raw = [x.encode() for x in strings]
+    return pa.compress(b"".join(raw), codec="zstd", asbytes=True), np.array([len(x) for x in raw], np.int64)
 
-    make() is called once in each task and gives a function of a list of strings: numbers of each, and a text or none.
-    """
 
-    def packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        to, place, lengths = (np.concatenate([r[i] for r in rows]) for i in range(3))
-        flat, texts = np.concatenate([r[3] for r in rows]), [t for r in rows for t in r[4]]
-        order = np.argsort(to, kind="stable")
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0]))
-        for some in np.split(order, cut[1:]):
-            own = gathered(flat, lengths, some)
-            said = [(int(place[i]), texts[i]) for i in some.tolist() if texts[i] is not None]
-            made = {"to": [int(to[some[0]])], "n": [len(some)], "values": [len(own)], "places": [shrunk(place[some])], "lengths": [shrunk(lengths[some])], "flat": [shrunk(own)], "other": [[p for p, _ in said]], "texts": [[t for _, t in said]]}
-            yield pa.RecordBatch.from_pydict(made, schema=_ARROW)
+def _strings(data: bytes, sizes: np.ndarray) -> list[str]:
+    end = np.cumsum(sizes).tolist()
+    whole = pa.decompress(data, end[-1], "zstd", asbytes=True) if end[-1] else b""
+    return [whole[a:z].decode() for a, z in zip([0, *end], end, strict=False)]
+
+
+def _dealt(blocks: DataFrame, strings: str, shares: int) -> DataFrame:
+    """share, block, n and, packed, the places and bytes of a block's strings that have the share by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, last, rows, n = make(), None, [], 0
         for batch in batches:
-            said = batch.column("string").to_pylist()
-            fresh = [s for a, s in zip([last[0] if last else None, *said], said, strict=False) if s != a]
-            numbers, texts = of(fresh) if fresh else ([], [])
-            if last:
-                numbers, texts = [last[1], *numbers], [last[2], *texts]
-            # the run that each row belongs to; the first may go on from the batch before
-            new = np.array([s != a for a, s in zip([last[0] if last else None, *said], said, strict=False)], bool)
-            at = np.cumsum(new) - (0 if last else 1)
-            lengths = np.array([len(x) for x in numbers], np.int64)
-            flat = np.array([i for x in numbers for i in x], np.int64)
-            rows.append((batch.column("block").to_numpy(), batch.column("place").to_numpy(), lengths[at], gathered(flat, lengths, at), [texts[i] for i in at.tolist()]))
-            last, n = (said[-1], numbers[-1], texts[-1]), n + len(said)
-            if n >= PACKED_ROWS:
-                yield from packed(rows)
-                rows, n = [], 0
-        if rows:
-            yield from packed(rows)
-
-    places = blocks.select("block", F.posexplode(strings).alias("place", "string")).repartition("string").sortWithinPartitions("string")
-    return places.select("block", "place", "string").mapInArrow(run, _FOUND)
+            for block, said in zip(batch.column("block").to_pylist(), batch.column(strings).to_pylist(), strict=True):
+                share = np.fromiter((zlib.crc32(x.encode()) % shares for x in said), np.int64, len(said))
+                # strings beside their like, as they pack better; a share is in the order of its strings
+                order = np.array(sorted(range(len(said)), key=said.__getitem__), np.int64)
+                order = order[np.argsort(share[order], kind="stable")]
+                for some in np.split(order, np.flatnonzero(np.diff(share[order])) + 1) if len(order) else []:
+                    data, sizes = _bytes([said[i] for i in some.tolist()])
+                    made = {"share": [int(share[some[0]])], "block": [block], "n": [len(some)], "places": [shrunk(some)], "sizes": [shrunk(sizes)], "data": [data]}
+                    yield pa.RecordBatch.from_pydict(made, schema=_DEALT)
+
+    return blocks.select("block", strings).mapInArrow(run, "share int, block long, n int, places binary, sizes binary, data binary")
 
 
+def looked_up(blocks: DataFrame, strings: str, make: Callable[[], Callable[[list[str]], tuple[list[list[int]], list[str | None]]]], share_strings: int = SHARE_STRINGS) -> DataFrame:
+    """What make() gives of the distinct strings, packed for their blocks (to).
+
+    make() is called once in each task and gives a function of a list of strings: numbers of each, and a text or none.
+    Strings are dealt to shares of about share_strings by their hash; a share is in one task, which looks each string up
+    the first time that a block has it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, now, known = make(), None, {}
+        for batch in batches:
+            for share, block, n, places, sizes, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if share != now:
+                    now, known = share, {}
+                said = _strings(data, grown(sizes, n))
+                fresh = [x for x in said if x not in known]
+                if fresh:
+                    known.update(zip(fresh, zip(*of(fresh), strict=True), strict=True))
+                found = [known[x] for x in said]
+                flat, place = np.array([i for numbers, _ in found for i in numbers], np.int64), grown(places, n)
+                other = [(int(p), text) for p, (_, text) in zip(place, found, strict=True) if text is not None]
+                made = {"to": [block], "n": [n], "values": [len(flat)], "places": [places], "lengths": [shrunk(np.array([len(x) for x, _ in found]))], "flat": [shrunk(flat)], "other": [[p for p, _ in other]], "texts": [[t for _, t in other]]}
+                yield pa.RecordBatch.from_pydict(made, schema=_ARROW)
+
+    total = blocks.agg(F.sum(F.size(strings))).first()[0] or 0
+    shares = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // share_strings))
+    dealt = _dealt(blocks, strings, shares).repartition(shares, "share").sortWithinPartitions("share")
+    return dealt.mapInArrow(run, _FOUND)
+
+
+_DEALT = pa.schema([("share", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("places", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
 _ARROW = pa.schema([("to", pa.int64()), ("n", pa.int32()), ("values", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("flat", pa.binary()), ("other", pa.list_(pa.int32())), ("texts", pa.list_(pa.string()))])
 
 

@@ -45,10 +45,9 @@ def test_counts_are_the_librarys(spark):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 2048), repr(t)
 
 
-@pytest.mark.parametrize("rows", [3, 1000])
-def test_each_distinct_string_is_looked_up_once(spark, rows, monkeypatch):
-    """Whatever the blocks, batches and stretches that a task packs; each block gets what its strings are."""
-    monkeypatch.setattr(blocks, "PACKED_ROWS", rows)
+@pytest.mark.parametrize("share", [2, 1000])
+def test_each_distinct_string_is_looked_up_once(spark, share):
+    """Whatever the blocks, batches and shares; each block gets what its strings are."""
     docs = spark.createDataFrame(list(enumerate(["the cat's the cat", "the dog the", "cat"] * 40)), "doc_id long, text string").repartition(5)
     made = blocks.as_rows(pieces.id_and_text(docs), ("doc_id",), pieces._Chunks, pieces._Chunks.kinds, 100)
     assert made.count() > 10
@@ -68,7 +67,7 @@ def test_each_distinct_string_is_looked_up_once(spark, rows, monkeypatch):
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        found = blocks.looked_up(made, "chunks", make)
+        found = blocks.looked_up(made, "chunks", make, share)
         assert {r["fine"] for r in blocks.joined_back(made, ["chunks"], found, run, "fine boolean").collect()} == {True}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
