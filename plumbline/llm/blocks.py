@@ -16,7 +16,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import kept_table
@@ -27,12 +27,28 @@ SHARE_STRINGS = 500_000
 _FOUND = "to long, n int, values int, places binary, lengths binary, flat binary, other array<int>, texts array<string>"
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
 def shrunk(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x, np.int32).tobytes(), codec="zstd", asbytes=True)
+    """Numbers as bytes: their lowest bytes first, then the next ones and so on, as each kind packs better by itself."""
+    planes = np.ascontiguousarray(x, np.int32).view(np.uint8).reshape(-1, 4).T
+    return _ZSTD.compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
 
 
 def grown(x: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(x, 4 * n, "zstd", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
+    if not n:
+        return np.zeros(0, np.int32)
+    planes = np.frombuffer(pa.decompress(x, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
+def by_frequency(line: np.ndarray, strings: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Positions among strings, and the strings, so numbered that frequent ones have small numbers."""
+    order = np.argsort(-np.bincount(line, minlength=len(strings)), kind="stable")
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
+    return number[line], [strings[i] for i in order.tolist()]
 
 
 def gathered(flat: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -84,7 +100,7 @@ def as_rows(docs: DataFrame, columns: tuple[str, ...], start: Callable[[], objec
 def _bytes(strings: list[str]) -> tuple[bytes, np.ndarray]:
     """The strings' bytes in one, compressed, and their sizes."""
     raw = [x.encode() for x in strings]
-    return pa.compress(b"".join(raw), codec="zstd", asbytes=True), np.array([len(x) for x in raw], np.int64)
+    return _ZSTD.compress(b"".join(raw), asbytes=True), np.array([len(x) for x in raw], np.int64)
 
 
 def _strings(data: bytes, sizes: np.ndarray) -> list[str]:
@@ -129,19 +145,83 @@ def looked_up(blocks: DataFrame, strings: str, make: Callable[[], Callable[[list
                 fresh = [x for x in said if x not in known]
                 if fresh:
                     known.update(zip(fresh, zip(*of(fresh), strict=True), strict=True))
-                found = [known[x] for x in said]
-                flat, place = np.array([i for numbers, _ in found for i in numbers], np.int64), grown(places, n)
-                other = [(int(p), text) for p, (_, text) in zip(place, found, strict=True) if text is not None]
-                made = {"to": [block], "n": [n], "values": [len(flat)], "places": [places], "lengths": [shrunk(np.array([len(x) for x, _ in found]))], "flat": [shrunk(flat)], "other": [[p for p, _ in other]], "texts": [[t for _, t in other]]}
-                yield pa.RecordBatch.from_pydict(made, schema=_ARROW)
+                yield _found_row(block, grown(places, n), places, [known[x] for x in said])
+
+    return _shared(blocks, strings, share_strings).mapInArrow(run, _FOUND)
+
 
+def _shared(blocks: DataFrame, strings: str, share_strings: int) -> DataFrame:
+    """_dealt, each share in one task, its rows together."""
     total = blocks.agg(F.sum(F.size(strings))).first()[0] or 0
     shares = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // share_strings))
-    dealt = _dealt(blocks, strings, shares).repartition(shares, "share").sortWithinPartitions("share")
-    return dealt.mapInArrow(run, _FOUND)
+    return _dealt(blocks, strings, shares).repartition(shares, "share").sortWithinPartitions("share")
+
+
+def looked_up_by(blocks: DataFrame, strings: str, make: Callable[[Column], Column], share_strings: int = SHARE_STRINGS, row_strings: int = 2_000) -> DataFrame:
+    """As looked_up, with a Column in place of a Python function.
+
+    make() gives, of an array of distinct strings, an array of struct<numbers:array<int>,said:string>, in their order.
+    """
+    packed = ["block", "n", "places", "sizes", "data"]
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows as they are (without words), and, among them, the words that come for the first time in a share."""
+        now, known, fresh = None, set(), []
+
+        def words() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"share": [now], **{c: [None] for c in packed}, "words": [fresh]}, schema=_WORDS)
+
+        for batch in batches:
+            for i, (share, n, sizes, data) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("share", "n", "sizes", "data")], strict=True)):
+                if share != now:
+                    if fresh:
+                        yield words()
+                    now, known, fresh = share, set(), []
+                for x in _strings(data, grown(sizes, n)):
+                    if x not in known:
+                        known.add(x)
+                        fresh.append(x)
+                        if len(fresh) == row_strings:
+                            yield words()
+                            fresh = []
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([row.column(c) for c in ("share", *packed)] + [pa.nulls(1, pa.list_(pa.string()))], schema=_WORDS)
+        if fresh:
+            yield words()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a share wait until its last words are there; a projection leaves a partition's rows in their order."""
+        now, held, known = None, [], {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for r in held:
+                yield _found_row(r["block"], grown(r["places"], r["n"]), r["places"], [known[x] for x in _strings(r["data"], grown(r["sizes"], r["n"]))])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["share"] != now:
+                    yield from rows()
+                    now, held, known = r["share"], [], {}
+                if r["words"] is None:
+                    held.append(r)
+                else:
+                    known.update((w, (m["numbers"], m["said"])) for w, m in zip(r["words"], r["made"], strict=True))
+        yield from rows()
+
+    kinds = "share int, block long, n int, places binary, sizes binary, data binary, words array<string>"
+    words = _shared(blocks, strings, share_strings).mapInArrow(distinct, kinds)
+    return words.withColumn("made", F.when(F.col("words").isNotNull(), make(F.col("words")))).mapInArrow(run, _FOUND)
+
+
+def _found_row(block: int, place: np.ndarray, places: bytes, found: list[tuple[list[int], str | None]]) -> pa.RecordBatch:
+    flat = np.array([i for numbers, _ in found for i in numbers], np.int64)
+    other = [(int(p), text) for p, (_, text) in zip(place, found, strict=True) if text is not None]
+    made = {"to": [block], "n": [len(found)], "values": [len(flat)], "places": [places], "lengths": [shrunk(np.array([len(x) for x, _ in found]))], "flat": [shrunk(flat)], "other": [[p for p, _ in other]], "texts": [[t for _, t in other]]}
+    return pa.RecordBatch.from_pydict(made, schema=_ARROW)
 
 
 _DEALT = pa.schema([("share", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("places", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
+_WORDS = pa.schema([("share", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("places", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("words", pa.list_(pa.string()))])
 _ARROW = pa.schema([("to", pa.int64()), ("n", pa.int32()), ("values", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("flat", pa.binary()), ("other", pa.list_(pa.int32())), ("texts", pa.list_(pa.string()))])
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.blocks import BLOCK_BYTES, as_rows, gathered, grown, joined_back, looked_up, numbering, shrunk
+from plumbline.llm.blocks import BLOCK_BYTES, as_rows, by_frequency, gathered, grown, joined_back, looked_up, numbering, shrunk
 from plumbline.llm.common import id_and_text, table
 
 MARKER = "▁"
@@ -86,8 +86,8 @@ class _Chunks:
         self.line.append(np.fromiter(map(self.number.__getitem__, found), np.int32, len(found)))
 
     def row(self) -> dict[str, pa.Array]:
-        line = np.concatenate(self.line)
-        return {"chunks": pa.array([list(self.number)], pa.list_(pa.string())), "sizes": pa.array([shrunk(np.array(self.sizes))], pa.binary()), "line": pa.array([shrunk(line)], pa.binary()), "n": pa.array([len(line)], pa.int64())}
+        line, strings = by_frequency(np.concatenate(self.line), list(self.number))
+        return {"chunks": pa.array([strings], pa.list_(pa.string())), "sizes": pa.array([shrunk(np.array(self.sizes))], pa.binary()), "line": pa.array([shrunk(line)], pa.binary()), "n": pa.array([len(line)], pa.int64())}
 
 
 def plain(chunk: str) -> str:
