@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import byte_pairs, decontamination, lm_scoring, pieces, quality, sharding, simhash, suffix_array, token_counts, toxicity, url_filter
+from plumbline.llm import byte_pairs, decontamination, lm_scoring, merkle, periodic_runs, pieces, quality, sharding, simhash, suffix_array, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_array": suffix_array.op1_suffix_array,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_byte_pairs": byte_pairs.op13_byte_pairs,
 }
 
