@@ -33,7 +33,7 @@ FIRST, SURROGATES = 0x200, 0xD800
 #: Marks of the literals' lists, below the first token and above any byte.
 MARK, END = "Ā", "ā"
 #: Lists of each literal; an entry is looked for in the one that its characters name.
-LISTS = 16_384
+LISTS = 65_536
 #: Bytes of a word from which equal pairs are merged at once, and rounds of merges that such a word has at a time.
 LONG, RUN = 64, 32
 #: Where a text is cut before its distinct parts meet the pattern: between a character and white space behind it, which no
@@ -86,13 +86,14 @@ class Merges:
         self.words, self.pairs, self.bytes = literal(words, "string"), literal(pairs, "string"), literal([_token(number[bytes([b])]) for b in range(256)], "string")
         self.pieces = literal([None if p is None else base64.b64encode(p).decode() for p in pieces], "binary")
 
-    def _found(self, entries: Column, key: Column, size: Column) -> Column:
-        place = F.position(F.concat(F.lit(MARK), key, F.lit(END)), entries)
-        return F.when(place > 0, F.substring(entries, place + size + 2, F.lit(1)))
+    def _found(self, entries: Column, size: Column, *key: Column) -> Column:
+        """The token behind a key of that size in a list of entries; null where it is not there."""
+        marked = F.concat(F.lit(MARK), *key, F.lit(END))
+        return F.when(F.contains(entries, marked), F.substring(entries, F.position(marked, entries) + size + 2, F.lit(1)))
 
     def _pair(self, pairs: Column, left: Column, right: Column) -> Column:
         """What two neighbours merge into, which is also their rank; null where they don't."""
-        return self._found(F.get(pairs, (31 * F.ascii(left) + F.ascii(right)) % self.lists), F.concat(left, right), F.lit(2))
+        return self._found(F.get(pairs, (31 * F.ascii(left) + F.ascii(right)) % self.lists), F.lit(2), left, right)
 
     def _ranks(self, pairs: Column, tokens: Column) -> Column:
         """The rank of each of the tokens with the next."""
@@ -146,7 +147,7 @@ class Merges:
 
     def _ids(self, of: Column, word: Column) -> Column:
         """Ids of a word: its own, if it is a token, else those of what merges leave."""
-        known = self._found(F.get(of["words"], (F.crc32(word.cast("binary")) % self.lists).cast("int")), word, F.length(word))
+        known = self._found(F.get(of["words"], (F.crc32(word.cast("binary")) % self.lists).cast("int")), F.length(word), word)
         tokens = F.transform(F.split(word, ""), lambda c: F.get(of["bytes"], F.ascii(c)))
         merged = _named(tokens, "array<string>", lambda t: F.when(F.size(t) <= LONG, self._merged(of["pairs"], t)).otherwise(self._merged_at_once(of["pairs"], t)))
         number = lambda t: F.ascii(t) - FIRST - F.when(F.ascii(t) >= SURROGATES, 0x800).otherwise(0)
