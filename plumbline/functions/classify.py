@@ -131,3 +131,33 @@ def image_metrics(images: DataFrame, page_area: str = "page_area") -> DataFrame:
 def has_graphics(rects: Column, paths: Column) -> Column:
     """Whether a page has an image of 10,000 units or over five vector paths."""
     return F.exists(rects, lambda r: r["width"] * r["height"] >= 10_000) | (paths > 5)
+
+
+def _clipped(low: str, high: str, page_low: str, page_high: str) -> Column:
+    """The length of what a side has in common with the page's; 0 where that is nothing."""
+    return F.greatest(F.least(high, page_high) - F.greatest(low, page_low), F.lit(0.0))
+
+
+def placed_metrics(images: DataFrame) -> DataFrame:
+    """doc_id, page_number, image_area_ratio, image_count from one row for each rectangle of an image.
+
+    images: xref, left, top, right, bottom, and page_left, page_top, page_right, page_bottom. What lies beside the page does
+    not count as area, but an image with any rectangle counts as one; without rectangles (nulls) it does not. A page without
+    an area has neither.
+    """
+    width, height = F.col("page_right") - F.col("page_left"), F.col("page_bottom") - F.col("page_top")
+    common = _clipped("left", "right", "page_left", "page_right") * _clipped("top", "bottom", "page_top", "page_bottom")
+    placed = F.col("left").isNotNull() & F.col("top").isNotNull() & F.col("right").isNotNull() & F.col("bottom").isNotNull()
+    whole = F.max(F.greatest(width, F.lit(0.0)) * F.greatest(height, F.lit(0.0)))
+    found = images.groupBy("doc_id", "page_number").agg(whole.alias("_page"), F.sum(F.when(placed, common)).alias("_area"), F.count_distinct(F.when(placed, F.col("xref"))).alias("_images"))
+    ratio = F.least(F.lit(1.0), F.coalesce("_area", F.lit(0.0)) / F.nullif("_page", F.lit(0.0)))
+    return found.select("doc_id", "page_number", F.coalesce(ratio, F.lit(0.0)).alias("image_area_ratio"), F.when(F.col("_page") > 0, F.col("_images")).otherwise(0).alias("image_count"))
+
+
+def page_graphics(images: DataFrame, paths: DataFrame) -> DataFrame:
+    """doc_id, page_number, has_drawings of each page of paths (doc_id, page_number, n_paths): the first rectangle (by place)
+    of an image has 10,000 units or more, or there are over five paths. images: xref, place, left, top, right, bottom."""
+    area = (F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))
+    first = images.groupBy("doc_id", "page_number", "xref").agg(F.min_by(area, F.col("place")).alias("_area"))
+    large = first.groupBy("doc_id", "page_number").agg((F.max("_area") >= 10_000).alias("_large"))
+    return paths.join(large, ["doc_id", "page_number"], "left").select("doc_id", "page_number", (F.coalesce("_large", F.lit(False)) | (F.col("n_paths") > 5)).alias("has_drawings"))

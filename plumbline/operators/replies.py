@@ -64,15 +64,15 @@ def reply_confidence(n: Column, low: Column, compliant: Column) -> Column:
     return F.when((n == 0) | (low > F.floor(n / 2)), "low").when((low > 0) | compliant.isNull(), "medium").otherwise("high")
 
 
-def parsed(replies: DataFrame) -> DataFrame:
-    """drawing_id, elements, standard, is_compliant, issues, missing_info, citations, overall_confidence of each reply (raw).
+def parsed(replies: DataFrame, keep: tuple[str, ...] = ("drawing_id",)) -> DataFrame:
+    """The columns in keep, elements, standard, is_compliant, issues, missing_info, citations, overall_confidence of each reply (raw).
 
     The JSON is what stands from the first brace to the last. Elements with a field that should be text but isn't are
     dropped, and issues whose field or message is null too; unknown sources and levels become the defaults. A null list or
     object counts as absent.
     """
     found = F.regexp_extract(F.coalesce("raw", F.lit("")), r"\{[\s\S]+\}", 0)
-    read = replies.select("drawing_id", found.alias("found")).withColumn("v", F.try_parse_json(F.nullif("found", F.lit(""))))
+    read = replies.select(*keep, found.alias("found")).withColumn("v", F.try_parse_json(F.nullif("found", F.lit(""))))
     v = F.col("v")
     about = _get(v, "compliance", "variant")
     listed = lambda x, n: F.coalesce(_get(x, n, "array<variant>"), F.array().cast("array<variant>"))
@@ -86,7 +86,7 @@ def parsed(replies: DataFrame) -> DataFrame:
         return F.struct(*[(F.coalesce(_get(i, n), F.lit(default[n])) if n in default else _get(i, n)).alias(n) for n in ISSUE_TEXTS])
 
     made = read.select(
-        "drawing_id",
+        *keep,
         F.transform(F.filter(listed(v, "elements"), lambda e: _texts_only(e, TEXTS)), element).alias("elements"),
         _get(about, "standard").alias("standard"),
         tri_state(_get(about, "is_compliant", "variant")).alias("is_compliant"),

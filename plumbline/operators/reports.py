@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import confidence_band, meaningful_chars, strip
-from plumbline.operators import extract, rules
+from plumbline.operators import extract
 
 #: What errors among captions begin with, the queries for a blank text, and a prompt without hits.
 CAPTION_ERROR = "[ОШИБКА"
@@ -29,24 +29,24 @@ def page_parts(pages: DataFrame) -> DataFrame:
     return pages.withColumn("parts", F.filter(parts, lambda p: p["text"].isNotNull()))
 
 
-def fused(pages: DataFrame, *by: str) -> DataFrame:
+def fused(pages: DataFrame, *by: str, sizes: bool = False) -> DataFrame:
     """by, text: all PDF texts, then what OCR read, then captions, each by page; raw_ocr_text and llava_caption: of the
-    latter two alone, null where there is none."""
+    latter two alone, null where there is none; with sizes, total_pages too."""
     said = lambda parts: F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n")
     kind = lambda k: F.nullif(said(F.filter("_parts", lambda p: p["kind"] == k)), F.lit(""))
-    ordered = page_parts(pages).groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list("parts"))).alias("_parts"))
-    return ordered.select(*by, said(F.col("_parts")).alias("text"), kind(1).alias("raw_ocr_text"), kind(2).alias("llava_caption"))
+    total = [F.count("*").cast("int").alias("total_pages")] if sizes else []
+    ordered = page_parts(pages).groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list("parts"))).alias("_parts"), *total)
+    return ordered.select(*by, *["total_pages"][: len(total)], said(F.col("_parts")).alias("text"), kind(1).alias("raw_ocr_text"), kind(2).alias("llava_caption"))
 
 
 def query_text(text: Column, blank: str = BLANK_QUERY, most: int = 800) -> Column:
     return F.when(strip(F.coalesce(text, F.lit(""))) != "", F.substring(text, 1, most)).otherwise(blank)
 
 
-def prompt_chunks(hits: DataFrame, by: str = "query_id") -> DataFrame:
-    """by, prompt: numbered blocks of a query's hits (rank, source, text, score), at most 2000 characters of text."""
-    block = F.format_string("[%d] Источник: %s (релевантность: %.2f)\n%s", F.col("rank"), F.col("source"), F.col("score"), F.col("text"))
-    ordered = F.sort_array(F.collect_list(F.struct("rank", block.alias("block"))))
-    return hits.groupBy(by).agg(F.substring(F.array_join(F.transform(ordered, lambda b: b["block"]), "\n\n---\n\n"), 1, 2000).alias("prompt"))
+def prompt_lines(chunks: Column) -> Column:
+    """Numbered blocks of a sheet's hits (an array of rank, source, text, score), at most 2000 characters of text."""
+    block = lambda c: F.format_string("[%d] Источник: %s (релевантность: %.2f)\n%s", c["rank"], c["source"], c["score"], c["text"])
+    return F.substring(F.array_join(F.transform(chunks, block), "\n\n---\n\n"), 1, 2000)
 
 
 def best_ocr(pages: DataFrame, forced: bool = False) -> DataFrame:
@@ -99,19 +99,12 @@ def shortened(values: Column, n: int, size: Column | None = None) -> Column:
 ELEMENT = ("item_id", "name", "element_type", "size", "material", "designation", "note", "source", "confidence", "raw_text_fragment")
 
 
-def final_elements(replies: DataFrame, texts: DataFrame, rule_set: dict) -> DataFrame:
-    """drawing_id, pos, the columns of an element, found (by heuristics). Where a reply gave no element, the text's
-    mentions are used. texts: drawing_id, text. Blank texts give no mentions."""
-    said = replies.select("drawing_id", F.posexplode("elements").alias("pos", "e")).select("drawing_id", "pos", *[f"e.{c}" for c in ELEMENT], F.lit(False).alias("found"))
-    none = replies.where(F.size("elements") == 0).select("drawing_id")
-    found = extract.extracted(texts.where(strip(F.col("text")) != "").join(none, "drawing_id", "left_semi"), rule_set)
-    return said.unionByName(found.withColumns({"found": F.lit(True), "element_type": F.lit(None).cast("string")}))
-
-
-def finished(replies: DataFrame, texts: DataFrame, rule_set: dict, elements: DataFrame | None = None) -> DataFrame:
-    """Validated reports of parsed replies (with llm_used), on the elements that final_elements gives."""
-    elements = final_elements(replies, texts, rule_set) if elements is None else elements
-    fallback = elements.where("found").select("drawing_id").distinct().withColumn("_found", F.lit(True))
-    heuristic = ~F.col("llm_used") | F.coalesce("_found", F.lit(False))
-    reports = replies.join(fallback, "drawing_id", "left").withColumn("heuristic", heuristic).drop("_found", "elements")
-    return rules.validated(reports, elements, rule_set)
+def final_elements(said: Column, text: Column, rule_set: dict) -> tuple[Column, Column]:
+    """(elements, whether heuristics found them): a reply's, or, where it gave none, the text's mentions. Blank texts have none."""
+    kind = "array<struct<" + ",".join(f"{c}:string" for c in ELEMENT) + ">>"
+    if not rule_set:
+        return said, F.lit(False)
+    own = lambda e: F.struct(*[(F.lit(None).cast("string") if c == "element_type" else e[c]).alias(c) for c in ELEMENT])
+    mentions = F.when((F.size(said) == 0) & (strip(F.coalesce(text, F.lit(""))) != ""), F.transform(extract.elements_of(text, rule_set), own))
+    found = F.coalesce(mentions, F.array().cast(kind))
+    return F.concat(F.transform(said, lambda e: F.struct(*[e[c].alias(c) for c in ELEMENT])), found), found

@@ -6,6 +6,8 @@ structs (field, actual_value, expected, message, tz_reference); checks are Colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,14 +125,20 @@ def coating_issue(note: Column, rules: dict) -> Column:
     return F.when(_present(note) & ~passed & (found != ""), _issue(F.lit("coating"), found, f"одно из: {', '.join(codes)}", said, _reference(own)))
 
 
-def element_findings(elements: DataFrame, rules: dict) -> DataFrame:
-    """Adds issues and missing (arrays, in the order size, material, designation, coating) to each element."""
-    label = F.coalesce(F.nullif("item_id", F.lit("")), F.nullif("name", F.lit("")), F.lit(UNNAMED))
-    material, no_material = material_issue(F.col("material"), rules)
-    designation, no_designation = designation_issue(F.col("designation"), rules)
-    found = F.array(size_issue(F.col("size"), rules, label), material, designation, coating_issue(F.col("note"), rules))
+def findings(of: Callable[[str], Column], rules: dict) -> tuple[Column, Column]:
+    """issues and missing (arrays, in the order size, material, designation, coating) of an element whose fields of() gives."""
+    label = F.coalesce(F.nullif(of("item_id"), F.lit("")), F.nullif(of("name"), F.lit("")), F.lit(UNNAMED))
+    material, no_material = material_issue(of("material"), rules)
+    designation, no_designation = designation_issue(of("designation"), rules)
+    found = F.array(size_issue(of("size"), rules, label), material, designation, coating_issue(of("note"), rules))
     lines = F.array(*[F.concat(label, F.lit(": "), m) for m in (no_material, no_designation)])
-    return elements.withColumns({"issues": F.array_compact(found), "missing": F.array_compact(lines)})
+    return F.array_compact(found), F.array_compact(lines)
+
+
+def element_findings(elements: DataFrame, rules: dict) -> DataFrame:
+    """Adds issues and missing to each element."""
+    issues, missing = findings(F.col, rules)
+    return elements.withColumns({"issues": issues, "missing": missing})
 
 
 def verdict(issues: Column, elements: Column, heuristic: Column, prior: Column) -> Column:
@@ -150,24 +158,42 @@ def remark(issues: Column, elements: Column, heuristic: Column, prior: Column) -
     )
 
 
+def _added(lines: Column, line: Column) -> Column:
+    return F.when(line.isNull() | F.array_contains(lines, line), lines).otherwise(F.array_append(lines, line))
+
+
+def _verdicts(reports: DataFrame) -> DataFrame:
+    """reports with issues and missing_info whole, n_elements and heuristic: their verdict, its line, and confidence."""
+    given = F.size("issues"), F.col("n_elements"), F.col("heuristic"), F.col("is_compliant")
+    judged = reports.withColumns({"missing_info": _added(F.col("missing_info"), remark(*given)), "is_compliant": verdict(*given)})
+    return judged.withColumn("overall_confidence", F.when((F.size("issues") > 0) | (F.size("missing_info") > 0), "medium").otherwise(F.col("overall_confidence")))
+
+
+def judged(reports: DataFrame, rules: dict) -> DataFrame:
+    """validated() for reports that hold their elements (an array of structs): all in the row, without a join."""
+    if not rules:
+        return reports.withColumn("missing_info", _added(F.col("missing_info"), F.lit(MISSING["no rules"])))
+    each = lambda e: F.struct(*[c.alias(n) for c, n in zip(findings(lambda f: e[f], rules), ("issues", "missing"), strict=True)])
+    found = reports.withColumns({"n_elements": F.size("elements"), "_found": F.transform("elements", each)})
+    whole = found.withColumns({"issues": F.concat("issues", F.flatten("_found.issues")), "missing_info": F.concat("missing_info", F.flatten("_found.missing"))})
+    return _verdicts(whole).drop("n_elements", "_found")
+
+
 def validated(reports: DataFrame, elements: DataFrame, rules: dict) -> DataFrame:
     """reports with is_compliant, issues, missing_info and overall_confidence as the rules have them, and n_elements.
 
     reports: drawing_id, heuristic, is_compliant, issues, missing_info, overall_confidence; elements: drawing_id, pos,
     item_id, name, size, material, designation, note. Without rules only a line about that is added.
     """
-    add = lambda xs, x: F.when(x.isNull() | F.array_contains(xs, x), xs).otherwise(F.array_append(xs, x))
     found = element_findings(elements, rules).groupBy("drawing_id").agg(
         F.count("*").alias("n_elements"), F.sort_array(F.collect_list(F.struct("pos", "issues"))).alias("i"), F.sort_array(F.collect_list(F.struct("pos", "missing"))).alias("m")
     )
     joined = reports.join(found, "drawing_id", "left").withColumn("n_elements", F.coalesce("n_elements", F.lit(0)))
     if not rules:
-        return joined.drop("i", "m").withColumn("missing_info", add(F.col("missing_info"), F.lit(MISSING["no rules"])))
+        return joined.drop("i", "m").withColumn("missing_info", _added(F.col("missing_info"), F.lit(MISSING["no rules"])))
     empty = lambda c, kind: F.coalesce(F.flatten(c), F.array().cast(kind))
     joined = joined.withColumns({"issues": F.concat("issues", empty("i.issues", f"array<{ISSUE}>")), "missing_info": F.concat("missing_info", empty("m.missing", "array<string>"))}).drop("i", "m")
-    given = F.size("issues"), F.col("n_elements"), F.col("heuristic"), F.col("is_compliant")
-    joined = joined.withColumns({"missing_info": add(F.col("missing_info"), remark(*given)), "is_compliant": verdict(*given)})
-    return joined.withColumn("overall_confidence", F.when((F.size("issues") > 0) | (F.size("missing_info") > 0), "medium").otherwise(F.col("overall_confidence")))
+    return _verdicts(joined)
 
 
 def first_violations(values: DataFrame, ranges: DataFrame) -> DataFrame:

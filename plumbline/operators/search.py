@@ -1,14 +1,12 @@
-"""Exact top-k by inner product, in blocks of queries.
+"""Exact top-k by inner product: blocks of queries meet blocks of chunks.
 
-A block of queries is a matrix of at most ``BLOCK_VALUES`` numbers that goes to all tasks. Each task multiplies its
-chunks with it batch by batch and keeps the k best chunks of each query, so what is shuffled is k rows of each query for
-each task, whatever the number of chunks.
+Queries are dealt to blocks by their id and so are chunks; each pair of blocks meets in one task as a matrix product, which
+keeps the k best chunks of each query. Those of all blocks are merged by query. Each side is copied once for each block
+of the other, so what is shuffled falls with the size of blocks, and the plan is the same for any number of queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP = 5
-#: Numbers of a block of queries (8 bytes each), and scores that a task holds at a time.
-BLOCK_VALUES, SCORES = 4_000_000, 2_000_000
+#: Numbers of a block of queries and of a block of chunks, and scores that a task holds at a time; 8 bytes each.
+BLOCK_VALUES, CHUNK_VALUES, SCORES = 4_000_000, 16_000_000, 2_000_000
+#: Numbers that make a block of chunks worth a task of its own while there are fewer blocks than partitions.
+LEAST_VALUES = 50_000
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -25,76 +25,72 @@ def inner_product(a: Column, b: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    norm = F.sqrt(inner_product(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    """v with a length of 1; a vector of zeros stays. v and its length are computed once."""
+    once = lambda value, of: F.aggregate(F.array(value), F.lit(None).cast("array<double>"), lambda _, x: of(x))
+    scaled = lambda u, norm: F.transform(u, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    return once(v.cast("array<double>"), lambda u: once(F.sqrt(inner_product(u, u)), lambda norm: scaled(u, norm)))
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
 
 
-def _blocks(queries: DataFrame, values: int) -> Iterator[tuple[list, np.ndarray]]:
-    ids, rows, held = [], [], 0
-    for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
-        if rows and held + len(r["embedding"]) > values:
-            yield ids, np.array(rows, float)
-            ids, rows, held = [], [], 0
-        ids.append(r["query_id"]), rows.append(r["embedding"])
-        held += len(r["embedding"])
-    if rows:
-        yield ids, np.array(rows, float)
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the k greatest finite scores of each row; between equal ones, the first places."""
+    n = scores.shape[1]
+    if n > k:
+        least = np.partition(scores, n - k, axis=1)[:, n - k, None]
+        row, place = np.nonzero((scores >= least) & np.isfinite(scores))
+    else:
+        row, place = np.nonzero(np.isfinite(scores))
+    order = np.lexsort((place, -scores[row, place], row))
+    row, place = row[order], place[order]
+    first = np.searchsorted(row, row)
+    kept = np.arange(len(row)) - first < k
+    return row[kept], place[kept]
 
 
-def _best(ids: pa.Array, scores: np.ndarray, k: int) -> np.ndarray:
-    """Of each row of scores the places of the k greatest; between equal ones, those of the least ids. ids ascending."""
-    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+def _sized(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """Rows that have an embedding, and how many numbers those have."""
+    held = vectors.where("embedding is not null")
+    n, width = held.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    return held, n * (width or 0)
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = TOP, leave_self: bool = False, block_values: int = BLOCK_VALUES) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, k: int = TOP, leave_self: bool = False, block_values: int = BLOCK_VALUES, chunk_values: int = CHUNK_VALUES) -> DataFrame:
     """query_id, rank, id, score of the k chunks nearest to each query; ties by id.
 
-    chunks: id (a number or text), embedding; queries: query_id, embedding, a stated set against all chunks. Rows
-    without an embedding are left out. Vectors have one length. Every chunk is scored against every query.
+    chunks: id, embedding; queries: query_id, embedding, a stated set against all chunks. Ids are numbers or texts and come
+    once. Rows without an embedding are left out. Vectors have one length. Every chunk is scored against every query.
     """
-    context = chunks.sparkSession.sparkContext
-    id_kind, query_kind = (d.schema[c].dataType.simpleString() for d, c in ((chunks, "id"), (queries, "query_id")))
-    held = chunks.where("embedding is not null").select("id", "embedding")
-
-    def scored(block) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, matrix = block.value
-            n, own = len(query_ids), {q: i for i, q in enumerate(query_ids)}
-            best_ids, best = None, np.empty((n, 0))
-            step = max(1, SCORES // n)
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    part = part.take(pc.sort_indices(part.column("id")))
-                    vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    scores = matrix @ vectors.astype(float).T
-                    if leave_self:
-                        same = [(own[x], j) for j, x in enumerate(part.column("id").to_pylist()) if x in own]
-                        for i, j in same:
-                            scores[i, j] = -np.inf
-                    place = _best(part.column("id"), scores, k)
-                    ids = part.column("id").take(pa.array(place.ravel()))
-                    new = np.take_along_axis(scores, place, axis=1)
-                    if best_ids is None:
-                        best_ids, best = ids, new
-                    else:  # the better of what was held and what is new, query by query
-                        both, old, wide = np.concatenate([best, new], axis=1), best.shape[1], best.shape[1] + new.shape[1]
-                        every = pa.concat_arrays([best_ids, ids])
-                        rank = pc.rank(every, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
-                        rank = np.concatenate([rank[: n * old].reshape(n, old), rank[n * old :].reshape(n, -1)], axis=1)
-                        order = np.lexsort((rank, -both), axis=1)[:, :k]
-                        row = np.arange(n)[:, None]
-                        source = np.where(order < old, row * old + order, n * old + row * (wide - old) + order - old)
-                        best_ids, best = every.take(pa.array(source.ravel())), np.take_along_axis(both, order, axis=1)
-            if best_ids is not None:
-                rows = pa.table({"query_id": pa.array(np.repeat(np.array(query_ids, object), best.shape[1]).tolist(), query_type), "id": best_ids, "score": best.ravel()})
-                yield from rows.filter(pc.is_finite(rows.column("score"))).combine_chunks().to_batches()
-
-        return held.mapInArrow(run, f"query_id {query_kind}, id {id_kind}, score double")
-
-    query_type = pa.string() if query_kind == "string" else {"bigint": pa.int64(), "int": pa.int32()}[query_kind]
-    found = chunks.sparkSession.createDataFrame([], f"query_id {query_kind}, id {id_kind}, score double")
-    for block in _blocks(queries, block_values):
-        found = found.unionByName(scored(context.broadcast(block)))
+    (held, values), (asked, asked_values) = _sized(chunks), _sized(queries)
+    partitions = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = max(1, -(-asked_values // block_values))
+    columns = max(1, -(-values // chunk_values), min(partitions, -(-values // LEAST_VALUES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.select("query_id", "embedding", own("query_id", rows).alias("row"), every(columns).alias("column"))
+    right = held.select("id", "embedding", own("id", columns).alias("column"), every(rows).alias("row"))
+    query_kind, id_kind = left.schema["query_id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
+
+    def run(some: pa.Table, block: pa.Table) -> pa.Table:
+        block = block.sort_by("id")
+        ids, query_ids = block.column("id").combine_chunks(), some.column("query_id").combine_chunks()
+        found = []
+        if some.num_rows and block.num_rows:
+            vectors, matrix = _matrix(block.column("embedding")).T, _matrix(some.column("embedding"))
+            for at in range(0, len(query_ids), max(1, SCORES // len(ids))):
+                part = query_ids.slice(at, max(1, SCORES // len(ids)))
+                scores = matrix[at : at + len(part)] @ vectors
+                if leave_self:
+                    itself = pc.index_in(part, value_set=ids)
+                    same = np.flatnonzero(itself.is_valid().to_numpy(zero_copy_only=False))
+                    scores[same, itself.drop_null().to_numpy()] = -np.inf
+                row, place = _best(scores, k)
+                found.append(pa.table({"query_id": part.take(pa.array(row)), "id": ids.take(pa.array(place)), "score": scores[row, place]}))
+        return pa.concat_tables(found) if found else pa.table({"query_id": query_ids.slice(0, 0), "id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
+
+    best = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(run, f"query_id {query_kind}, id {id_kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import project_slug
+from plumbline.operators.names import free_names
 
 
 def by_page() -> WindowSpec:
@@ -27,31 +28,34 @@ def drawing_runs(pages: DataFrame, inner_gap: int = 3, edge: int = 2, respect_pr
     apart form a run with the pages between; the unknown pages before the first and after the last run join it if
     they are at most edge, or else none does.
     """
-    flat = segments(pages, respect_projects)
+    ad, content = F.col("is_irrelevant_photo_or_ad"), F.expr("is_drawing or is_explication or is_annotation or is_project_info")
     own = Window.partitionBy("doc_id", "segment").orderBy("at")
-    zoned = flat.withColumn("zone", F.sum(F.col("is_irrelevant_photo_or_ad").cast("int")).over(own)).where(~F.col("is_irrelevant_photo_or_ad"))
+    zoned = segments(pages, respect_projects).withColumn("zone", F.sum(ad.cast("int")).over(own)).where(~ad)
     zone = Window.partitionBy("doc_id", "segment", "zone")
-    zoned = zoned.withColumns({"zone_first": F.min("at").over(zone), "zone_last": F.max("at").over(zone)})
-    content = zoned.where("is_drawing or is_explication or is_annotation or is_project_info")
-    apart = F.col("at") - F.lag("at").over(zone.orderBy("at")) - 1
-    island = content.withColumn("new", F.coalesce((apart > inner_gap).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(zone.orderBy("at")))
-    runs = island.groupBy("doc_id", "segment", "zone", "zone_first", "zone_last", "island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.bool_or("is_drawing").alias("drawn"))
-    last = F.col("island") == F.max("island").over(zone)
-    runs = runs.withColumns(
-        {
-            "first": F.when((F.col("island") == 1) & (F.col("first") - F.col("zone_first") <= edge), F.col("zone_first")).otherwise(F.col("first")),
-            "last": F.when(last & (F.col("zone_last") - F.col("last") <= edge), F.col("zone_last")).otherwise(F.col("last")),
-        }
+    forward, back = zone.orderBy("at"), zone.orderBy(F.col("at").desc())
+    kept = F.when(content, F.col("at"))
+    # the content on both sides of each page, itself included, and the zone's first and last
+    seen = zoned.withColumns({"_before": F.max(kept).over(forward), "_earlier": F.max(kept).over(forward.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.min(kept).over(back)})
+    seen = seen.withColumns({"_first": F.min(kept).over(zone), "_last": F.max(kept).over(zone), "_low": F.min("at").over(zone), "_high": F.max("at").over(zone)})
+    new = content & (F.col("_earlier").isNull() | (F.col("at") - F.col("_earlier") - 1 > inner_gap))
+    seen = seen.withColumn("_island", F.sum(new.cast("int")).over(forward))
+    inside = F.col("_after") - F.col("_before") - 1 <= inner_gap
+    run = (
+        F.when(content, F.col("_island"))
+        .when(F.col("_before").isNull() & (F.col("_first") - F.col("_low") <= edge), 1)
+        .when(F.col("_after").isNull() & (F.col("_high") - F.col("_last") <= edge), F.col("_island"))
+        .when(inside, F.col("_island"))
     )
-    runs = runs.where("drawn").select("doc_id", "segment", "zone", F.col("island").alias("run"), "first", "last")
-    return zoned.drop("zone_first", "zone_last").join(runs, ["doc_id", "segment", "zone"]).where("at between first and last").drop("first", "last")
+    runs = seen.withColumn("run", run).where("run is not null")
+    drawn = runs.withColumn("_drawn", F.bool_or("is_drawing").over(Window.partitionBy("doc_id", "segment", "zone", "run"))).where("_drawn")
+    return drawn.drop("_before", "_earlier", "_after", "_first", "_last", "_low", "_high", "_island", "_drawn")
 
 
-def drawing_files(pages: DataFrame, most_pages: int | None = 48, inner_gap: int = 3, edge: int = 2, respect_projects: bool = True) -> DataFrame:
+def drawing_files(pages: DataFrame, most_pages: int | None = 48, inner_gap: int = 3, edge: int = 2, respect_projects: bool = True, taken: DataFrame | None = None) -> DataFrame:
     """doc_id, seq, segment, run_first, first_page, last_page, n_pages, pages, stem of each output drawing.
 
-    pages has a label for each page. Runs over most_pages pages are cut, and their names numbered by seq; names that
-    come again get _1, _2 and so on.
+    pages has a label for each page. Runs over most_pages pages are cut, and their names numbered by seq; of names that
+    come again, or that taken (doc_id, name: files that are there) has, the first free one with _1, _2 and so on is used.
     """
     if most_pages is not None and most_pages < 1:
         raise ValueError("most_pages must be at least 1")
@@ -65,9 +69,8 @@ def drawing_files(pages: DataFrame, most_pages: int | None = 48, inner_gap: int
     files = files.withColumns({"run_first": F.min("first_page").over(whole), "cut": F.count("*").over(whole) > 1, "seq": F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))})
     prefix = F.format_string("p%02d_", F.col("segment")) if respect_projects else F.lit("")
     stem = F.concat(F.lit("drawing_"), prefix, "label", F.when(F.col("cut"), F.format_string("_p%03d", F.col("seq"))).otherwise(""))
-    again = F.row_number().over(Window.partitionBy("doc_id", "stem").orderBy("seq")) - 1
-    named = files.withColumn("stem", stem).withColumn("again", again)
-    return named.select("doc_id", "seq", "segment", "run_first", "first_page", "last_page", "n_pages", "pages", F.concat("stem", F.when(F.col("again") > 0, F.concat(F.lit("_"), F.col("again").cast("string"))).otherwise("")).alias("stem"))
+    named = files.select("doc_id", "seq", "segment", "run_first", "first_page", "last_page", "n_pages", "pages", stem.alias("stem"))
+    return free_names(named, "stem", "seq", taken, ("doc_id",))
 
 
 def drawing_pages(pages: DataFrame) -> DataFrame:
@@ -104,15 +107,21 @@ def pages_of_projects(pages: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 
 def checked_files(pages: DataFrame) -> DataFrame:
-    """file, n_pages, status, reason of each split file. pages: file, page_number, the flags, support_text."""
+    """file, n_pages, status, reason of each split file. pages: file, page_number, the flags, support_text;
+    error, if there is such a column: why a file could not be opened, in a row without a page."""
     ads = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("is_irrelevant_photo_or_ad"), F.col("page_number")))), lambda p: p.cast("string")), ", ")
-    found = pages.groupBy("file").agg(F.count("*").alias("n_pages"), F.bool_or("is_drawing").alias("drawn"), ads.alias("ads"), F.bool_or(F.col("is_annotation") | F.col("is_explication") | F.col("is_project_info") | F.col("support_text")).alias("supported"))
+    error = [F.max("error").alias("error")] if "error" in pages.columns else []
+    found = pages.groupBy("file").agg(*error, F.count("page_number").alias("n_pages"), F.bool_or("is_drawing").alias("drawn"), ads.alias("ads"), F.bool_or(F.col("is_annotation") | F.col("is_explication") | F.col("is_project_info") | F.col("support_text")).alias("supported"))
     reason = F.concat_ws(
         "; ",
         F.when(~F.col("drawn"), "ни одна страница не распознана как чертёж"),
         F.when(F.col("ads") != "", F.concat(F.lit("страницы с маркерами рекламы/фото: "), "ads")),
         F.when((F.col("n_pages") >= 2) & ~F.col("supported"), "несколько страниц без экспликации/примечаний и без явных размеров/масштаба в тексте"),
     )
+    if "error" in pages.columns:
+        # a file that could not be opened has one row with its error
+        failed = F.concat(F.lit("не удалось открыть или обработать PDF: "), "error")
+        reason = F.when(F.col("error").isNotNull(), failed).otherwise(reason)
     fine = "чертёж найден, реклама/фото не обнаружены, контент выглядит согласованным"
     return found.select("file", "n_pages", F.when(reason == "", "ok").otherwise("suspicious").alias("status"), F.when(reason == "", fine).otherwise(reason).alias("reason"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import chunk, replies, reports
+from plumbline.operators import chunk, replies, reports, rules
 from plumbline.sources.files import REPORT
 
 #: How a page's sheet is called, and what reports say that no model has seen.
@@ -67,49 +67,75 @@ def hits_with_texts(hits: DataFrame, index: DataFrame) -> DataFrame:
     return hits.join(index.select("id", "source", "text"), "id").select("query_id", "rank", "id", "source", "text", "score")
 
 
-def prompts(sheets: DataFrame, hits: DataFrame, template: str = PROMPT) -> DataFrame:
-    """drawing_id, prompt of each sheet (drawing_id, text); hits: query_id, rank, source, text, score."""
-    blocks = reports.prompt_chunks(hits).select(F.col("query_id").alias("drawing_id"), F.col("prompt").alias("_chunks"))
-    filled = F.lit(template)
+#: A sheet's hits in its row.
+CHUNKS = "array<struct<rank:int,source:string,text:string,score:double>>"
+
+
+def nested_hits(hits: DataFrame) -> DataFrame:
+    """query_id and chunks: its hits (rank, source, text, score) as one array, by rank."""
+    return hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "source", "text", "score"))).cast(CHUNKS).alias("chunks"))
+
+
+def with_chunks(sheets: DataFrame, hits: DataFrame, key: str = "drawing_id") -> DataFrame:
+    """sheets with chunks, those of the hits whose query_id is the sheet's key; an empty array where there is none."""
+    joined = sheets.join(nested_hits(hits).withColumnRenamed("query_id", key), key, "left")
+    return joined.withColumn("chunks", F.coalesce("chunks", F.array().cast(CHUNKS)))
+
+
+def prompt(template: str = PROMPT) -> Column:
+    """The prompt of a sheet (drawing_id, text, chunks)."""
+    filled, blocks = F.lit(template), F.when(F.size("chunks") > 0, reports.prompt_lines(F.col("chunks"))).otherwise(reports.NO_CHUNKS)
     # texts go in last, so that places named in them stay as they are
-    for place, value in (("drawing_id", F.col("drawing_id").cast("string")), ("chunks", F.coalesce("_chunks", F.lit(reports.NO_CHUNKS))), ("text", F.substring("text", 1, TEXT_CHARS))):
+    for place, value in (("drawing_id", F.col("drawing_id").cast("string")), ("chunks", blocks), ("text", F.substring("text", 1, TEXT_CHARS))):
         filled = F.replace(filled, F.lit("{" + place + "}"), value)
-    return sheets.join(blocks, "drawing_id", "left").select("drawing_id", filled.alias("prompt"))
+    return filled
+
+
+def prompts(sheets: DataFrame, hits: DataFrame, template: str = PROMPT) -> DataFrame:
+    """drawing_id, prompt of each sheet (drawing_id, text); hits: query_id, rank, source, text, score."""
+    return with_chunks(sheets, hits).select("drawing_id", prompt(template).alias("prompt"))
 
 
-def answered(sheets: DataFrame, raw: DataFrame | None, model: str = "mistral") -> DataFrame:
-    """Parsed replies (raw: drawing_id, raw) of all sheets, with llm_used; the gate's report where there is no reply.
+def answered(sheets: DataFrame, asked: bool = True, model: str = "mistral") -> DataFrame:
+    """sheets with what their replies (raw) say, and llm_used; the gate's report where there is no reply.
 
-    raw is None where no model is to be called. A null reply is a service that did not answer.
+    asked is False where no model is to be called. A null reply is a service that did not answer.
     """
-    said = NOT_CALLED if raw is None else NO_ANSWER
-    kinds = {f.name: f.dataType for f in replies.parsed(sheets.select("drawing_id", F.lit("").alias("raw"))).schema}
-    fixed = {"elements": F.array(), "issues": F.array(), "citations": F.array(), "missing_info": F.array(F.lit(said.format(model=model))), "overall_confidence": F.lit("low"), "drawing_id": F.col("drawing_id")}
-    stub = [fixed.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()]
-    if raw is None:
-        return sheets.select(*stub, F.lit(False).alias("llm_used"))
-    got = raw.where("raw is not null").select("drawing_id", "raw")
-    silent = sheets.join(got.select("drawing_id"), "drawing_id", "left_anti")
-    return replies.parsed(got).withColumn("llm_used", F.lit(True)).unionByName(silent.select(*stub, F.lit(False).alias("llm_used")))
+    said = (NO_ANSWER if asked else NOT_CALLED).format(model=model)
+    own = tuple(sheets.columns)
+    got = replies.parsed(sheets, own) if asked else replies.parsed(sheets.withColumn("raw", F.lit(None).cast("string")), own)
+    silent = F.col("raw").isNull() if asked else F.lit(True)
+    fixed = {"elements": F.array(), "standard": F.lit(None), "is_compliant": F.lit(None), "issues": F.array(), "citations": F.array(), "missing_info": F.array(F.lit(said)), "overall_confidence": F.lit("low")}
+    return got.withColumns({c: F.when(silent, v.cast(got.schema[c].dataType)).otherwise(F.col(c)) for c, v in fixed.items()} | {"llm_used": ~silent})
+
+
+def judged_sheets(sheets: DataFrame, rule_set: dict, asked: bool = True, model: str = "mistral", more: tuple[str, ...] = ()) -> DataFrame:
+    """A nested report of each sheet, and the columns in more, made in its row: replies, mentions, rules and verdict need no join or shuffle.
+
+    sheets: drawing_id, text, pdf_path, page_number, total_pages, raw_ocr_text, llava_caption, chunks, raw (if asked).
+    """
+    said = answered(sheets, asked, model)
+    elements, found = reports.final_elements(F.col("elements"), F.col("text"), rule_set)
+    whole = said.withColumns({"_found": F.size(found) > 0 if rule_set else found, "elements": elements})
+    judged = rules.judged(whole.withColumn("heuristic", ~F.col("llm_used") | F.col("_found")), rule_set)
+    made = judged.withColumns({"compliance": F.struct("standard", "is_compliant", "issues", "missing_info", "citations"), "tz_chunks_used": F.transform("chunks", lambda c: c["text"])})
+    return made.select(*report_columns(), *more)
 
 
 def sheet_reports(sheets: DataFrame, hits: DataFrame, raw: DataFrame | None, rule_set: dict, model: str = "mistral") -> DataFrame:
-    """A nested report of each sheet.
+    """judged_sheets() with hits (as hits_with_texts gives them) and replies (raw: drawing_id, raw; None: not asked) as tables.
 
-    sheets: drawing_id, text, pdf_path, page_number, total_pages, raw_ocr_text, llava_caption; hits: as hits_with_texts
-    gives them, query_id being the sheet's drawing_id.
+    Hits and replies are joined by drawing_id, and by pdf_path too where a table has it; sheets are never merged.
     """
-    said = answered(sheets, raw, model)
-    elements = reports.final_elements(said, sheets.select("drawing_id", "text"), rule_set)
-    judged = reports.finished(said, sheets.select("drawing_id", "text"), rule_set, elements)
-    columns = [c for c in elements.columns if c not in ("drawing_id", "pos", "found")]
-    nested = elements.groupBy("drawing_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(*columns).alias("e")))), lambda x: x["e"]).alias("elements"))
-    used = hits.groupBy(F.col("query_id").alias("drawing_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("tz_chunks_used"))
-    about = sheets.select("drawing_id", "pdf_path", "page_number", "total_pages", "raw_ocr_text", "llava_caption")
-    joined = judged.join(about, "drawing_id").join(nested, "drawing_id", "left").join(used, "drawing_id", "left")
-    empty = {"elements": F.array().cast(nested.schema["elements"].dataType), "tz_chunks_used": F.array().cast("array<string>")}
-    made = joined.withColumn("compliance", F.struct("standard", "is_compliant", "issues", "missing_info", "citations")).withColumns({c: F.coalesce(c, e) for c, e in empty.items()})
-    return made.select(*[c.split(" ")[0] for c in _fields(REPORT)])
+    key = ["pdf_path", "drawing_id"] if raw is not None and "pdf_path" in raw.columns else ["drawing_id"]
+    held = with_chunks(sheets, hits)
+    held = held if raw is None else held.drop("raw").join(raw.select(*key, "raw"), key, "left")
+    return judged_sheets(held, rule_set, raw is not None, model)
+
+
+def report_columns() -> list[str]:
+    """A report's columns, in their order."""
+    return [c.split(" ")[0] for c in _fields(REPORT)]
 
 
 def _fields(schema: str) -> list[str]:
@@ -124,12 +150,16 @@ def _fields(schema: str) -> list[str]:
     return [f.strip() for f in out]
 
 
-def summary(report: DataFrame) -> DataFrame:
-    """drawing_id, summary: one line on each report."""
+def summary_line() -> Column:
+    """One line on a report."""
     c = F.col("compliance.is_compliant")
     status = F.when(c, SUMMARY[True]).when(~c, SUMMARY[False]).otherwise(SUMMARY[None])
-    line = F.concat(F.lit("Чертёж "), F.col("drawing_id").cast("string"), F.lit(": "), status, F.lit(" | Элементов: "), F.size("elements").cast("string"), F.lit(" | Расхождений: "), F.size("compliance.issues").cast("string"), F.lit(" | Не определено: "), F.size("compliance.missing_info").cast("string"))
-    return report.select("drawing_id", line.alias("summary"))
+    return F.concat(F.lit("Чертёж "), F.col("drawing_id").cast("string"), F.lit(": "), status, F.lit(" | Элементов: "), F.size("elements").cast("string"), F.lit(" | Расхождений: "), F.size("compliance.issues").cast("string"), F.lit(" | Не определено: "), F.size("compliance.missing_info").cast("string"))
+
+
+def summary(report: DataFrame) -> DataFrame:
+    """drawing_id, summary: one line on each report."""
+    return report.select("drawing_id", summary_line().alias("summary"))
 
 
 def _verdicts() -> list[Column]:
@@ -146,7 +176,7 @@ def batch_reports(report: DataFrame, base: str, model: str = "mistral", reachabl
 
     A batch report is one JSON document of one PDF, so its row is as large as that PDF.
     """
-    own = F.struct(*[c.split(" ")[0] for c in _fields(REPORT)])
+    own = F.struct(*report_columns())
     drawings = F.transform(F.sort_array(F.collect_list(F.struct("_order", own.alias("r")))), lambda x: x["r"]).alias("drawings")
     return report.withColumn("_order", F.col("page_number")).groupBy("pdf_path", F.col(base).alias("base_drawing_id")).agg(
         F.count("*").alias("total_drawings"), F.lit(reachable).alias("ollama_reachable"), F.lit(model).alias("text_llm_model"), F.lit(available).alias("text_llm_available"), drawings, *_verdicts()
@@ -163,10 +193,12 @@ def album_reports(boundaries: DataFrame, files: DataFrame, report: DataFrame, pr
     """One row for each album: its projects with their reports, and their stems by verdict.
 
     boundaries: doc_id, start_page, end_page, stem; files: path; report: as sheet_reports gives them, drawing_id being
-    the stem. Projects without a file are left out of all but split_boundaries.
+    the stem (of the album, where there is such a column). Projects without a file are left out of all but split_boundaries.
     """
-    held = existing(boundaries, files).join(report.withColumnRenamed("drawing_id", "stem"), "stem").withColumn("drawing_id", F.col("stem"))
-    own = F.struct(*[c.split(" ")[0] for c in _fields(REPORT)])
+    own_album = {"album": "doc_id"} if "album" in report.columns else {}
+    on = ["stem", *own_album.values()]
+    held = existing(boundaries, files).join(report.withColumnsRenamed({"drawing_id": "stem", **own_album}), on).withColumn("drawing_id", F.col("stem"))
+    own = F.struct(*report_columns())
     project = F.struct("drawing_id", "pdf_path", F.struct(F.col("start_page").alias("start"), F.col("end_page").alias("end")).alias("album_pages"), own.alias("report"))
     each = held.withColumn("_order", F.col("start_page")).groupBy("doc_id").agg(*_verdicts(), F.transform(F.sort_array(F.collect_list(F.struct("_order", project.alias("p")))), lambda x: x["p"]).alias("projects"))
     split = boundaries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_page", "end_page", "stem"))).alias("split_boundaries"))

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import classify, text
-from plumbline.operators import chunk, extract, replies, reports, rules, search, segment, sheets
+from plumbline.operators import analysis, chunk, extract, replies, reports, rules, search, segment, sheets
 from plumbline.plans.oracle import ORACLE_SQL  # noqa: F401
+from plumbline.sources.shared import Stages
 
 PART_RULES = {
     "dimensions": [
@@ -302,34 +303,33 @@ TALK_RULES = {"dimensions": [{"field": "bolt_size", "allowed_values": ["tion", "
 LETTERS = "aeioudlnrst"
 
 
-def _embedded(rows: DataFrame, of: Column) -> DataFrame:
-    low = F.lower(of)
+def _embedded(rows: DataFrame) -> DataFrame:
+    low = F.lower("text")
     counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
     return rows.withColumn("embedding", search.normalised(counts))
 
 
-def _sheets(spark: SparkSession, sf_dir: str, by_page: bool) -> tuple[DataFrame, DataFrame]:
-    """Sheets of conversations, each turn or each conversation one, and their hits in the benchmark's items as a
-    specification."""
-    c = table(spark, sf_dir, "conversations").withColumn("base", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
-    c = c.withColumn("drawing_id", sheets.sheet_id(F.col("base"), F.col("turn")) if by_page else F.col("base"))
+def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as pages, a conversation being a drawing."""
+    c = table(spark, sf_dir, "conversations").withColumn("drawing_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
     of = lambda role: F.when(F.col("role") == role, F.col("text"))
-    pages = c.select("base", "drawing_id", F.col("turn").alias("page_number"), of("system").alias("pdf_text"), of("user").alias("ocr_text"), F.lit(None).cast("string").alias("ocr_engine"), of("assistant").alias("caption"))
-    about = pages.groupBy("drawing_id", "base").agg(F.min("page_number").alias("first"), F.count("*").alias("total_pages"))
-    texts = reports.fused(pages, "drawing_id").join(about, "drawing_id")
-    made = texts.withColumns({"pdf_path": F.concat("base", F.lit(".pdf")), "page_number": F.col("first") if by_page else F.lit(None).cast("int")})
-    spec = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("source"), "text")
-    index = sheets.index_chunks(spec, TALK_RULES, size=1_000_000)
-    asked = _embedded(made.select(F.col("drawing_id").alias("query_id"), reports.query_text(F.col("text"), reports.SHEET_QUERY).alias("q")), F.col("q"))
-    hits = search.search(_embedded(index, F.col("text")), asked.select("query_id", "embedding"), 3)
-    return made, sheets.hits_with_texts(hits, index)
+    return c.select("conv_id", F.concat("drawing_id", F.lit(".pdf")).alias("pdf_path"), "drawing_id", F.col("turn").alias("page_number"), of("system").alias("pdf_text"), of("user").alias("ocr_text"), F.lit(None).cast("string").alias("ocr_engine"), of("assistant").alias("caption"))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items as a specification."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("source"), "text")
 
 
 def _answers(made: DataFrame) -> DataFrame:
     """Replies: an element, none, no JSON, or no answer."""
     k = F.length("text") % 4
     some = '{"elements": [{"name": "b", "material": "keit"}], "compliance": {"is_compliant": null}}'
-    return made.select("drawing_id", F.when(k == 1, some).when(k == 2, '{"elements": [], "compliance": {"is_compliant": true}}').when(k == 3, "sorry").alias("raw"))
+    return made.withColumn("raw", F.when(k == 1, some).when(k == 2, '{"elements": [], "compliance": {"is_compliant": true}}').when(k == 3, "sorry"))
+
+
+def _analyzed(spark: SparkSession, sf_dir: str, by: str, ask) -> DataFrame:
+    return analysis.analyze(_talks(spark, sf_dir), _items(spark, sf_dir), TALK_RULES, _embedded, ask, by, 3, size=1_000_000)
 
 
 def _numbers(r: DataFrame) -> list[Column]:
@@ -338,16 +338,13 @@ def _numbers(r: DataFrame) -> list[Column]:
 
 def drawing_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation as one drawing, from pages to its report."""
-    made, hits = _sheets(spark, sf_dir, by_page=False)
-    r = sheets.sheet_reports(made, hits, _answers(made), TALK_RULES)
-    return r.join(sheets.summary(r), "drawing_id").select("drawing_id", *_numbers(r), "summary")
+    r = _analyzed(spark, sf_dir, analysis.DRAWING, _answers)
+    return r.select("drawing_id", *_numbers(r), sheets.summary_line().alias("summary"))
 
 
 def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as a drawing, without a model, and one report for all of a conversation."""
-    made, hits = _sheets(spark, sf_dir, by_page=True)
-    r = sheets.sheet_reports(made, hits, None, TALK_RULES).join(made.select("drawing_id", "base"), "drawing_id")
-    b = sheets.batch_reports(r, "base")
+    b = sheets.batch_reports(_analyzed(spark, sf_dir, analysis.PAGE, None), "base")
     ids = [F.array_join(c, ",").alias(c) for c in ("compliant", "non_compliant", "undetermined")]
     elements = F.aggregate(F.transform("drawings", lambda d: F.size(d["elements"])), F.lit(0), lambda a, x: a + x)
     return b.select("base_drawing_id", "pdf_path", "total_drawings", elements.alias("n_elements"), *ids)
@@ -355,19 +352,18 @@ def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def album_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations of which those with an even id have a file, in albums of their first turn's role."""
-    made, hits = _sheets(spark, sf_dir, by_page=False)
     c = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("role").alias("doc_id"), "conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("stem"))
     bounds = c.select("doc_id", (F.col("conv_id") * 8 + 1).alias("start_page"), (F.col("conv_id") * 8 + 8).alias("end_page"), "stem")
     files = c.where("conv_id % 2 = 0").select(F.concat(F.lit("/projects/"), "stem", F.lit(".pdf")).alias("path"))
-    a = sheets.album_reports(bounds, files, sheets.sheet_reports(made, hits, _answers(made), TALK_RULES), "/projects")
+    a = sheets.album_reports(bounds, files, _analyzed(spark, sf_dir, analysis.DRAWING, _answers), "/projects")
     sizes = [F.size(x).alias(f"n_{x}") for x in ("split_boundaries", "compliant", "non_compliant", "undetermined", "projects")]
     first = F.col("projects")[0]
     return a.select("source_album", *sizes, first["drawing_id"].alias("first_project"), first["album_pages"]["end"].alias("first_end"), "pipeline_report_path")
 
 
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, hits = _sheets(spark, sf_dir, by_page=False)
-    p = sheets.prompts(made, hits.withColumn("score", F.lit(0.25)), "{drawing_id}\n{text}\n{chunks}")
+    held = analysis.staged_sheets(Stages(spark), _talks(spark, sf_dir), _items(spark, sf_dir), TALK_RULES, _embedded, top_k=3, size=1_000_000)
+    p = held.withColumn("chunks", F.transform("chunks", lambda c: c.withField("score", F.lit(0.25)))).select("drawing_id", sheets.prompt("{drawing_id}\n{text}\n{chunks}").alias("prompt"))
     return p.select("drawing_id", F.length("prompt").alias("n"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 

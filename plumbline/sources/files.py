@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import meaningful_chars
+from plumbline.sources.shared import status
 
 PAGE = "doc_id string, page_number int, pdf_text string, image bytes, has_drawings boolean".replace("bytes", "binary")
 REPORT = (
@@ -43,11 +44,6 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPORT).json(path, multiLine=True)
 
 
-def _status(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def pdf_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """path and content of the files whose names match. Spark raises an error for a missing path."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
@@ -55,7 +51,7 @@ def pdf_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
 
 def drawing_files(spark: SparkSession, folder: str, glob: str = "drawing_*.pdf") -> DataFrame:
     """path and content of a folder's drawings, ordered by path."""
-    store, where = _status(spark, folder)
+    store, where = status(spark, folder)
     if not store.exists(where) or not store.getFileStatus(where).isDirectory():
         raise NotADirectoryError(folder)
     return pdf_files(spark, folder, glob).orderBy("path")
@@ -84,17 +80,6 @@ def embedded(chunks: DataFrame, embed: Callable[[], Callable[[list[str]], list[l
     return chunks.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema) + ", embedding array<float>")
 
 
-def asked(rows: DataFrame, ask: Callable[[], Callable[[str], str]], column: str, into: str) -> DataFrame:
-    """rows with the answers of a plug-in service (a caption, a language model) to a column; errors come as texts."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        service = ask()
-        for pdf in frames:
-            yield pdf.assign(**{into: [service(x) for x in pdf[column]]})
-
-    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` string")
-
-
 def read(rows: DataFrame, engine: Callable[[], Callable[[bytes], str]], into: str, image: str = "image") -> DataFrame:
     """rows with a struct of text and ok that an OCR engine reads from an image; a failure is an empty text, not ok."""
 
@@ -138,35 +123,9 @@ def cut_files(albums: DataFrame, files: DataFrame, cutter: Callable[[bytes, list
     return files.select("doc_id", "stem", "pages").join(albums, "doc_id").mapInPandas(run, "name string, content binary")
 
 
-def write_files(files: DataFrame, folder: str, overwrite: bool = True) -> None:
-    """Writes each content under its name. Without overwrite a name that is there already gets _1, _2 and so on."""
-    store, where = _status(files.sparkSession, folder)
-    there: set[str] = set()
-    if not overwrite and store.exists(where):
-        there = {s.getPath().getName() for s in store.listStatus(where)}
-    store.mkdirs(where)
-    target = str(store.makeQualified(where).toUri())
-    target = target.replace("file:/", "file:///", 1) if target.startswith("file:/") and not target.startswith("file://") else target
-
-    def save(rows: Iterator) -> None:
-        from pyarrow import fs
-
-        remote, base = fs.FileSystem.from_uri(target)
-        for r in rows:
-            stem, _, ending = r["name"].rpartition(".")
-            name, k = r["name"], 0
-            while name in there:
-                k += 1
-                name = f"{stem}_{k}.{ending}"
-            with remote.open_output_stream(f"{base}/{name}") as out:
-                out.write(bytes(r["content"]))
-
-    files.select("name", "content").foreachPartition(save)
-
-
 def chunk_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The chunks of an index; none, where it is not there."""
-    store, where = _status(spark, path)
+    store, where = status(spark, path)
     return spark.read.schema(schema).parquet(path) if store.exists(where) else spark.createDataFrame([], schema)
 
 

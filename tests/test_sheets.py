@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import classify, text
 from plumbline.operators import chunk, extract, replies, reports, rules, search, sheets
-from plumbline.sources import files
+from plumbline.sources import files, named, services
 from plumbline.streaming import pages as stream
 
 #: A report as a reader of another program would have it.
@@ -147,9 +147,9 @@ def test_listing_pages_images_and_cut_files(spark, tmp_path):
     assert pages.count() == 4 and pages.where("has_drawings").count() == 2
     images = files.page_images(pages, "doc_id", render_all=False)
     assert {r["name"] for r in images.collect()} == {"drawing_a_page_001.png", "drawing_b_page_001.png"}
-    files.write_files(images, str(tmp_path / "out"))
+    named.write_files(images, str(tmp_path / "out"))
     assert (tmp_path / "out" / "drawing_a_page_001.png").read_bytes() == b"drawing_a.pdf"
-    files.write_files(images, str(tmp_path / "out"), overwrite=False)
+    named.write_files(images, str(tmp_path / "out"), overwrite=False)
     assert len(list((tmp_path / "out").glob("drawing_*_1.png"))) == 2
     albums = found.select(F.lit("x").alias("doc_id"), "content").limit(1)
     cut = files.cut_files(albums, spark.createDataFrame([("x", "s", [3, 4])], "doc_id string, stem string, pages array<int>"), lambda content, numbers: content[: len(numbers)])
@@ -164,7 +164,7 @@ def test_plug_ins(spark):
     assert picked == {1: "tesseract", 2: "easyocr", 3: "none", 4: "easyocr"}
     texts = spark.createDataFrame([("a",), ("bcd",)], "text string")
     assert {tuple(r["embedding"]) for r in files.embedded(texts, lambda: lambda some: [[float(len(t))] for t in some]).collect()} == {(1.0,), (3.0,)}
-    assert {r["said"] for r in files.asked(texts, lambda: str.upper, "text", "said").collect()} == {"A", "BCD"}
+    assert {r["said"] for r in services.asked(texts, lambda: str.upper, "text", "said").collect()} == {"A", "BCD"}
 
 
 def test_a_missing_index_has_no_chunks(spark, tmp_path):
