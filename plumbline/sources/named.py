@@ -6,8 +6,10 @@ failed, was repeated or belongs to a job that ended early leaves nothing behind.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import posixpath
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -44,7 +46,8 @@ class NamedWriter(DataSourceWriter):
         task = TaskContext.get()
         store, _, attempts = self._store()
         side, names = f"{attempts}/{task.partitionId()}-{task.taskAttemptId()}", []
-        store.create_dir(side, recursive=True)
+        # not the folders above: a task that is late, after the job was given up, makes nothing
+        store.create_dir(side, recursive=False)
         for k, (name, content) in enumerate(rows):
             if self.indent:
                 content = json.dumps(json.loads(content), ensure_ascii=False, indent=self.indent)
@@ -73,8 +76,12 @@ class NamedWriter(DataSourceWriter):
     def _clear(self, store, attempts: str) -> None:
         from pyarrow import fs
 
-        if store.get_file_info(attempts).type != fs.FileType.NotFound:
-            store.delete_dir(attempts)
+        for _ in range(20):
+            if store.get_file_info(attempts).type == fs.FileType.NotFound:
+                return
+            with contextlib.suppress(OSError):  # a task that still writes
+                store.delete_dir(attempts)
+            time.sleep(0.1)
 
 
 class NamedFiles(DataSource):
@@ -93,10 +100,11 @@ class NamedFiles(DataSource):
 
 def _save(files: DataFrame, folder: str, indent: int = 0) -> None:
     spark = files.sparkSession
-    store, where = status(spark, folder)
-    store.mkdirs(where)
+    store, _ = status(spark, folder)
+    job = uuid.uuid4().hex
+    store.mkdirs(status(spark, f"{folder}/_attempts-{job}")[1])
     spark.dataSource.register(NamedFiles)
-    files.select("name", "content").write.format(FORMAT).option("path", qualified(spark, folder)).option("job", uuid.uuid4().hex).option("indent", str(indent)).mode("append").save()
+    files.select("name", "content").write.format(FORMAT).option("path", qualified(spark, folder)).option("job", job).option("indent", str(indent)).mode("append").save()
 
 
 def write_files(files: DataFrame, folder: str, overwrite: bool = True, order: str | None = None) -> None:
