@@ -52,9 +52,10 @@ _kept: list[str] = []
 
 
 def kept_table(df: DataFrame, name: str, key: str, buckets: int, *parts: str) -> DataFrame:
-    """df, written as a table of the warehouse that is bucketed by key, and read back. parts: columns of folders."""
+    """df, written to the shared folder as a table that is bucketed by key, and read back. parts: columns of folders."""
     full = f"plumbline_{name}_{uuid.uuid4().hex}"
-    df.write.partitionBy(*parts).bucketBy(buckets, key).option("compression", "zstd").saveAsTable(full)
+    path = f"{shared_folder(df.sparkSession)}/{full}"
+    df.write.partitionBy(*parts).bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(full)
     _kept.append(full)
     return df.sparkSession.table(full)
 

@@ -6,17 +6,21 @@ window, is searched by bisection. The places found mark the document's words; pl
 document and item are joined to the longest verbatim matches. Nothing is shuffled and a hot item costs what its places
 cost.
 
-The benchmark goes to the tasks in blocks of about ``BLOCK_WORDS`` words, one broadcast each, and at most ``MOST_BLOCKS``;
-a task keeps the indexes of the first ``KEPT``. Suffixes that could not hold the shortest window, as one of its words is in no item, are left out of the array.
+The benchmark goes to the tasks in blocks of about ``BLOCK_WORDS`` words, one broadcast each. A task makes the index of each
+block once and keeps it, so that no more than ``KEPT`` blocks are searched in one pass over the documents. A larger
+benchmark has further passes, whose hits are written and joined by row; its size is not limited. Suffixes that could not hold the shortest window, as one of its words is in no item, are left out of the array.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, UPPER, map_texts, table
+from plumbline.llm.common import LOWER, UPPER, map_texts, table, written
 
 WINDOW = 10
 #: Words of the benchmark in a block, about.
@@ -152,50 +156,50 @@ def _search(lists: list[list[bytes]], index: TestIndex) -> tuple[list[np.ndarray
     return masks, runs
 
 
-def _blocks(benchmark: DataFrame, window: int, most: int) -> list:
-    """Broadcasts of (item_id as text, text) lists; each block has at most that many words, or one item.
+def _block_rows(benchmark: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """(block, items: item_id as text, and text) and the number of blocks; each has about that many words at most, or one item.
 
-    Spark deals items to blocks by hash and writes a block as one row, so the driver holds one at a time. Blocks are
-    fewer than the words of the benchmark by the factor ``most``; a benchmark is a small table by nature, and one of more
-    than ``MOST_BLOCKS`` blocks is refused, as its broadcasts would not fit.
+    Spark deals items to blocks by hash and writes a block as one row, so the driver holds one at a time.
     """
-    context = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     # a word has a byte and a separator at least
     total = items.agg(F.sum(F.floor(F.octet_length("text") / 2) + 1)).first()[0] or 0
     blocks = max(1, -(-int(total) // most))
-    if blocks > MOST_BLOCKS:
-        raise ValueError(f"a benchmark of {blocks} blocks is too large to go to every task")
     dealt = items.groupBy(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_set(F.struct("item", "text"))).alias("items"))
-    return [context.broadcast([tuple(x) for x in row["items"]]) for row in dealt.orderBy("block").toLocalIterator()] or [context.broadcast([])]
+    return dealt, blocks
 
 
-#: Indexes that a task keeps for its next documents.
+def _passes(benchmark: DataFrame, most: int) -> Iterator[list]:
+    """Broadcasts of (item, text) lists, KEPT of them at a time."""
+    context = benchmark.sparkSession.sparkContext
+    dealt, blocks = _block_rows(benchmark, most)
+    if blocks > KEPT:
+        dealt = written(dealt, "benchmark-blocks")
+    held = []
+    for row in dealt.orderBy("block").toLocalIterator():
+        held.append(context.broadcast([tuple(x) for x in row["items"]]))
+        if len(held) == KEPT:
+            yield held
+            held = []
+    yield held
+
+
+#: Blocks that are searched in one pass; a task keeps their indexes.
 KEPT = 4
-#: Blocks of a benchmark at most.
-MOST_BLOCKS = 64
+_MATCHES = "array<struct<item_id:string,start:long,words:long,item_start:long>>"
+_KINDS = {"n_words": "long", "n_hit": "long", "matches": _MATCHES, "spans": "array<struct<start:long,stop:long>>"}
 
 
-def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, columns: tuple[str, ...] = ("doc_id",), shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The given columns, n_words, n_hit and matches of each row of docs.
-
-    A match is a longest verbatim run: item_id, start (word of the document), words, item_start. Null texts and texts
-    without words have none. Items without words match nothing; repeated items count once in item lists; an item whose
-    item_id is null marks words but stands in no list. Rows of docs are independent, so repeated ones are treated alike.
-    Empty tables give no rows, or rows without hits. Texts are taken whole, however long. Other columns are not read.
-    """
-    blocks = _blocks(benchmark, window, block_words)
+def _searched(docs: DataFrame, blocks: list, window: int, columns: tuple[str, ...], shard_rows: int) -> DataFrame:
+    """The columns, n_words, n_hit, matches, and spans: the stretches of words that are hit, for these blocks."""
 
     def start():
         kept: dict[int, TestIndex] = {}
 
         def index(k: int) -> TestIndex:
-            if k in kept:
-                return kept[k]
-            made = TestIndex(blocks[k].value, window)
-            if len(kept) < KEPT:
-                kept[k] = made
-            return made
+            if k not in kept:
+                kept[k] = TestIndex(blocks[k].value, window)
+            return kept[k]
 
         def make(texts: list) -> list[list]:
             lists = [words(t) for t in texts]
@@ -205,15 +209,62 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
                     masks[k] |= mask
                     runs[k] += run
             as_rows = [[dict(zip(("item_id", "start", "words", "item_start"), r, strict=True)) for r in run] for run in runs]
-            return [[len(ws) for ws in lists], [int(m.sum()) for m in masks], as_rows]
+            return [[len(ws) for ws in lists], [int(m.sum()) for m in masks], as_rows, [_spans(m) for m in masks]]
 
         return make
 
-    return map_texts(docs, start, {"n_words": "long", "n_hit": "long", "matches": "array<struct<item_id:string,start:long,words:long,item_start:long>>"}, columns, rows=shard_rows)
+    return map_texts(docs, start, _KINDS, columns, rows=shard_rows)
+
+
+def _spans(mask: np.ndarray) -> list[dict[str, int]]:
+    ends = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    return [{"start": a, "stop": z} for a, z in zip(ends[::2].tolist(), ends[1::2].tolist(), strict=True)]
+
+
+def _covered(spans: Column) -> Column:
+    """How many words lie in any of the spans."""
+    state = lambda stop, n: F.struct(stop.alias("stop"), n.alias("n"))
+    more = lambda now, s: F.greatest(F.lit(0).cast("long"), s["stop"] - F.greatest(now["stop"], s["start"]))
+    zero = F.lit(0).cast("long")
+    return F.aggregate(F.sort_array(spans), state(zero, zero), lambda now, s: state(F.greatest(now["stop"], s["stop"]), now["n"] + more(now, s)), lambda now: now["n"])
+
+
+def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, columns: tuple[str, ...] = ("doc_id",), shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The given columns, n_words, n_hit and matches of each row of docs.
+
+    A match is a longest verbatim run: item_id, start (word of the document), words, item_start. Null texts and texts
+    without words have none. Items without words match nothing; repeated items count once in item lists; an item whose
+    item_id is null marks words but stands in no list. Rows of docs are independent, so repeated ones are treated alike.
+    Empty tables give no rows, or rows without hits. Texts are taken whole, however long. Other columns are not read.
+    """
+    passes = _passes(benchmark, block_words)
+    first, second = next(passes), next(passes, None)
+    if not second:
+        return _searched(docs, first, window, columns, shard_rows).drop("spans")
+    spark = docs.sparkSession
+    # rows have a number that outlives a pass
+    names = {c: f"_own{i}" for i, c in enumerate(columns)}
+    own = written(docs.select(*[F.col(c).alias(n) for c, n in names.items()], "text", F.monotonically_increasing_id().alias("_row")), "decontamination")
+    whole = written(_searched(own, first, window, ("_row", *names.values()), shard_rows), "hits")
+    found = whole.where("n_hit > 0").select("_row", "matches", "spans")
+    for blocks in itertools.chain([second], passes):
+        if blocks:
+            more = _searched(own, blocks, window, ("_row",), shard_rows).where("n_hit > 0").select("_row", "matches", "spans")
+            found = found.unionByName(written(more, "hits"))
+        for b in blocks:
+            b.unpersist()
+    merged = found.groupBy("_row").agg(F.flatten(F.collect_list("matches")).alias("_matches"), F.flatten(F.collect_list("spans")).alias("_spans"))
+    joined = whole.drop("matches", "spans").join(merged, "_row", "left")
+    empty = F.array().cast(_MATCHES)
+    return joined.select(*[F.col(n).alias(c) for c, n in names.items()], "n_words", F.coalesce(_covered(F.col("_spans")), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_matches", empty).alias("matches"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no benchmark window occurs, columns as they are."""
+    """The documents in which no benchmark window occurs, columns as they are.
+
+    Null and empty texts stay, and repeated rows stay or go together; texts are taken whole, however long. An empty table of
+    documents gives an empty result, an empty benchmark all documents. Names of columns cannot clash.
+    """
     names = {c: "text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)}
     found = verbatim_matches(docs.select(*[F.col(c).alias(n) for c, n in names.items()]), benchmark, window, columns=tuple(names.values()))
     return found.where("n_hit = 0").select(*[F.col(n).alias(c) for c, n in names.items()])

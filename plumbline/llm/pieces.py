@@ -21,6 +21,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm.blocks import BLOCK_BYTES, as_rows, by_frequency, gathered, grown, joined_back, looked_up, numbering, shrunk
 from plumbline.llm.common import id_and_text, table
@@ -112,15 +113,21 @@ def segment_once(blocks: DataFrame, model: str) -> DataFrame:
 
 def _documents(row: dict, columns: tuple[str, ...]) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
     """(the columns of a block's documents, chunks of each, positions of the chunks)."""
-    kept = [row[c][0].values for c in columns]
+    kept = [row[_own(c)][0].values for c in columns]
     return kept, grown(row["sizes"][0].as_py(), len(kept[0])).astype(np.int64), grown(row["line"][0].as_py(), row["n"][0].as_py()).astype(np.int64)
 
 
 def _prepared(docs: DataFrame, model: str, columns: tuple[str, ...], block_bytes: int) -> tuple[DataFrame, DataFrame, str]:
+    """Blocks, in which a column c is _own_c, their chunks' ids, and the kinds of those columns."""
     check_model(model)
-    own = id_and_text(docs, *columns[1:])
-    blocks = as_rows(own, columns, _Chunks, _Chunks.kinds, block_bytes)
-    return blocks, segment_once(blocks, model), "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in columns)
+    named = [_own(c) for c in columns]
+    own = id_and_text(docs, *columns[1:]).select(*[F.col(c).alias(n) for c, n in zip(columns, named, strict=True)], "text")
+    blocks = as_rows(own, tuple(named), _Chunks, _Chunks.kinds, block_bytes)
+    return blocks, segment_once(blocks, model), "".join(f"`{n}` {own.schema[n].dataType.simpleString()}, " for n in named)
+
+
+def _own(column: str) -> str:
+    return f"_own_{column}"
 
 
 def with_pieces(docs: DataFrame, model: str, block_bytes: int = BLOCK_BYTES, more: tuple[str, ...] = ()) -> DataFrame:
@@ -128,7 +135,7 @@ def with_pieces(docs: DataFrame, model: str, block_bytes: int = BLOCK_BYTES, mor
 
     Null texts count as empty: no ids, empty decoded text. Rows are independent: repeated rows and repeated or null
     doc_ids come out as they are. Texts are taken whole, however long; a block has one text at least. An empty table gives an
-    empty result. Only the columns named are read.
+    empty result. Only the columns named are read; no name can clash, but for ids and decoded.
     """
     columns = ("doc_id", *more)
 
@@ -139,10 +146,11 @@ def with_pieces(docs: DataFrame, model: str, block_bytes: int = BLOCK_BYTES, mor
         said = _said(row, other)[line]
         texts = ["".join(said[a:z])[1:] for a, z in zip((end - sizes).tolist(), end.tolist(), strict=True)]
         flat = pa.array(gathered(ids, lengths, line).astype(np.int32))
-        return pa.Table.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offset), flat), pa.array(texts, pa.string())], names=[*columns, "ids", "decoded"])
+        return pa.Table.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offset), flat), pa.array(texts, pa.string())], names=[*map(_own, columns), "ids", "decoded"])
 
     blocks, found, carried = _prepared(docs, model, columns, block_bytes)
-    return joined_back(blocks, [*columns, *_Chunks.kinds], found, run, carried + "ids array<int>, decoded string")
+    made = joined_back(blocks, [*map(_own, columns), *_Chunks.kinds], found, run, carried + "ids array<int>, decoded string")
+    return made.withColumnsRenamed({_own(c): c for c in columns})
 
 
 def piece_digests(docs: DataFrame, model: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -158,10 +166,11 @@ def piece_digests(docs: DataFrame, model: str, block_bytes: int = BLOCK_BYTES) -
         for a, z in zip((end - sizes).tolist(), end.tolist(), strict=True):
             part = line[a:z]
             out.append((int(lengths[part].sum()), sha256(",".join(digits[part])), sha256("".join(said[part])[1:])))
-        return pa.Table.from_arrays([*kept, *[pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.Table.from_arrays([*kept, *[pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]], names=[_own("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256"])
 
     blocks, found, carried = _prepared(docs, model, ("doc_id",), block_bytes)
-    return joined_back(blocks, ["doc_id", *_Chunks.kinds], found, run, carried + "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    made = joined_back(blocks, [_own("doc_id"), *_Chunks.kinds], found, run, carried + "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return made.withColumnRenamed(_own("doc_id"), "doc_id")
 
 
 def _said(row: dict, other: dict) -> np.ndarray:

@@ -121,7 +121,11 @@ def quality_rules(docs: DataFrame, limit: int = LINE_LIMIT, least_share: float =
 
 
 def keep_good(docs: DataFrame, limit: int = LINE_LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The documents that are kept, without the lines that are removed; columns as they are, n_chars counted anew."""
+    """The documents that are kept, without the lines that are removed; columns as they are, n_chars counted anew.
+
+    Null and empty texts have too few words and go; equal texts of a host are one document and stay or go together; texts are
+    taken whole, however long. An empty table gives an empty result. Names of columns cannot clash.
+    """
     verdicts = judged(docs, [], limit, least_share).select("host", "key", "kept", "removed_lines")
     kept = verdicts.where("kept").groupBy("host", "key").agg(F.first("removed_lines").alias("removed_lines"))
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("text"), host(), key())

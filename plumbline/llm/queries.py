@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm import byte_pairs, decontamination, lm_scoring, merkle, periodic_runs, pieces, quality, sharding, simhash, suffix_array, token_counts, toxicity, url_filter
+from plumbline.llm.common import drop_written  # noqa: F401
 
 QUERIES = {
     "op1_suffix_array": suffix_array.op1_suffix_array,

@@ -111,7 +111,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, shares: int | None =
 
     Rows with equal texts are one group and stay together; so do texts with the same 64-bit hash. Null texts count as
     empty. slot numbers the rows of a shard from 0 without gaps, by share (a hash of doc_id and text), then doc_id;
-    repeated rows each get one. Null doc_ids are rows like others. More shards than groups leave shards empty.
+    repeated rows each get one. Null doc_ids are rows like others. More shards than groups leave shards empty. Texts are
+    taken whole, however long: of one that is larger than a shard should be, the shard is that large. An empty table gives an
+    empty result. Other columns are not read.
     """
     shares = shares or max(SLOT_SHARES, docs.count() // SHARE_ROWS)
     rows = written(

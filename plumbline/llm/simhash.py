@@ -225,7 +225,9 @@ def near_duplicates(docs: DataFrame, limit: int = BITS, shingle: int = SHINGLE,
 def keep_one(docs: DataFrame, limit: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each component: that with the component's doc_id; columns as they are.
 
-    Where a doc_id has several texts in a component, the one with the smallest key stays; of equal rows one.
+    Where a doc_id has several texts in a component, the one with the smallest key stays; of equal rows one. Null, empty and
+    wordless texts are alike, and one of them stays; texts are taken whole, however long. An empty table gives an empty
+    result. Names of columns cannot clash.
     """
     found = near_duplicates(docs, limit, shingle, with_key=True).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = found.groupBy("component_id").agg(F.min(F.struct("key")).alias("least"), F.count("*").alias("rows")).select(F.col("component_id").alias("stay_id"), F.col("least.key").alias("stay_key"), "rows")

@@ -453,7 +453,9 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, short: int = SHORT, ran
 def drop_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, range_rows: int = RANGE_ROWS) -> DataFrame:
     """docs with what is left of each text, whole characters only; rows of which no word is left go.
 
-    Columns stay as they are, n_chars is counted anew. Rows that lose nothing stay, empty ones included.
+    Columns stay as they are, n_chars is counted anew. Rows that lose nothing stay, those with a null
+    or empty text included. Repeated rows lose all of their text, if it has length bytes, and go. Texts are taken whole, however
+    long. An empty table gives an empty result. Names of columns cannot clash.
     """
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     found = cut_texts(docs.select(*[F.col(c).alias(n) for c, n in names.items()]), list(names.values()), names["text"], length, short, range_rows)

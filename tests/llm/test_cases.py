@@ -1,9 +1,10 @@
 """Nulls, empty tables, repeated rows and columns with clashing names, for all operators; the whole pipeline."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontamination, lm_scoring, pieces, quality, sharding, simhash, suffix_array, token_counts, toxicity, url_filter
+from plumbline.llm import byte_pairs, decontamination, lm_scoring, merkle, periodic_runs, pieces, quality, sharding, simhash, suffix_array, token_counts, toxicity, url_filter
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
@@ -35,6 +36,10 @@ OPERATORS = {
     "sharding": lambda d: sharding.shard_documents(d),
     "url_filter": lambda d: url_filter.filter_urls(d.drop("page_id", "url").withColumnsRenamed({"doc_id": "page_id", "text": "url"}), url_filter.rules_table(d.sparkSession)),
     "token_counts": lambda d: token_counts.token_counts(d, token_counts.public_path("word_bpe_49k.json")),
+    "clashing_pieces": lambda d: pieces.with_pieces(d.withColumns({c: F.col("lang") for c in ("n", "block", "chunks", "sizes", "line")}), pieces.public_path("piece_bpe_32k.model"), more=("n", "block", "chunks", "sizes", "line")).selectExpr("doc_id", "n", "line", "size(ids) as k"),
+    "byte_pairs": lambda d: byte_pairs.id_digests(d, byte_pairs.public_path("byte_bpe_50k.tiktoken"), byte_pairs.public_pattern()),
+    "merkle": lambda d: merkle.manifest(d),
+    "periodic_runs": lambda d: periodic_runs.run_digests(d),
     "quality": lambda d: quality.quality_rules(d),
     "keep_good": lambda d: quality.keep_good(d).select(SCHEMA_COLUMNS),
 }
@@ -120,5 +125,9 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
         if not given:
             assert got == []
             continue
+        clash = spark.createDataFrame([(*r, *range(len(CLASHING))) for r in given], SCHEMA + "".join(f", `{c}` long" for c in CLASHING))
+        clash.write.parquet(f"{base}-clash/documents.parquet")
+        bench(spark).limit(0).write.parquet(f"{base}-clash/benchmark.parquet")
+        assert sorted(map(repr, corpus_pipeline.run(spark, f"{base}-clash").collect())) == sorted(map(repr, got))
         assert {r["doc_id"] for r in got} == {1, None}
         assert next(r["text"] for r in got if r["doc_id"] == 1).startswith("own0 said0")

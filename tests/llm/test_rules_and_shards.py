@@ -2,6 +2,7 @@ import binascii
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination, quality, sharding, url_filter
 from tests.llm import brute
@@ -85,6 +86,22 @@ def test_decontamination_of_odd_texts(spark, block_words):
     assert max(m["words"] for m in more[0]["matches"]) == 4
 
 
+def test_a_benchmark_of_many_blocks_is_the_same(spark):
+    """200 blocks and more, in passes: the rows of one block."""
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    some = docs.where("doc_id < 60")
+    more = items.unionByName(items.select((F.col("item_id") + 10_000).alias("item_id"), F.concat(F.lit("no such words as these are "), "text").alias("text")))
+    dealt, blocks = decontamination._block_rows(more, 30)
+    assert blocks > 200
+    of = lambda df: sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted({m["item_id"] for m in r["matches"]}))) for r in df.collect())
+    kept = decontamination.KEPT
+    decontamination.KEPT = 60
+    try:
+        assert of(decontamination.verbatim_matches(some, more, block_words=30)) == of(decontamination.verbatim_matches(some, more))
+    finally:
+        decontamination.KEPT = kept
+
+
 @pytest.mark.parametrize(("shards", "copies"), [(1, 1), (5, 40), (24, 3)])
 def test_shards_are_minimax(spark, shards, copies):
     rows = [(i, "text " * (i % 17) + str(i // copies)) for i in range(150)] + [(None, None), (7, ""), (7, "")]
