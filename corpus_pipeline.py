@@ -48,6 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and text of the documents that all stages leave.
+
+    Null, empty and short texts go with the first stage; of repeated rows one stays in the second. Texts are taken whole,
+    however long. An empty table of documents gives an empty result, an empty benchmark drops nothing. Columns that are no
+    document's go through the stages but the last, which names its own.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
