@@ -151,7 +151,7 @@ def placed_metrics(images: DataFrame) -> DataFrame:
     whole = F.max(F.greatest(width, F.lit(0.0)) * F.greatest(height, F.lit(0.0)))
     found = images.groupBy("doc_id", "page_number").agg(whole.alias("_page"), F.sum(F.when(placed, common)).alias("_area"), F.count_distinct(F.when(placed, F.col("xref"))).alias("_images"))
     ratio = F.least(F.lit(1.0), F.coalesce("_area", F.lit(0.0)) / F.nullif("_page", F.lit(0.0)))
-    return found.select("doc_id", "page_number", F.coalesce(ratio, F.lit(0.0)).alias("image_area_ratio"), F.when(F.col("_page") > 0, F.col("_images")).otherwise(0).alias("image_count"))
+    return found.select("doc_id", "page_number", F.when(F.col("_page") > 0, ratio).otherwise(0.0).alias("image_area_ratio"), F.when(F.col("_page") > 0, F.col("_images")).otherwise(0).alias("image_count"))
 
 
 def page_graphics(images: DataFrame, paths: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import classify, text
-from plumbline.operators import analysis, chunk, extract, replies, reports, rules, search, segment, sheets
+from plumbline.operators import analysis, chunk, extract, replies, reports, rule_tables, rules, search, segment, sheets
 from plumbline.plans.oracle import ORACLE_SQL  # noqa: F401
 from plumbline.sources.shared import Stages
 
@@ -192,6 +192,57 @@ def image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.image_metrics(images).select("doc_id", F.round("image_area_ratio", 6).alias("image_area_ratio"), "image_count")
 
 
+def placed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages of 50 by 40 with a margin, their lines as images that lie on the page, over its edges or beside it; those
+    of one supplier are one image."""
+    lines = table(spark, sf_dir, "lineitem")
+    left, top = F.col("l_quantity") * 2 - 30, F.col("l_discount") * 800 - 20
+    box = {"left": left, "top": top, "right": left + F.col("l_linenumber") * 4, "bottom": top + 15}
+    placed = {k: F.when(F.col("l_linenumber") != 4, v) for k, v in box.items()}
+    page = {"page_left": F.lit(-5.0), "page_top": F.lit(0.0), "page_right": F.lit(45.0), "page_bottom": F.when(F.col("l_orderkey") % 9 == 0, 0.0).otherwise(40.0)}
+    images = lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), F.col("l_suppkey").alias("xref"), *[v.cast("double").alias(k) for k, v in (placed | page).items()])
+    return classify.placed_metrics(images).select("doc_id", F.round("image_area_ratio", 6).alias("image_area_ratio"), "image_count")
+
+
+def page_graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages; lines as placed images, and as many paths as the key says."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    side = {"left": F.lit(0.0), "top": F.lit(0.0), "right": F.col("l_quantity") * 4, "bottom": F.col("l_quantity") * 2 - 10}
+    images = lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), F.col("l_suppkey").alias("xref"), (F.col("l_linenumber") * 1000 + F.col("l_quantity")).alias("place"), *[v.cast("double").alias(k) for k, v in side.items()])
+    paths = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), (F.col("o_orderkey") % 8).alias("n_paths"))
+    return classify.page_graphics(images, paths).select("doc_id", "has_drawings")
+
+
+def _brand_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A specification for each brand, made of its parts with an even key: their sizes, types and names."""
+    even = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    types = F.array_sort(F.collect_set("p_type"))
+    large = F.array_sort(F.collect_set(F.when(F.col("p_size") > 40, F.col("p_type"))))
+    of = even.groupBy(F.col("p_brand").alias("spec")).agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"), types.alias("types"), large.alias("large"))
+    base = {"description": F.lit("размер"), "unit": F.lit("mm"), "standard": F.concat(F.lit("S "), "spec"), "tz_reference": F.lit("1")}
+    wall = {"ord": F.lit(1), "field": F.lit("wall"), "min": (F.col("low") + 5).cast("double"), "max": (F.col("high") - 5).cast("double"), "allowed_values": F.lit(None).cast("array<string>")}
+    none = F.lit(None).cast("double")
+    bolt = {"ord": F.lit(2), "field": F.lit("bolt_size"), "min": none, "max": none, "allowed_values": F.array(F.concat(F.lit("M"), F.col("low").cast("string")), F.concat(F.lit("M"), F.col("high").cast("string")))}
+    dimensions = [of.select("spec", *[v.alias(k) for k, v in (base | kind).items()]) for kind in (wall, bolt)]
+    material = F.struct(F.slice("types", 1, 4).alias("allowed"), F.col("large").alias("forbidden"), F.lit("").alias("standard"), F.lit("2").alias("tz_reference"))
+    name = F.struct(F.concat("spec", F.lit("$")).alias("pattern"), F.array("spec").alias("examples"), F.lit("3").alias("tz_reference"))
+    coating = F.struct(F.array(F.lit("bolt")).alias("allowed_codes"), F.lit("S9").alias("standard"), F.lit("").alias("tz_reference"))
+    others = of.select("spec", material.alias("materials"), name.alias("designations"), coating.alias("coatings"))
+    return rule_tables.by_specification(dimensions[0].unionByName(dimensions[1]), others)
+
+
+def brand_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts judged by the rules of their brands, all in one job."""
+    parts = _parts(spark, sf_dir).withColumns({"spec": F.col("p_brand"), "designation": F.when(F.col("p_partkey") % 13 == 1, F.lit("none")).otherwise(F.col("designation"))})
+    found = rule_tables.element_findings(parts, _brand_rules(spark, sf_dir))
+    return found.select("p_partkey", F.array_join("missing", " | ").alias("missing"), F.posexplode_outer("issues").alias("ord", "i")).select("p_partkey", "missing", "ord", F.col("i.field").alias("field"), F.col("i.expected").alias("expected"), F.col("i.message").alias("message"), F.col("i.tz_reference").alias("tz_reference"))
+
+
+def brand_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of each brand as sentences of its index."""
+    return rule_tables.sentences(_brand_rules(spark, sf_dir))
+
+
 def top_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     queries = e.where("id % 20 = 0").withColumnRenamed("id", "query_id")
@@ -372,6 +423,6 @@ QUERIES = {
     for f in (
         report_verdicts, element_issues, verdict_buckets, first_violations, allowed_materials, page_features, page_scores, page_classes, drawing_runs, drawing_files, project_boundaries, project_pages,
         split_check, split_advice, fused_texts, ocr_choice, first_numbers, file_stems, snippets, image_metrics, top_chunks, chunks, heuristic_elements, parsed_replies, labelled_buckets,
-        drawing_pages, match_texts, support_texts, page_texts, project_names, sheet_labels, rules_sentences, album_drawings, joined_pages, drawing_reports, page_batches, album_projects, prompt_texts,
+        drawing_pages, match_texts, support_texts, page_texts, project_names, sheet_labels, rules_sentences, album_drawings, joined_pages, drawing_reports, page_batches, album_projects, prompt_texts, placed_images, page_graphics, brand_issues, brand_sentences,
     )
 }

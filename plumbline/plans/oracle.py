@@ -152,6 +152,15 @@ _TALK_SENTENCES = "'Поле ''bolt_size'' (): допустимые значен
 _BY_TALK = _TALKS.replace("{sheet}", "'c' || conv_id").replace("{rules}", _TALK_SENTENCES).replace("{reply}", "length(text) % 4")
 _BY_TURN = _TALKS.replace("{sheet}", "'c' || conv_id || '-стр.' || turn").replace("{rules}", _TALK_SENTENCES).replace("{reply}", "0")
 
+_BRANDS = (
+    _PARTS
+    + """, brands as (
+  select p_brand as spec, min(p_size) as low, max(p_size) as high, list(distinct p_type order by p_type) as types, coalesce(list(distinct p_type order by p_type) filter (where p_size > 40), []) as large from part where p_partkey % 2 = 0 group by 1
+), ruled as (
+  select *, (low + 5)::double as lo, (high - 5)::double as hi, ['M' || low, 'M' || high] as bolts, array_to_string(types[1:4], ', ') as allowed, '1 (стандарт: S ' || spec || ')' as ref from brands
+)"""
+)
+
 ORACLE_SQL = {
     "report_verdicts": f"""with {_VALIDATED}
 select drawing_id, n_elements, n_issues, concat_ws(' | ', nullif(missing, ''), remark) as missing_info, is_compliant,
@@ -245,6 +254,36 @@ select page_id, coalesce(nullif(rtrim(left(coalesce(nullif(trim(a, '._'), ''), '
     "snippets": r"""with s as (select doc_id, text, strpos(text, 'tion') as place from documents)
 select doc_id, case when place = 0 then 'tion' else trim(replace(substr(text, greatest(place - 20, 1), place + 24 - greatest(place - 20, 1)), chr(10), ' ')) end as snippet from s""",
     "image_metrics": "select l_orderkey as doc_id, round(least(1.0, sum(greatest(l_quantity - 5, 0) * greatest(l_discount, 0)) / 10.0), 6) as image_area_ratio, count(distinct l_suppkey) as image_count from lineitem group by 1",
+    "placed_images": """with r as (
+  select *, l_quantity * 2 - 30 as x0, l_quantity * 2 - 30 + l_linenumber * 4 as x1, l_discount * 800 - 20 as y0, l_discount * 800 - 5 as y1, case when l_orderkey % 9 = 0 then 0 else 40 end as bottom, l_linenumber <> 4 as placed from lineitem
+)
+select l_orderkey as doc_id, case when max(bottom) = 0 then 0.0 else round(least(1.0, coalesce(sum(case when placed then greatest(least(x1, 45) - greatest(x0, -5), 0) * greatest(least(y1, bottom) - greatest(y0, 0), 0) end), 0) / (50.0 * max(bottom))), 6) end as image_area_ratio,
+  case when max(bottom) = 0 then 0 else count(distinct case when placed then l_suppkey end) end as image_count from r group by 1""",
+    "page_graphics": """with f as (
+  select l_orderkey, l_suppkey, arg_min(l_quantity * 4 * (l_quantity * 2 - 10), l_linenumber * 1000 + l_quantity) as area from lineitem group by 1, 2
+), g as (select l_orderkey, max(area) >= 10000 as large from f group by 1)
+select o_orderkey as doc_id, coalesce(large, false) or o_orderkey % 8 > 5 as has_drawings from orders left join g on l_orderkey = o_orderkey""",
+    "brand_issues": f"""with {_BRANDS}, named as (
+  select p.*, case when p_partkey % 13 = 1 then 'none' else designation end as mark, p_partkey % 7 = 0 as thread from parts p
+), rows as (
+  select p_partkey, 1 as k, 'bolt_size (' || p_partkey || ')' as field, 'одно из: ' || array_to_string(bolts, ', ') as expected, '''' || size || ''' не входит в список допустимых значений [' || array_to_string(bolts, ', ') || ']' as message, ref as tz_reference
+  from named join ruled on spec = p_brand where thread and not list_contains(bolts, size)
+  union all
+  select p_partkey, 1, 'wall (' || p_partkey || ')', lo || '–' || hi || ' mm', 'значение ' || p_size || '.0 mm ' || case when p_size < lo then 'меньше минимально допустимого ' || lo else 'превышает максимально допустимое ' || hi end || ' mm', ref
+  from named join ruled on spec = p_brand where not thread and (p_size < lo or p_size > hi)
+  union all
+  select p_partkey, 2, 'material', 'одна из: ' || allowed, 'Материал ''' || material || case when list_contains(large, material) then ''' входит в список запрещённых' else ''' отсутствует в списке допустимых: [' || allowed || ']' end, '2 (стандарт: )'
+  from named join ruled on spec = p_brand where material is not null and (list_contains(large, material) or not list_contains(types[1:4], material))
+  union all
+  select p_partkey, 3, 'designation', 'паттерн: ' || spec || '$, примеры: ' || spec, 'Обозначение ''none'' не соответствует паттерну ''' || spec || '$''', '3' from named join ruled on spec = p_brand where mark = 'none'
+), missed as (
+  select p_partkey, concat_ws(' | ', case when material is null then p_partkey || ': Марка материала не указана на чертеже (требование: 2)' end, case when mark is null then p_partkey || ': Конструкторское обозначение не указано на чертеже (требование: 3)' end) as missing from named
+)
+select p_partkey, missing, case when field is not null then row_number() over (partition by p_partkey order by k) - 1 end as ord, field, expected, message, tz_reference from missed left join rows using (p_partkey)""",
+    "brand_sentences": f"""with {_BRANDS}
+select spec, '=== Машиночитаемые правила ТЗ ===' || chr(10) || chr(10) || 'Поле ''wall'' (размер): диапазон ' || lo || '–' || hi || ' mm. Стандарт: S ' || spec || '. Ссылка: 1.' || chr(10)
+  || 'Поле ''bolt_size'' (размер): допустимые значения: ' || array_to_string(bolts, ', ') || '. Единица: mm. Стандарт: S ' || spec || '. Ссылка: 1.' || chr(10) || 'Материалы: допустимые: ' || allowed || '. Запрещённые: ' || array_to_string(large, ', ') || '. Стандарт: . Ссылка: 2.' || chr(10)
+  || 'Обозначения: паттерн ''' || spec || '$''. Примеры: ' || spec || '. Ссылка: 3.' || chr(10) || 'Покрытия: допустимые коды: bolt. Стандарт: S9. Ссылка: .' as text from ruled""",
     "top_chunks": """with s as (
   select q.vec_id as query_id, e.vec_id as id, list_inner_product(q.embedding::double[], e.embedding::double[]) as score from embeddings q, embeddings e where q.vec_id % 20 = 0 and q.vec_id <> e.vec_id
 ), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s)

@@ -135,3 +135,10 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_chunks(chunks: DataFrame, path: str, append: bool = False) -> None:
     chunks.write.mode("append" if append else "overwrite").parquet(path)
+
+
+def append_chunks(chunks: DataFrame, path: str, key: tuple[str, ...] = ("drawing_id", "page_number", "chunk_id")) -> None:
+    """Appends the chunks whose key the index does not have yet, each once: an append that is repeated leaves one copy."""
+    fresh = chunks.dropDuplicates(list(key))
+    there = chunk_index(chunks.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema))
+    fresh.join(there.select(*key), list(key), "left_anti").select(*chunks.columns).write.mode("append").parquet(path)
