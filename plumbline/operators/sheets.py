@@ -171,16 +171,21 @@ def _verdicts() -> list[Column]:
     return [ids(c, "compliant"), ids(~c, "non_compliant"), ids(c.isNull(), "undetermined")]
 
 
-def batch_reports(report: DataFrame, base: str, model: str = "mistral", reachable: bool = False, available: bool = False) -> DataFrame:
+def batch_reports(report: DataFrame, base: str, model: str = "mistral", reachable: bool = False, available: bool = False, pdfs: DataFrame | None = None) -> DataFrame:
     """One row for each PDF: its sheets' reports by page and their ids by verdict. report has base beside its own columns.
 
-    A batch report is one JSON document of one PDF, so its row is as large as that PDF.
+    A row is as large as its PDF; sources.pieces writes reports of PDFs of any size. pdfs (pdf_path and base): those without
+    a page have a row too, of no drawings.
     """
     own = F.struct(*report_columns())
     drawings = F.transform(F.sort_array(F.collect_list(F.struct("_order", own.alias("r")))), lambda x: x["r"]).alias("drawings")
-    return report.withColumn("_order", F.col("page_number")).groupBy("pdf_path", F.col(base).alias("base_drawing_id")).agg(
-        F.count("*").alias("total_drawings"), F.lit(reachable).alias("ollama_reachable"), F.lit(model).alias("text_llm_model"), F.lit(available).alias("text_llm_available"), drawings, *_verdicts()
-    )
+    about = {"ollama_reachable": F.lit(reachable), "text_llm_model": F.lit(model), "text_llm_available": F.lit(available)}
+    made = report.withColumn("_order", F.col("page_number")).groupBy("pdf_path", F.col(base).alias("base_drawing_id")).agg(F.count("*").alias("total_drawings"), drawings, *_verdicts())
+    if pdfs is not None:
+        made = pdfs.select("pdf_path", F.col(base).alias("base_drawing_id")).distinct().join(made, ["pdf_path", "base_drawing_id"], "left")
+        lists = ("drawings", "compliant", "non_compliant", "undetermined")
+        made = made.withColumns({"total_drawings": F.coalesce("total_drawings", F.lit(0)), **{c: F.coalesce(c, F.array().cast(made.schema[c].dataType)) for c in lists}})
+    return made.select("pdf_path", "base_drawing_id", "total_drawings", *[v.alias(k) for k, v in about.items()], "drawings", "compliant", "non_compliant", "undetermined")
 
 
 def existing(boundaries: DataFrame, files: DataFrame) -> DataFrame:
