@@ -383,14 +383,14 @@ def _analyzed(spark: SparkSession, sf_dir: str, by: str, ask) -> DataFrame:
     return analysis.analyze(_talks(spark, sf_dir), _items(spark, sf_dir), TALK_RULES, _embedded, ask, by, 3, size=1_000_000)
 
 
-def _numbers(r: DataFrame) -> list[Column]:
+def _numbers() -> list[Column]:
     return [F.size("elements").alias("n_elements"), F.size("compliance.issues").alias("n_issues"), F.size("compliance.missing_info").alias("n_missing"), F.col("compliance.is_compliant").alias("is_compliant"), "overall_confidence", "llm_used", F.md5(F.array_join("tz_chunks_used", "|").cast("binary")).alias("chunks_md5")]
 
 
 def drawing_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation as one drawing, from pages to its report."""
     r = _analyzed(spark, sf_dir, analysis.DRAWING, _answers)
-    return r.select("drawing_id", *_numbers(r), sheets.summary_line().alias("summary"))
+    return r.select("drawing_id", *_numbers(), sheets.summary_line().alias("summary"))
 
 
 def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,13 @@ _BRANDS = (
 )"""
 )
 
+_ASKED = _TALKS.replace("{sheet}", "'c' || conv_id").replace("{rules}", _TALK_SENTENCES).replace("{reply}", "length(left(text, 3000)) % 4")
+_REPORTED = """
+select drawing_id, n_elements, n_issues, n_missing, is_compliant, overall_confidence, asked as llm_used, chunks_md5,
+  'Чертёж ' || drawing_id || ': ' || case when is_compliant then 'СООТВЕТСТВУЕТ' when not is_compliant then 'НЕ СООТВЕТСТВУЕТ' else 'НЕЛЬЗЯ ОПРЕДЕЛИТЬ' end || ' | Элементов: ' || n_elements || ' | Расхождений: ' || n_issues || ' | Не определено: ' || n_missing as summary from reported"""
+#: Reports whose replies hang on what a prompt shows of a text.
+BY_ASKED = f"with {_ASKED} {_REPORTED}"
+
 ORACLE_SQL = {
     "report_verdicts": f"""with {_VALIDATED}
 select drawing_id, n_elements, n_issues, concat_ws(' | ', nullif(missing, ''), remark) as missing_info, is_compliant,
