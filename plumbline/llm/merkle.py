@@ -2,10 +2,10 @@
 
 Rows of a group are leaves, in order; every FANOUT nodes that follow each other become their digest until one is left.
 Leaves get their digest where they are read, so that texts are not shuffled; a range partition puts digests in order. Large
-blocks of leaves (a power of FANOUT) are then reduced in tasks, and what is left of a group of several blocks, at most
-MOST_TOP nodes or so, makes the upper tree: the driver builds it and broadcasts each block's path from there to the
-root. Executors finish the proofs, block by block, and fold them row by row. The tree over the groups is made in the same
-way, so that groups may be many.
+blocks of leaves (a power of FANOUT) are then reduced in tasks, and what is left of groups of several blocks makes the upper
+tree: the driver builds it and broadcasts each block's path from there to the root. Executors finish the proofs, block by
+block, and fold them row by row. Where more than about MOST_TOP nodes are left, they are leaves of the same reduction again,
+and their paths are joined; the tree over the groups is made in the same way, so that rows and groups may be many.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table, written
 
 FANOUT = 3
-#: Levels of the tree below a block's root: at least so many, and more on large tables.
-LEAST_LEVELS = 5
+#: Levels of the tree below a block's root: at least so many, and more on large tables, up to what a task can hold.
+LEAST_LEVELS, MOST_LEVELS = 5, 9
 #: Blocks up to which the upper tree is the driver's: 150 bytes and a path of some kilobytes each.
 MOST_TOP = FANOUT**8
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -106,25 +106,33 @@ def _fixed(block: int, n: int, size: int, levels: int) -> int | None:
     return None if block == 0 and n < size else levels
 
 
-def _paths(blocks: DataFrame) -> DataFrame:
-    """group, block, path to the root of the group, and that root, of groups of several blocks: a bounded table, broadcast."""
+def _paths(blocks: DataFrame, least_levels: int, most_levels: int, most_top: int) -> DataFrame:
+    """_group, _block, path to the root of the group, and that root, of groups of several blocks.
+
+    Up to twice most_top blocks: by the driver, broadcast. More: by the reduction that made them.
+    """
     spark, kind = blocks.sparkSession, blocks.schema["group"].dataType.simpleString()
-    several = blocks.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("block", "digest"))).alias("blocks")).where(F.size("blocks") > 1)
+    many = blocks.where("block > 0").select(F.col("group").alias("_many")).distinct()
+    several = blocks.join(many, F.col("group").eqNullSafe(F.col("_many")), "left_semi").select("group", "block", "digest")
+    if several.count() > 2 * most_top:
+        above = several.select("group", F.col("block").alias("key"), F.col("digest").alias("leaf"), F.lit(None).cast("string").alias("rest"))
+        rows, _ = trees(above, least_levels, most_levels, most_top)
+        return rows.select(F.col("group").alias("_group"), F.col("key").alias("_block"), F.col("siblings").alias("path"), "top")
     made = []
-    for r in several.collect():
+    for r in several.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("block", "digest"))).alias("blocks")).collect():
         levels = _levels([b["digest"] for b in r["blocks"]])
         made += [(r["group"], k, [(s["before"], s["after"]) for s in _path(levels, k)], levels[-1][0]) for k in range(len(levels[0]))]
     return F.broadcast(spark.createDataFrame(made, f"_group {kind}, _block long, path {_SIBLINGS}, top string"))
 
 
-def trees(items: DataFrame, least_levels: int = LEAST_LEVELS, most_top: int = MOST_TOP) -> tuple[DataFrame, DataFrame]:
+def trees(items: DataFrame, least_levels: int = LEAST_LEVELS, most_levels: int = MOST_LEVELS, most_top: int = MOST_TOP) -> tuple[DataFrame, DataFrame]:
     """(group, key, leaf, rest, siblings, top) of each of items (group, key, leaf, rest), and (group, top) of each group."""
     n, levels = items.count(), least_levels
-    while n > most_top * FANOUT**levels:
+    while n > most_top * FANOUT**levels and levels < most_levels:
         levels += 1
     size = FANOUT**levels
     blocks = _blocks(_in_order(items), levels)
-    joined = blocks.join(_paths(blocks), F.col("group").eqNullSafe(F.col("_group")) & (F.col("block") == F.col("_block")), "left").withColumns({"top": F.coalesce("top", "digest"), "path": F.coalesce("path", F.array().cast(_SIBLINGS))})
+    joined = blocks.join(_paths(blocks, least_levels, most_levels, most_top), F.col("group").eqNullSafe(F.col("_group")) & (F.col("block") == F.col("_block")), "left").withColumns({"top": F.coalesce("top", "digest"), "path": F.coalesce("path", F.array().cast(_SIBLINGS))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +156,7 @@ def folded(leaf: Column, siblings: Column) -> Column:
     return F.aggregate(siblings, leaf, lambda h, s: F.sha2(F.concat(joined(s["before"]), h, joined(s["after"])), 256))
 
 
-def manifest(docs: DataFrame, changed: Column | None = None, columns: tuple[str, ...] = COLUMNS, group: str = "source", key: str = "doc_id", least_levels: int = LEAST_LEVELS, most_top: int = MOST_TOP) -> DataFrame:
+def manifest(docs: DataFrame, changed: Column | None = None, columns: tuple[str, ...] = COLUMNS, group: str = "source", key: str = "doc_id", least_levels: int = LEAST_LEVELS, most_levels: int = MOST_LEVELS, most_top: int = MOST_TOP) -> DataFrame:
     """doc_id (key), leaf, changed_leaf, subroot, root and siblings (from the leaf's level to the root's) of each row of docs.
 
     leaf is the digest of columns, subroot the root of the row's group, root that over the groups in the order of their
@@ -160,9 +168,9 @@ def manifest(docs: DataFrame, changed: Column | None = None, columns: tuple[str,
     values = [F.col(c) for c in columns]
     other = [changed if c == "text" and changed is not None else F.col(c) for c in columns]
     leaves = docs.select(F.col(group).cast("string").alias("group"), F.col(key).alias("key"), digest(values).alias("leaf"), digest(other).alias("rest"))
-    rows, groups = trees(written(leaves, "leaves"), least_levels, most_top)
+    rows, groups = trees(written(leaves, "leaves"), least_levels, most_levels, most_top)
     tops = groups.select(F.lit(0).alias("group"), F.col("group").alias("key"), F.col("top").alias("leaf"), F.lit(None).cast("string").alias("rest"))
-    over, _ = trees(tops, least_levels, most_top)
+    over, _ = trees(tops, least_levels, most_levels, most_top)
     over = over.select(F.col("key").alias("_key"), F.col("siblings").alias("_over"), F.col("top").alias("root"))
     # groups within the bound are broadcast; more of them are joined by their value
     over = F.broadcast(over) if tops.count() <= most_top else over

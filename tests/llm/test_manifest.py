@@ -75,15 +75,15 @@ def test_manifest_of_documents(spark):
     assert 0 < got.where("verified").count() < len(rows)
 
 
-@pytest.mark.parametrize(("levels", "top"), [(1, 9), (0, 2), (2, 3)])
-def test_trees_of_several_blocks_and_many_groups(spark, monkeypatch, tmp_path, levels, top):
-    """A hot group, groups of one row and just a block, equal rows and keys, nulls; more groups than the driver's bound."""
+@pytest.mark.parametrize(("levels", "most", "top"), [(1, 9, 9), (2, 9, 3), (1, 1, 4), (2, 2, 1)])
+def test_trees_of_several_blocks_and_many_groups(spark, monkeypatch, tmp_path, levels, most, top):
+    """A hot group, groups of one row and just a block, equal rows and keys, nulls; more groups and blocks than the driver's bound."""
     draw = random.Random(levels)
     rows = [(i, "hot", "en", i, f"text {i}\nof {i % 5}") for i in range(200)]
     rows += [(i, draw.choice([None, "", "é", "z", *map(str, range(40))]), None, None, draw.choice([None, "", "a\nb"])) for i in range(1000, 1120)]
     rows += [(7, "same", "en", 1, "x\ny")] * 31 + [(7, "same", "en", 2, "x")] * 3 + [(None, "hot", None, None, "n\n")] * 2 + [(i, "nine", "", 0, "t") for i in range(9)]
     original = merkle.manifest
-    monkeypatch.setattr(merkle, "manifest", lambda docs, changed: original(docs, changed, least_levels=levels, most_top=top))
+    monkeypatch.setattr(merkle, "manifest", lambda docs, changed: original(docs, changed, least_levels=levels, most_levels=most, most_top=top))
     hold(merkle.op11_merkle(spark, table_of(spark, rows, tmp_path)), [dict(zip(("doc_id", "source", "lang", "n_chars", "text"), r, strict=True)) for r in rows])
 
 
