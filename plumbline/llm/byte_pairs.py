@@ -30,8 +30,8 @@ from plumbline.llm.pieces import public_path
 
 #: A token is one character while words are merged: this far above its rank, and above what codes pairs of UTF-16.
 FIRST, SURROGATES = 0x200, 0xD800
-#: Marks of the literals' lists, below the first token and above any byte.
-MARK, END = "Ā", "ā"
+#: Marks of the literals' lists, below the first token and above any byte; what stands for no rank is above all tokens.
+MARK, END, NONE = "Ā", "ā", "\U0010ffff"
 #: Lists of each literal; an entry is looked for in the one that its characters name.
 LISTS = 65_536
 #: Bytes of a word from which equal pairs are merged at once, and rounds of merges that such a word has at a time.
@@ -73,7 +73,8 @@ class Merges:
     def __init__(self, pieces: list[bytes | None], lists: int = LISTS) -> None:
         self.lists = lists
         number = {p: i for i, p in enumerate(pieces) if p is not None}
-        words, pairs = [[""] * lists for _ in range(2)]
+        # where a pair is not found, the character at the place that follows from that is NONE
+        words, pairs = [""] * lists, [4 * NONE] * lists
         for token, rank in number.items():
             word = token.decode("latin-1")
             words[zlib.crc32(word.encode()) % lists] += f"{MARK}{word}{END}{_token(rank)}"
@@ -86,14 +87,10 @@ class Merges:
         self.words, self.pairs, self.bytes = literal(words, "string"), literal(pairs, "string"), literal([_token(number[bytes([b])]) for b in range(256)], "string")
         self.pieces = literal([None if p is None else base64.b64encode(p).decode() for p in pieces], "binary")
 
-    def _found(self, entries: Column, size: Column, *key: Column) -> Column:
-        """The token behind a key of that size in a list of entries; null where it is not there."""
-        marked = F.concat(F.lit(MARK), *key, F.lit(END))
-        return F.when(F.contains(entries, marked), F.substring(entries, F.position(marked, entries) + size + 2, F.lit(1)))
-
     def _pair(self, pairs: Column, left: Column, right: Column) -> Column:
-        """What two neighbours merge into, which is also their rank; null where they don't."""
-        return self._found(F.get(pairs, (31 * F.ascii(left) + F.ascii(right)) % self.lists), F.lit(2), left, right)
+        """What two neighbours merge into, which is also their rank; NONE where they don't."""
+        entries = F.get(pairs, (31 * F.ascii(left) + F.ascii(right)) % self.lists)
+        return F.substring(entries, F.position(F.concat(F.lit(MARK), left, right, F.lit(END)), entries) + 4, F.lit(1))
 
     def _ranks(self, pairs: Column, tokens: Column) -> Column:
         """The rank of each of the tokens with the next."""
@@ -102,14 +99,16 @@ class Merges:
     def _merged(self, pairs: Column, start: Column) -> Column:
         """What merges leave of tokens: in each round, the leftmost pair of least rank is merged."""
 
-        def fold(now: Column, _: Column) -> Column:
+        def merged(now: Column, place: Column) -> Column:
             tokens, ranks = now["tokens"], now["ranks"]
-            least, n = F.array_min(ranks), F.size(tokens)
-            place, none = F.array_position(ranks, least).cast("int"), F.array().cast("array<string>")
+            least, n, none = F.get(ranks, place - 1), F.size(tokens), F.array().cast("array<string>")
             before = F.when(place > 1, F.concat(F.slice(ranks, 1, place - 2), F.array(self._pair(pairs, F.get(tokens, place - 2), least)))).otherwise(none)
             after = F.when(place < n - 1, F.concat(F.array(self._pair(pairs, least, F.get(tokens, place + 1))), F.slice(ranks, place + 2, n))).otherwise(none)
-            merged = F.struct(F.concat(F.slice(tokens, 1, place - 1), F.array(least), F.slice(tokens, place + 2, n)).alias("tokens"), F.concat(before, after).alias("ranks"))
-            return F.when(least.isNull(), now).otherwise(merged)
+            whole = F.struct(F.concat(F.slice(tokens, 1, place - 1), F.array(least), F.slice(tokens, place + 2, n)).alias("tokens"), F.concat(before, after).alias("ranks"))
+            return F.when(place.isNull() | (least == NONE), now).otherwise(whole)
+
+        def fold(now: Column, _: Column) -> Column:
+            return _named(F.array_position(now["ranks"], F.array_min(now["ranks"])).cast("int"), _STATE, lambda place: merged(now, place))
 
         first = F.struct(start.alias("tokens"), self._ranks(pairs, start).alias("ranks"))
         return F.aggregate(F.sequence(F.lit(1), F.size(start)), first, fold, lambda now: now["tokens"])
@@ -131,23 +130,25 @@ class Merges:
                 lower = F.array_min(after["ranks"]) <= least
                 # what stands for a moment between one merge and the next to its right
                 between = F.contains(F.array_join(after["tokens"], ""), F.concat(least, least)) & (self._pair(pairs, least, left) < least)
-                return F.when(F.coalesce(lower, F.lit(False)) | F.coalesce(between, F.lit(False)) | other, state(alone)).otherwise(after)
+                return F.when(F.coalesce(lower, F.lit(False)) | between | other, state(alone)).otherwise(after)
 
             every = F.split(F.replace(F.array_join(now["tokens"], ""), F.concat(left, right), least), "")
             return _named(state(every), _STATE, checked)
 
         def fold(now: Column, _: Column) -> Column:
             least = F.array_min(now["ranks"])
-            return F.when(least.isNull(), now).otherwise(merge(now, least, F.array_position(now["ranks"], least).cast("int")))
+            return F.when(done(now), now).otherwise(merge(now, least, F.array_position(now["ranks"], least).cast("int")))
 
+        done = lambda now: F.coalesce(F.array_min(now["ranks"]), F.lit(NONE)) == NONE
         # n tokens have n - 1 merges at most; they are dealt in runs, so that finished words have few rounds more
         runs = F.sequence(F.lit(0), F.floor(F.size(start) / RUN).cast("int"))
-        run = lambda now, _: F.when(F.array_min(now["ranks"]).isNull(), now).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(F.size(now["tokens"]), F.lit(RUN))), now, fold))
+        run = lambda now, _: F.when(done(now), now).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(F.size(now["tokens"]), F.lit(RUN))), now, fold))
         return F.aggregate(runs, state(start), run, lambda now: now["tokens"])
 
     def _ids(self, of: Column, word: Column) -> Column:
         """Ids of a word: its own, if it is a token, else those of what merges leave."""
-        known = self._found(F.get(of["words"], (F.crc32(word.cast("binary")) % self.lists).cast("int")), F.length(word), word)
+        entries, marked = F.get(of["words"], (F.crc32(word.cast("binary")) % self.lists).cast("int")), F.concat(F.lit(MARK), word, F.lit(END))
+        known = F.when(F.contains(entries, marked), F.substring(entries, F.position(marked, entries) + F.length(word) + 2, F.lit(1)))
         tokens = F.transform(F.split(word, ""), lambda c: F.get(of["bytes"], F.ascii(c)))
         merged = _named(tokens, "array<string>", lambda t: F.when(F.size(t) <= LONG, self._merged(of["pairs"], t)).otherwise(self._merged_at_once(of["pairs"], t)))
         number = lambda t: F.ascii(t) - FIRST - F.when(F.ascii(t) >= SURROGATES, 0x800).otherwise(0)
