@@ -51,6 +51,8 @@ BLOCK_BYTES = 1_000_000
 HOT_SHARE, HOT, MOST_HOT = 1 / 64, 100, 10_000
 #: Suffixes of a range that the splitters aim at, and sampled suffixes for each range.
 RANGE_ROWS, SAMPLES = 60_000, 100
+#: Splitters that one task takes from the sorted sample.
+SORTED_SPLITTERS = 1_000
 #: Bytes of texts that are hashed together.
 TOGETHER = 1 << 18
 
@@ -212,9 +214,10 @@ def _gathered(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray,
     return data, (end - size)[back], end[back], np.arange(len(wanted))
 
 
-def _hot_parts(turns: DataFrame) -> list[int]:
+def _hot_parts(turns: DataFrame) -> DataFrame:
+    """part of at most MOST_HOT hot ones."""
     counted = turns.sample(HOT_SHARE, seed=1).groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
-    return [r["part"] for r in counted.orderBy(F.col("n").desc(), "part").limit(MOST_HOT).collect()]
+    return counted.orderBy(F.col("n").desc(), "part").limit(MOST_HOT).select("part", F.lit(True).alias("often"))
 
 
 def _turns(texts: DataFrame, left: DataFrame, length: int) -> DataFrame:
@@ -281,15 +284,29 @@ def _ranges(p1: np.ndarray, p2: np.ndarray, fp: np.ndarray, splitters: np.ndarra
 
 
 def _splitters(texts: DataFrame, places: DataFrame, length: int, range_rows: int) -> np.ndarray:
-    """Splitters that cut the suffixes of places into even ranges, from about SAMPLES suffixes for each, chosen by hash."""
+    """Splitters that cut the suffixes of places into even ranges, from about SAMPLES suffixes for each, chosen by hash.
+
+    The sample is sorted by Spark, and every so many-th of its suffixes is a splitter; only those come to the driver.
+    """
     n, none = places.count(), np.zeros(0, "S25")
     ranges = max(1, -(-n // range_rows))
     if ranges == 1:
         return none
-    some = F.pmod(F.xxhash64("id", "first", F.lit("sample")), F.lit(max(1, n // (SAMPLES * ranges)))) == 0
-    drawn = _suffixes(texts, places.where(some), length, none).select("p1", "p2", "fp").toArrow()
-    keys = np.sort(_sort_bytes(*(drawn.column(c).to_numpy() for c in ("p1", "p2", "fp"))))
-    return keys[len(keys) * np.arange(1, ranges) // ranges] if len(keys) else none
+    share = max(1, n // (SAMPLES * ranges))
+    every = max(1, n // share // ranges)
+    some = F.pmod(F.xxhash64("id", "first", F.lit("sample")), F.lit(share)) == 0
+    key = ["p1", "p2", "fp"]
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            yield batch.take(pa.array(np.arange((every - 1 - seen) % every, batch.num_rows, every)))
+            seen += batch.num_rows
+
+    drawn = written(_suffixes(texts, places.where(some), length, none).select(*key), "drawn")
+    ordered = drawn.repartitionByRange(-(-ranges // SORTED_SPLITTERS), *key).sortWithinPartitions(*key)
+    found = ordered.mapInArrow(picked, "p1 long, p2 long, fp long").toArrow()
+    return np.sort(_sort_bytes(*(found.column(c).to_numpy() for c in key)))
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -392,7 +409,7 @@ def repeated_stretches(texts: DataFrame, length: int = LENGTH, short: int = SHOR
     """id, start, end of stretches that cover just the repeated bytes of the blocked texts; they may overlap."""
     by_anchor, left = decided(texts, _together(_anchors(texts, length, short)), length, range_rows)
     turns = written(_turns(texts, _together(left), length), "turns")
-    turns = turns.withColumn("hot", F.col("part").isin(_hot_parts(turns)))
+    turns = turns.join(F.broadcast(_hot_parts(turns)), "part", "left").withColumn("hot", F.col("often").isNotNull()).select(*PLACE)
     by_turn, left = decided(texts, _together(turns), length, range_rows)
     single = _together(left).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("windows") - 1))).withColumns({"first": F.col("first") + F.col("k"), "windows": F.lit(1)}).select(*PLACE)
     by_window, _ = decided(texts, single, length, range_rows)

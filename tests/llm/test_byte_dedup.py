@@ -73,3 +73,19 @@ def test_half_characters_go_from_kept_texts(spark):
     texts = ["a" + "é" * 30, "b" + "é" * 30, "c only"]
     got = suffix_array.drop_repeats(frame(spark, texts), 24, 8).collect()
     assert sorted(r["text"] for r in got) == ["a", "b", "c only"]
+
+
+def test_splitters_from_several_tasks(spark, monkeypatch):
+    """Splitters are even whether one task or several take them from the sample; ties and a few suffixes give what they can."""
+    draw = random.Random(4)
+    texts = ["".join(draw.choices("abcd ", k=draw.randint(20, 90))) for _ in range(80)] + ["e" * 70] * 20
+    blocked = suffix_array.blocked(frame(spark, texts), suffix_array.F.col("text"))
+    places = suffix_array.written(blocked.selectExpr("0L part", "id", "explode(sequence(0, length(body) - 20)) first", "1 windows", "0 offset", "false hot", "true asked"), "places")
+    n, ranges = places.count(), 20
+    for tasks in (1_000, 3):
+        monkeypatch.setattr(suffix_array, "SORTED_SPLITTERS", tasks)
+        found = suffix_array._splitters(blocked, places, 20, -(-n // ranges))
+        sizes = [r["count"] for r in suffix_array._suffixes(blocked, places, 20, found).groupBy("range").count().collect()]
+        assert ranges - 8 <= len(found) <= ranges and sum(sizes) == n and max(sizes) < 3 * n / ranges
+    none = suffix_array._splitters(blocked, places.where("false"), 20, 5)
+    assert not len(none)
