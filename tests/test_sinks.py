@@ -227,6 +227,20 @@ def test_pages_of_files_are_dealt_to_tasks(spark, tmp_path):
         paged.read_pages(spark, str(tmp_path / "none"), parser).count()
 
 
+def test_many_small_files_have_few_tasks(spark, tmp_path):
+    """Tasks follow the bytes, not the number of files; shares come once each, and a file is opened once where one task has it."""
+    sizes = [(f"{k:05d}", size) for k, size in enumerate([7 * k % 5000 for k in range(20_000)] + [90_000_000])]
+    tasks = paged.dealt(sizes, 1000)
+    shares = [(path, s) for t in tasks for path, first, end, _ in t.parts for s in range(first, end)]
+    assert shares == [(path, s) for path, size in sizes for s in range(max(1, -(-size // 1000)))] and len(tasks) <= paged.FEW + 1
+    assert len(paged.dealt([(f"{k:06d}", 100) for k in range(400_000)], 1000)) <= paged.FEW + 1
+    for k in range(400):
+        (tmp_path / f"f{k:03d}.pdf").write_text("".join(f"page {j}\n" for j in range(k % 7)))
+    few = paged.read_pages(spark, str(tmp_path), lines(), "doc_id string, page_number int, pdf_text string", share_bytes=20)
+    assert few.rdd.getNumPartitions() <= paged.FEW + 1
+    assert sorted(tuple(r) for r in few.collect()) == [(f"f{k:03d}", j + 1, f"page {j}") for k in range(400) for j in range(k % 7)]
+
+
 def test_split_files_that_do_not_open(spark):
     flags = "is_drawing boolean, is_explication boolean, is_annotation boolean, is_project_info boolean, is_irrelevant_photo_or_ad boolean, support_text boolean"
     rows = [("good.pdf", 1, True, False, False, False, False, False, None), ("bad.pdf", None, None, None, None, None, None, None, "no objects found")]
