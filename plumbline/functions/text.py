@@ -96,7 +96,8 @@ def count_of(col: Column, p: str) -> Column:
 
 
 def meaningful_chars(col: Column) -> Column:
-    return count_of(col, "[а-яёА-ЯЁa-zA-Z0-9]")
+    # what is left without them: a count of matches would make a list of them
+    return F.length(col) - F.length(F.regexp_replace(col, "[a-zA-Z0-9а-яА-ЯёЁ]++", ""))
 
 
 def confidence_band(n: Column) -> Column:

@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import meaningful_chars
 from plumbline.sources.shared import status
 
+#: Bytes of the rows that a plug-in has at a time.
+SLICE_BYTES = 2_000_000
 PAGE = "doc_id string, page_number int, pdf_text string, image bytes, has_drawings boolean".replace("bytes", "binary")
 REPORT = (
     "drawing_id string, pdf_path string, page_number int, total_pages int, llm_used boolean, "
@@ -69,41 +72,64 @@ def pages(files: DataFrame, reader: Callable[[str, bytes], Iterator[dict]]) -> D
     return files.mapInPandas(run, PAGE)
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of batches that have so many bytes at most, or one row."""
+    for batch in batches:
+        waiting = [batch] if batch.num_rows else []
+        while waiting:
+            part = waiting.pop()
+            if part.nbytes <= most or part.num_rows == 1:
+                yield part
+            else:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+
+
+def _with(rows: DataFrame, into: str, kind: str, arrow: pa.DataType, start: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+    """rows with one column more, made slice by slice: a task holds what Spark hands it at once and little beside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = start()
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made(part), arrow)], names=[*part.schema.names, into])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` {kind}")
+
+
 def embedded(chunks: DataFrame, embed: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
     """chunks with embedding, made of text by a plug-in model that each task loads once."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[pa.RecordBatch], list]:
         model = embed()
-        for pdf in frames:
-            yield pdf.assign(embedding=model(list(pdf["text"])))
+        return lambda part: list(model(part.column("text").to_pylist()))
 
-    return chunks.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema) + ", embedding array<float>")
+    return _with(chunks, "embedding", "array<float>", pa.list_(pa.float32()), start)
 
 
 def read(rows: DataFrame, engine: Callable[[], Callable[[bytes], str]], into: str, image: str = "image") -> DataFrame:
     """rows with a struct of text and ok that an OCR engine reads from an image; a failure is an empty text, not ok."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[pa.RecordBatch], list]:
         ocr = engine()
 
-        def one(content: bytes | None) -> dict:
+        def one(content: pa.Scalar) -> dict:
             try:
-                return {"text": ocr(content), "ok": True} if content is not None else {"text": "", "ok": False}
+                return {"text": ocr(content.as_py()), "ok": True} if content.is_valid else {"text": "", "ok": False}
             except Exception:  # whatever the plug-in raises
                 return {"text": "", "ok": False}
 
-        for pdf in frames:
-            yield pdf.assign(**{into: [one(x) for x in pdf[image]]})
+        return lambda part: [one(x) for x in part.column(image)]
 
-    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` struct<text:string,ok:boolean>")
+    return _with(rows, into, "struct<text:string,ok:boolean>", pa.struct([("text", pa.string()), ("ok", pa.bool_())]), start)
 
 
 def read_by_two(rows: DataFrame, first: Callable, second: Callable, forced: bool = False, least: int = 50) -> DataFrame:
     """rows with tess_text and easy_text: what the first engine reads, and the second where the first has too little."""
     once = read(rows, first, "_first").withColumn("tess_text", F.col("_first.text")).drop("_first")
     weak = F.lit(forced) | (meaningful_chars(F.col("tess_text")) < least)
-    again = read(once.where(weak), second, "_second").withColumn("easy_text", F.col("_second.text")).drop("_second")
-    return again.unionByName(once.where(~weak).withColumn("easy_text", F.lit(None).cast("string")))
+    # one way for all rows: the second engine is asked nothing where it is not wanted
+    again = read(once.withColumn("_wanted", F.when(weak, F.col("image"))), second, "_second", "_wanted")
+    return again.withColumn("easy_text", F.when(weak, F.col("_second.text"))).drop("_second", "_wanted")
 
 
 def page_images(pages: DataFrame, base: str, render_all: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,31 @@ def test_plug_ins(spark):
     assert {r["said"] for r in services.asked(texts, lambda: str.upper, "text", "said").collect()} == {"A", "BCD"}
 
 
+def test_plug_ins_have_slices_of_large_batches(spark):
+    """A task does not hold what an engine reads of all that Spark hands it at once; each engine has each image once."""
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * n for n in (0, 5, 70, 10, 10, 10, 30)] * 40)], names=["image"])
+    parts = list(files.slices(iter([batch, batch.slice(0, 0)]), 100))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and all(p.nbytes <= 100 or p.num_rows == 1 for p in parts) and len(parts) < 280
+    calls = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def engine(k, said):
+        def read(content):
+            calls[k].add(1)
+            return said(content.decode())
+
+        return lambda: read
+
+    rows = spark.range(0, 200, 1, 2).select("id", F.expr("encode(repeat(if(id % 4 = 0, 'ab', '-1'), 30), 'UTF-8')").alias("image"))
+    got = files.read_by_two(rows, engine(0, lambda t: t.replace("-1", "-")), engine(1, lambda t: "Ёё" + t)).collect()
+    assert [c.value for c in calls] == [200, 150] and len(got) == 200
+    assert all((r["easy_text"] is None) == (r["id"] % 4 == 0) for r in got)
+
+
+def test_meaningful_chars_are_counted(spark):
+    said = ["", "a b", "ёЁяЯ-№9", "😀é日x", "\n\t", None]
+    assert [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string").orderBy("k").select(text.meaningful_chars(F.col("t"))).collect()] == [0, 2, 5, 1, 0, None]
+
+
 def test_a_missing_index_has_no_chunks(spark, tmp_path):
     schema = "id string, text string"
     assert files.chunk_index(spark, str(tmp_path / "none"), schema).count() == 0
