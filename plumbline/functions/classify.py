@@ -58,7 +58,7 @@ FLAGS = ("is_drawing", "is_explication", "is_annotation", "is_project_info", "is
 def features(pages: DataFrame, text: str = "pdf_text") -> DataFrame:
     """Adds text, text_upper and char_count of a page's raw text."""
     raw = F.coalesce(pages[text], F.lit(""))
-    return pages.withColumns({"text": normalised(raw), "text_upper": F.upper(collapse(raw)), "char_count": F.length(normalised(raw))})
+    return pages.withColumns({"text": normalised(raw), "text_upper": F.upper(collapse(raw))}).withColumn("char_count", F.length("text"))
 
 
 def two_tiers(text: Column, strong: tuple, weak: tuple, high: float, low: float) -> Column:

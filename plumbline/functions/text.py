@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,19 +111,33 @@ def snippet(text: Column, needle: Column, radius: int = 80) -> Column:
     return F.when(at == 0, F.substring(needle, 1, 2 * radius)).otherwise(strip(F.replace(around, F.lit("\n"), F.lit(" "))))
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once, however often it stands in of."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
+def _some(col: Column) -> Column:
+    """A text that is not empty, else null."""
+    return once(col, lambda c: F.nullif(c, F.lit("")))
+
+
 def file_stem(col: Column, most: int = 72) -> Column:
     ends = lambda c: F.regexp_replace(c, r"^[._]+|[._]+\z", "")
     clean = F.regexp_replace(strip(F.regexp_replace(col, r'[<>:"/\\|?*\x00-\x1f]', "_")), pattern(r"\s+"), "_")
-    named = F.coalesce(F.nullif(ends(clean), F.lit("")), F.lit("drawing"))
-    return F.coalesce(F.nullif(F.regexp_replace(F.substring(named, 1, most), r"[._]+\z", ""), F.lit("")), F.lit("drawing"))
+    named = F.coalesce(_some(ends(clean)), F.lit("drawing"))
+    return F.coalesce(_some(F.regexp_replace(F.substring(named, 1, most), r"[._]+\z", "")), F.lit("drawing"))
 
 
 def sheet_label(text: Column) -> Column:
     """A sheet's name from its text: drawing number, plan title, sheet number or the first 64 characters."""
-    flat = collapse(text)
-    found = [F.nullif(F.regexp_extract(flat, pattern(p, True), 1), F.lit("")) for p in LABEL_PATTERNS]
-    found.append(F.nullif(F.replace(F.regexp_extract(flat, pattern(LABEL_SHEET), 1), F.lit(" "), F.lit("")), F.lit("")))
-    return F.when(F.coalesce(flat, F.lit("")) == "", "drawing").otherwise(file_stem(F.coalesce(*found, F.substring(flat, 1, 64))))
+
+    def label(flat: Column) -> Column:
+        found = [_some(F.regexp_extract(flat, pattern(p, True), 1)) for p in LABEL_PATTERNS]
+        # a digit is looked for before its word's edge
+        found.append(_some(F.replace(F.regexp_extract(flat, pattern(r"(?=\d)" + LABEL_SHEET), 1), F.lit(" "), F.lit(""))))
+        return F.when(F.coalesce(flat, F.lit("")) == "", "drawing").otherwise(file_stem(F.coalesce(*found, F.substring(flat, 1, 64))))
+
+    return once(collapse(text), label)
 
 
 def is_garbled(text: Column) -> Column:

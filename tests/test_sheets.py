@@ -193,6 +193,17 @@ def test_meaningful_chars_are_counted(spark):
     assert [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string").orderBy("k").select(text.meaningful_chars(F.col("t"))).collect()] == [0, 2, 5, 1, 0, None]
 
 
+def test_labels_are_computed_once(spark):
+    """Each pattern stands once in the plan, however many cases its result goes through; no text is collapsed twice."""
+    said = ["", " \n", "Чертёж № 12 / a", "x план этажа  3\n", "см. 7 - AB1 тут", "a1-B2", "a 12-B2", "..__", "w " * 60, None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string")
+    made = df.select("k", text.sheet_label(F.col("t")).alias("label"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 3 and plan.count("regexp_replace(t#") == 1
+    wanted = ["drawing", "drawing", "12___a", "план_этажа_3", "7-AB1", "a1-B2", "12-B2", "drawing", ("w_" * 32).rstrip("_"), "drawing"]
+    assert [r["label"] for r in made.orderBy("k").collect()] == wanted
+
+
 def test_a_missing_index_has_no_chunks(spark, tmp_path):
     schema = "id string, text string"
     assert files.chunk_index(spark, str(tmp_path / "none"), schema).count() == 0
