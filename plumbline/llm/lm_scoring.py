@@ -23,9 +23,7 @@ the changes are averaged, in whole numbers, so their order is of no consequence.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -54,25 +52,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_FOLD, F.lit(False))
 
 
+def _numbered(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct tokens, position of each token among them, tokens of each text)."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    words, end = found.flatten(), found.offsets.to_numpy()
+    some = np.concatenate([[0], np.cumsum(pc.not_equal(words, "").to_numpy(zero_copy_only=False))])  # white space at an edge leaves empty ones
+    size = np.diff(some[end]) + 1
+    coded = words.filter(pc.not_equal(words, "")).dictionary_encode()
+    line, ends = np.full(int(size.sum()), len(coded.dictionary), np.int32), np.cumsum(size) - 1
+    inside = np.ones(len(line), bool)
+    inside[ends] = False
+    line[inside] = coded.indices.to_numpy()
+    return pa.concat_arrays([coded.dictionary.cast(pa.large_binary()).cast(pa.binary()), pa.array([END], pa.binary())]), line, size
+
+
 class _Block:
     def __init__(self) -> None:
-        self.number = defaultdict(count().__next__)
-        self.ids, self.held, self.docs, self.train, self.bytes = [], [], [], [], 0
+        self.texts, self.held, self.docs, self.bytes = [], [], [], 0
 
-    def add(self, doc_id: pa.Scalar, held: bool, text: str) -> None:
-        raw = text.encode().lower()
-        ids = np.fromiter(map(self.number.__getitem__, [*raw.split(), END]), np.int32)
-        self.docs.append(doc_id), self.held.append(held), self.ids.append(ids)
-        self.bytes += len(raw) + 1
+    def add(self, doc_id: pa.Scalar, held: bool, text: pa.Scalar) -> None:
+        self.docs.append(doc_id), self.held.append(held), self.texts.append(text.as_py())
+        self.bytes += text.as_buffer().size + 1
 
     def record(self, block: int, id_type: pa.DataType) -> pa.RecordBatch:
-        train = [i for i, h in zip(self.ids, self.held, strict=True) if not h]
-        n = np.bincount(np.concatenate(train), minlength=len(self.number)) if train else np.zeros(len(self.number), np.int64)
-        line = np.concatenate(self.ids)
+        tokens, line, size = _numbered(self.texts)
+        n = np.bincount(line[np.repeat(~np.array(self.held, bool), size)], minlength=len(tokens))
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         columns = {
-            "block": pa.array([block], pa.int64()), "docs": one(pa.array(self.docs, id_type)), "held": one(pa.array(self.held, pa.bool_())), "sizes": one(pa.array([len(i) for i in self.ids], pa.int32())),
-            "ids": pa.array([pa.compress(line.tobytes(), codec="zstd", asbytes=True)], pa.binary()), "tokens": one(pa.array(list(self.number), pa.binary())), "train": one(pa.array(n, pa.int64())),
+            "block": pa.array([block], pa.int64()), "docs": one(pa.array(self.docs, id_type)), "held": one(pa.array(self.held, pa.bool_())), "sizes": one(pa.array(size, pa.int32())),
+            "ids": pa.array([pa.compress(line.tobytes(), codec="zstd", asbytes=True)], pa.binary()), "tokens": one(tokens), "train": one(pa.array(n, pa.int64())),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -100,7 +108,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     yield block.record(now + piece * blocks, id_type)
                     block, piece = _Block(), piece + 1 if deal == now else 0
                 now = deal
-                block.add(doc_id, held, text.as_py())
+                block.add(doc_id, held, text)
         if block.docs:
             yield block.record(now + piece * blocks, id_type)
 

@@ -123,6 +123,39 @@ def test_windows_carry_the_state():
     np.testing.assert_allclose(together, alone, rtol=1e-4)
 
 
+def test_texts_that_follow_in_a_lane():
+    """The last token of a text has its own state, though the next text of the lane starts anew."""
+    draw = np.random.default_rng(4)
+    layout = gated_model.Layout(np.arange(40, 0, -1).astype(float), 10.0)
+    p, _ = gated_model.train(layout.start(), layout, [draw.integers(0, 41, 900) for _ in range(10)])
+    texts = [draw.integers(0, 41, k) for k in draw.integers(1, 12, gated_model.SCORED + 300)]
+    alone = [gated_model.log_likelihoods(p, layout, [t])[0] for t in texts]
+    np.testing.assert_allclose(gated_model.log_likelihoods(p, layout, texts), alone, rtol=1e-4)
+
+
+def test_logits_beyond_where_exp_overflows():
+    """Sums that overflow are made again with bounded logits: gradients and scores stay numbers."""
+    layout = gated_model.Layout(np.arange(400, 0, -1).astype(float), 10.0)
+    p = {k: v + np.float32(0.3) for k, v in layout.start().items()} | {"class_bias": np.linspace(0, 200, layout.classes, dtype=np.float32), "word_bias": np.linspace(0, 200, layout.n, dtype=np.float32)}
+    x = np.random.default_rng(1).integers(0, 400, (6, 3))
+    g, words, _ = gated_model.gradients(p, layout, x, x, np.zeros((3, gated_model.HIDDEN), np.float32))
+    rows, d = g.pop("table")
+    assert all(np.isfinite(v).all() for v in [d, *g.values(), *words[0][2:]])
+    assert np.isfinite(gated_model.log_likelihoods(p, layout, [*x])).all()
+
+
+def test_tokens_are_words_and_one_end():
+    """Against the contract's expression, for every ASCII character and others that count as white space elsewhere."""
+    texts = ["", " ", "A b\tB  a ", "\n\n", *[f"X{chr(c)}y{chr(c)}{chr(c)}É" for c in [*range(128), 0x85, 0xA0, 0x2003, 0x3000]]]
+    tokens, line, size = lm_scoring._numbered(texts)
+    said, at = tokens.to_pylist(), 0
+    for text, n in zip(texts, size.tolist(), strict=True):
+        wanted = [w.encode() for w in brute.WORD.findall(text.translate(brute.UPPER))] + [lm_scoring.END]
+        assert [said[i] for i in line[at : at + n]] == wanted, repr(text)
+        at += n
+    assert at == len(line) and len(set(said)) == len(said)
+
+
 def test_training_learns_an_order():
     layout = gated_model.Layout(np.ones(10) * 100, 1.0)
     cycle = np.tile(np.arange(10), 60)
