@@ -51,9 +51,9 @@ def by_frequency(line: np.ndarray, strings: list[str]) -> tuple[np.ndarray, list
     return number[line], [strings[i] for i in order.tolist()]
 
 
-def gathered(flat: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The stretches of flat (of the given lengths) in the order of rows."""
-    begin, n = np.cumsum(lengths) - lengths, lengths[rows]
+def gathered(flat: np.ndarray, lengths: np.ndarray, rows: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
+    """The stretches of flat (of the given lengths) in the order of rows. begin: of the stretches, where a caller has them."""
+    begin, n = np.cumsum(lengths) - lengths if begin is None else begin, lengths[rows]
     return flat[np.repeat(begin[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
@@ -198,14 +198,18 @@ def looked_up_by(blocks: DataFrame, strings: str, make: Callable[[Column], Colum
                 yield _found_row(r["block"], grown(r["places"], r["n"]), r["places"], [known[x] for x in _strings(r["data"], grown(r["sizes"], r["n"]))])
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for i, r in enumerate(batch.select(["share", *packed]).to_pylist()):
                 if r["share"] != now:
                     yield from rows()
                     now, held, known = r["share"], [], {}
-                if r["words"] is None:
+                words = batch.column("words")[i]
+                if not words.is_valid:
                     held.append(r)
-                else:
-                    known.update((w, (m["numbers"], m["said"])) for w, m in zip(r["words"], r["made"], strict=True))
+                    continue
+                made = batch.column("made")[i].values
+                numbers = made.field("numbers")
+                end, flat = (numbers.offsets.to_numpy() - numbers.offsets[0].as_py()).tolist(), numbers.flatten().to_numpy().tolist()
+                known.update(zip(words.values.to_pylist(), zip([flat[a:z] for a, z in zip(end, end[1:], strict=False)], made.field("said").to_pylist(), strict=True), strict=True))
         yield from rows()
 
     kinds = "share int, block long, n int, places binary, sizes binary, data binary, words array<string>"

@@ -111,7 +111,8 @@ class Merges:
             return _named(F.array_position(now["ranks"], F.array_min(now["ranks"])).cast("int"), _STATE, lambda place: merged(now, place))
 
         first = F.struct(start.alias("tokens"), self._ranks(pairs, start).alias("ranks"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(start)), first, fold, lambda now: now["tokens"])
+        # n tokens have n - 1 merges at most
+        return F.aggregate(F.slice(start, 2, F.size(start)), first, fold, lambda now: now["tokens"])
 
     def _merged_at_once(self, pairs: Column, start: Column) -> Column:
         """As _merged, for long words: a round merges a pair everywhere, where that is what one merge after the other
@@ -240,13 +241,13 @@ def _joined(docs: DataFrame, path: str, pattern: str, columns: tuple[str, ...],
         kept = [row[c][0].values for c in named]
         sizes = grown(row["sizes"][0].as_py(), len(kept[0])).astype(np.int64)
         line = grown(row["line"][0].as_py(), row["n"][0].as_py())
-        said = np.array([w.encode() for w in row["words"][0].as_py()], object)
+        said = np.array(row["words"][0].values.cast(pa.binary()).to_pylist(), object)
         for place, text in other.items():
             said[place] = base64.b64decode(text)
-        end, out = np.cumsum(sizes), []
+        end, begin, out = np.cumsum(sizes), np.cumsum(lengths) - lengths, []
         for a, z in zip((end - sizes).tolist(), end.tolist(), strict=True):
-            part = line[a:z].astype(np.int64)
-            out.append(each(gathered(ids, lengths, part).astype("<u4").tobytes(), said[part].tolist()))
+            part = line[a:z]
+            out.append(each(gathered(ids, lengths, part, begin).astype("<u4").tobytes(), said[part].tolist()))
         made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), arrow, strict=True)]
         return pa.Table.from_arrays([*kept, *made], names=[*named, *kinds])
 

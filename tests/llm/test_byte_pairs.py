@@ -2,6 +2,8 @@ import base64
 import random
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -78,3 +80,48 @@ def test_tables_without_a_word(spark):
     path, pattern = public_path("byte_bpe_50k.tiktoken"), byte_pairs.public_pattern()
     assert {(r["doc_id"], tuple(r["ids"]), bytes(r["decoded"])) for r in byte_pairs.with_ids(docs, path, pattern).collect()} == {(1, (), b""), (None, (), b"")}
     assert byte_pairs.id_digests(docs.limit(0), path, pattern).count() == 0
+
+
+def test_a_block_is_the_patterns_words():
+    """Of texts with white space of all kinds, beside each other in a block."""
+    draw, pattern = random.Random(5), byte_pairs.public_pattern()
+    texts = [t or "" for t in ODD] + ["".join(draw.choices("ab  \n\t\0\x85é1'.", k=draw.randint(0, 12))) for _ in range(2000)]
+    texts += ["lone blanks\nand ends", " a", "a ", "\na", "a\n", " ", "\n", "\0", "a\0 b"]
+    block = byte_pairs._Words(pattern)
+    for t in texts:
+        block.add(t)
+    row = {k: v[0].as_py() for k, v in block.row().items()}
+    line, at = byte_pairs.grown(row["line"], row["n"]), 0
+    for t, n in zip(texts, byte_pairs.grown(row["sizes"], len(texts)).tolist(), strict=True):
+        assert [row["words"][i] for i in line[at : at + n]] == block.pattern.findall(t), repr(t)
+        at += n
+    assert at == row["n"] and len(set(row["words"])) == len(row["words"])
+
+
+def test_a_document_costs_what_it_has(spark, monkeypatch):
+    """Where the words of a block begin is found once for the block, not again for each of its documents."""
+    asked = []
+    whole = byte_pairs.joined_back
+
+    def counted(blocks, columns, found, run, schema):
+        def seen(*given):
+            class Lengths(np.ndarray):
+                def cumsum(self, *a, **k):
+                    asked.append(len(self))
+                    return super().cumsum(*a, **k)
+
+            row, lengths, ids, other = given
+            return run(row, lengths.view(Lengths), ids, other)
+
+        monkeypatch.setattr(byte_pairs, "counted_run", seen, raising=False)
+        return whole(blocks, columns, found, run, schema)
+
+    monkeypatch.setattr(byte_pairs, "joined_back", counted)
+    byte_pairs.id_digests(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), public_path("byte_bpe_50k.tiktoken"), byte_pairs.public_pattern())
+    block = byte_pairs._Words(byte_pairs.public_pattern())
+    for i in range(50):
+        block.add(f"a{i} b{i} c{i}")
+    row = block.row() | {"_own_doc_id": pa.array([list(range(50))])}
+    n = len(row["words"][0])
+    made = byte_pairs.counted_run(row, np.ones(n, np.int64), np.arange(n), {})
+    assert made.num_rows == 50 and set(made.column("n_tokens").to_pylist()) == {6} and asked.count(n) == 1
